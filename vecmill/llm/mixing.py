@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from vecmill.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+SLOTS_A_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -122,6 +123,8 @@ def draw_slots(spark, sources: list[Source], block_words: int, shard_slots: int,
     inside = F.sum("n").over(Window.partitionBy("sid", "band").orderBy("shard")) - F.col("n")
     counts = counts.withColumn("inside", inside).join(bands, ["sid", "band"])
     starts = counts.select("shard", "sid", "n", (F.col("ahead") + F.col("inside")).alias("first"))
+    # few rows here become many slots: dealt by their number, not by their present size
+    starts = starts.repartition(1 + slots // SLOTS_A_TASK, "shard", "sid")
     numbered = starts.select("sid", "shard", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select("sid", "shard", (F.col("first") + F.col("k")).alias("number"))
     numbered = numbered.join(F.broadcast(facts.select("sid", "quota")), "sid").where("number < quota").drop("quota")
     # what the draws left over goes to balancing shards
