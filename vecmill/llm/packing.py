@@ -31,16 +31,16 @@ class WordMemo:
 
     White space separates pre-tokens in every case and special strings hold
     none, so the ids of a text are those of its words one after another; words
-    repeat, so most are encoded once. Latin words that end in full stops or
-    commas are two pre-tokens, put together from both; their letters alone are
+    repeat, so most are encoded once. Latin words that end in such signs as
+    full stops are two pre-tokens, put together from both; their letters alone are
     encoded many at a time, which ids that end a word take apart again.
     Forgets everything at ``limit`` words.
     """
 
     #: Letters that neither lower-casing nor composition turns into anything but one letter.
-    SIMPLE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]*)")
+    SIMPLE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!?;:$&%*#|]*)")
 
-    def __init__(self, tokenizer, limit: int = 600_000, longest: int = 24):
+    def __init__(self, tokenizer, limit: int = 1_000_000, longest: int = 24):
         self.tokenizer, self.limit, self.longest, self.known = tokenizer, limit, longest, {}
         vocab = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -56,10 +56,10 @@ class WordMemo:
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         known, parts, others = self.known, {}, []
         for w in words:
-            if m := self.SIMPLE.fullmatch(w.lower()) if w.isascii() or max(w) < "\u0100" else None:
+            if m := self.SIMPLE.fullmatch(w.lower()):
                 parts[w] = m.groups()
             else:
                 others.append(w)
@@ -72,13 +72,25 @@ class WordMemo:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [None if any(c in t for c in ODD_SPACES) else t.split() for t in texts]
         if len(self.known) > self.limit:
             self.known.clear()
-        known = self.known
-        fresh = list(set().union(*filter(None, split)).difference(known))
-        self._learn(fresh)
-        out = [self._encode([t])[0] if ws is None else b"".join([known[w] for w in ws]) for t, ws in zip(texts, split, strict=True)]
+        known, out, gaps, fresh = self.known, [], [], set()
+        for t in texts:
+            if any(c in t for c in ODD_SPACES):
+                out.append(self._encode([t]))
+                continue
+            words = t.split()
+            out.append(list(map(known.get, words)))
+            if None in out[-1]:
+                at = [i for i, x in enumerate(out[-1]) if x is None]
+                gaps.append((out[-1], words, at))
+                fresh.update([words[i] for i in at])
+        if fresh:
+            self._learn(fresh)
+        for found, words, at in gaps:
+            for i in at:
+                found[i] = known[words[i]]
+        out = [b"".join(x) for x in out]
         for w in fresh:
             if len(w) > self.longest:
                 known.pop(w, None)
