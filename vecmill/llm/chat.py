@@ -13,7 +13,7 @@ taking one away again restores them, and no text can hold a mark.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -61,44 +61,46 @@ def windows(
     is longer than the budget stands in a window alone, uncut.
     """
     text, role = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(role_col).cast("string"), F.lit(""))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), turn_tokens(text).cast("long").alias("n")).alias("t"))
-    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), turn_tokens(text).cast("long").alias("n"))
+    # prefix sums: tokens up to and with each turn
+    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("n").over(in_order))
+    convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "upto", "role", "text", "n"))).alias("ts"))
     convs = convs.withColumn("system", F.col("ts")[0]["role"] == "system").withColumn("ts_n", F.size("ts"))
-    own = F.when(F.col("system"), F.col("ts")[0]["n"]).otherwise(F.lit(0))
-    # sums[i]: tokens of turns before i
-    sums = F.aggregate("ts", F.array(F.lit(0).cast("long")), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t["n"])))
-    convs = convs.withColumn("own", own.cast("long")).withColumn("sums", sums)
+    convs = convs.withColumn("own", F.when(F.col("system"), F.col("ts")[0]["n"]).otherwise(F.lit(0)).cast("long"))
     first_new = F.when(F.col("system"), 1).otherwise(0)
+    before = lambda i: F.col("ts")[i]["upto"] - F.col("ts")[i]["n"]
 
     def back(i: Column) -> Column:
         """The first turn of the history before turn i: at most half of the room."""
         near = F.sequence(F.lit(0), F.lit(history_turns))
-        fits = F.filter(near, lambda h: (i - h >= first_new) & (F.col("sums")[i] - F.col("sums")[i - h] <= (F.lit(budget) - F.col("own")) / 2))
+        fits = F.filter(near, lambda h: (h == 0) | (i - h >= first_new) & (before(i) - before(F.greatest(i - h, F.lit(0))) <= (F.lit(budget) - F.col("own")) / 2))
         return i - F.array_max(fits)
 
     def step(state: Column, i: Column) -> Column:
         """Begin a new window at turn i where the current one has no room for it."""
-        begin = F.coalesce(F.element_at(state["starts"], -1), F.lit(0))
-        full = (i == first_new) | (F.col("own") + F.col("sums")[i + 1] - F.col("sums")[state["from"]] > budget) & (i > begin)
+        begin = F.coalesce(F.try_element_at(state["starts"], F.lit(-1))["begin"], F.lit(0))
+        full = (i == first_new) | (F.col("own") + F.col("ts")[i]["upto"] - before(state["from"]) > budget) & (i > begin)
         return F.struct(
             F.when(full, back(i)).otherwise(state["from"]).alias("from"),
-            F.when(full, F.concat(state["starts"], F.array(i))).otherwise(state["starts"]).alias("starts"),
+            F.when(full, F.concat(state["starts"], F.array(F.struct(i.alias("begin"), back(i).alias("hist"))))).otherwise(state["starts"]).alias("starts"),
         )
 
-    start = F.struct(F.lit(0).alias("from"), F.array().cast("array<int>").alias("starts"))
+    spans = "array<struct<begin:int,hist:int>>"
     span = F.when(first_new < F.col("ts_n"), F.sequence(first_new, F.col("ts_n") - 1)).otherwise(F.array().cast("array<int>"))
-    convs = convs.withColumn("starts", F.aggregate(span, start, step)["starts"])
+    convs = convs.withColumn("starts", F.aggregate(span, F.struct(F.lit(0).alias("from"), F.array().cast(spans).alias("starts")), step)["starts"])
     # a conversation of a system turn alone is one window without new turns after it
-    convs = convs.withColumn("starts", F.when(F.size("starts") == 0, F.array(first_new)).otherwise(F.col("starts")))
-    one = convs.select("conv_id", "ts", "ts_n", "system", "own", "sums", F.posexplode("starts").alias("window", "begin"), "starts")
-    stop = F.coalesce(F.get("starts", F.col("window") + 1), F.col("ts_n"))
-    one = one.withColumn("stop", stop).withColumn("hist", F.when(F.col("begin") < F.col("ts_n"), back(F.col("begin"))).otherwise(F.col("begin")))
-    # the system turn is new in the first window
+    convs = convs.withColumn("starts", F.when(F.size("starts") == 0, F.array(F.struct(first_new.alias("begin"), first_new.alias("hist")))).otherwise(F.col("starts")))
     lead = F.when(F.col("system"), F.slice("ts", 1, 1)).otherwise(F.slice("ts", 1, 0))
-    shown = F.concat(lead, F.slice("ts", F.col("hist") + 1, F.col("stop") - F.col("hist")))
-    repeated = F.col("begin") - F.col("hist") + F.when(F.col("system") & (F.col("window") > 0), 1).otherwise(0)
-    one = one.select("conv_id", "window", repeated.cast("int").alias("repeated"), shown.alias("shown"))
-    one = one.withColumn("repeated", F.col("repeated").cast("int")).withColumn("fresh", (F.size("shown") - F.col("repeated")).cast("int"))
+
+    def window(s: Column, w: Column) -> Column:
+        """A window's own turns, so that no row carries its whole conversation."""
+        stop = F.coalesce(F.get("starts", w + 1)["begin"], F.col("ts_n"))
+        again = s["begin"] - s["hist"] + F.when(F.col("system") & (w > 0), 1).otherwise(0)  # the system turn is new in the first window
+        return F.struct(w.alias("window"), again.cast("int").alias("repeated"), F.concat(lead, F.slice("ts", s["hist"] + 1, stop - s["hist"])).alias("shown"))
+
+    one = convs.select("conv_id", F.explode(F.transform("starts", window)).alias("w")).select("conv_id", "w.*")
+    one = one.withColumn("fresh", (F.size("shown") - F.col("repeated")).cast("int"))
     heads = F.transform("shown", lambda t: F.struct(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("learn")))
     one = one.select("conv_id", "window", "repeated", "fresh", heads.alias("parts"))
     # where each body begins; repeated turns are masked
