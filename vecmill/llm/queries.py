@@ -25,6 +25,12 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(windows(turns.unionByName(hostile)))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecmill.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecmill.llm.warc import read_archives, records, write_archives
 
@@ -34,6 +40,12 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecmill.llm.language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecmill.llm.packing import pack
 
@@ -47,13 +59,22 @@ def op9_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(documents, taken).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecmill.llm.spotsigs import fingerprints_with_edits
+
+    return fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_chat_windows": op3_chat_windows,
+        "op5_toxicity": op5_toxicity,
         "op6_warc_revisits": op6_warc_revisits,
+        "op7_language": op7_language,
         "op8_exact_complement_packing": op8_exact_complement_packing,
         "op9_block_mixing": op9_block_mixing,
+        "op10_spot_signatures": op10_spot_signatures,
     }
 
 
