@@ -16,6 +16,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecmill.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecmill.llm.chat import digests, windows
 
@@ -25,6 +31,12 @@ def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(windows(turns.unionByName(hostile)))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vecmill.llm.nn_descent import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecmill.llm.toxicity import score_toxicity
 
@@ -68,7 +80,9 @@ def op10_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_ngram_join": op2_ngram_join,
         "op3_chat_windows": op3_chat_windows,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
         "op5_toxicity": op5_toxicity,
         "op6_warc_revisits": op6_warc_revisits,
         "op7_language": op7_language,
