@@ -37,25 +37,34 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     own hash; an empty one has none.
     """
     clean = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    marked = F.transform(F.split(clean, " "), lambda w: F.when(w.isin(ANCHORS), F.concat(F.lit("\n"), w, F.lit("\t"))).otherwise(F.concat(w, F.lit(" "))))
-    # of anchors in a row the last counts; what follows each anchor up to the next is a segment
-    segments = F.split(F.regexp_replace(F.array_join(F.concat(F.array(F.lit("\n^\t")), marked), ""), r"\n[^\t\n]*\t(?=\n)", ""), "\n")
+    after = lambda all_, k: F.substring_index(F.coalesce(F.get(all_, k), F.lit("")), "\t", -1)
 
     def spot(s: Column, i: Column, all_: Column) -> Column:
-        anchor = F.substring_index(s, "\t", 1)
-        after = lambda k: F.substring_index(F.coalesce(F.get(all_, i + k), F.lit("")), "\t", -1)
-        own = F.substring_index(s, "\t", -1)
-        return _hash(F.concat(anchor, F.lit("\t"), F.substring_index(F.concat(own, *[after(k) for k in range(1, chain)]), " ", chain)))
-
-    spotted = F.transform(segments, lambda s, i: spot(s, i, segments))
-    # the first segment is what stands before the first line feed: nothing
-    spotted = F.slice(spotted, 2, F.greatest(F.size(spotted) - 1, F.lit(0)))
-    words = F.split(clean, " ")
-    runs = F.transform(words, lambda w, i: _hash(F.array_join(F.slice(words, i + 1, chain + 1), " ")))
-    chosen = F.when(text == "", F.array().cast("array<bigint>")).when(clean == "", F.array(_hash(text))).when(F.size(segments) > 2, spotted).otherwise(runs)
+        """A segment's anchor and the first content words from there on; other segments hold a word at least each."""
+        following = F.concat(F.substring_index(s, "\t", -1), *[after(all_, i + k) for k in range(1, chain)])
+        return _hash(F.concat(F.substring_index(s, "\t", 1), F.lit("\t"), F.substring_index(following, " ", chain)))
+
+    def of_segments(all_: Column) -> Column:
+        # what stands before the first line feed is no segment
+        return F.slice(F.transform(all_, lambda s, i: spot(s, i, all_)), 2, F.greatest(F.size(all_) - 1, F.lit(0)))
+
+    def of_words(words: Column) -> Column:
+        marked = F.transform(words, lambda w: F.when(w.isin(ANCHORS), F.concat(F.lit("\n"), w, F.lit("\t"))).otherwise(F.concat(w, F.lit(" "))))
+        # of anchors in a row the last counts; what follows each anchor up to the next is a segment
+        joined = F.regexp_replace(F.array_join(F.concat(F.array(F.lit("\n^\t")), marked), ""), r"\n[^\t\n]*\t(?=\n)", "")
+        runs = F.transform(words, lambda w, i: _hash(F.array_join(F.slice(words, i + 1, chain + 1), " ")))
+        return _let(F.split(joined, "\n"), lambda segments: F.when(F.size(segments) > 2, of_segments(segments)).otherwise(runs))
+
+    none = F.array().cast("array<bigint>")
+    chosen = _let(clean, lambda c: F.when(text == "", none).when(c == "", F.array(_hash(text))).otherwise(_let(F.split(c, " "), of_words)))
     return F.array_sort(F.array_distinct(chosen))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often a nested function names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def fingerprint(sigs: Column) -> Column:
     """Signatures as text: eight hexadecimal digits each, in ascending order."""
     return F.array_join(F.transform(sigs, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0")), "")
