@@ -199,8 +199,8 @@ def learning_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return [r["piece"] for r in got], [r["lang"] for r in got]
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = 2, train_docs: int = 400, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(id, held_out, lang_pred, score, *extra) for every row.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = 2, train_docs: int = 400, extra: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """(id, held_out, lang_pred, score, *extra) for every row; ``keep_text`` hands the texts on as ``_vm_text``.
 
     Learns from at most ``train_docs`` documents of each of at most 64 languages, never from
     rows whose crc32(id) mod 4 is ``held``; every whole text is predicted.
@@ -211,15 +211,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     net = train(*learning_sample(docs, id_col, text_col, lang_col, held, train_docs))
     given = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
     slim = docs.select(
-        F.col(id_col).alias("_vm_id"), F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == held, F.lit(False)).alias("_vm_held"), F.col(text_col).cast("string").alias("_vm_text"), *extra
+        F.col(id_col).alias("_vm_id"), F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == held, F.lit(False)).alias("_vm_held"), *extra, F.col(text_col).cast("string").alias("_vm_text")
     )
 
+    passed = (*extra, *["_vm_text"] * keep_text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = predict(given.value, b.column("_vm_text").to_pylist())
-            cols = [b.column("_vm_id"), b.column("_vm_held"), *(b.column(c) for c in extra)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["_vm_id", "_vm_held", *extra, "_vm_lang", "_vm_score"])
+            cols = [b.column("_vm_id"), b.column("_vm_held"), *(b.column(c) for c in passed)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["_vm_id", "_vm_held", *passed, "_vm_lang", "_vm_score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_vm_text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if keep_text or f.name != "_vm_text")
     out = slim.mapInArrow(run, f"{kinds}, _vm_lang string, _vm_score double")
-    return out.select(F.col("_vm_id").alias(id_col), F.col("_vm_held").alias("held_out"), F.col("_vm_lang").alias("lang_pred"), F.col("_vm_score").alias("score"), *extra)
+    return out.select(F.col("_vm_id").alias(id_col), F.col("_vm_held").alias("held_out"), F.col("_vm_lang").alias("lang_pred"), F.col("_vm_score").alias("score"), *passed)

@@ -167,9 +167,11 @@ def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [r["text"] for r in got], [r["toxic"] for r in got]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 0, train_docs: int = 2000, train_chars: int = 20_000, extra: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 0, train_docs: int = 2000, train_chars: int = 20_000, extra: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """(id, held_out, score, predicted, *extra) for every row; labels join by the same id.
 
+    ``keep_text`` hands the texts on as ``_vm_text``.
+
     Learns from at most ``train_docs`` documents of either class, of at most
     ``train_chars`` characters, never from rows whose crc32(id) mod 5 is
     ``held``; every whole text is scored. Null and empty texts score 0. With no
@@ -179,18 +181,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     given = docs.sparkSession.sparkContext.broadcast(train(*learning_sample(docs, labels, id_col, text_col, held, train_docs, train_chars)))
     slim = docs.select(
-        F.col(id_col).alias("_vm_id"), F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == held, F.lit(False)).alias("_vm_held"), F.col(text_col).cast("string").alias("_vm_text"), *extra
+        F.col(id_col).alias("_vm_id"), F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == held, F.lit(False)).alias("_vm_held"), *extra, F.col(text_col).cast("string").alias("_vm_text")
     )
 
+    passed = (*extra, *["_vm_text"] * keep_text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, scores = b.column("_vm_text"), []
             for at in range(0, len(texts), 256):
                 scores.append(given.value.score(texts.slice(at, 256).to_pylist()))
-            cols = [b.column("_vm_id"), b.column("_vm_held"), *(b.column(c) for c in extra)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], ["_vm_id", "_vm_held", *extra, "_vm_score"])
+            cols = [b.column("_vm_id"), b.column("_vm_held"), *(b.column(c) for c in passed)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], ["_vm_id", "_vm_held", *passed, "_vm_score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name != "_vm_text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if keep_text or f.name != "_vm_text")
     out = slim.mapInArrow(run, f"{kinds}, _vm_score double")
     score = F.col("_vm_score")
-    return out.select(F.col("_vm_id").alias(id_col), F.col("_vm_held").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *extra)
+    return out.select(F.col("_vm_id").alias(id_col), F.col("_vm_held").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *passed)
