@@ -100,7 +100,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int,
 
 
 def common_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """How many items each pair of sets has in common."""
+    """How many items each two different sets have in common; the diagonal means nothing."""
     n = len(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     _, item, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
