@@ -21,6 +21,7 @@ def corpus():
         for p in rng.sample(range(len(words)), k % 3):
             words[p] = f"changed{k}"
         rows.append((1000 + k, " ".join(words), "en", "hot"))
+    rows.append(rows[-1])
     rows += [(2000 + k, rows[3][1], "en", "hot") for k in range(9)]
     rows += [(3000, None, None, None), (3001, "", "en", None), (3002, "", None, "s1"), (3003, "!!! ... ???", "en", "s1"), (3004, prose(rng, "fr", 6000), "fr", "s2"), (3005, "x" * 9000, "en", "s2"), (3006, "one", "en", "s3"), (3006, "one", "en", "s3")]
     return [(i, t, lang, s, len(t) if t is not None else None) for i, t, lang, s in rows]

@@ -123,6 +123,9 @@ def verify(least: float, trees: int, depth: int):
     """Work on a unit of block pairs: for each member its links, their expected number, and a tree edge."""
 
     def work(t: pa.Table) -> dict[str, np.ndarray]:
+        # rows that repeat id and set come once for each of them
+        once = list({(i, s): n for n, (i, s) in enumerate(zip(t.column("id").to_pylist(), t.column("shingles").to_pylist(), strict=True))}.values())
+        t = t.take(once)
         ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
         weight = t.column("weight").to_numpy().astype(np.float64)
         sets = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("shingles")]
@@ -161,18 +164,23 @@ def ngram_join(
     lowest = F.lit(-(1 << 63))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.col(text_col).alias("text"))
     sketches = materialize(sketch(keyed, "id", "text", words, trees, depth), "sketches")
-    classes = materialize(sketches.where("n > 0").groupBy("digest", "n").agg(F.min("id").alias("rep"), F.count("*").alias("weight")), "classes")
-    chosen = classes.select(F.col("rep").alias("id"), "digest", "weight")
-    # an id that stands for several texts takes part with each of them
-    nodes = materialize(sketches.select("id", "digest", "signature").join(chosen.select("id", "digest"), ["id", "digest"], "left_semi").select("id", "signature"), "nodes")
-    sets = sketches.select("id", "digest", "shingles").join(chosen, ["id", "digest"]).select("id", "weight", "shingles")
+    # candidates are found among half digests, copies combined before each shuffle; a clash of halves only adds a candidate
+    half = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
+    classes = sketches.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    classes = materialize(classes.select("digest", "rep", "weight", half.alias("node")), "classes")
+    signed = sketches.where("n > 0").select(half.alias("node"), "signature")
     level = depth
     while True:
-        met = nodes.select("id", F.posexplode(F.array(*[F.substring("signature", 2 * depth * t + 1, 2 * level) for t in range(trees)])).alias("tree", "prefix"))
-        shared = met.groupBy("tree", "prefix").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-        edges = met.join(shared, ["tree", "prefix"]).select("a", F.col("id").alias("b"))
-        clusters = connected_components(edges, "clusters").withColumnRenamed("component", "cluster")
-        units = block_pairs(clusters, ["cluster"], block).join(sets, "id").select("cluster", "i", "j", "id", "own", "weight", "shingles")
+        prefixes = [F.xxhash64(F.lit(t), F.substring("signature", 2 * depth * t + 1, 2 * level)) for t in range(trees)]
+        met = signed.select("node", F.explode(F.array(*prefixes)).alias("prefix"))
+        shared = met.groupBy("prefix").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
+        edges = met.join(shared, "prefix").where("node <> a").select("a", F.col("node").alias("b"))
+        clusters = connected_components(edges, "clusters").withColumnsRenamed({"id": "node", "component": "cluster"})
+        members = materialize(clusters.join(classes, "node").select("cluster", F.col("rep").alias("id"), "digest", "weight"), "members")
+        units = block_pairs(members.select("cluster", "id"), ["cluster"], block).join(members, ["cluster", "id"])
+        # sets are the large side at every size, so they are merged, never shipped
+        sets = sketches.select("id", "digest", "shingles").hint("merge")
+        units = units.join(sets, ["id", "digest"]).select("cluster", "i", "j", "id", "own", "weight", "shingles")
         found = materialize(by_unit(units, ["cluster", "i", "j"], verify(least, trees, level), "id long, parent long, links long, found double, expected double"), "links")
         seen = found.agg(F.sum("found").alias("found"), F.sum("expected").alias("expected")).first()
         if level <= shortest or not seen["expected"] or seen["found"] >= recall * seen["expected"]:
@@ -180,8 +188,8 @@ def ngram_join(
         level -= 1
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select(F.col("id").alias("a"), F.col("parent").alias("b")), "groups")
-    known = classes.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    rows = sketches.select("id", "digest", "n").join(known.drop("n"), "digest", "left")
+    known = classes.drop("node").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    rows = sketches.select("id", "digest").join(known, "digest", "left")
     component = F.coalesce("component", "rep", "id")
     back = lambda c: F.when(c != lowest, c)
     return rows.select(
