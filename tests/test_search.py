@@ -68,6 +68,8 @@ def test_index_recall(spark, points, tmp_path):
             t = top_n(rows, x[i], 10, by).select(F.lit(i).cast("long").alias("query_id"), "key_id")
             found, truth = (f, t) if found is None else (found.unionAll(f), truth.unionAll(t))
         assert recall_at_k(found, truth, 10).agg(F.avg("recall")).first()[0] >= 0.9
+    many = index.search_many(spark, rows.where("key_id % 30 = 0 and key_id < 300").select(F.col("key_id").alias("query_id"), F.col("key").alias("query")), 10, probes=7)
+    assert recall_at_k(many, truth, 10).agg(F.avg("recall")).first()[0] >= 0.9
     # a filter that leaves few rows is answered exactly; probes that hold too few are widened
     few = index.search(spark, x[0], 5, probes=1, where=F.col("key_id") < 4)
     assert few.count() == 4

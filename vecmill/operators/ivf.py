@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecmill.errors import InvalidArgument
 from vecmill.operators.metrics import Metric, metric
-from vecmill.operators.search import top_n
+from vecmill.operators.search import QUERY_BYTES, top_n
 
 
 def fit_centroids(x: np.ndarray, cells: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -70,6 +71,37 @@ class IvfIndex:
             probed = passing
         return top_n(probed, query, n, self.metric).drop("cell")
 
+    def search_many(self, spark, queries: DataFrame, k: int, probes: int = 8, query_id: str = "query_id", query_key: str = "query") -> DataFrame:
+        """(query_id, key_id, similarity, rank): for each query the k closest rows of the cells it probes, in one scan.
+
+        Queries travel to every task; more than ``QUERY_BYTES`` of them are refused, to be given in parts.
+        """
+        asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_key).cast("array<double>").alias("x")).collect()
+        if sum(len(r["x"]) for r in asked) * 8 > QUERY_BYTES:
+            raise InvalidArgument("too many queries for one search")
+        ids, x = np.array([r["q"] for r in asked], np.int64), np.array([r["x"] for r in asked], np.float64)
+        cells = _nearest(self._ready(x), self.centres, probes) if len(x) else np.zeros((0, 1), int)
+        given, m = spark.sparkContext.broadcast((ids, x, cells)), self.metric
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, x, cells = given.value
+            for b in batches:
+                cell, keys = b.column("cell").to_numpy(), b.column("key_id").to_numpy()
+                for c in np.unique(cell):
+                    mine, at = np.flatnonzero((cells == c).any(1)), np.flatnonzero(cell == c)
+                    if not len(mine):
+                        continue
+                    v = b.column("key").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+                    s = m.matrix(x[mine], v)
+                    far = np.where(np.isnan(s), np.inf, -s if m.greater_is_closer else s)
+                    top = np.argsort(far, 1, kind="stable")[:, :k]
+                    rows = np.repeat(np.arange(len(mine)), top.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[mine][rows]), pa.array(keys[at][top.reshape(-1)]), pa.array(s[rows, top.reshape(-1)])], ["q", "r", "similarity"])
+
+        found = spark.read.parquet(self.path).where(F.col("cell").isin(sorted(set(cells.reshape(-1).tolist())))).select("cell", "key_id", "key").mapInArrow(run, "q long, r long, similarity double")
+        w = Window.partitionBy("q").orderBy(m.order("similarity"), F.desc("r"))
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("r").alias("key_id"), "similarity", "rank")
+
 
 def build(rows: DataFrame, path: str, by: str | Metric = "euclidean", cells: int | None = None, sample: int = 20_000, key: str = "key") -> IvfIndex:
     """Index every row; centroids come from at most ``sample`` rows, the first by a hash of key_id."""

@@ -73,12 +73,20 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a @ b.T
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(_squared(a, b))
+
+
 METRICS = {
     m.name: m
     for m in (
         Metric("cosine", cosine, True, _cosines),
-        Metric("dot", dot, True, lambda a, b: a @ b.T),
-        Metric("euclidean", l2, False, lambda a, b: np.sqrt(_squared(a, b))),
+        Metric("dot", dot, True, _dots),
+        Metric("euclidean", l2, False, _distances),
         Metric("squared_euclidean", squared_l2, False, _squared),
     )
 }

@@ -7,7 +7,7 @@ null is a missing key; quality and toxic are missing for most rows.
 
 from __future__ import annotations
 
-import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +18,7 @@ from vecmill.embedding.engine import AiEngine
 from vecmill.embedding.models import HashEmbedder, ModelSpec, Registry
 from vecmill.functions import vision
 from vecmill.functions.vectors import l2_normalize, mean_pool, softmax
-from vecmill.operators import ivf
+from vecmill.operators import hnsw, ivf
 from vecmill.operators import mutations as M
 from vecmill.operators.predicates import And, Equals, In, NotEquals, NotIn, Or, Predicate, columns_entry, compile_predicate, plain
 from vecmill.operators.search import knn_join, recall_at_k, top_n
@@ -116,24 +116,33 @@ def accept_list_simn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn(spark: SparkSession, sf_dir: str, metric: str = "cosine") -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return knn_join(asked, e, 10, metric, row_id="vec_id", row_key="embedding").withColumn("similarity", F.round("similarity", 6))
+    return knn_join(_asked(spark, sf_dir), e, 10, metric, row_id="vec_id", row_key="embedding").withColumn("similarity", F.round("similarity", 6))
 
 
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flat(spark, sf_dir).where(compile_predicate(NotEquals("lang", "en"), columns_entry(COLUMNS), "direct", plain))
-    asked = read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return knn_join(asked, rows.select("vec_id", "embedding"), 5, "euclidean", row_id="vec_id", row_key="embedding").withColumn("similarity", F.round("similarity", 6))
+    return knn_join(_asked(spark, sf_dir), rows.select("vec_id", "embedding"), 5, "euclidean", row_id="vec_id", row_key="embedding").withColumn("similarity", F.round("similarity", 6))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def recall_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, recall) of the index against exact search, for queries whose id is divisible by 500."""
-    rows = opened(spark, sf_dir).rows("vectors").withColumn("vec_id", _id())
-    index = ivf.build(rows, f"{storage.root(spark)}/ivf-{id(rows)}-{spark.sparkContext.startTime}", "cosine", cells=16)
-    asked = [(r[0], r[1]) for r in read(spark, sf_dir, "embeddings").where("vec_id % 500 = 0").select("vec_id", "embedding").collect()]
-    found = functools.reduce(DataFrame.unionAll, [index.search(spark, v, 10, probes=10).select(F.lit(i).cast("long").alias("query_id"), "vec_id") for i, v in asked])
-    truth = functools.reduce(DataFrame.unionAll, [top_n(rows, v, 10, "cosine").select(F.lit(i).cast("long").alias("query_id"), "vec_id") for i, v in asked])
-    return recall_at_k(found, truth, 10, row_id="vec_id")
+    """(query_id, recall) of the inverted-file index against exact search."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key_id"), F.col("embedding").alias("key"))
+    index = ivf.build(rows, f"{storage.root(spark)}/ivf-{uuid.uuid4().hex}", "cosine", cells=16)
+    truth = knn_join(_asked(spark, sf_dir), rows, 10, "cosine", keep_self=True)
+    return recall_at_k(index.search_many(spark, _asked(spark, sf_dir), 10, probes=12), truth, 10)
+
+
+def recall_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of the layered graphs to vector 0, marked where exact search finds them too."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key_id"), F.col("embedding").alias("key"))
+    graphs = hnsw.build_graphs(rows, f"{storage.root(spark)}/hnsw-{uuid.uuid4().hex}", Hnsw("cosine"))
+    found = hnsw.search_graphs(graphs, vector_of(spark, sf_dir, 0), 10, width=100)
+    exact = top_n(rows, vector_of(spark, sf_dir, 0), 10, "cosine").select("key_id", F.lit(True).alias("exact"))
+    return found.join(exact, "key_id", "left").select(F.col("key_id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), F.coalesce("exact", F.lit(False)).alias("exact"))
 
 
 # -- reads
@@ -214,7 +223,7 @@ def stream_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "embeddings").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parquet*")
     given = stream.select(F.col("embedding").alias("key"), F.create_map(F.lit("vec_id"), _entry(F.col("vec_id")), F.lit("label"), _entry(F.col("label"))).alias("value"))
-    stream_into(engine, given, "vectors", f"{storage.root(spark)}/stream-{id(engine)}-{spark.sparkContext.startTime}").awaitTermination()
+    stream_into(engine, given, "vectors", f"{storage.root(spark)}/stream-{uuid.uuid4().hex}").awaitTermination()
     return engine.rows("vectors").groupBy(_said("label")).agg(F.count("*").alias("n"), F.sum(_id()).alias("ids"))
 
 
@@ -250,7 +259,7 @@ def pipeline_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = opened(spark, sf_dir)
-    path = f"{storage.root(spark)}/snapshot-{id(engine)}-{spark.sparkContext.startTime}"
+    path = f"{storage.root(spark)}/snapshot-{uuid.uuid4().hex}"
     engine.write_snapshot(path)
     back = Engine(spark)
     back.read_snapshot(path)
@@ -423,6 +432,7 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id DESC) AS rank FROM p) SELECT query_id, vec_id, round(d, 6) AS similarity, rank::INTEGER AS rank FROM n WHERE rank <= 5""",
     ),
     "recall_ivf": (recall_ivf, None),
+    "recall_hnsw": (recall_hnsw, None),
     "scan": (scan, f"{S} SELECT vec_id, label, lang, source, quality, toxic, len(v)::INTEGER AS dimension FROM s"),
     "getkey": (getkey, f"{S} SELECT vec_id, label, lang FROM s WHERE vec_id IN (3, 7) UNION ALL SELECT vec_id, label, lang FROM s WHERE vec_id = 7"),
     "postings": (postings, f"{S} SELECT name, value, count(*) AS n FROM (UNPIVOT (SELECT label, lang, source, quality, toxic FROM s) ON label, lang, source, quality, toxic INTO NAME name VALUE value) GROUP BY ALL"),
