@@ -96,7 +96,9 @@ def test_vector_functions(spark):
         l2_normalize(F.array(F.lit(3.0), F.lit(4.0))).alias("a"), l2_normalize(F.array(F.lit(0.0), F.lit(0.0))).alias("b"),
         mean_pool(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(6.0)), F.array(F.lit(9.0), F.lit(9.0))), F.array(F.lit(1), F.lit(1), F.lit(0))).alias("c"),
         softmax(F.array(F.lit(1000.0), F.lit(1000.0))).alias("d"), merged(F.create_map(F.lit("a"), F.lit(1)), F.create_map(F.lit("a"), F.lit(2), F.lit("b"), F.lit(3))).alias("e"),
-        (key_id(F.array(F.lit(0.0))) == key_id(F.array(F.lit(-0.0)))).alias("f"),
     ).first()
     assert got["a"] == pytest.approx([0.6, 0.8]) and got["b"] == [0.0, 0.0] and got["c"] == [2.0, 4.0]
-    assert got["d"] == [0.5, 0.5] and got["e"] == {"a": 2, "b": 3} and got["f"] is False
+    assert got["d"] == [0.5, 0.5] and got["e"] == {"a": 2, "b": 3}
+    # from rows: Spark takes equal literals for one
+    zeros = spark.createDataFrame([([0.0],), ([-0.0],)], "k array<float>").select(key_id(F.col("k")).alias("i"))
+    assert zeros.distinct().count() == 2
