@@ -109,5 +109,72 @@ FROM marked
 """
 
 
+#: Windows begin where the next turn would not fit, one after another, hence the recursion.
+CHAT_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 4 AS n,
+         24 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS chars
+  FROM t
+), p AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY i) AS upto, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto_chars FROM o
+), c AS (
+  SELECT conv_id, count(*) AS turns, coalesce(sum(1) FILTER (i = 0 AND role = 'system'), 0) AS first, coalesce(sum(n) FILTER (i = 0 AND role = 'system'), 0) AS own,
+         coalesce(sum(chars) FILTER (i = 0 AND role = 'system'), 0) AS own_chars
+  FROM p GROUP BY conv_id
+), b AS (
+  SELECT p.conv_id, p.i, c.first, c.own, p.upto, min(q.i) AS hist, max(q.upto - q.n) FILTER (q.i = p.i) AS before,
+         min(q.upto - q.n) AS hist_before, min(q.upto_chars - q.chars) AS hist_chars
+  FROM p JOIN c USING (conv_id) JOIN p q ON q.conv_id = p.conv_id AND q.i BETWEEN p.i - 2 AND p.i
+  WHERE q.i = p.i OR q.i >= c.first AND (p.upto - p.n) - (q.upto - q.n) <= (1024 - c.own) / 2
+  GROUP BY ALL
+), w AS (
+  SELECT conv_id, i AS start, hist_before, hist_chars FROM b WHERE i = first
+  UNION ALL
+  SELECT n.conv_id, n.start, b.hist_before, b.hist_chars FROM (
+    SELECT w.conv_id, min(b.i) AS start FROM w JOIN b ON b.conv_id = w.conv_id AND b.i > w.start AND b.own + b.upto - w.hist_before > 1024 GROUP BY w.conv_id, w.start
+  ) n JOIN b ON b.conv_id = n.conv_id AND b.i = n.start
+), f AS (
+  SELECT w.conv_id, w.start, w.hist_chars, lead(w.start) OVER (PARTITION BY w.conv_id ORDER BY w.start) AS stop FROM w
+), s AS (
+  SELECT f.conv_id, count(*) AS windows, sum(p.upto_chars - f.hist_chars) AS chars FROM f JOIN c USING (conv_id) JOIN p ON p.conv_id = f.conv_id AND p.i = coalesce(f.stop, c.turns) - 1 GROUP BY f.conv_id
+)
+SELECT p.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (any_value(coalesce(s.chars, 0)) + any_value(coalesce(s.windows, 1) * c.own_chars))::BIGINT AS formatted_chars
+FROM p JOIN c USING (conv_id) LEFT JOIN s USING (conv_id) GROUP BY p.conv_id
+"""
+
+
+#: The smallest id reachable over the links (a, b) of ``pairs``, from each id of ``nodes``.
+REACH = """reach AS (SELECT id, id AS r FROM nodes UNION SELECT p.b, reach.r FROM reach JOIN pairs p ON p.a = reach.id),
+label AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)"""
+
+JOIN_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                               ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS sh
+  FROM d
+), u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL HAVING count(*) >= 0.8 * (a.n + b.n - count(*))
+), nodes AS (SELECT doc_id AS id FROM documents), {REACH},
+links AS (SELECT a, count(*) AS n, min(b) FILTER (c = na AND c = nb) AS twin FROM pairs GROUP BY a)
+SELECT id AS doc_id, least(id, coalesce(twin, id)) AS class_id, coalesce(links.n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM label LEFT JOIN links ON links.a = id
+"""
+
+NEAR_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+nodes AS (SELECT vec_id AS id FROM embeddings), {REACH},
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT id AS vec_id, coalesce(links.n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM label LEFT JOIN links ON links.a = id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_revisits": WARC_SQL}
+    return {"op2_ngram_join": JOIN_SQL, "op3_chat_windows": CHAT_SQL, "op4_embedding_near_dedup": NEAR_SQL, "op6_warc_revisits": WARC_SQL}
