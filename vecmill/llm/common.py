@@ -86,9 +86,8 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
         pulled = labels.join(near, "id").select("id", "label", "m")
         # each vertex takes its smallest neighbouring label, and passes it to its own label
-        offers = pulled.select("id", F.least("label", "m").alias("label")).unionAll(
-            pulled.where("m < label").groupBy(F.col("label").alias("id")).agg(F.min("m").alias("label"))
-        )
+        least = F.least("label", "m").alias("label")
+        offers = pulled.select(F.explode(F.array(F.struct("id", least), F.struct(F.col("label").alias("id"), least))).alias("o")).select("o.id", "o.label")
         hooked = offers.groupBy("id").agg(F.min("label").alias("label"))
         up = hooked.select(F.col("id").alias("label"), F.col("label").alias("up"))
         jumped = hooked.join(up, "label", "left").select("id", F.coalesce(F.least("label", "up"), "label").alias("label"))

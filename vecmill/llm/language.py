@@ -217,10 +217,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     passed = (*extra, *["_vm_text"] * keep_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = predict(given.value, b.column("_vm_text").to_pylist())
-            cols = [b.column("_vm_id"), b.column("_vm_held"), *(b.column(c) for c in passed)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["_vm_id", "_vm_held", *passed, "_vm_lang", "_vm_score"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                found = predict(given.value, b.column("_vm_text").to_pylist())
+                cols = [b.column("_vm_id"), b.column("_vm_held"), *(b.column(c) for c in passed)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["_vm_id", "_vm_held", *passed, "_vm_lang", "_vm_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if keep_text or f.name != "_vm_text")
     out = slim.mapInArrow(run, f"{kinds}, _vm_lang string, _vm_score double")

@@ -184,8 +184,8 @@ def _links(lists: DataFrame, vectors: DataFrame, least: float, now: int, block:
     units = block_pairs(dense, ["h"], block).join(vectors.select("id", "v", "weight"), "id").select("h", "i", "j", "id", "own", "v", "weight")
     counted = materialize(by_unit(units, ["h", "i", "j"], _count(least), "id long, parent long, links long"), "counted")
     listed = linked.join(dense.select("id"), "id", "left_anti")
-    alone = listed.join(vectors.select(F.col("id").alias("other"), "weight"), "other").groupBy("id").agg(F.sum("weight").alias("links"))
-    links = alone.unionAll(counted.groupBy("id").agg(F.sum("links").alias("links")))
+    alone = listed.join(vectors.select(F.col("id").alias("other"), "weight"), "other").select("id", F.col("weight").alias("links"))
+    links = alone.unionAll(counted.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
     edges = listed.select(F.col("id").alias("a"), F.col("other").alias("b")).unionAll(counted.select(F.col("id").alias("a"), F.col("parent").alias("b")))
     return materialize(links, "links"), edges
 

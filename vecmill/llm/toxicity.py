@@ -25,8 +25,20 @@ WIDTH = 3  # words in a window
 EDGES = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»“”‘’…¡¿"
 
 
-def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_grams(words: list[str], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, begins): the n-gram buckets of each word one after another; every word has at least one."""
+    found, counts = [], []
+    for at in range(0, len(words), part):
+        b, n = _word_grams(words[at : at + part])
+        found.append(b)
+        counts.append(n)
+    if not found:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(counts))])[:-1]
+
+
+def _word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, how many of each word)."""
     raw = [b"<" + w.strip(EDGES).encode("utf-8", "replace") + b">" for w in words]
     length = np.array([len(r) for r in raw], np.int64)
     begins = np.concatenate([[0], np.cumsum(length)])
@@ -49,7 +61,7 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner_all = np.concatenate(owners)
     order = np.argsort(owner_all, kind="stable")
     counts = np.bincount(owner_all, minlength=len(raw))
-    return np.concatenate(buckets)[order], np.concatenate([[0], np.cumsum(counts)])[:-1]
+    return np.concatenate(buckets)[order], counts
 
 
 def _means(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -72,7 +84,7 @@ class SubwordBag:
 
     shares: np.ndarray
     bias: float
-    limit: int = 400_000
+    limit: int = 300_000
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -104,7 +116,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, warm: int = 40, step
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in ws], np.int64) for ws, _ in kept]
     buckets, begins = word_grams(list(vocab))
     sizes = np.diff(np.append(begins, len(buckets)))
-    owner = np.repeat(np.arange(len(vocab)), sizes)
+    owner = np.repeat(np.arange(len(vocab), dtype=np.int32), sizes)
     flat, starts = np.concatenate(ids), np.cumsum([0, *(len(i) for i in ids)])
     rng = np.random.default_rng(seed)
     emb, soft, bias = rng.normal(size=(BUCKETS, dim)) * 0.1, rng.normal(size=(2, dim)) * 0.1, np.zeros(2)
@@ -114,7 +126,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, warm: int = 40, step
     spans = [(int(a), int(b)) for a, b in zip(starts, starts[1:], strict=False)]
 
     def logits() -> np.ndarray:
-        return _means((emb @ (soft[1] - soft[0]))[buckets], begins)[flat] + 0.0
+        return _means((emb @ (soft[1] - soft[0])).astype(np.float32)[buckets], begins)[flat]
 
     for step in range(1, warm + steps + 1):
         words = logits()
@@ -167,7 +179,7 @@ def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [r["text"] for r in got], [r["toxic"] for r in got]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 0, train_docs: int = 2000, train_chars: int = 20_000, extra: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 0, train_docs: int = 2000, train_chars: int = 6_000, extra: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """(id, held_out, score, predicted, *extra) for every row; labels join by the same id.
 
     ``keep_text`` hands the texts on as ``_vm_text``.
@@ -187,12 +199,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     passed = (*extra, *["_vm_text"] * keep_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, scores = b.column("_vm_text"), []
-            for at in range(0, len(texts), 256):
-                scores.append(given.value.score(texts.slice(at, 256).to_pylist()))
-            cols = [b.column("_vm_id"), b.column("_vm_held"), *(b.column(c) for c in passed)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], ["_vm_id", "_vm_held", *passed, "_vm_score"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                b = batch.slice(at, 512)
+                cols = [b.column("_vm_id"), b.column("_vm_held"), *(b.column(c) for c in passed)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(given.value.score(b.column("_vm_text").to_pylist()), pa.float64())], ["_vm_id", "_vm_held", *passed, "_vm_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if keep_text or f.name != "_vm_text")
     out = slim.mapInArrow(run, f"{kinds}, _vm_score double")
