@@ -63,6 +63,10 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a @ b.T
+
+
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """By differences, a few rows at a time: no cancellation, bounded memory."""
     out = np.empty((len(a), len(b)))
@@ -73,14 +77,42 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a @ b.T
-
-
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(_squared(a, b))
 
 
+def closest(m: Metric, queries: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the pairs that may be among the k closest of their query, ties included.
+
+    ``least``: the closeness below which a query needs no more rows. ``leave``:
+    pairs to leave out. Squared distances are first found by a matrix product,
+    whose rounding is allowed for, and exactly for what remains.
+    """
+    by_product = m.matrix in (_squared, _distances)
+    if by_product:
+        sizes, lengths = np.einsum("ij,ij->i", queries, queries), np.einsum("ij,ij->i", rows, rows)
+        score = 2 * (queries @ rows.T)
+        score -= sizes[:, None]
+        score -= lengths[None, :]
+        slack = 1e-12 * (sizes + (lengths.max() if len(lengths) else 0)) * max(1, queries.shape[1])
+        least = np.where(np.isinf(least), least, -least * least if m.matrix is _distances else least)
+    else:
+        score = m.matrix(queries, rows)
+        score = np.where(np.isnan(score), -np.inf, score if m.greater_is_closer else -score)
+        slack = 0
+    if leave is not None:
+        score[leave] = np.nan
+    if score.shape[1] > k:
+        kth = np.partition(np.where(np.isnan(score), -np.inf, score), score.shape[1] - k, 1)[:, score.shape[1] - k]
+        least = np.maximum(least, kth)
+    q, r = np.nonzero(score >= (least - 2 * slack)[:, None])
+    if not by_product:
+        return q, r, score[q, r] if m.greater_is_closer else -score[q, r]
+    d = queries[q] - rows[r]
+    exact = np.einsum("ij,ij->i", d, d)
+    return q, r, np.sqrt(exact) if m.matrix is _distances else exact
+
+
 METRICS = {
     m.name: m
     for m in (

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecmill.errors import InvalidArgument
-from vecmill.operators.metrics import Metric, metric, vector
+from vecmill.operators.metrics import Metric, closest, metric, vector
 
 QUERY_BYTES = 32 << 20  # most bytes of query vectors that travel to every task
+PART_ROWS, PART_QUERIES = 4096, 1024  # scores of so many rows and queries are held at once
 
 
 def top_n(rows: DataFrame, query: Sequence[float], n: int, by: str | Metric = "cosine", where: Column | None = None, key: str = "key", tie: str = "key_id") -> DataFrame:
@@ -62,30 +63,38 @@ def _block(queries: list, rows: DataFrame, k: int, m: Metric, keep_self: bool) -
     given = rows.sparkSession.sparkContext.broadcast({d: (np.array([r["q"] for r in x]), np.array([r["x"] for r in x], np.float64)) for d, x in by_dim.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        least = {d: np.full(len(q), -np.inf) for d, (q, _) in given.value.items()}
+
+        def settle(d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The k closest of each query so far, ties by descending id; what is farther is of no more use."""
+            q, i, c = (np.concatenate(x) for x in zip(*held[d], strict=True))
+            order = np.lexsort((-i, -c, q))
+            q, i, c = q[order], i[order], c[order]
+            begin = np.searchsorted(q, q)
+            keep = np.arange(len(q)) - begin < k
+            q, i, c = q[keep], i[keep], c[keep]
+            last = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == k - 1)
+            least[d][q[last]] = c[last]
+            held[d] = [(q, i, c)]
+            return q, i, c
+
         for b in batches:
             y, ids = b.column("y"), b.column("r").to_numpy()
             lengths = np.diff(y.offsets.to_numpy()) if len(y) else np.zeros(0, int)
             for d, (q, x) in given.value.items():
                 at = np.flatnonzero((lengths == d) & np.asarray(y.is_valid()))
-                if not len(at):
-                    continue
-                v = y.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), d)
-                s = m.matrix(x, v)
-                c = np.where(np.isnan(s), -np.inf, s if m.greater_is_closer else -s)
-                if not keep_self:
-                    c[q[:, None] == ids[at][None, :]] = np.nan
-                old = best.get(d)
-                all_c = c if old is None else np.concatenate([old[0], c], 1)
-                all_i = np.broadcast_to(ids[at], c.shape) if old is None else np.concatenate([old[1], np.broadcast_to(ids[at], c.shape)], 1)
-                order = np.lexsort((-all_i, np.where(np.isnan(all_c), np.inf, -all_c)), axis=1)[:, :k]
-                best[d] = np.take_along_axis(all_c, order, 1), np.take_along_axis(all_i, order, 1)
-        for d, (c, i) in best.items():
-            q = np.repeat(given.value[d][0], c.shape[1])
-            c, i = c.reshape(-1), i.reshape(-1)
-            keep = ~np.isnan(c)
-            s = c[keep] if m.greater_is_closer else -c[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(i[keep]), pa.array(s, mask=np.isinf(s))], ["q", "r", "similarity"])
+                for part in np.array_split(at, -(-len(at) // PART_ROWS)) if len(at) else ():
+                    v = y.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), d)
+                    for s in range(0, len(q), PART_QUERIES):
+                        own = slice(s, s + PART_QUERIES)
+                        qs, rs, score = closest(m, x[own], v, k, least[d][own], None if keep_self else q[own, None] == ids[part][None, :])
+                        held.setdefault(d, []).append((qs + s, ids[part][rs], score if m.greater_is_closer else -score))
+                    settle(d)
+        for d in held:
+            q, i, c = settle(d)
+            s = c if m.greater_is_closer else -c
+            yield pa.RecordBatch.from_arrays([pa.array(given.value[d][0][q]), pa.array(i), pa.array(s, mask=np.isinf(s))], ["q", "r", "similarity"])
 
     return rows.mapInArrow(run, "q long, r long, similarity double")
 
