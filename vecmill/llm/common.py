@@ -39,7 +39,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._vm_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t._vm_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,7 +94,7 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
     )
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        pulled = labels.join(near, "id").select("id", "label", "m")
+        pulled = labels.select("id", "label").join(near, "id").select("id", "label", "m")
         # each vertex takes its smallest neighbouring label, and passes it to its own label
         least = F.least("label", "m").alias("label")
         offers = pulled.select(F.explode(F.array(F.struct("id", least), F.struct(F.col("label").alias("id"), least))).alias("o")).select("o.id", "o.label")
@@ -93,7 +103,9 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
         jumped = hooked.join(up, "label", "left").select("id", F.coalesce(F.least("label", "up"), "label").alias("label"))
         fresh = materialize(jumped.join(labels.select("id", F.col("label").alias("was")), "id"), f"{tag}-labels")
         changed = fresh.where("label <> was").limit(1).count()
-        labels = fresh.select("id", "label")
+        discard(labels)
+        labels = fresh
         if not changed:
+            discard(both)
             return labels.select("id", F.col("label").alias("component"))
     raise RuntimeError("components did not settle")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vecmill.llm.blocks import block_pairs, by_unit, forest
-from vecmill.llm.common import connected_components, materialize
+from vecmill.llm.common import connected_components, discard, materialize
 
 LIST = "id long, other long, sim double"
 
@@ -149,13 +149,16 @@ def near_duplicates(
     for forest_no in range(1 + extra_forests):
         fresh = _compare(leaves(vectors, trees, bits, seed + forest_no), vectors, size, floor, block)
         now = size
-        lists = materialize(_best(fresh if lists is None else fresh.unionAll(lists), now), "lists")
+        before, lists = lists, materialize(_best(fresh if lists is None else fresh.unionAll(lists), now), "lists")
+        if before is not None:
+            discard(before)
         for _ in range(rounds):
             hood = lists.select(F.col("id").alias("h"), F.col("other").alias("id")).unionAll(lists.select(F.col("id").alias("h"), "id").distinct()).withColumn("g", F.lit(0).cast("long"))
             better = materialize(_best(_compare(hood.select("g", "h", "id"), vectors, now, floor, block).unionAll(lists), now), "lists")
             change = better.join(lists, ["id", "other"], "left_anti").count()
             total = better.count()
             full = better.where(F.col("sim") >= least).groupBy("id").count().where(F.col("count") >= now).limit(1).count()
+            discard(lists)
             lists = better
             if full and now < largest:
                 now *= 2  # some lists are full of links: let them hold more
