@@ -107,7 +107,10 @@ def build(rows: DataFrame, path: str, by: str | Metric = "euclidean", cells: int
     """Index every row; centroids come from at most ``sample`` rows, the first by a hash of key_id."""
     m = metric(by)
     count = rows.count()
-    drawn = rows.orderBy(F.xxhash64("key_id"), "key_id").limit(sample).select(key).collect()
+    # a share of about twice the sample is cut out first, so that what meets in one task is bounded
+    h = F.pmod(F.xxhash64("key_id", F.lit("sample")), F.lit(1 << 31))
+    some = rows.where(h <= int(min(1.0, (2 * sample + 100) / max(1, count)) * (1 << 31)))
+    drawn = some.orderBy(h, "key_id").limit(sample).select(key).collect()
     x = np.array([r[0] for r in drawn], np.float64)
     index = IvfIndex(path, np.zeros((1, x.shape[1] if x.ndim == 2 else 1)), m)
     if len(x):
