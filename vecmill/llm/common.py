@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,22 @@ def load_tokenizer(name: str):
     return Tokenizer.from_file(tokenizer_path(name))
 
 
+def share(key: Column, part: float) -> Column:
+    """Whether a row belongs to a share of all rows, chosen by a hash of its key."""
+    return F.pmod(F.xxhash64(key, F.lit("share")), F.lit(1 << 31)) < int(min(1.0, part) * (1 << 31)) + 1
+
+
+def first_by_hash(rows: DataFrame, key: str, most: int, count: int) -> DataFrame:
+    """``most`` rows of ``count``, the first by a hash of the key.
+
+    A share of about twice as many is cut out first, so that what meets in one
+    task does not grow with the number of tasks before it.
+    """
+    some = rows.where(share(F.col(key), (2 * most + 100) / max(1, count)))
+    h = F.pmod(F.xxhash64(F.col(key), F.lit("share")), F.lit(1 << 31))
+    return some.orderBy(h, key).limit(most)
+
+
 def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable over the edges (a, b).
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecmill.llm.common import first_by_hash
+
 SPAN = 64
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that belong to letters: ASCII letters, and all of longer encodings.
@@ -188,12 +190,12 @@ def learning_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     """Pieces of at most ``most`` documents of each language, the first by a hash of the id, spread over their texts."""
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32("i"), F.lit(4)) != held))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
     n = F.length("text")
     pieces = F.array_join(F.array(*[F.substring(F.col("text"), F.floor(n * (k / spots)).cast("int") + 1, F.lit(chars)) for k in range(spots)]), " ")
     taken = None
-    for lang in langs:
-        part = rows.where(F.col("lang") == lang).select("lang", "i", F.when(n <= spots * chars, F.col("text")).otherwise(pieces).alias("piece")).orderBy(F.xxhash64("i"), "i").limit(most)
+    for lang, count in langs:
+        part = first_by_hash(rows.where(F.col("lang") == lang).select("lang", "i", F.when(n <= spots * chars, F.col("text")).otherwise(pieces).alias("piece")), "i", most, count)
         taken = part if taken is None else taken.unionAll(part)
     got = taken.select("piece", "lang").collect() if taken is not None else []
     return [r["piece"] for r in got], [r["lang"] for r in got]

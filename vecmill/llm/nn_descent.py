@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vecmill.llm.blocks import block_pairs, by_unit, forest
-from vecmill.llm.common import connected_components, discard, materialize
+from vecmill.llm.common import connected_components, discard, first_by_hash, materialize
 
 LIST = "id long, other long, sim double"
 
@@ -143,7 +143,7 @@ def near_duplicates(
     near = math.acos(least) / math.pi
     bits = max(1, math.ceil(math.log2(max(2, count / leaf))))
     trees = max(4, math.ceil(math.log(1 - expect) / math.log(1 - (1 - near) ** bits)))
-    sample = [(r["id"], r["dim"], r["v"]) for r in vectors.orderBy(F.xxhash64("id"), "id").limit(audit).collect()]
+    sample = [(r["id"], r["dim"], r["v"]) for r in first_by_hash(vectors, "id", audit, count).collect()]
     truth = _exact_links(vectors, sample, least)
     lists = None
     for forest_no in range(1 + extra_forests):

@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecmill.llm.common import share
+
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
     "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their them they this to was were what when which with you "
@@ -83,15 +85,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def following(keys: DataFrame, buckets: int) -> DataFrame:
+def following(keys: DataFrame, buckets: int, count: int) -> DataFrame:
     """(k, h, n, copies) with the next key (nk, nh) in descending order, the last followed by the first.
 
-    Ids are dealt into buckets of about equal counts by quantiles found first;
+    Ids are dealt into buckets of about equal counts by quantiles of a share of them, found first;
     each bucket finds its own successors, and its last one the first of the
     next bucket through a table of one row for each bucket.
     """
     side = max(1, math.isqrt(max(1, buckets - 1)) + 1)
-    marks = keys.select(F.percentile_approx("k", [i / side**2 for i in range(1, side**2)] or [0.5], 10_000)).first()[0] or []
+    some = keys.where(share(F.col("k"), 100 * side**2 / max(1, count)))  # so many, whatever the count
+    marks = some.select(F.percentile_approx("k", [i / side**2 for i in range(1, side**2)] or [0.5], 10_000)).first()[0] or []
     marks = sorted(set(marks))
     rows = [marks[i : i + side] for i in range(0, len(marks), side)]
     if rows:
@@ -127,7 +130,7 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
     keyed = _keyed(docs, id_col, text_col)
     keys = keyed.groupBy("k", "h").agg(F.first(F.length("text")).alias("n"), F.count("*").alias("copies"))
     count = docs.count()
-    order = following(keys, min(most_buckets, 1 + count // bucket_docs))
+    order = following(keys, min(most_buckets, 1 + count // bucket_docs), count)
     base = keyed.select("k", "h", "text", signatures(F.col("text")).alias("sigs"))
     base = base.groupBy("k", "h").agg(F.first("text").alias("text"), F.first("sigs").alias("sigs"))
     wanted = order.select(F.col("k").alias("ck"), F.col("h").alias("ch"), "n", "copies", F.col("nk").alias("k"), F.col("nh").alias("h"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecmill.llm.common import first_by_hash
+
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5, 6)
 WIDTH = 3  # words in a window
@@ -169,9 +171,9 @@ def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     named = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) != held)
     )
-    picked = None
+    picked, counts = None, {r["toxic"]: r["count"] for r in named.groupBy("toxic").count().collect()}
     for label in (0, 1):
-        part = named.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(most)
+        part = first_by_hash(named.where(F.col("toxic") == label), "id", most, counts.get(label, 0))
         picked = part if picked is None else picked.unionAll(part)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") <= longest)
     got = texts.join(F.broadcast(picked), "id").select("id", "text", "toxic").collect()  # 2 * most rows at most are broadcast
