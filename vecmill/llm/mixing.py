@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecmill.llm.common import materialize
+from vecmill.llm.common import constant, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 SLOTS_A_TASK = 50_000
@@ -79,7 +79,7 @@ def laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep:
     totals = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
     sources = targets({r["source"]: r["size"] for r in totals})
     number = {s.name: s.number for s in sources}
-    spread = docs.sparkSession.createDataFrame([(r["source"], number[r["source"]], 1 + r["n"] // slice_docs) for r in totals], "name string, sid int, slices long")
+    spread = constant(docs.sparkSession, [(r["source"], number[r["source"]], 1 + r["n"] // slice_docs) for r in totals], "name string, sid int, slices long")
     sliced = slim.join(F.broadcast(spread), F.col("source").eqNullSafe(F.col("name"))).withColumn("slice", F.pmod(F.xxhash64("doc_id", "h"), "slices")).drop("name", "slices")
     before = sliced.groupBy("sid", "slice").agg(F.sum("size").alias("words"))
     before = before.select("sid", "slice", (F.sum("words").over(Window.partitionBy("sid").orderBy("slice")) - F.col("words")).alias("before"))
@@ -103,13 +103,13 @@ def draw_slots(spark, sources: list[Source], block_words: int, shard_slots: int,
         plan.append((s.number, s.size, blocks, passes, rest, passes * blocks + -(-rest // block_words)))
     slots = sum(p[-1] for p in plan)
     if not slots:
-        return spark.createDataFrame([], "sid int, shard long, slot int, number long, pass int, block long, words long")
+        return constant(spark, [], "sid int, shard long, slot int, number long, pass int, block long, words long")
     edges, total = [], 0
     for p in plan[:-1]:
         total += p[-1]
         edges.append(total / slots)
     shards = slots // shard_slots
-    facts = spark.createDataFrame(plan, "sid int, size long, blocks long, passes int, rest long, quota long")
+    facts = constant(spark, plan, "sid int, size long, blocks long, passes int, rest long, quota long")
     # a uniform number for each slot picks the source by the cumulative shares
     u = (F.pmod(F.xxhash64(F.lit(seed), "shard", "slot"), F.lit(1 << 53)) / float(1 << 53)).alias("u")
     picked = F.size(F.filter(F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>"), lambda e: e <= F.col("u")))
@@ -163,7 +163,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     tail = F.least(F.col("from") + F.col("size"), F.col("block") * block_words + F.col("words"))
     joined = full.join(slots, ["sid", "block"]).where(tail > head)
     taken = joined.select("sid", "from", "shard", "number", "pass", (head - F.col("from")).alias("skip"), (tail - head).alias("take"))
-    facts = spark.createDataFrame([(s.number, s.size, s.target) for s in sources], "sid int, source_size long, target double")
+    facts = constant(spark, [(s.number, s.size, s.target) for s in sources], "sid int, source_size long, target double")
     return placed.join(F.broadcast(facts), "sid"), taken
 
 
