@@ -86,7 +86,7 @@ class SubwordBag:
 
     shares: np.ndarray
     bias: float
-    limit: int = 300_000
+    limit: int = 200_000
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
