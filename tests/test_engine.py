@@ -196,6 +196,9 @@ def test_service_snapshots(spark):
         e.import_service_snapshot(document)
         assert said(e.get_pred("fixture", Equals("name", "a"), schema), "name") == ["a"]
         assert e.get_store("fixture", schema).first()["predicates"] == ["name"]
+        again = Engine(spark)
+        again.import_service_snapshot(e.export_service_snapshot())
+        assert again.rows("fixture", schema).collect() == e.rows("fixture", schema).collect()
 
 
 def test_streaming(spark, tmp_path):

@@ -277,6 +277,10 @@ class Engine:
         for meta, rows in snapshot.read(self.spark, path):
             self.stores.setdefault(meta.schema, {})[meta.name] = Store(meta, rows)
 
+    def export_service_snapshot(self) -> dict:
+        """A document of all stores, for stores of up to 100,000 rows."""
+        return snapshot.to_service_json([(s.meta, s.rows) for stores in self.stores.values() for s in stores.values()])
+
     def import_service_snapshot(self, document: dict) -> None:
         for schema, stores in snapshot.parse_service_json(document).items():
             for name, store in stores.items():

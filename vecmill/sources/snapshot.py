@@ -71,6 +71,19 @@ def service_rows(store: dict) -> list[tuple[list[float], dict[str, Meta]]]:
     return rows
 
 
+def to_service_json(stores: list[tuple[StoreMeta, DataFrame]], most_rows: int = 100_000) -> dict:
+    """A snapshot document (version 2) of small stores; larger ones are refused, as a document is one object in memory."""
+    out: dict[str, dict] = {}
+    for meta, rows in stores:
+        held = rows.limit(most_rows + 1).collect()
+        if len(held) > most_rows:
+            raise ValueError(f"store {meta.name} has more than {most_rows} rows: write a snapshot instead")
+        value = lambda m: {k: to_tagged(Meta(v["kind"], v["str"] if v["kind"] == "str" else bytes(v["bin"]))) for k, v in sorted(m.items())}
+        entries = {str(r["key_id"] % (1 << 64)): [list(r["key"]), value(r["value"])] for r in held}
+        out.setdefault(meta.schema, {})[meta.name] = {"dimension": meta.dimension, "id_to_value": entries, "predicate_indices": {"allowed_predicates": sorted(meta.predicates)}}
+    return {"db_version": "2", "stores": out}
+
+
 def tagged_json(rows: DataFrame) -> DataFrame:
     """(key_id, key, value) with value as JSON of tagged strings, as snapshots write it."""
     tag = F.udf(lambda m: json.dumps({k: to_tagged(Meta(v["kind"], v["str"] if v["kind"] == "str" else bytes(v["bin"]))) for k, v in sorted(m.items())}), "string")
