@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vecmill.llm.blocks import forest
-from vecmill.llm.common import connected_components
+from vecmill.llm.common import connected_components, first_by_hash
 from vecmill.llm.ngram_join import Shingler, common_counts, hashers, min_hashes, ngram_join
 from vecmill.llm.nn_descent import near_duplicates
 from vecmill.llm.spotsigs import similar_pairs
@@ -129,3 +129,11 @@ def test_similar_pairs(spark):
     rows = {r["id"]: set(r["sigs"]) for r in df.collect()}
     want = {(a, b) for a in rows for b in rows if a < b and len(rows[a] & rows[b]) >= 0.6 * len(rows[a] | rows[b])}
     assert {(r["a"], r["b"]) for r in similar_pairs(df, 0.6).collect()} == want and want
+
+
+def test_first_by_hash(spark):
+    rows = spark.range(5000)
+    some = {r["id"] for r in first_by_hash(rows, "id", 50, 5000).collect()}
+    assert len(some) == 50 and some == {r["id"] for r in first_by_hash(rows.repartition(7), "id", 50, 5000).collect()}
+    assert some <= {r["id"] for r in first_by_hash(rows, "id", 200, 5000).collect()}
+    assert first_by_hash(rows, "id", 9000, 5000).count() == 5000 and first_by_hash(rows.limit(0), "id", 5, 0).count() == 0
