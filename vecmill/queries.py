@@ -8,7 +8,7 @@ null is a missing key; quality and toxic are missing for most rows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +35,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, embedding, label, lang, source, quality, toxic): metadata as plain columns."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source")
-    t = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"))
-    return e.join(d, "vec_id", "left").join(t, "vec_id", "left")
+def flat(spark: SparkSession, sf_dir: str, names: Collection[str] = NAMES) -> DataFrame:
+    """(vec_id, embedding, label, ...): metadata as plain columns; only tables that hold the names are joined."""
+    out = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
+    for table, columns in (("documents", ("lang", "source")), ("labels", ("quality", "toxic"))):
+        if wanted := [c for c in columns if c in names]:
+            held = read(spark, sf_dir, table).select(F.col("doc_id").alias("vec_id"), *[F.col(c).cast("string").alias(c) for c in wanted])
+            out = out.join(held, "vec_id", "left")
+    return out
 
 
 def _entry(c: Column) -> Column:
@@ -86,7 +88,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simn(spark: SparkSession, sf_dir: str, metric: str, where: Predicate | None = None, semantics: str = "direct") -> DataFrame:
     """Filters on plain columns: they reach the scans, and only passing rows are scored."""
-    rows = flat(spark, sf_dir)
+    rows = flat(spark, sf_dir, where.keys() if where else ())
     condition = compile_predicate(where, columns_entry(COLUMNS), semantics, plain) if where else None
     found = top_n(rows, vector_of(spark, sf_dir, 0), 10, metric, condition, key="embedding", tie="vec_id")
     return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
@@ -120,7 +122,7 @@ def knn(spark: SparkSession, sf_dir: str, metric: str = "cosine") -> DataFrame:
 
 
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flat(spark, sf_dir).where(compile_predicate(NotEquals("lang", "en"), columns_entry(COLUMNS), "direct", plain))
+    rows = flat(spark, sf_dir, ("lang",)).where(compile_predicate(NotEquals("lang", "en"), columns_entry(COLUMNS), "direct", plain))
     return knn_join(_asked(spark, sf_dir), rows.select("vec_id", "embedding"), 5, "euclidean", row_id="vec_id", row_key="embedding").withColumn("similarity", F.round("similarity", 6))
 
 
