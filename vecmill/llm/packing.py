@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ class WordMemo:
     #: Letters that neither lower-casing nor composition turns into anything but one letter.
     SIMPLE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!?;:$&%*#|]*)")
 
-    def __init__(self, tokenizer, limit: int = 600_000, longest: int = 24):
+    def __init__(self, tokenizer, limit: int = 1_000_000, longest: int = 24):
         self.tokenizer, self.limit, self.longest, self.known = tokenizer, limit, longest, {}
         vocab = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -104,14 +105,14 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, closing_id: int,
         memo = _memo(tokenizer)
         closing = closing_id.to_bytes(4, "little")
         for b in batches:
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            rows, which, at = [], [], 0
+            texts, rows, which, at = b.column("text"), [], [], 0
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (size == 0 or size < batch_chars):
-                    size += len(texts[end]) + 1
+                    size += sizes[end] + 1
                     end += 1
-                for i, ids in enumerate(memo.ids(texts[at:end]), at):
+                for i, ids in enumerate(memo.ids([x or "" for x in texts.slice(at, end - at).to_pylist()]), at):
                     ids += closing
                     n = len(ids) // 4
                     for p, s in enumerate(range(0, n, capacity)):
