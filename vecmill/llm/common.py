@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import tempfile
 import uuid
@@ -57,14 +56,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def constant(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A few rows as an expression of the plan, without an RDD."""
-    names = [f.split()[0] for f in schema.split(", ")]
-    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
-    fields = ", ".join(": ".join(f.split()) for f in schema.split(", "))
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
-
-
 def tokenizer_path(name: str) -> str:
     """A path as given, or the place of a file of the installed public tokenizers."""
     if os.path.isabs(name):
