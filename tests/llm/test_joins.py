@@ -86,6 +86,24 @@ def test_ngram_join_shortens_prefixes(docs):
     assert {(r["doc_id"], r["component_id"]) for r in ngram_join(docs, trees=10, depth=12, shortest=3).collect()} == whole
 
 
+def test_ngram_join_finds_pairs_that_long_prefixes_miss(spark):
+    """Isolated pairs of likeness 0.81 that meet first at a prefix of 7, and of 6, values."""
+    rng, shingler, (mult, add), wanted, rows = random.Random(5), Shingler(), hashers(256), {7: 2, 6: 1}, []
+    for _ in range(60_000):
+        if not any(wanted.values()):
+            break
+        base = [f"w{rng.getrandbits(40)}" for _ in range(64)]
+        texts = [" ".join(base), " ".join(base[:58] + [f"w{rng.getrandbits(40)}" for _ in range(6)])]
+        same = (np.stack([min_hashes(shingler.set_of(t), mult, add) for t in texts]).reshape(2, 32, 8)).astype(int)
+        longest = int(np.cumprod(same[0] == same[1], 1).sum(1).max())
+        if wanted.get(longest):
+            wanted[longest] -= 1
+            rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    assert len(rows) == 6
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (1, i - i % 2) for i in range(6)}
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f g"), (4, "a b c d e f g"), (5, "other words that nobody else has here")], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in ngram_join(df).collect()}

@@ -3,15 +3,18 @@
 Texts become sets of word shingles; equal sets are one class. Each class has a
 signature of MinHash values, read as ``trees`` sequences of ``depth`` values.
 In a tree, signatures that share a prefix meet; a trie's nodes at one depth
-are the groups by prefix of that length. Matching starts with long prefixes
-and shortens them until the recall, estimated from the links found, is what is
-asked for. Signatures that meet are joined into clusters, and all pairs within
-a cluster are verified exactly, in blocks, on the shingle sets.
+are the groups by prefix of that length. Signatures that meet are joined into
+clusters, and all pairs within a cluster are verified exactly, in blocks, on
+the shingle sets. Prefixes are shortened until a pair of the least likeness
+meets with the chance asked for, and then for as long as one value less still
+brings new links: links are compared with those whose members already shared a
+cluster at the longer prefix, each class counting once however many it has.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,8 +122,8 @@ def common_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     return out
 
 
-def verify(least: float, trees: int, depth: int):
-    """Work on a unit of block pairs: for each member its links, their expected number, and a tree edge."""
+def verify(least: float):
+    """Work on a unit of block pairs: for each member its links, how many classes they lead to, how many of those the longer prefix found, and a tree edge."""
 
     def work(t: pa.Table) -> dict[str, np.ndarray]:
         # rows that repeat id and set come once for each of them
@@ -137,16 +140,16 @@ def verify(least: float, trees: int, depth: int):
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         if i != j:  # pairs within a block are another unit's
             linked &= own[:, None] != own[None, :]
-        chance = 1 - (1 - np.clip(alike, 0, 1) ** depth) ** trees
-        expected = np.where(linked, 1 / np.maximum(chance, 1e-9), 0)
+        was = t.column("was").to_numpy()
+        before = linked & (was[:, None] == was[None, :])
         keep = linked.any(1)
-        return {"id": ids[keep], "parent": ids[forest(linked)][keep], "links": (linked @ weight)[keep].astype(np.int64), "found": linked.sum(1)[keep].astype(np.float64), "expected": expected.sum(1)[keep]}
+        return {"id": ids[keep], "parent": ids[forest(linked)][keep], "links": (linked @ weight)[keep].astype(np.int64), "met": linked.sum(1)[keep].astype(np.int64), "before": before.sum(1)[keep].astype(np.int64)}
 
     return work
 
 
 def ngram_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, trees: int = 32, depth: int = 8, shortest: int = 4, recall: float = 0.995, block: int = 192
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, trees: int = 32, depth: int = 8, shortest: int = 4, recall: float = 0.999, block: int = 192
 ) -> DataFrame:
     """(id, class_id, n_links, component_id, kept) for every row.
 
@@ -160,6 +163,11 @@ def ngram_join(
     as a copy, and all are kept or none. Rows with a null id take part under
     the smallest long and come back with null ids. An empty table gives an
     empty result; other columns are ignored.
+
+    ``recall`` is asked of the chance that a pair of likeness ``least`` meets,
+    and of the mean share, over linked classes, of their links that the prefix
+    one value longer finds too; the links of the shorter one are the result. A
+    warning is given if ``shortest`` is reached before that.
     """
     lowest = F.lit(-(1 << 63))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.col(text_col).alias("text"))
@@ -169,23 +177,38 @@ def ngram_join(
     classes = sketches.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     classes = materialize(classes.select("digest", "rep", "weight", half.alias("node")), "classes")
     signed = sketches.where("n > 0").select(half.alias("node"), "signature")
-    level = depth
-    while True:
+
+    def clustered(level: int) -> DataFrame:
         prefixes = [F.xxhash64(F.lit(t), F.substring("signature", 2 * depth * t + 1, 2 * level)) for t in range(trees)]
         met = signed.select("node", F.explode(F.array(*prefixes)).alias("prefix"))
         shared = met.groupBy("prefix").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
         edges = met.join(shared, "prefix").where("node <> a").select("a", F.col("node").alias("b"))
-        clusters = connected_components(edges, "clusters").withColumnsRenamed({"id": "node", "component": "cluster"})
-        members = materialize(clusters.join(classes, "node").select("cluster", F.col("rep").alias("id"), "digest", "weight"), "members")
+        return connected_components(edges, "clusters").withColumnsRenamed({"id": "node", "component": "cluster"})
+
+    chance = lambda level: 1 - (1 - least**level) ** trees
+    level = depth - 1
+    while level > shortest and chance(level) < recall:
+        level -= 1
+    level = max(level, min(shortest, depth))
+    longer = clustered(min(depth, level + 1))
+    while True:
+        clusters = clustered(level) if level < depth else longer
+        # a node in no cluster of the longer prefix is one by itself
+        was = F.coalesce("was", "node").alias("was")
+        placed = clusters.join(longer.withColumnRenamed("cluster", "was"), "node", "left").select("node", "cluster", was)
+        members = materialize(placed.join(classes, "node").select("cluster", F.col("rep").alias("id"), "digest", "weight", "was"), "members")
         units = block_pairs(members.select("cluster", "id"), ["cluster"], block).join(members, ["cluster", "id"])
         # sets are the large side at every size, so they are merged, never shipped
         sets = sketches.select("id", "digest", "shingles").hint("merge")
-        units = units.join(sets, ["id", "digest"]).select("cluster", "i", "j", "id", "own", "weight", "shingles")
-        found = materialize(by_unit(units, ["cluster", "i", "j"], verify(least, trees, level), "id long, parent long, links long, found double, expected double"), "links")
-        seen = found.agg(F.sum("found").alias("found"), F.sum("expected").alias("expected")).first()
-        if level <= shortest or not seen["expected"] or seen["found"] >= recall * seen["expected"]:
+        units = units.join(sets, ["id", "digest"]).select("cluster", "i", "j", "id", "own", "weight", "was", "shingles")
+        found = materialize(by_unit(units, ["cluster", "i", "j"], verify(least), "id long, parent long, links long, met long, before long"), "links")
+        seen = found.groupBy("id").agg((F.sum("before") / F.sum("met")).alias("share")).agg(F.avg("share")).first()[0]
+        enough = chance(level) >= recall and (seen is None or seen >= recall)
+        if level <= shortest or enough:
             break
-        level -= 1
+        longer, level = clusters, level - 1
+    if not enough:
+        warnings.warn(f"n-gram join: prefixes of {level} are the shortest allowed; chance {chance(level):.4f}, links found before {seen}, of {recall} asked for", stacklevel=2)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = connected_components(found.select(F.col("id").alias("a"), F.col("parent").alias("b")), "groups")
     known = classes.drop("node").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
