@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from vecmill.llm.blocks import forest
 from vecmill.llm.common import connected_components, first_by_hash
 from vecmill.llm.ngram_join import Shingler, common_counts, hashers, min_hashes, ngram_join
+from vecmill.llm import nn_descent
 from vecmill.llm.nn_descent import near_duplicates
 from vecmill.llm.spotsigs import similar_pairs
 
@@ -138,6 +139,16 @@ def test_near_duplicates(vectors):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_audit_counts_each_vector_once(spark, vectors, monkeypatch):
+    """Members of a dense group do not hide that isolated pairs are missed, and what is missed is never returned."""
+    truth = {i: 5000 for i in range(90)} | {1000 + i: 1 for i in range(10)}
+    links = spark.createDataFrame([(i, 5000, 5000) for i in range(90)] + [(1000, 1, 1)], "id long, links long, pairs long")
+    assert nn_descent._recall(links, truth, 16) == pytest.approx(0.1)
+    monkeypatch.setattr(nn_descent, "_recall", lambda *a: 0.5)
+    with pytest.raises(RuntimeError):
+        near_duplicates(vectors[1], size=4, largest=8, block=24, leaf=16, rounds=1, extra_forests=0)
+
+
 def test_similar_pairs(spark):
     rng, sets = random.Random(2), []
     for _ in range(30):

@@ -100,7 +100,7 @@ def _count(least: float):
             linked &= own[:, None] != own[None, :]
         keep = linked.any(1)
         weight = t.column("weight").to_numpy()
-        return {"id": ids[keep], "parent": ids[forest(linked)][keep], "links": (linked @ weight)[keep].astype(np.int64)}
+        return {"id": ids[keep], "parent": ids[forest(linked)][keep], "links": (linked @ weight)[keep].astype(np.int64), "pairs": linked.sum(1)[keep].astype(np.int64)}
 
     return work
 
@@ -133,7 +133,10 @@ def near_duplicates(
     empty result; other columns are ignored.
 
     The audit compares at most ``audit`` vectors, chosen by a hash, with all
-    others, in blocks.
+    others, in blocks. Each counts once, and those of few links apart from
+    those of many. Where ``1 + extra_forests`` forests do not reach ``recall``,
+    an error is raised. A forest has as many trees as bring a pair at ``least``
+    together with a chance of ``expect`` or ``recall``, whichever is higher.
     """
     lowest = F.lit(-(1 << 63))
     given = materialize(rows.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", usable("v")), "given")
@@ -142,7 +145,7 @@ def near_duplicates(
     count = vectors.count()
     near = math.acos(least) / math.pi
     bits = max(1, math.ceil(math.log2(max(2, count / leaf))))
-    trees = max(4, math.ceil(math.log(1 - expect) / math.log(1 - (1 - near) ** bits)))
+    trees = max(4, math.ceil(math.log(1 - max(expect, recall)) / math.log(1 - (1 - near) ** bits)))
     sample = [(r["id"], r["dim"], r["v"]) for r in first_by_hash(vectors, "id", audit, count).collect()]
     truth = _exact_links(vectors, sample, least)
     lists = None
@@ -165,8 +168,11 @@ def near_duplicates(
             elif change <= settled * max(1, total):
                 break
         links, edges = _links(lists, vectors, least, now, block)
-        if _recall(links, sample, truth) >= recall:
+        found_share = _recall(links, truth, size)
+        if found_share >= recall:
             break
+    else:
+        raise RuntimeError(f"the audit found {found_share:.4f} of the links after {1 + extra_forests} forests, {recall} is asked for")
     labels = connected_components(edges, "near")
     rep = F.col("rep")
     found = vectors.join(links, "id", "left").join(labels, "id", "left").select("v", F.col("id").alias("rep"), "weight", "links", "component")
@@ -179,22 +185,22 @@ def near_duplicates(
 
 
 def _links(lists: DataFrame, vectors: DataFrame, least: float, now: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """((id, links), edges (a, b)): from the lists, but in blocks for groups in which a list is full."""
+    """((id, links, pairs), edges (a, b)), pairs being links without the copies: from the lists, but in blocks for groups in which a list is full."""
     linked = lists.where(F.col("sim") >= least)
     groups = connected_components(linked.select(F.col("id").alias("a"), F.col("other").alias("b")), "groups")
     full = linked.groupBy("id").count().where(F.col("count") >= now).select("id").join(groups, "id").select("component").distinct()
     dense = materialize(groups.join(full, "component").select(F.col("component").alias("h"), "id"), "dense")
     units = block_pairs(dense, ["h"], block).join(vectors.select("id", "v", "weight"), "id").select("h", "i", "j", "id", "own", "v", "weight")
-    counted = materialize(by_unit(units, ["h", "i", "j"], _count(least), "id long, parent long, links long"), "counted")
+    counted = materialize(by_unit(units, ["h", "i", "j"], _count(least), "id long, parent long, links long, pairs long"), "counted")
     listed = linked.join(dense.select("id"), "id", "left_anti")
-    alone = listed.join(vectors.select(F.col("id").alias("other"), "weight"), "other").select("id", F.col("weight").alias("links"))
-    links = alone.unionAll(counted.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
+    alone = listed.join(vectors.select(F.col("id").alias("other"), "weight"), "other").select("id", F.col("weight").alias("links"), F.lit(1).cast("long").alias("pairs"))
+    links = alone.unionAll(counted.select("id", "links", "pairs")).groupBy("id").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"))
     edges = listed.select(F.col("id").alias("a"), F.col("other").alias("b")).unionAll(counted.select(F.col("id").alias("a"), F.col("parent").alias("b")))
     return materialize(links, "links"), edges
 
 
 def _exact_links(vectors: DataFrame, sample: list[tuple[int, int, list[float]]], least: float) -> dict[int, int]:
-    """Links of the sampled vectors, by comparison with all."""
+    """How many different vectors each sampled one links with (none: absent), by comparison with all."""
     by_dim: dict[int, list] = {}
     for i, d, v in sample:
         by_dim.setdefault(d, []).append((i, v))
@@ -202,22 +208,24 @@ def _exact_links(vectors: DataFrame, sample: list[tuple[int, int, list[float]]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims, weight, ids = b.column("dim").to_numpy(), b.column("weight").to_numpy(), b.column("id").to_numpy()
+            dims, ids = b.column("dim").to_numpy(), b.column("id").to_numpy()
             for d, (q, m) in queries.items():
                 at = np.flatnonzero(dims == d)
                 if len(at):
                     hit = m @ unit_rows(b.column("v").take(pa.array(at))).T >= least
                     hit &= q[:, None] != ids[at][None, :]
-                    n = hit @ weight[at]
+                    n = hit.sum(1)
                     yield pa.RecordBatch.from_arrays([pa.array(q[n > 0]), pa.array(n[n > 0])], ["id", "n"])
 
-    got = vectors.select("id", "dim", "v", "weight").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    got = vectors.select("id", "dim", "v").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r["id"]: r["n"] for r in got}
 
 
-def _recall(links: DataFrame, sample: list[tuple[int, int, list[float]]], truth: dict[int, int]) -> float:
+def _recall(links: DataFrame, truth: dict[int, int], few: int) -> float:
+    """The mean share found of an audited vector's links: of those with fewer than ``few`` or of the others, whichever is lower."""
     if not truth:
         return 1.0
     wanted = links.sparkSession.createDataFrame([(i,) for i in truth], "id long")
-    got = {r["id"]: r["links"] for r in links.join(F.broadcast(wanted), "id").collect()}
-    return sum(min(got.get(i, 0), n) for i, n in truth.items()) / sum(truth.values())
+    got = {r["id"]: r["pairs"] for r in links.join(F.broadcast(wanted), "id").collect()}
+    shares = [[min(got.get(i, 0), n) / n for i, n in truth.items() if (n < few) == small] for small in (True, False)]
+    return min(sum(x) / len(x) for x in shares if x)
