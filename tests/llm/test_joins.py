@@ -139,6 +139,13 @@ def test_near_duplicates(vectors):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_lists_that_fill_in_the_last_round(vectors, monkeypatch):
+    """They were not enlarged any more, so their group is counted in blocks."""
+    monkeypatch.setattr(nn_descent, "_recall", lambda *a: 1.0)
+    links = {r["vec_id"]: r["n_links"] for r in near_duplicates(vectors[1], size=4, largest=8, block=24, leaf=16, rounds=1).collect()}
+    assert [links[2 * i] for i in range(160, 250)] == [89] * 90
+
+
 def test_audit_counts_each_vector_once(spark, vectors, monkeypatch):
     """Members of a dense group do not hide that isolated pairs are missed, and what is missed is never returned."""
     truth = {i: 5000 for i in range(90)} | {1000 + i: 1 for i in range(10)}

@@ -151,7 +151,7 @@ def near_duplicates(
     lists = None
     for forest_no in range(1 + extra_forests):
         fresh = _compare(leaves(vectors, trees, bits, seed + forest_no), vectors, size, floor, block)
-        now = size
+        now = held = size
         before, lists = lists, materialize(_best(fresh if lists is None else fresh.unionAll(lists), now), "lists")
         if before is not None:
             discard(before)
@@ -162,12 +162,12 @@ def near_duplicates(
             total = better.count()
             full = better.where(F.col("sim") >= least).groupBy("id").count().where(F.col("count") >= now).limit(1).count()
             discard(lists)
-            lists = better
+            lists, held = better, now  # held: what the lists are cut to
             if full and now < largest:
                 now *= 2  # some lists are full of links: let them hold more
             elif change <= settled * max(1, total):
                 break
-        links, edges = _links(lists, vectors, least, now, block)
+        links, edges = _links(lists, vectors, least, held, block)
         found_share = _recall(links, truth, size)
         if found_share >= recall:
             break
