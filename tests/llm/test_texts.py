@@ -139,6 +139,16 @@ def test_signatures_follow_anchors(spark):
     assert sizes[0] == 5 and sizes[2] == 1 and sizes[3] == 0
 
 
+def test_every_language_is_learned(spark):
+    rows = [(10 * n + k, f"text number {k} of {n}", f"l{n:03}") for n in range(70) for k in range(1 + n % 9 + 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, langs = language.learning_sample(df, "doc_id", "text", "lang", 9, 3)
+    assert set(langs) == {f"l{n:03}" for n in range(70)} and max(map(langs.count, set(langs))) <= 3
+    many = spark.range(language.MOST_LANGUAGES + 1).selectExpr("id as doc_id", "'some text' as text", "cast(id as string) as lang")
+    with pytest.raises(ValueError):
+        language.learning_sample(many, "doc_id", "text", "lang", 9, 3)
+
+
 def test_language(spark, docs, corpus, nothing):
     got = language.identify(docs, train_docs=40).collect()
     assert len(got) == len(corpus)

@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from vecmill.llm.common import first_by_hash
+from pyspark.sql.window import Window
 
 SPAN = 64
+#: More languages than these are refused, never left out.
+MOST_LANGUAGES = 512
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that belong to letters: ASCII letters, and all of longer encodings.
 LETTERS = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
@@ -151,6 +152,7 @@ def train(texts: list[str], langs: list[str], units: int = 16, steps: int = 500,
 def predict(net: ByteTagger | None, texts: list[str | None], width: int = 2048) -> list[tuple[str, float]]:
     """(language, probability) of each text; ``und`` and 0 for a text without a letter, or without a model."""
     sums = np.zeros((len(texts), len(net.labels) if net else 1))
+    width = min(width, max(64, 2048 * 64 // sums.shape[1]))
     pending: list[np.ndarray] = []
     owners: list[tuple[int, int]] = []
 
@@ -190,21 +192,29 @@ def learning_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     """Pieces of at most ``most`` documents of each language, the first by a hash of the id, spread over their texts."""
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32("i"), F.lit(4)) != held))
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
+    counts = rows.groupBy("lang").count()
+    langs = counts.count()
+    if langs > MOST_LANGUAGES:
+        raise ValueError(f"{langs} languages to learn, more than {MOST_LANGUAGES}")
+    most = min(most, max(1, 64 * most // max(1, langs)))  # what comes to the driver is bounded
     n = F.length("text")
     pieces = F.array_join(F.array(*[F.substring(F.col("text"), F.floor(n * (k / spots)).cast("int") + 1, F.lit(chars)) for k in range(spots)]), " ")
-    taken = None
-    for lang, count in langs:
-        part = first_by_hash(rows.where(F.col("lang") == lang).select("lang", "i", F.when(n <= spots * chars, F.col("text")).otherwise(pieces).alias("piece")), "i", most, count)
-        taken = part if taken is None else taken.unionAll(part)
-    got = taken.select("piece", "lang").collect() if taken is not None else []
+    h = F.pmod(F.xxhash64(F.col("i"), F.lit("share")), F.lit(1 << 31))
+    # of a language about twice as many are cut out before they meet in one task
+    cut = F.least(F.lit(1.0), F.lit(2.0 * most + 100) / F.col("count")) * F.lit(float(1 << 31))
+    some = rows.join(F.broadcast(counts), "lang").where(h < cut.cast("long") + 1)
+    named = some.select("lang", "i", h.alias("h"), F.when(n <= spots * chars, F.col("text")).otherwise(pieces).alias("piece"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))
+    taken = named.withColumn("nth", nth).where(F.col("nth") <= most)
+    got = sorted(taken.select("lang", "nth", "piece").collect(), key=lambda r: (r["lang"], r["nth"]))
     return [r["piece"] for r in got], [r["lang"] for r in got]
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = 2, train_docs: int = 400, extra: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """(id, held_out, lang_pred, score, *extra) for every row; ``keep_text`` hands the texts on as ``_vm_text``.
 
-    Learns from at most ``train_docs`` documents of each of at most 64 languages, never from
+    Learns every language, from at most ``train_docs`` documents of each (of more than 64
+    languages 64 * ``train_docs`` in all, shared evenly; more than 512 are an error), never from
     rows whose crc32(id) mod 4 is ``held``; every whole text is predicted.
     Null texts and texts without a letter give ``und`` and 0; so does every
     text where there is nothing to learn from. A null id is not held out.
