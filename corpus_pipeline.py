@@ -41,10 +41,12 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents in a learned language; what has no letter (null and empty texts too) is rejected.
 
     A text of letters always stays: which of the languages it is, even when the
-    probabilities are close, is no reason to drop it.
+    probabilities are close, is no reason to drop it. So it does where there
+    was no language to learn, and all predictions are ``und``.
     """
     found = identify(_boxed(docs), extra=(REST,), keep_text=True)
-    return _unboxed(found.where("lang_pred <> 'und'"), docs)
+    letters = F.col("_vm_text").rlike(r"[\p{L}\p{Nl}\p{No}]")  # as the operator's own
+    return _unboxed(found.where((F.col("lang_pred") != "und") | letters), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,12 @@ def test_stages(spark, tables, corpus):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed.collect()}
 
 
+def test_letters_stay_where_no_language_is_known(spark, docs, corpus, tables):
+    unknown = docs.withColumn("lang", F.lit(None).cast("string"))
+    left = sorted(r["doc_id"] for r in cp.drop_unidentified(spark, unknown, tables).collect())
+    assert left == sorted(i for i, t, *_ in corpus if t and any(c.isalpha() for c in t)) and left
+
+
 def test_run_and_nothing(spark, tables, tmp_path):
     assert cp.run(spark, tables).count() > 0
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
