@@ -9,9 +9,7 @@ their rank within their length, which is counted in salted slices.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,123 +21,153 @@ from pyspark.sql import functions as F
 
 from vecmill.llm.common import load_tokenizer, materialize
 
-#: What str.split() takes for white space but the tokenizer does not.
-ODD_SPACES = "\x1c\x1d\x1e\x1f"
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indexes start, start + 1, ... of each span, one span after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
 
 
 class WordMemo:
     """Ids of texts, put together from the ids of their words.
 
-    White space separates pre-tokens in every case and special strings hold
+    ASCII white space separates pre-tokens in every case and special strings hold
     none, so the ids of a text are those of its words one after another; words
-    repeat, so most are encoded once. Latin words that end in such signs as
-    full stops are two pre-tokens, put together from both; their letters alone are
-    encoded many at a time, which ids that end a word take apart again.
-    Forgets everything at ``limit`` words.
+    repeat, so each is looked at once a batch. Latin words that end in such signs as
+    full stops are two pre-tokens, put together from both; their letters alone,
+    in lower case, are encoded many at a time, which ids that end a word take
+    apart again. Words and ids lie in Arrow and numpy arrays, not in Python objects.
+
+    What was encoded stays, up to ``limit`` strings of at most ``longest``
+    characters (some 30 bytes each); beyond that only the present batch's stay.
     """
 
-    #: Letters that neither lower-casing nor composition turns into anything but one letter.
-    SIMPLE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!?;:$&%*#|]*)")
+    #: Letters that neither lower-casing nor composition turns into anything but one letter, then signs.
+    SIMPLE = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<signs>[.,!?;:$&%*#|]*)$"
 
-    def __init__(self, tokenizer, limit: int = 1_000_000, longest: int = 24):
-        self.tokenizer, self.limit, self.longest, self.known = tokenizer, limit, longest, {}
+    def __init__(self, tokenizer, limit: int = 400_000, longest: int = 24):
+        self.tokenizer, self.limit, self.longest = tokenizer, limit, longest
         vocab = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
+        self.forget()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.sizes, self.values = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each text)."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64)
+
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each word is one pre-token, so as many ids end a word as there are words."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        known, parts, others = self.known, {}, []
-        for w in words:
-            if m := self.SIMPLE.fullmatch(w.lower()):
-                parts[w] = m.groups()
-            else:
-                others.append(w)
-        letters = list({a for a, _ in parts.values()}.difference(known))
-        others += {b for _, b in parts.values() if b}.difference(known, others)
-        known.update(zip(others, self._encode(others), strict=True))
-        if letters:
-            known.update(zip(letters, self._encode_letters(letters), strict=True))
-        known.update((w, known[a] + known[b] if b else known[a]) for w, (a, b) in parts.items())
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        return (ids, sizes) if len(sizes) == len(words) else self._encode(words)
+
+    def _ids_of(self, parts: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each part) of distinct strings; ``letters`` tells which are letters alone."""
+        at = pc.index_in(parts, value_set=self.known)
+        seen = np.asarray(at.is_valid())
+        at = pc.fill_null(at, 0).to_numpy()
+        begins = _offsets(self.sizes)[:-1]
+        ids, sizes = [self.values[_spans(begins[at[seen]], self.sizes[at[seen]])]], [self.sizes[at[seen]]]
+        order = [np.flatnonzero(seen)]
+        for which, encode in ((~seen & letters, self._encode_letters), (~seen & ~letters, self._encode)):
+            if which.any():
+                own, n = encode(parts.filter(pa.array(which)).to_pylist())
+                ids.append(own)
+                sizes.append(n)
+                order.append(np.flatnonzero(which))
+        ids, sizes, order = np.concatenate(ids), np.concatenate(sizes), np.concatenate(order)
+        back = np.argsort(order, kind="stable")
+        ids, sizes = ids[_spans(_offsets(sizes)[:-1][back], sizes[back])], sizes[back]
+        self._keep(parts, ids, sizes, seen)
+        return ids, sizes
+
+    def _keep(self, parts: pa.Array, ids: np.ndarray, sizes: np.ndarray, seen: np.ndarray) -> None:
+        short = pc.utf8_length(parts).to_numpy() <= self.longest
+        fresh = short & ~seen
+        if len(self.known) + fresh.sum() > self.limit:
+            self.forget()
+            fresh = short & (np.cumsum(short) <= self.limit)
+        self.known = pa.concat_arrays([self.known, parts.filter(pa.array(fresh))])
+        self.values = np.concatenate([self.values, ids[_spans(_offsets(sizes)[:-1][fresh], sizes[fresh])]])
+        self.sizes = np.concatenate([self.sizes, sizes[fresh]])
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each word) of distinct words."""
+        cut = pc.extract_regex(words, self.SIMPLE)
+        plain = np.asarray(cut.is_valid())
+        cut = cut.filter(pa.array(plain))
+        letters, signs = pc.utf8_lower(cut.field("letters")), cut.field("signs")
+        others = words.filter(pa.array(~plain))
+        # distinct letters first, then all else; a word is one or two of these
+        first = letters.dictionary_encode()
+        rest = pa.concat_arrays([signs, others]).dictionary_encode()
+        n = len(first.dictionary)
+        ids, sizes = self._ids_of(pa.concat_arrays([first.dictionary, rest.dictionary]), np.arange(n + len(rest.dictionary)) < n)
+        rest = rest.indices.to_numpy() + n
+        one, two = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
+        one[plain], two[plain], one[~plain] = first.indices.to_numpy(), rest[: len(signs)], rest[len(signs) :]
+        pairs = np.stack([one, two], 1).reshape(-1)
+        begins = _offsets(sizes)[:-1]
+        pair_sizes = np.where(pairs >= 0, sizes[pairs], 0) if len(pairs) else np.zeros(0, np.int64)
+        return ids[_spans(begins[pairs], pair_sizes)], pair_sizes.reshape(-1, 2).sum(1)
+
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each text's begin and the last one's end); null texts have none."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.string())
+        ids, sizes = self._of_words(distinct)
+        at = words.indices.to_numpy()
+        counts = sizes[at]
+        out = ids[_spans(_offsets(sizes)[:-1][at], counts)]
+        return out, _offsets(counts)[_offsets(pc.list_value_length(split).to_numpy())]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        known, out, gaps, fresh = self.known, [], [], set()
-        for t in texts:
-            if any(c in t for c in ODD_SPACES):
-                out.append(self._encode([t]))
-                continue
-            words = t.split()
-            out.append(list(map(known.get, words)))
-            if None in out[-1]:
-                at = [i for i, x in enumerate(out[-1]) if x is None]
-                gaps.append((out[-1], words, at))
-                fresh.update([words[i] for i in at])
-        if fresh:
-            self._learn(fresh)
-        for found, words, at in gaps:
-            for i in at:
-                found[i] = known[words[i]]
-        out = [b"".join(x) for x in out]
-        for w in fresh:
-            if len(w) > self.longest:
-                known.pop(w, None)
-        return out
-
-
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, closing_id: int, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 20) -> DataFrame:
+        ids, at = self.ids_of(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:], strict=False)]
+
+
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, closing_id: int, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 22) -> DataFrame:
     """(id, piece, start, length, ids_crc32): the pieces of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(tokenizer)
+        memo = WordMemo(load_tokenizer(tokenizer))  # for this task alone, so its memory ends with the task
         closing = closing_id.to_bytes(4, "little")
         for b in batches:
-            texts, rows, which, at = b.column("text"), [], [], 0
-            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+            texts, at = b.column("text"), 0
+            chars = _offsets(pc.fill_null(pc.utf8_length(texts), 0).to_numpy() + 1)
             while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (size == 0 or size < batch_chars):
-                    size += sizes[end] + 1
-                    end += 1
-                for i, ids in enumerate(memo.ids([x or "" for x in texts.slice(at, end - at).to_pylist()]), at):
-                    ids += closing
-                    n = len(ids) // 4
+                end = max(at + 1, int(np.searchsorted(chars, chars[at] + batch_chars, "right")) - 1)
+                ids, begins = memo.ids_of(texts.slice(at, end - at))
+                ids, rows, which = ids.astype("<u4", copy=False), [], []
+                for i, (x, y) in enumerate(zip(begins.tolist(), begins[1:].tolist(), strict=False), at):
+                    own = ids[x:y].tobytes() + closing
+                    n = y - x + 1
                     for p, s in enumerate(range(0, n, capacity)):
                         which.append(i)
-                        rows.append((p, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])))
+                        rows.append((p, s, min(capacity, n - s), zlib.crc32(own[4 * s : 4 * (s + capacity)])))
                 at = end
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(pa.array(which, pa.int64())), pa.array(cols[0], pa.int32())] + [pa.array(c, pa.int64()) for c in cols[1:]],
-                ["id", "piece", "start", "length", "ids_crc32"],
-            )
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").take(pa.array(which, pa.int64())), pa.array(cols[0], pa.int32())] + [pa.array(c, pa.int64()) for c in cols[1:]],
+                    ["id", "piece", "start", "length", "ids_crc32"],
+                )
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
     return slim.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-_MEMOS: dict[str, WordMemo] = {}
-
-
-def _memo(tokenizer: str) -> WordMemo:
-    """One for each worker process, kept between tasks."""
-    if tokenizer not in _MEMOS:
-        _MEMOS[tokenizer] = WordMemo(load_tokenizer(tokenizer))
-    return _MEMOS[tokenizer]
-
-
 class Complements:
     """Sums of one, two and three available lengths, found by bit sets of lengths."""
 
