@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vecmill.embedding.engine import ORIGINAL, AiEngine
 from vecmill.embedding.models import HashEmbedder, ModelSpec, Registry
-from vecmill.errors import InvalidArgument
+from vecmill.errors import DimensionMismatch, InvalidArgument
 from vecmill.functions import sound, vision
 from vecmill.functions.codec import from_literal, from_tagged, to_tagged
 from vecmill.operators.predicates import Equals, NotEquals
@@ -48,6 +48,22 @@ def test_texts(ai):
     assert ai.purge_stores() == Count(1)
 
 
+def test_a_set_that_fails_loses_nothing(spark):
+    """An input's old vectors go only if all new ones can be set."""
+    class Grows:
+        def __call__(self, inputs, params):
+            return [[([1.0, 2.0, float(len(x))] + [0.0] * (params.get("long") == "1"), {})] for x in inputs]
+
+    ai = AiEngine(Engine(spark), Registry({"grows": Grows}, {"grows": ModelSpec("grows", "str", 3, 8)}))
+    ai.create_store("s", "grows", "grows", store_original=True)
+    ai.set("s", [(text("a"), {}), (text("bb"), {})])
+    with pytest.raises(DimensionMismatch):
+        ai.set("s", [(text("a"), {}), (text("ccc"), {})], params={"long": "1"})
+    assert sorted(r["key"]["str"] for r in ai.get_pred("s", NotEquals("x", "y")).collect()) == ["a", "bb"]
+    ai.set("s", [(text("a"), {"again": "1"}), (text("ccc"), {})])
+    assert sorted((r["key"]["str"], len(r["value"])) for r in ai.get_pred("s", NotEquals("x", "y")).collect()) == [("a", 1), ("bb", 0), ("ccc", 0)]
+
+
 def test_one_to_many(ai):
     ai.create_store("s", "words", "words")
     assert ai.set("s", [(image(b"one two"), {"pic": "1"}), (image(b""), {"pic": "2"}), (image(b"three"), {})]) == SetResult(3, 0)

@@ -124,11 +124,11 @@ class AiEngine:
             number = F.struct(F.lit("str").alias("kind"), F.col("number").cast("string").alias("str"), F.lit(None).cast("binary").alias("bin"))
             own.append(F.create_map(F.lit(PART), number))
         value = F.map_concat("value", *own) if own else F.col("value")
-        if s.meta.store_original:  # the old vectors of these inputs go, in one change
-            old = s.rows.join(made.select(F.col("input").alias("x")).distinct(), F.try_element_at("value", F.lit(ORIGINAL)) == F.col("x"), "left_semi")
-            self.engine._delete(s, old.select("key_id"))
+        old = None
+        if s.meta.store_original:  # the old vectors of these inputs go in the change that brings the new ones
+            old = s.rows.join(frame.select(F.col("input").alias("x")).distinct(), F.try_element_at("value", F.lit(ORIGINAL)) == F.col("x"), "left_semi").select("key_id")
         order = (F.col("pos") * 65536 + F.col("number")).alias("pos")
-        return self.engine.set(name, made.select(order, "key", value.alias("value")), schema)
+        return self.engine.set(name, made.select(order, "key", value.alias("value")), schema, old)
 
     def upsert(self, name: str, condition: Predicate, new_input: Meta | None = None, new_value: dict | None = None, preprocess: bool = True, params: dict | None = None, schema: str | None = None) -> SetResult:
         """Values are always merged; models that make several vectors cannot be upserted."""

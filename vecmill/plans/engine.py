@@ -227,16 +227,21 @@ class Engine:
         s.rows = storage.persist(s.rows, "store")
         s.changes = 0
 
-    def set(self, name: str, given: DataFrame | Sequence[tuple], schema: str | None = None) -> SetResult:
-        """Insert or replace. ``given``: (key, value) pairs, or a DataFrame (pos, key, value)."""
+    def set(self, name: str, given: DataFrame | Sequence[tuple], schema: str | None = None, replaced: DataFrame | None = None) -> SetResult:
+        """Insert or replace. ``given``: (key, value) pairs, or a DataFrame (pos, key, value). Rows whose key_id is in ``replaced`` go in the same change."""
         s = self.store(name, schema)
         frame = given if isinstance(given, DataFrame) else M.entries(self.spark, given)
         new = storage.persist(M.batch(frame, s.meta.dimension), "batch")
-        inserted, updated = M.set_counts(s.rows, new)
+        change, rows = M.set_change(new), s.rows
+        if replaced is not None:
+            gone = storage.persist(replaced.select("key_id").distinct(), "gone")
+            rows = rows.join(gone, "key_id", "left_anti")
+            change = change.unionByName(M.delete_change(gone.join(new, "key_id", "left_anti")))
+        inserted, updated = M.set_counts(rows, new)
         if s.meta.predicates - s.meta.posted:
             carried = new.select(F.explode(F.map_keys("value")).alias("k")).where(F.col("k").isin(sorted(s.meta.predicates))).distinct().collect()
             s.meta.posted |= {r["k"] for r in carried}  # indexed names alone
-        self._apply(s, M.set_change(new))
+        self._apply(s, change)
         return SetResult(inserted, updated)
 
     def upsert(self, name: str, condition: Predicate, new_key: Sequence[float] | None = None, new_value: dict[str, Meta | str] | None = None, merge: bool = False, schema: str | None = None) -> SetResult:
