@@ -1,13 +1,14 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vecmill.llm.blocks import forest
+from vecmill.llm.blocks import forest, joining_edges
 from vecmill.llm.common import connected_components, first_by_hash
-from vecmill.llm.ngram_join import Shingler, common_counts, hashers, min_hashes, ngram_join
+from vecmill.llm.ngram_join import Shingler, common_counts, hashers, lsh_forest, min_hashes, ngram_join, verify
 from vecmill.llm import nn_descent
 from vecmill.llm.nn_descent import near_duplicates
 from vecmill.llm.spotsigs import similar_pairs
@@ -34,6 +35,8 @@ def test_components(spark):
     real = [(a, b) for a, b in edges if a != b]
     assert got == groups({x for e in real for x in e}, real)
     assert connected_components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+    chain = spark.range(3000).selectExpr("id as a", "id + 1 as b")
+    assert [r[0] for r in connected_components(chain, "t").select("component").distinct().collect()] == [0]
 
 
 @settings(max_examples=60, deadline=None)
@@ -57,6 +60,52 @@ def test_forest(n, pairs):
     assert groups(range(n), [(i, int(p)) for i, p in enumerate(parent)]) == groups(range(n), edges)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 12), st.integers(2, 4), st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11)), max_size=30))
+def test_edges_of_units_join_what_is_linked(n, blocks, pairs):
+    """All units together give the components, each unit of two blocks fewer edges than the blocks have components."""
+    linked = np.zeros((n, n), bool)
+    for a, b in pairs:
+        if a < n and b < n and a != b:
+            linked[a, b] = linked[b, a] = True
+    own, edges = np.arange(n) % blocks, []
+    for i in range(blocks):
+        for j in range(i, blocks):
+            at = np.flatnonzero((own == i) | (own == j))
+            parent = joining_edges(linked[np.ix_(at, at)], own[at])
+            given_ = [(int(at[x]), int(at[p])) for x, p in enumerate(parent) if p >= 0]
+            assert all(linked[a, b] and (i == j or own[a] != own[b]) for a, b in given_) and len(given_) < max(1, len(at))
+            edges += given_
+    assert groups(range(n), edges) == groups(range(n), [(i, j) for i in range(n) for j in range(n) if linked[i, j]])
+
+
+@pytest.mark.parametrize("size", [300, 600, 1200])
+def test_edges_are_as_many_as_the_members_of_a_group(size, block=192):
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 1 << 32, 300, np.uint32)
+    sets = [np.unique(np.concatenate([base[: 300 - k % 5], rng.integers(0, 1 << 32, k % 5, np.uint32)])).tobytes() for k in range(size)]
+    own, count = rng.integers(0, -(-size // block), size), 0
+    for i in range(own.max() + 1):
+        for j in range(i, own.max() + 1):
+            at = np.flatnonzero((own == i) | (own == j))
+            t = pa.table({"i": [i] * len(at), "j": [j] * len(at), "id": at, "own": own[at], "weight": [1] * len(at), "was": at, "shingles": [sets[k] for k in at]})
+            got = verify(0.8)(t)
+            count += int((got["id"] != got["parent"]).sum())
+    assert size - 1 <= count < 2 * size
+
+
+def test_tries_hold_all_common_prefixes(spark):
+    """For every level, what shares a prefix of so many values in some tree hangs together, and nothing else."""
+    rng, trees, depth = np.random.default_rng(4), 3, 4
+    signatures = {n: rng.integers(0, 3, (trees, depth)).astype(">u2") for n in range(90)}
+    df = spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in signatures.items()] * 2, "node long, signature binary").repartition(5)
+    edges = [tuple(r) for r in lsh_forest(df, trees, depth, 2).collect()]
+    for level in (2, 3, 4):
+        same = [(a, b) for a in signatures for b in signatures if a < b and (signatures[a][:, :level] == signatures[b][:, :level]).all(1).any()]
+        assert groups(signatures, [(a, b) for x, a, b in edges if x >= level]) == groups(signatures, same)
+    assert len(edges) <= trees * 2 * len(signatures) and lsh_forest(df.limit(0), trees, depth, 2).count() == 0
+
+
 def test_min_hashes_estimate_likeness():
     rng = np.random.default_rng(1)
     mult, add = hashers(512)

@@ -90,3 +90,39 @@ def forest(linked: np.ndarray) -> np.ndarray:
             seen[fresh] = True
             edge.extend(fresh.tolist())
     return parent
+
+
+def joining_edges(linked: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For a symmetric boolean matrix over the members of one or two blocks: each member's parent, or -1.
+
+    Parents make a spanning forest where all members are of one block. With two
+    blocks, whose inner links other units give, only what joins the
+    blocks' own components is given: at most one link a component. So a dense
+    group's edges are about as many as its members, not as its units' members.
+    """
+    out = np.full(len(linked), -1)
+    if len(np.unique(own)) < 2:
+        parent = forest(linked)
+        return np.where(parent == np.arange(len(parent)), out, parent)
+    inner = roots_of(forest(linked & (own[:, None] == own[None, :])))
+    names, part = np.unique(inner, return_inverse=True)
+    a, b = np.nonzero(linked & (own[:, None] != own[None, :]))
+    _, first = np.unique(part[a] * len(names) + part[b], return_index=True)  # one link for each pair of components
+    a, b = a[first], b[first]
+    between = np.zeros((len(names), len(names)), bool)
+    between[part[a], part[b]] = True
+    up = forest(between)
+    for x, y in zip(a, b, strict=True):
+        if up[part[x]] == part[y] and up[part[x]] != part[x]:
+            # a member may stand for its component once; components hold different members
+            out[x] = y
+    return out
+
+
+def roots_of(parent: np.ndarray) -> np.ndarray:
+    """Each member's root in a forest of parents."""
+    while True:
+        up = parent[parent]
+        if (up == parent).all():
+            return up
+        parent = up

@@ -92,36 +92,36 @@ def first_by_hash(rows: DataFrame, key: str, most: int, count: int) -> DataFrame
 def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable over the edges (a, b).
 
-    Minimum labels spread over edges, hook onto the labels' own labels and are
-    shortened by pointer jumping, so rounds grow with the logarithm of a
-    component's diameter. Only joins and partially aggregated groupings are
-    used, so a hub with a third of all edges is combined before it is shuffled
-    and its joins are of the kind that Spark can split. Vertices without an
-    edge do not appear.
+    In each round every vertex moves to the one that comes first among itself
+    and its neighbours, by a hash drawn anew each round, and edges follow their
+    ends. So edges shrink by a factor a round, whatever a component's diameter,
+    and all rounds together handle a small multiple of the edges given. The
+    moves are then put together backwards. Only joins and partially aggregated
+    groupings are used, so a hub with a third of all edges is combined before
+    it is shuffled and its joins are of the kind that Spark can split. Vertices
+    without an edge do not appear.
     """
-    both = materialize(
-        edges.select("a", "b").where("a <> b").distinct()
-        .select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        .select("e.a", "e.b"),
-        f"{tag}-edges",
-    )
-    labels = materialize(
-        both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{tag}-labels"
-    )
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        pulled = labels.select("id", "label").join(near, "id").select("id", "label", "m")
-        # each vertex takes its smallest neighbouring label, and passes it to its own label
-        least = F.least("label", "m").alias("label")
-        offers = pulled.select(F.explode(F.array(F.struct("id", least), F.struct(F.col("label").alias("id"), least))).alias("o")).select("o.id", "o.label")
-        hooked = offers.groupBy("id").agg(F.min("label").alias("label"))
-        up = hooked.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        jumped = hooked.join(up, "label", "left").select("id", F.coalesce(F.least("label", "up"), "label").alias("label"))
-        fresh = materialize(jumped.join(labels.select("id", F.col("label").alias("was")), "id"), f"{tag}-labels")
-        changed = fresh.where("label <> was").limit(1).count()
-        discard(labels)
-        labels = fresh
-        if not changed:
-            discard(both)
-            return labels.select("id", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
+    ends = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = materialize(edges.select(ends.alias("e")).select("e.*").where("a <> b").distinct(), f"{tag}-edges")
+    moves: list[DataFrame] = []
+    while links.limit(1).count():
+        if len(moves) == max_rounds:
+            raise RuntimeError("components did not settle")
+        place = lambda v, n=len(moves): F.struct(F.xxhash64(F.lit(n), v).alias("h"), v.alias("to"))
+        both = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("x")), F.struct(F.col("b").alias("id"), F.col("a").alias("x")))).alias("e")).select("e.*")
+        first = both.groupBy("id").agg(F.min(place(F.col("x"))).alias("m"))
+        move = materialize(first.select("id", F.least("m", place(F.col("id")))["to"].alias("to")), f"{tag}-moves")
+        moved = links.join(move.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a").join(move.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b")
+        fresh = materialize(moved.select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").select(ends.alias("e")).select("e.*").distinct(), f"{tag}-edges")
+        discard(links)
+        links = fresh
+        moves.append(move)
+    if not moves:
+        return links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    roots = moves[-1].select("id", F.col("to").alias("root"))
+    for move in reversed(moves[:-1]):
+        up = roots.select(F.col("id").alias("to"), "root")
+        roots = move.join(up, "to", "left").select("id", F.coalesce("root", "to").alias("root"))
+    roots = materialize(roots, f"{tag}-roots")
+    discard(links, *moves)
+    return roots.join(roots.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")

@@ -1,11 +1,12 @@
 """N-gram Jaccard join by a MinHash LSH forest (operator 2).
 
-Texts become sets of word shingles; equal sets are one class. Each class has a
-signature of MinHash values, read as ``trees`` sequences of ``depth`` values.
-In a tree, signatures that share a prefix meet; a trie's nodes at one depth
-are the groups by prefix of that length. Signatures that meet are joined into
-clusters, and all pairs within a cluster are verified exactly, in blocks, on
-the shingle sets. Prefixes are shortened until a pair of the least likeness
+Texts become sets of word shingles, as 32-bit hashes; equal sets are one class.
+Each class has a signature of MinHash values, read as ``trees`` sequences of
+``depth`` values. Each tree's sequences are sorted, so that those with a common
+prefix stand together: a trie, whose nodes are named by their smallest member
+and kept as edges with the depth at which they meet. Signatures that meet are
+joined into clusters, and all pairs within a cluster are verified exactly (but
+for the hashes), in blocks, on the shingle sets. Prefixes are shortened until a pair of the least likeness
 meets with the chance asked for, and then for as long as one value less still
 brings new links: links are compared with those whose members already shared a
 cluster at the longer prefix, each class counting once however many it has.
@@ -14,20 +15,22 @@ cluster at the longer prefix, each class counting once however many it has.
 from __future__ import annotations
 
 import re
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.llm.blocks import block_pairs, by_unit, forest
+from vecmill.llm.blocks import block_pairs, by_unit, joining_edges
 from vecmill.llm.common import connected_components, materialize
 
 TOKEN = re.compile(r"\w+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+REMEMBERED = 1 << 18  # sets that a task remembers to have signed; what it forgets is signed again, which does no harm
+TRIE = ["level", "a", "b", "tree", "signature", "part", "place"]
 
 
 class Shingler:
@@ -86,14 +89,23 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int,
     mult, add = hashers(trees * depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler, signed = Shingler(words), set()
         for b in batches:
             ids, texts = b.column("id"), b.column("text")
             for at in range(0, len(texts), 500):
                 rows = []
                 for t in texts.slice(at, 500).to_pylist():
                     s = shingler.set_of(t or "")
-                    rows.append((xxhash.xxh128_digest(s.tobytes()), len(s), min_hashes(s, mult, add).tobytes(), s.tobytes()) if len(s) else (None, 0, None, None))
+                    if not len(s):
+                        rows.append((None, 0, None, None))
+                        continue
+                    digest, signature = xxhash.xxh128_digest(s.tobytes()), None
+                    if digest not in signed:
+                        if len(signed) >= REMEMBERED:
+                            signed.clear()
+                        signed.add(digest)
+                        signature = min_hashes(s, mult, add).tobytes()
+                    rows.append((digest, len(s), signature, s.tobytes()))
                 cols = list(zip(*rows, strict=True))
                 kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 500), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "digest", "n", "signature", "shingles"])
@@ -102,6 +114,91 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int,
     return slim.mapInArrow(run, "id long, digest binary, n long, signature binary, shingles binary")
 
 
+def trie_edges(batches: Iterator[pa.RecordBatch], part: int, depth: int, shortest: int) -> Iterator[pa.RecordBatch]:
+    """The prefix tries of rows (tree, signature, node) that come sorted: (level, a, b, tree, signature, part, place).
+
+    Runs of rows that share a prefix of ``level`` values are a trie's nodes at
+    that depth; each is named by its smallest member, and an edge leads from
+    every node to each child of another name, down to single rows. So members
+    of a node hang together over the edges of its level and above, and a row adds one edge at most.
+    What stands next to each other in two batches is joined by an edge of its own;
+    the first and the last row of all (place 0, 1) are given for the same purpose.
+    """
+
+    def values(b: pa.RecordBatch) -> np.ndarray:
+        column = b.column("signature")
+        at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+        return np.frombuffer(column.buffers()[2], ">u2")[at[0] // 2 : at[-1] // 2].reshape(len(column), depth) if len(column) else np.zeros((0, depth), ">u2")
+
+    def shared(x: np.ndarray, y: np.ndarray, same_tree: np.ndarray) -> np.ndarray:
+        return np.cumprod(x == y, 1).sum(1) * same_tree
+
+    def batch(level, a, b) -> pa.RecordBatch:
+        n = len(a)
+        empty = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *empty], TRIE)
+
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        v, tree, node = values(b), b.column("tree").to_numpy(), b.column("node").to_numpy()
+        if last is None:
+            yield _edge_of_part(b, 0, part, 0)
+        else:
+            level = shared(last[0], v[:1], last[1] == tree[:1])
+            if level[0] >= shortest and last[2][0] != node[0]:
+                yield batch(level, last[2], node[:1])
+        meet = np.concatenate([[-1], shared(v[1:], v[:-1], tree[1:] == tree[:-1])])
+        begins, names = np.arange(len(node)), node
+        for level in range(depth, shortest - 1, -1):
+            # runs of this level are runs of those before it
+            new = np.flatnonzero(meet[begins] < level)
+            parent = np.minimum.reduceat(names, new)
+            of = np.repeat(parent, np.diff(np.append(new, len(names))))
+            child = of != names
+            if child.any():
+                yield batch(np.full(child.sum(), level), of[child], names[child])
+            begins, names = begins[new], parent
+        last = v[-1:], tree[-1:], node[-1:], b.slice(b.num_rows - 1)
+    if last is not None:
+        yield _edge_of_part(last[3], 0, part, 1)
+
+
+def _edge_of_part(b: pa.RecordBatch, at: int, part: int, place: int) -> pa.RecordBatch:
+    b = b.slice(at, 1)
+    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), b.column("node"), b.column("node"), b.column("tree"), b.column("signature"), pa.array([part], pa.int32()), pa.array([place], pa.int32())], TRIE)
+
+
+def lsh_forest(signed: DataFrame, trees: int, depth: int, shortest: int) -> DataFrame:
+    """(level, a, b): the edges of the tries of all trees; see ``trie_edges``.
+
+    Signatures are sorted by tree over all partitions, ties by node, so a
+    prefix that a third of them share is many partitions. What meets at the
+    partitions' ends, two rows each, is joined on the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return trie_edges(batches, TaskContext.get().partitionId(), depth, shortest)
+
+    cut = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("signature", 2 * depth * t + 1, 2 * depth).alias("signature")) for t in range(trees)])
+    rows = signed.select("node", F.explode(cut).alias("s")).select("s.tree", "s.signature", "node")
+    dealt = rows.repartitionByRange("tree", "signature", "node").sortWithinPartitions("tree", "signature", "node")
+    found = materialize(dealt.mapInArrow(run, "level int, a long, b long, tree int, signature binary, part int, place int"), "tries")
+    ends = sorted(found.where("place is not null").collect(), key=lambda r: (r["part"], r["place"]))
+    across = []
+    for x, y in zip(ends, ends[1:], strict=False):
+        if (x["place"], y["place"]) == (1, 0) and x["tree"] == y["tree"]:
+            s, t = (np.frombuffer(e["signature"], ">u2") for e in (x, y))
+            level = int(np.cumprod(s == t).sum())
+            if level >= shortest and x["a"] != y["a"]:
+                across.append((level, x["a"], y["a"]))
+    inner = found.where("place is null").select("level", "a", "b")
+    if not across:
+        return inner
+    return inner.unionAll(signed.sparkSession.createDataFrame(across, "level int, a long, b long"))
+
+
 def common_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     """How many items each two different sets have in common; the diagonal means nothing."""
     n = len(sets)
@@ -123,9 +220,9 @@ def common_counts(sets: list[np.ndarray], columns: int = 8192) -> np.ndarray:
 
 
 def verify(least: float):
-    """Work on a unit of block pairs: for each member its links, how many classes they lead to, how many of those the longer prefix found, and a tree edge."""
+    """Work on a unit of block pairs: for each member its links, how many classes they lead to, how many of those the longer prefix found, and an edge or null."""
 
-    def work(t: pa.Table) -> dict[str, np.ndarray]:
+    def work(t: pa.Table) -> dict[str, np.ndarray | pa.Array]:
         # rows that repeat id and set come once for each of them
         once = list({(i, s): n for n, (i, s) in enumerate(zip(t.column("id").to_pylist(), t.column("shingles").to_pylist(), strict=True))}.values())
         t = t.take(once)
@@ -134,16 +231,17 @@ def verify(least: float):
         sets = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("shingles")]
         sizes = np.array([len(s) for s in sets], np.float64)
         common = common_counts(sets)
-        alike = common / (sizes[:, None] + sizes[None, :] - common)
-        linked = alike >= least
+        linked = common / (sizes[:, None] + sizes[None, :] - common) >= least
         np.fill_diagonal(linked, False)
+        parent = joining_edges(linked, own)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         if i != j:  # pairs within a block are another unit's
             linked &= own[:, None] != own[None, :]
         was = t.column("was").to_numpy()
         before = linked & (was[:, None] == was[None, :])
         keep = linked.any(1)
-        return {"id": ids[keep], "parent": ids[forest(linked)][keep], "links": (linked @ weight)[keep].astype(np.int64), "met": linked.sum(1)[keep].astype(np.int64), "before": before.sum(1)[keep].astype(np.int64)}
+        up = parent[keep]
+        return {"id": ids[keep], "parent": np.where(up < 0, ids[keep], ids[up]), "links": (linked @ weight)[keep].astype(np.int64), "met": linked.sum(1)[keep].astype(np.int64), "before": before.sum(1)[keep].astype(np.int64)}
 
     return work
 
@@ -166,8 +264,8 @@ def ngram_join(
 
     ``recall`` is asked of the chance that a pair of likeness ``least`` meets,
     and of the mean share, over linked classes, of their links that the prefix
-    one value longer finds too; the links of the shorter one are the result. A
-    warning is given if ``shortest`` is reached before that.
+    one value longer finds too; the links of the shorter one are the result. If
+    ``shortest`` is reached before that, an error is raised.
     """
     lowest = F.lit(-(1 << 63))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.col(text_col).alias("text"))
@@ -176,13 +274,12 @@ def ngram_join(
     half = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long")
     classes = sketches.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     classes = materialize(classes.select("digest", "rep", "weight", half.alias("node")), "classes")
-    signed = sketches.where("n > 0").select(half.alias("node"), "signature")
+    signed = sketches.where("signature is not null").select(half.alias("node"), "signature")
+
+    forest_edges = lsh_forest(signed, trees, depth, min(shortest, depth))
 
     def clustered(level: int) -> DataFrame:
-        prefixes = [F.xxhash64(F.lit(t), F.substring("signature", 2 * depth * t + 1, 2 * level)) for t in range(trees)]
-        met = signed.select("node", F.explode(F.array(*prefixes)).alias("prefix"))
-        shared = met.groupBy("prefix").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
-        edges = met.join(shared, "prefix").where("node <> a").select("a", F.col("node").alias("b"))
+        edges = forest_edges.where(F.col("level") >= level).select("a", "b")
         return connected_components(edges, "clusters").withColumnsRenamed({"id": "node", "component": "cluster"})
 
     chance = lambda level: 1 - (1 - least**level) ** trees
@@ -208,9 +305,9 @@ def ngram_join(
             break
         longer, level = clusters, level - 1
     if not enough:
-        warnings.warn(f"n-gram join: prefixes of {level} are the shortest allowed; chance {chance(level):.4f}, links found before {seen}, of {recall} asked for", stacklevel=2)
+        raise RuntimeError(f"prefixes of {level} values are the shortest allowed: chance {chance(level):.4f}, links found before {seen}, {recall} is asked for")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    labels = connected_components(found.select(F.col("id").alias("a"), F.col("parent").alias("b")), "groups")
+    labels = connected_components(found.where("id <> parent").select(F.col("id").alias("a"), F.col("parent").alias("b")), "groups")
     known = classes.drop("node").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     rows = sketches.select("id", "digest").join(known, "digest", "left")
     component = F.coalesce("component", "rep", "id")
