@@ -28,18 +28,21 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """Roles also end at their line's end, so line feeds in them are written as a backslash and n."""
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    """Roles also end at their line's end, so a line feed in them is written as a backslash and n, a backslash as a backslash and s."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    # the two-character sequences are told apart from left to right: a backslash pair is parked first
-    parked = F.replace(unescape(role), F.lit("\\\\"), F.lit("\u0000\u0001"))
-    return F.replace(F.replace(parked, F.lit("\\n"), F.lit("\n")), F.lit("\u0000\u0001"), F.lit("\\"))
+    # a backslash is always the first of two characters, so neither sequence can begin within the other
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
 def turn_tokens(text: Column) -> Column:
-    """Words, and signs between them, plus four for the marks: a count that needs no vocabulary."""
+    """Words, and signs between them, plus four for the marks: a count that needs no vocabulary.
+
+    It is what budgets are counted in; a tokenizer's count differs from it by a
+    factor that depends on the vocabulary, so a model's limit needs a margin.
+    """
     return F.size(F.regexp_extract_all(text, F.lit(r"\w+|[^\w\s]"), 0)) + 4
 
 
@@ -56,9 +59,11 @@ def windows(
     (nulls first). Null texts and roles are empty; null conv_ids are one
     conversation; repeated rows are turns of their own; an empty table gives no
     windows. A system turn is a first turn whose role is ``system``. It is
-    repeated in every window; history is, as far as the budget allows, the last
-    ``history_turns`` turns before the window's first new turn. A new turn that
-    is longer than the budget stands in a window alone, uncut.
+    repeated in every window; history is the last turns before the window's
+    first new turn, at most ``history_turns``, as many as take at most half of
+    what the system turn leaves and leave room for that new turn. So a window exceeds the
+    budget only where the system turn and one new turn do: that turn stands, uncut, in a
+    window without history or other new turns.
     """
     text, role = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(role_col).cast("string"), F.lit(""))
     rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), turn_tokens(text).cast("long").alias("n"))
@@ -72,10 +77,14 @@ def windows(
     before = lambda i: F.col("ts")[i]["upto"] - F.col("ts")[i]["n"]
 
     def back(i: Column) -> Column:
-        """The first turn of the history before turn i: at most half of the room."""
-        near = F.sequence(F.lit(0), F.lit(history_turns))
-        fits = F.filter(near, lambda h: (h == 0) | (i - h >= first_new) & (before(i) - before(F.greatest(i - h, F.lit(0))) <= (F.lit(budget) - F.col("own")) / 2))
-        return i - F.array_max(fits)
+        """The first turn of the history before turn i: at most half of the room, and no more than turn i leaves."""
+        room = F.lit(budget) - F.col("own")
+
+        def fits(h: Column) -> Column:
+            tokens = before(i) - before(F.greatest(i - h, F.lit(0)))
+            return (h == 0) | (i - h >= first_new) & (tokens <= room / 2) & (tokens + F.col("ts")[i]["n"] <= room)
+
+        return i - F.array_max(F.filter(F.sequence(F.lit(0), F.lit(history_turns)), fits))
 
     def step(state: Column, i: Column) -> Column:
         """Begin a new window at turn i where the current one has no room for it."""
