@@ -1,6 +1,9 @@
 """Commands on small stores, with the expected numbers of the service's own tests."""
 
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
 from vecmill.errors import AlreadyExists, DimensionMismatch, EngineError, InvalidArgument, NonLinearIndexNotFound, PredicateNotFound, StoreNotFound, UpsertMismatch
 from vecmill.operators.predicates import And, Equals, In, NotEquals, NotIn, Or
@@ -189,6 +192,97 @@ def test_many_changes_and_snapshots(spark, tmp_path):
     assert again.rows("s", "x").count() == 7
 
 
+def test_graphs_follow_changes(spark):
+    e = Engine(spark, compact_every=2)
+    e.create_store("s", 2, [], [Hnsw("euclidean")])
+    e.set("s", [([float(i), 0.0], {"n": str(i % 3)}) for i in range(60)])
+    near = lambda q, **k: [r["key"][0] for r in e.approximate("s", q, 3, **k).collect()]
+    assert near([10.2, 0]) == [10, 11, 9]
+    e.del_key("s", [[10.0, 0.0]])
+    e.set("s", [([10.25, 0.0], {}), ([11.0, 0.0], {"n": "again"})])
+    e.upsert("s", Equals("n", "again"), [10.5, 0.0])
+    assert near([10.2, 0]) == [10.25, 10.5, 9] and near([10.2, 0], condition=Equals("n", "0")) == [9, 12, 6]
+    assert e.graphs("s").rows.agg(F.sum("n")).first()[0] == e.rows("s").count() == 60
+    e.drop_nonlinear_index("s", ["hnsw"])
+    with pytest.raises(NonLinearIndexNotFound):
+        e.approximate("s", [1.0, 1.0], 1)
+
+
+def test_compaction_deletes_what_it_replaced(spark, tmp_path):
+    """Readers of the rows before a compaction still find them; two compactions later their files are gone."""
+    e = Engine(spark, compact_every=2)
+    e.create_store("s", 1)
+    e.set("s", [([1.0], {})])
+    e.set("s", [([2.0], {})])
+    before, files = e.rows("s"), list(e.store("s").files)
+    e.set("s", [([3.0], {})])
+    e.set("s", [([4.0], {})])
+    assert before.count() == 2 and files == e.store("s").outdated[:1]
+    e.set("s", [([5.0], {})])
+    e.set("s", [([6.0], {})])
+    assert e.rows("s").count() == 6
+    with pytest.raises(Exception):  # noqa: B017
+        before.count()
+
+
+def test_one_hash_is_not_one_vector(spark, monkeypatch):
+    """Vectors whose hashes are equal stay two rows."""
+    from vecmill.operators import mutations
+    from vecmill.plans import engine
+
+    for module in (mutations, engine):
+        monkeypatch.setattr(module, "key_id", lambda key: F.lit(7).cast("long") + F.size(key) * 0)
+    e = Engine(spark)
+    e.create_store("s", 1, ["n"])
+    assert e.set("s", [([1.0], {"n": "a"}), ([2.0], {"n": "b"}), ([2.0], {"n": "c"})]) == SetResult(2, 0)
+    assert e.set("s", [([2.0], {"n": "d"}), ([3.0], {"n": "e"})]) == SetResult(1, 1)
+    assert e.del_key("s", [[1.0]]) == Count(1)
+    assert e.upsert("s", Equals("n", "d"), [4.0]) == SetResult(0, 1)
+    with pytest.raises(UpsertMismatch):
+        e.upsert("s", Equals("n", "d"), [3.0])
+    assert sorted(said(e.get_key("s", [[1.0], [2.0], [3.0], [4.0]]), "n")) == ["d", "e"]
+
+
+def test_snapshots_when_something_changed(spark, tmp_path):
+    e, path = Engine(spark), f"file://{tmp_path}/snap"
+    assert not e.snapshot_if_changed(path)
+    e.create_store("s", 1)
+    assert e.snapshot_if_changed(path) and not e.snapshot_if_changed(path)
+    end = e.snapshot_every(0.05, path)
+    e.set("s", [([1.0], {"a": "b"})])
+    end()
+    assert not e.dirty
+    back = Engine(spark)
+    back.read_snapshot(path)
+    assert said(back.get_pred("s", Equals("a", "b")), "a") == ["b"]
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    from vecmill.operators import mutations as M
+    from vecmill.streaming.ingest import stream_into
+
+    for part in range(2):
+        M.entries(spark, [([float(part * 3 + i)], {"n": str(i)}) for i in range(3)]).write.mode("append").parquet(f"{tmp_path}/in")
+        e = Engine(spark)  # as a new process would begin
+        if part:
+            e.read_snapshot(f"file://{tmp_path}/snap")
+        else:
+            e.create_store("s", 1)
+        given = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+        stream_into(e, given, "s", f"{tmp_path}/cp", snapshot=f"file://{tmp_path}/snap").awaitTermination()
+    assert sorted(r["key"][0] for r in e.rows("s").collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_bytes_in_tagged_json(spark):
+    from vecmill.sources.snapshot import tagged_json
+
+    e = Engine(spark)
+    e.create_store("s", 1)
+    e.set("s", [([1.0], {"b": "é\"", "a": "x"}), ([2.0], {"b": image(b"\x00"), "a": "x"}), ([3.0], {})])
+    got = {r["key"][0]: json.loads(r["value"]) for r in tagged_json(e.rows("s")).collect()}
+    assert got == {1: {"a": "str:x", "b": 'str:é"'}, 2: {"a": "str:x", "b": "img:!!"}, 3: {}}
+
+
 def test_service_snapshots(spark):
     store = {"dimension": 3, "id_to_value": {"1": [[1.0, 2.0, 3.0], {"name": "str:a", "pic": "img:z"}]}, "predicate_indices": {"allowed_predicates": ["name"]}}
     for document, schema in (({"db_version": "2", "stores": {"t": {"fixture": store}}}, "t"), ({"fixture": store}, "public"), ({"stores": {"t": {"fixture": store}}}, "t")):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from vecmill.errors import InvalidArgument
 from vecmill.functions.tokens import encode
-from vecmill.operators.hnsw import Graph, build_graphs, search_graphs
+from vecmill.operators.hnsw import Graph, build_graphs, from_bytes, search_graphs, search_graphs_many, to_bytes, update_graphs
 from vecmill.operators.metrics import METRICS
 from vecmill.types import Hnsw
 
@@ -62,6 +62,38 @@ def test_shards(spark, x, tmp_path):
         Graph(Hnsw(maximum_connections=1))
 
 
+def test_batch_search_and_changes(spark, x, tmp_path):
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "key_id long, key array<double>")
+    graphs = build_graphs(rows, f"file://{tmp_path}/g", Hnsw("euclidean"), shards=3)
+    asked = rows.where("key_id % 50 = 0").select(F.col("key_id").alias("query_id"), F.col("key").alias("query"))
+
+    def recall(graphs, ids):
+        got = {}
+        for r in search_graphs_many(graphs, asked, 10, 80).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["key_id"]))
+        assert all([n for n, _ in sorted(g)] == list(range(1, 11)) for g in got.values()) and len(got) == 14
+        return np.mean([len({i for _, i in got[q]} & set(best(every, every[q], "euclidean", 10, ids))) / 10 for q in got])
+
+    every = np.concatenate([x, x[:40] + 0.01])
+    assert recall(graphs, range(700)) > 0.95
+    change = [(i, [], False) for i in range(100, 200)] + [(700 + i, [float(v) for v in x[i] + 0.01], True) for i in range(40)]
+    after = update_graphs(graphs, spark.createDataFrame(change, "key_id long, key array<double>, alive boolean"), f"file://{tmp_path}/h", Hnsw("euclidean"), 3)
+    assert after.agg(F.sum("n")).first()[0] == 640
+    assert recall(after, [i for i in range(740) if not 100 <= i < 200]) > 0.9
+    fresh = update_graphs(graphs.limit(0), spark.createDataFrame(change[-1:], "key_id long, key array<double>, alive boolean"), f"file://{tmp_path}/f", Hnsw("euclidean"), 3)
+    assert fresh.first()["n"] == 1
+
+
+def test_graphs_as_bytes(x):
+    g = Graph(Hnsw("cosine", 40, 8, 16))
+    assert from_bytes(to_bytes(g)).nearest(x[0], 3) == []
+    for i, v in enumerate(x[:200]):
+        g.insert(i, v)
+    back = from_bytes(to_bytes(g))
+    assert (back.settings, back.entry, back.layers) == (g.settings, g.entry, g.layers) and back.nearest(x[300], 5) == g.nearest(x[300], 5)
+    assert back.insert(999, x[300]) and back.nearest(x[300], 1)[0][1] == 999
+
+
 def test_levels_thin_out():
     g = Graph(Hnsw())
     levels = [g.level_of(i * 7919) for i in range(5000)]

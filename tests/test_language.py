@@ -15,25 +15,25 @@ def one(source, ai=False):
 @pytest.mark.parametrize(
     ("source", "command"),
     [
-        (" INFOSERVER ; listSTORES;", [C.InfoServer(), C.ListStores()]),
-        ("LISTSTORES SCHEMA tenant_1", [C.ListStores("tenant_1")]),
-        ("CREATEstore IF NOT EXISTS school DIMENSION 39 PREDICATES (department, faculty) SCHEMA academics", [C.CreateStore("school", 39, ("department", "faculty"), (), False, "academics")]),
-        ("CREATEstore school DIMENSION 77 PREDICATES(name, surname) NONLINEARALGORITHMINDEX (kdtree, hnsw)", [C.CreateStore("school", 77, ("name", "surname"), (KdTree(), Hnsw()), True)]),
-        ("dropstore yeezy_store IF exists", [C.DropStore("yeezy_store", False)]),
-        ("DROPSTORE random", [C.DropStore("random", True)]),
-        ("CREATEPREDINDEX (one, two, 3) in tapHstore1", [C.CreatePredIndex("tapHstore1", ("one", "two", "3"))]),
-        ("DROPPREDINDEX IF EXISTS (off) in storememe", [C.DropPredIndex("storememe", ("off",), False)]),
-        ("DROPNONLINEARALGORITHMINDEX IF EXISTS (kdtree) in 12345", [C.DropNonLinearIndex("12345", ("kdtree",), False)]),
-        ("getkey ([1, 2, 3], [3.0, 4.0]) in 1234", [C.GetKey("1234", ((1.0, 2.0, 3.0), (3.0, 4.0)))]),
-        ("GETSIMN 5 with [34.1, 72.2] using cosinesimilarity in random", [C.GetSimN("random", (34.1, 72.2), 5, "cosine")]),
-        ("GETSIMN 1 with [1, 2] using cosinesimilarity in school SCHEMA academics where (department = math)", [C.GetSimN("school", (1.0, 2.0), 1, "cosine", Equals("department", text("math")), "academics")]),
+        ("ping;\n;ListClients ", [C.Ping(), C.ListClients()]),
+        ("liststores schema lab", [C.ListStores("lab")]),
+        ("getstore atlas", [C.GetStore("atlas")]),
+        ("CreateStore if not exists atlas dimension 12 predicates (sea, river) schema maps", [C.CreateStore("atlas", 12, ("sea", "river"), (), False, "maps")]),
+        ("createstore birds dimension 4 nonlinearalgorithmindex (hnsw)", [C.CreateStore("birds", 4, (), (Hnsw(),), True)]),
+        ("DropStore birds", [C.DropStore("birds", True)]),
+        ("dropstore birds if exists schema zoo", [C.DropStore("birds", False, "zoo")]),
+        ("createpredindex (wing) in birds; DROPPREDINDEX (wing) in birds", [C.CreatePredIndex("birds", ("wing",)), C.DropPredIndex("birds", ("wing",), True)]),
+        ("dropnonlinearalgorithmindex if exists (hnsw, kdtree) in birds", [C.DropNonLinearIndex("birds", ("hnsw", "kdtree"), False)]),
+        ("GetKey ([0.5, -2]) in birds schema zoo", [C.GetKey("birds", ((0.5, -2.0),), "zoo")]),
+        ("getsimn 4 with [1e1] using dotproductsimilarity in birds", [C.GetSimN("birds", (10.0,), 4, "dot")]),
+        ("getsimn 2 with [3, 4] using hnsw in birds schema zoo where (colour != grey)", [C.GetSimN("birds", (3.0, 4.0), 2, "hnsw", NotEquals("colour", text("grey")), "zoo")]),
         (
-            "GETSIMN 8 with [3.7, 9.6] using euclideandistance in other where ((year != 2012) AND (month not in (december, october)))",
-            [C.GetSimN("other", (3.7, 9.6), 8, "euclidean", And(NotEquals("year", text("2012")), NotIn("month", (text("december"), text("october")))))],
+            "getpred ((legs in (2, 4)) or (colour not in (red))) in birds",
+            [C.GetPred("birds", Or(In("legs", (text("2"), text("4"))), NotIn("colour", (text("red"),))))],
         ),
-        ("SET (([1, 2], {a: /xff, b: /a00, c: two words })) in s", [C.Set("s", (((1.0, 2.0), {"a": image(b"\xff"), "b": audio(b"\0"), "c": text("two words ")}),))]),
-        ("upsert ([1], none) where (id = 3) in s merge schema x", [C.Upsert("s", Equals("id", text("3")), (1.0,), None, True, "x")]),
-        ("DELPRED (a in ('x, y', z)) IN s", [C.DelPred("s", In("a", (text("x, y"), text("z"))))]),
+        ("set (([7], {call: /x0102, song: /a7f, name: great tit })) in birds", [C.Set("birds", (((7.0,), {"call": image(b"\x01\x02"), "song": audio(b"\x7f"), "name": text("great tit ")}),))]),
+        ("upsert ([8], {name: wren}) where (name = tit) in birds merge", [C.Upsert("birds", Equals("name", text("tit")), (8.0,), {"name": text("wren")}, True)]),
+        ("delpred (name in (\"a, b\", c)) in birds", [C.DelPred("birds", In("name", (text("a, b"), text("c"))))]),
     ],
 )
 def test_statements(source, command):
@@ -46,13 +46,21 @@ def test_and_or_nest_to_the_right():
 
 
 def test_raw_inputs():
-    assert one("CREATESTORE IF NOT EXISTS s QUERYMODEL all-minilm-l6-v2 INDEXMODEL bge-base-en-v1.5 PREDICATES (d) STOREORIGINAL SCHEMA a", True) == C.AiCreateStore("s", "all-minilm-l6-v2", "bge-base-en-v1.5", ("d",), (), False, True, "a")
-    assert one("SET (([hello], {d: math})) in s SCHEMA a preprocessaction nopreprocessing", True) == C.AiSet("s", ((text("hello"), {"d": text("math")}),), False, None, {}, "a")
-    assert one("GETSIMN 3 WITH [a query] USING kdtree PREPROCESSACTION modelpreprocessing EXECUTIONPROVIDER cuda IN s WHERE (d = x)", True) == C.AiGetSimN("s", text("a query"), 3, "kdtree", Equals("d", text("x")), True, "cuda", {}, None)
-    assert parse("purgestores; getkey ([/x0a], [b c]) in z", True) == [C.PurgeStores(), C.AiGetKey("z", (image(b"\n"), text("b c")))]
+    made = one("createstore if not exists shelf querymodel all-minilm-l12-v2 indexmodel bge-large-en-v1.5 predicates (row) storeoriginal schema hall", True)
+    assert made == C.AiCreateStore("shelf", "all-minilm-l12-v2", "bge-large-en-v1.5", ("row",), (), False, True, "hall")
+    assert one("set (([a red book], {row: 3})) in shelf schema hall preprocessaction modelpreprocessing", True) == C.AiSet("shelf", ((text("a red book"), {"row": text("3")}),), True, None, {}, "hall")
+    assert one("getsimn 5 with [some book] using euclideandistance preprocessaction nopreprocessing executionprovider cpu in shelf where (row = 3)", True) == C.AiGetSimN("shelf", text("some book"), 5, "euclidean", Equals("row", text("3")), False, "cpu", {}, None)
+    assert parse("PurgeStores; getkey ([/x41], [two words]) in shelf", True) == [C.PurgeStores(), C.AiGetKey("shelf", (image(b"A"), text("two words")))]
 
 
-@pytest.mark.parametrize("source", ["random ; listSTORES", "GETSIMN 0 with [0.1] using kdtree in s", "createnonlinearalgorithmindex (fake) in s", "set 2134 in store", "dropstore y IF NOT exists", "getkey ([a, b]) in 1", "ping pong"])
+def test_quotes_enclose_or_belong_to_a_value():
+    source = "getpred (name = 'tit') in birds"
+    assert one(source).condition == Equals("name", text("tit"))
+    assert parse(source, quotes=False)[0].condition == Equals("name", text("'tit'"))
+    assert parse("getpred (name in ('a, b')) in birds", quotes=False)[0].condition == In("name", (text("'a"), text("b'")))
+
+
+@pytest.mark.parametrize("source", ["fly ; ping", "getsimn none with [1] using hnsw in s", "getsimn 0 with [2] using hnsw in s", "createnonlinearalgorithmindex (balltree) in s", "set birds", "createstore x dimension", "getkey ([1, two]) in s", "ping twice"])
 def test_errors_name_their_place(source):
     with pytest.raises(ParseError) as e:
         parse(source)

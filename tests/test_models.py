@@ -1,4 +1,6 @@
+import io
 import struct
+import wave
 
 import numpy as np
 import pytest
@@ -6,8 +8,10 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from vecmill.embedding import models
 from vecmill.embedding.engine import ORIGINAL, AiEngine
-from vecmill.embedding.models import HashEmbedder, ModelSpec, Registry
+from vecmill.embedding.front import ImageFront, SoundFront, TextFront
+from vecmill.embedding.models import MODELS, HashEmbedder, ModelSpec, Registry
 from vecmill.errors import DimensionMismatch, InvalidArgument
 from vecmill.functions import sound, vision
 from vecmill.functions.codec import from_literal, from_tagged, to_tagged
@@ -156,3 +160,85 @@ def test_sound():
     assert edges[peak] < 1000 < edges[peak + 2] and (out[0, 998:] == 0).all()
     with pytest.raises(ValueError):
         sound.repeat_to(np.zeros(3), 2)
+
+
+def test_text_front(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers, processors
+
+    t = Tokenizer(models.WordLevel({"[S]": 0, "[E]": 1, "a": 2, "b": 3, "[U]": 4}, unk_token="[U]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.post_processor = processors.TemplateProcessing(single="[S] $A [E]", special_tokens=[("[S]", 0), ("[E]", 1)])
+    t.save(str(tmp_path / "t.json"))
+    ready = TextFront(str(tmp_path / "t.json"), 4)
+    assert ready(["a b a b", "z"], True).ids.tolist() == [[0, 2, 3, 2], [0, 4, 1, 0]]
+    with pytest.raises(InvalidArgument):
+        ready(["a b a b"], False)
+    assert ready(["a b"], False).ids.tolist() == [[0, 2, 3, 1]]
+
+
+def ppm(picture):
+    h, w, _ = picture.shape
+    return f"P6\n# made here\n{w} {h}\n255\n".encode() + picture.astype(np.uint8).tobytes()
+
+
+def test_image_front():
+    rng = np.random.default_rng(1)
+    picture = rng.integers(0, 256, (8, 8, 3))
+    plain = ImageFront(8, (0, 0, 0), (1, 1, 1))
+    assert np.allclose(plain([ppm(picture)], True)[0], picture.transpose(2, 0, 1) / 255)
+    assert np.allclose(plain([ppm(picture)], False)[0], picture.transpose(2, 0, 1))
+    wide = np.zeros((4, 12, 3))
+    wide[:, :4], wide[:, 4:8], wide[:, 8:] = (255, 0, 0), (0, 255, 0), (0, 0, 255)
+    middle = plain([ppm(wide)], True)[0]
+    assert middle.shape == (3, 8, 8) and np.allclose(middle[1, :, 1:7], 1)
+    boxed = ImageFront(12, (0, 0, 0), (1, 1, 1), boxed=True)([ppm(wide)], True)[0]
+    assert boxed[:, :4].max() == 0 and boxed[0, 6, 0] == 1 and boxed[2, 6, 11] == 1
+    assert plain([], True).shape == (0, 3, 8, 8)
+    for bad in (b"P6\n9 9\n255\nshort", b"no picture"):
+        with pytest.raises(InvalidArgument):
+            plain([bad], True)
+    with pytest.raises(InvalidArgument):
+        plain([ppm(wide)], False)
+
+
+def test_sound_front():
+    def wav(samples, rate, channels):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as f:
+            f.setnchannels(channels)
+            f.setsampwidth(2)
+            f.setframerate(rate)
+            f.writeframes((samples * 32767).astype("<i2").tobytes())
+        return out.getvalue()
+
+    ready = SoundFront()
+    tone = np.sin(np.arange(24_000) * 2 * np.pi * 1000 / 24_000)
+    got = ready([wav(np.repeat(tone, 2), 24_000, 2)], True)
+    assert got.shape == (1, 1, 1000, 64) and got[0, 0, 500].argmax() == sound.log_mel(np.sin(np.arange(480_000) * 2 * np.pi / 48))[500].argmax()
+    assert np.allclose(ready([wav(np.zeros(480_000), 48_000, 1)], False).max(), 0)
+    for bad, preprocess in ((wav(tone, 24_000, 1), False), (b"no sound", True), (wav(np.zeros(500_000), 48_000, 1), True), (wav(np.zeros(0), 48_000, 1), True)):
+        with pytest.raises(InvalidArgument):
+            ready([bad], preprocess)
+
+
+def test_thresholds_have_defaults():
+    faces, other = MODELS["buffalo-l"], MODELS["sface-yunet"]
+    assert faces.parameters(None) == {"confidence_threshold": "0.5", "nms_threshold": "0.4"}
+    assert faces.parameters({"nms_threshold": "x", "attributes": " genderage,hat"}) == {"confidence_threshold": "0.5", "nms_threshold": "0.4", "attributes": "genderage"}
+    assert other.parameters({"nms_threshold": "0.9"}) == {"confidence_threshold": "0.6", "nms_threshold": "0.4"}
+    assert MODELS["resnet-50"].parameters({"any": "1"}) == {"any": "1"}
+
+
+def test_idle_models_are_dropped(monkeypatch):
+    now, made = [0.0], []
+    monkeypatch.setattr(models, "_MODELS", {})
+    monkeypatch.setattr(models.time, "monotonic", lambda: now[0])
+
+    def of(name):
+        return models.Registry({name: lambda: made.append(name) or HashEmbedder(2)}, {name: ModelSpec(name, "str", 2, 1)})
+
+    a, b = of("a"), of("b")
+    for when, registry, name in ((0, a, "a"), (10, b, "b"), (200, a, "a"), (320, a, "a"), (330, b, "b"), (900, b, "b"), (910, a, "a")):
+        now[0] = when
+        registry.embed(name, [text("x")])
+    assert made == ["a", "b", "b", "a"] and set(models._MODELS) == {"a", "b"}

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vecmill.functions.vectors import key_id, l2_normalize, mean_pool, merged, softmax
-from vecmill.operators import ivf
+from vecmill.operators import ivf, search
 from vecmill.operators.metrics import METRICS, vector
 from vecmill.operators.search import knn_join, recall_at_k, top_n
 
@@ -48,6 +48,31 @@ def test_join_leaves_self_out_and_takes_few_rows(spark, points):
     assert knn_join(queries.limit(0), rows, 3).count() == 0 and knn_join(queries, rows.limit(0), 3).count() == 0
 
 
+def test_many_queries_meet_rows_in_a_grid(spark, points, monkeypatch):
+    """Blocks of queries by chunks of rows give what one scan gives; vectors of other dimensions and nulls meet nothing."""
+    x, rows = points
+    odd = spark.createDataFrame([(900, [1.0, 2.0]), (901, None), (902, [2.0, 1.0])], "key_id long, key array<float>")
+    every = rows.unionAll(odd)
+    queries = every.where("key_id % 7 = 0 or key_id > 899").select(F.col("key_id").alias("query_id"), F.col("key").alias("query"))
+    for by in ("euclidean", "dot"):
+        one = sorted(tuple(r) for r in knn_join(queries, every, 5, by).collect())
+        with monkeypatch.context() as patch:
+            patch.setattr(search, "QUERY_BYTES", 900)
+            assert sorted(tuple(r) for r in knn_join(queries, every, 5, by).collect()) == one
+            assert knn_join(queries, every.limit(0), 5, by).count() == 0
+
+
+def test_index_measures_its_probes(spark, points, tmp_path):
+    """With its defaults, over all rows as queries."""
+    _, rows = points
+    index = ivf.build(rows, f"file://{tmp_path}/i", "cosine")
+    asked = rows.where("key_id < 360").select(F.col("key_id").alias("query_id"), F.col("key").alias("query"))
+    truth = knn_join(asked, rows, 10, "cosine", keep_self=True)
+    assert 1 <= index.probes <= len(index.centres)
+    assert recall_at_k(index.search_many(spark, asked, 10), truth, 10).agg(F.avg("recall")).first()[0] >= 0.9
+    assert ivf.build(rows.limit(0), f"file://{tmp_path}/none").search(spark, [1.0], 3).count() == 0
+
+
 @settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(-100, 100, width=32).filter(lambda v: abs(v) > 1e-3), min_size=2, max_size=6))
 def test_a_vector_is_closer_to_itself_than_to_its_opposite(spark, v):

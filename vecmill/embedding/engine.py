@@ -126,7 +126,7 @@ class AiEngine:
         value = F.map_concat("value", *own) if own else F.col("value")
         old = None
         if s.meta.store_original:  # the old vectors of these inputs go in the change that brings the new ones
-            old = s.rows.join(frame.select(F.col("input").alias("x")).distinct(), F.try_element_at("value", F.lit(ORIGINAL)) == F.col("x"), "left_semi").select("key_id")
+            old = s.rows.join(frame.select(F.col("input").alias("x")).distinct(), F.try_element_at("value", F.lit(ORIGINAL)) == F.col("x"), "left_semi")
         order = (F.col("pos") * 65536 + F.col("number")).alias("pos")
         return self.engine.set(name, made.select(order, "key", value.alias("value")), schema, old)
 
@@ -190,5 +190,5 @@ class AiEngine:
                 out.append(e)
         return out
 
-    def query(self, source: str) -> list:
-        return self.pipeline(parse(source, ai=True))
+    def query(self, source: str, quotes: bool = True) -> list:
+        return self.pipeline(parse(source, ai=True, quotes=quotes))

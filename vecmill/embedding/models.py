@@ -1,14 +1,17 @@
 """Models that turn raw inputs into vectors.
 
 Weights are not part of this engine: an ``Embedder`` is given for each model
-name. It is loaded once in a worker process and sees a batch of inputs at a
-time. ``MODELS`` describes the known models: what they read and how long their
-vectors are.
+name, and a front end (``embedding.front``) for those that read token ids,
+pixels or spectrograms. Both are loaded once in a worker process and see a
+batch of inputs at a time; models that are idle are dropped. ``MODELS``
+describes the known models: what they read, how long their vectors are and the
+parameters they take.
 """
 
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -18,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecmill.embedding.front import Front
 from vecmill.errors import InvalidArgument
 from vecmill.types import META, VALUE, Meta
 
@@ -27,7 +31,7 @@ Found = tuple[Sequence[float], dict[str, str]]
 
 class Embedder(Protocol):
     def __call__(self, inputs: Sequence[str | bytes], params: dict[str, str]) -> list[list[Found]]:
-        """For each input its vectors: one, or none to many for models that find parts."""
+        """For each input (or what the model's front end makes of them) its vectors: one, or none to many for models that find parts."""
 
 
 @dataclass(frozen=True)
@@ -40,6 +44,26 @@ class ModelSpec:
     image_size: int | None = None
     one_to_many: bool = False
     needs_preprocessing: bool = False
+    #: Thresholds that a caller may set, from 0 to 1, with their defaults.
+    thresholds: tuple[tuple[str, float], ...] = ()
+    #: Thresholds that no caller can change.
+    fixed: tuple[tuple[str, float], ...] = ()
+    #: What may be asked for under ``attributes``, separated by commas.
+    attributes: tuple[str, ...] = ()
+
+    def parameters(self, given: dict[str, str] | None) -> dict[str, str]:
+        """``given`` with the model's defaults; a threshold that is no number gives way to its default."""
+        out = dict(given or {})
+        for name, default in self.thresholds:
+            try:
+                value = float(out.get(name, default))
+            except ValueError:
+                value = default
+            out[name] = repr(value)
+        out |= {name: repr(value) for name, value in self.fixed}
+        if "attributes" in out:
+            out["attributes"] = ",".join(a for a in map(str.strip, out["attributes"].split(",")) if a in self.attributes)
+        return out
 
 
 #: Names, inputs and vector lengths of the known models.
@@ -53,8 +77,10 @@ MODELS = {
         ModelSpec("resnet-50", "img", 2048, 16, image_size=224),
         ModelSpec("clip-vit-b32-image", "img", 512, 16, image_size=224),
         ModelSpec("clip-vit-b32-text", "str", 512, 128, 77),
-        ModelSpec("sface-yunet", "img", 128, 16, image_size=640, one_to_many=True, needs_preprocessing=True),
-        ModelSpec("buffalo-l", "img", 512, 16, image_size=640, one_to_many=True, needs_preprocessing=True),
+        ModelSpec("sface-yunet", "img", 128, 16, image_size=640, one_to_many=True, needs_preprocessing=True, thresholds=(("confidence_threshold", 0.6),), fixed=(("nms_threshold", 0.4),)),
+        ModelSpec(
+            "buffalo-l", "img", 512, 16, image_size=640, one_to_many=True, needs_preprocessing=True, thresholds=(("confidence_threshold", 0.5), ("nms_threshold", 0.4)), attributes=("genderage",)
+        ),
         ModelSpec("clap-audio", "aud", 512, 8),
         ModelSpec("clap-text", "str", 512, 128, 512),
         ModelSpec("jina-embeddings-v2-base-code", "str", 768, 128, 8192),
@@ -81,13 +107,22 @@ class HashEmbedder:
 
 @dataclass
 class Registry:
-    """Embedders by model name; ``load`` is called once in each worker process."""
+    """Embedders and front ends by model name; a loader is called once in each worker process.
+
+    A model that was not used for ``idle_seconds`` is dropped when another one is asked for.
+    """
 
     loaders: dict[str, Callable[[], Embedder]]
     specs: dict[str, ModelSpec] = None
+    fronts: dict[str, Callable[[], Front]] = None
+    idle_seconds: float = 300.0
 
     def __post_init__(self):
         self.specs = dict(MODELS) | (self.specs or {})
+        self.fronts = self.fronts or {}
+
+    def _load(self, model: str) -> Callable[[], Callable]:
+        return _pair(self.loaders[model], self.fronts.get(model))
 
     def spec(self, model: str) -> ModelSpec:
         if model not in self.specs or model not in self.loaders:
@@ -105,8 +140,8 @@ class Registry:
 
     def embed(self, model: str, inputs: Sequence[Meta], preprocess: bool = True, params: dict[str, str] | None = None) -> list[list[Found]]:
         """On the driver, for the few inputs of a query."""
-        self.check(model, inputs, preprocess)
-        return _loaded(model, self.loaders[model])([x.data for x in inputs], params or {})
+        spec = self.check(model, inputs, preprocess)
+        return _loaded(model, self._load(model), self.idle_seconds)([x.data for x in inputs], preprocess, spec.parameters(params))
 
     def embed_frame(self, given: DataFrame, model: str, preprocess: bool = True, params: dict[str, str] | None = None) -> DataFrame:
         """(pos, input, number, key, value) of inputs (pos, input, value), a batch at a time in the workers.
@@ -118,15 +153,15 @@ class Registry:
         wrong = given.where(F.col("input.kind") != spec.kind).limit(1).count()
         if wrong:
             raise InvalidArgument(f"model {model} reads {spec.kind} alone")
-        load, kwargs = self.loaders[model], params or {}
+        load, kwargs, idle = self._load(model), spec.parameters(params), self.idle_seconds
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            net = _loaded(model, load)
+            net = _loaded(model, load, idle)
             for frame in frames:
                 for at in range(0, len(frame), spec.batch):
                     part, rows = frame.iloc[at : at + spec.batch], []
                     data = [r["str"] if r["kind"] == "str" else bytes(r["bin"]) for r in part["input"]]
-                    for pos, source, value, found in zip(part["pos"], part["input"], part["value"], net(data, kwargs), strict=True):
+                    for pos, source, value, found in zip(part["pos"], part["input"], part["value"], net(data, preprocess, kwargs), strict=True):
                         for number, (key, said) in enumerate(found):
                             extra = {k: {"kind": "str", "str": v, "bin": None} for k, v in said.items()}
                             rows.append((pos, source, number, [float(x) for x in key], dict(value or {}) | extra))
@@ -135,10 +170,26 @@ class Registry:
         return given.select("pos", "input", "value").mapInPandas(run, EMBEDDED)
 
 
-_MODELS: dict[str, Embedder] = {}
+def _pair(load: Callable[[], Embedder], front: Callable[[], Front] | None) -> Callable[[], Callable]:
+    """A loader of both, whose result takes (inputs, preprocess, params)."""
+
+    def loader() -> Callable:
+        net = load()
+        if front is None:
+            return lambda inputs, preprocess, params: net(inputs, params)
+        ready = front()
+        return lambda inputs, preprocess, params: net(ready(inputs, preprocess), params)
+
+    return loader
+
+
+_MODELS: dict[str, tuple[Callable, float]] = {}
 
 
-def _loaded(model: str, load: Callable[[], Embedder]) -> Embedder:
-    if model not in _MODELS:
-        _MODELS[model] = load()
-    return _MODELS[model]
+def _loaded(model: str, load: Callable[[], Callable], idle: float) -> Callable:
+    now = time.monotonic()
+    for name in [n for n, (_, used) in _MODELS.items() if n != model and now - used > idle]:
+        del _MODELS[name]
+    net = _MODELS[model][0] if model in _MODELS else load()
+    _MODELS[model] = net, now
+    return net

@@ -8,17 +8,18 @@ every shard for its n best and merges them, so it is one scan of the graphs.
 from __future__ import annotations
 
 import heapq
-import pickle
+import json
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecmill.errors import InvalidArgument
 from vecmill.operators.metrics import METRICS
+from vecmill.operators.search import QUERY_BYTES
 from vecmill.types import Hnsw
 
 EXACT_BELOW = 4096  # so few accepted rows are compared one by one
@@ -150,29 +151,105 @@ class Graph:
         return [(-d if self.metric.greater_is_closer else d, i) for d, i in found]
 
 
-def build_graphs(rows: DataFrame, path: str, settings: Hnsw, shard_rows: int = 20_000, key: str = "key") -> DataFrame:
-    """Write (shard, ids, graph) for rows (key_id, key), a shard of about ``shard_rows`` each."""
-    shards = max(1, -(-rows.count() // shard_rows))
+def to_bytes(g: Graph) -> bytes:
+    """A graph as an Arrow stream: a row for each id, with its vector and its neighbours in each layer that it is in."""
+    ids = list(g.vectors)
+    links = [[layer[i] for layer in g.layers if i in layer] for i in ids]
+    t = pa.table({"id": pa.array(ids, pa.int64()), "vector": pa.array([g.vectors[i].tolist() for i in ids], pa.list_(pa.float64())), "links": pa.array(links, pa.list_(pa.list_(pa.int64())))})
+    facts = {"settings": json.dumps(asdict(g.settings)), "entry": json.dumps(g.entry)}
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, t.schema.with_metadata(facts)) as w:
+        w.write_table(t.replace_schema_metadata(facts))
+    return out.getvalue().to_pybytes()
+
+
+def from_bytes(data: bytes) -> Graph:
+    t = pa.ipc.open_stream(data).read_all()
+    facts = {k.decode(): json.loads(v) for k, v in t.schema.metadata.items()}
+    g = Graph(Hnsw(**facts["settings"]), entry=facts["entry"])
+    for i, v, links in zip(t.column("id").to_pylist(), t.column("vector").to_pylist(), t.column("links").to_pylist(), strict=True):
+        g.vectors[i] = np.array(v, np.float64)
+        for level, others in enumerate(links):
+            if level == len(g.layers):
+                g.layers.append({})
+            g.layers[level][i] = others
+    return g
+
+
+def shard_count(rows: DataFrame, shard_rows: int = 20_000) -> int:
+    return max(1, -(-rows.count() // shard_rows))
+
+
+def build_graphs(rows: DataFrame, path: str, settings: Hnsw, shard_rows: int = 20_000, key: str = "key", shards: int | None = None) -> DataFrame:
+    """Write (shard, n, graph) for rows (key_id, key), in ``shards`` shards, by default of about ``shard_rows`` each."""
+    shards = shards or shard_count(rows, shard_rows)
     dealt = rows.select(F.pmod(F.xxhash64("key_id"), F.lit(shards)).cast("long").alias("shard"), "key_id", F.col(key).alias("key"))
 
     def build(t: pa.Table) -> pa.Table:
         g = Graph(settings)
         for i, v in zip(t.column("key_id").to_pylist(), t.column("key").to_pylist(), strict=True):
             g.insert(i, v)
-        return pa.table({"shard": t.column("shard").slice(0, 1), "n": pa.array([len(g.vectors)]), "graph": pa.array([pickle.dumps(g)], pa.binary())})
+        return pa.table({"shard": t.column("shard").slice(0, 1), "n": pa.array([len(g.vectors)]), "graph": pa.array([to_bytes(g)], pa.binary())})
 
     dealt.groupBy("shard").applyInArrow(build, "shard long, n long, graph binary").write.parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
-def search_graphs(graphs: DataFrame, query: Sequence[float], n: int, width: int | None = None, accept: DataFrame | None = None) -> DataFrame:
-    """(key_id, similarity), closest first. ``accept``: (key_id) of the rows that may be returned."""
+def update_graphs(graphs: DataFrame, change: DataFrame, path: str, settings: Hnsw, shards: int) -> DataFrame:
+    """The graphs after a change (key_id, key, alive): deletions first, then insertions of ids that are not there.
+
+    Only the shards of changed ids are taken apart; the others are copied as they are.
+    """
+    dealt = change.select(F.pmod(F.xxhash64("key_id"), F.lit(shards)).cast("long").alias("shard"), "key_id", "key", "alive")
+
+    def apply(old: pa.Table, new: pa.Table) -> pa.Table:
+        if not new.num_rows:
+            return old
+        g: Graph = from_bytes(old.column("graph")[0].as_py()) if old.num_rows else Graph(settings)
+        alive = np.asarray(new.column("alive"))
+        ids, keys = new.column("key_id").to_numpy(), new.column("key").to_pylist()
+        for i in ids[~alive].tolist():
+            g.delete(i)
+        for i in np.flatnonzero(alive):
+            g.insert(int(ids[i]), keys[i])
+        return pa.table({"shard": new.column("shard").slice(0, 1), "n": pa.array([len(g.vectors)]), "graph": pa.array([to_bytes(g)], pa.binary())})
+
+    graphs.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(apply, "shard long, n long, graph binary").write.parquet(path)
+    return graphs.sparkSession.read.parquet(path)
+
+
+def search_graphs_many(graphs: DataFrame, queries: DataFrame, k: int, width: int | None = None, query_id: str = "query_id", query_key: str = "query") -> DataFrame:
+    """(query_id, key_id, similarity, rank): the k best of every query, each shard's graph being loaded once.
+
+    Queries travel to every task; more than ``QUERY_BYTES`` of them are refused, to be given in parts.
+    """
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_key).cast("array<double>").alias("x")).collect()
+    if sum(len(r["x"]) for r in asked) * 8 > QUERY_BYTES:
+        raise InvalidArgument("too many queries for one search")
+    given = graphs.sparkSession.sparkContext.broadcast([(r["q"], r["x"]) for r in asked])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column("graph"):
+                g: Graph = from_bytes(data.as_py())
+                found = [(q, i, s, s if g.metric.greater_is_closer else -s) for q, x in given.value for s, i in g.nearest(x, k, width)]
+                cols = list(zip(*found, strict=True)) or [()] * 4
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["q", "r", "similarity", "closeness"])
+
+    found = graphs.select("graph").mapInArrow(run, "q long, r long, similarity double, closeness double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("closeness"), F.desc("r")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("r").alias("key_id"), "similarity", "rank")
+
+
+def search_graphs(graphs: DataFrame, query: Sequence[float], n: int, width: int | None = None, accept: DataFrame | None = None, shards_of: int | None = None) -> DataFrame:
+    """(key_id, similarity), closest first. ``accept``: (key_id) of the rows that may be returned; ``shards_of``: into how many shards ids were dealt."""
     if n <= 0:
         raise InvalidArgument("closest_n must be above 0")
     q = [float(x) for x in query]
     shards = graphs
     if accept is not None:
-        total = max(1, graphs.agg(F.max("shard")).first()[0] or 0) + 1 if graphs.limit(1).count() else 1
+        total = shards_of or (graphs.agg(F.max("shard")).first()[0] or 0) + 1
         ids = accept.select(F.pmod(F.xxhash64("key_id"), F.lit(total)).cast("long").alias("shard"), "key_id").groupBy("shard").agg(F.collect_list("key_id").alias("ids"))  # a shard's rows at most
         shards = graphs.join(ids, "shard")
     else:
@@ -181,7 +258,7 @@ def search_graphs(graphs: DataFrame, query: Sequence[float], n: int, width: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data, ids in zip(b.column("graph"), b.column("ids"), strict=True):
-                g: Graph = pickle.loads(data.as_py())
+                g: Graph = from_bytes(data.as_py())
                 found = g.nearest(q, n, width, None if ids.as_py() is None else set(ids.as_py()))
                 greater = g.metric.greater_is_closer
                 yield pa.RecordBatch.from_arrays([pa.array([i for _, i in found], pa.int64()), pa.array([s for s, _ in found], pa.float64()), pa.array([s if greater else -s for s, _ in found], pa.float64())], ["key_id", "similarity", "closeness"])

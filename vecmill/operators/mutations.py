@@ -2,7 +2,9 @@
 
 A change is a small table of *what is new for a key* (``alive`` tells a row
 from a deletion). Putting it over the rows is one anti-join on the key's
-identity and a union, so its cost follows the change, not the store.
+identity and a union, so its cost follows the change, not the store. The identity is
+the hash and the vector: the hash tells zeros of either sign apart, and two
+vectors of one hash stay two rows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from vecmill.errors import DimensionMismatch, UpsertMismatch
 from vecmill.functions.vectors import key_id, merged
 from vecmill.types import STORE_ROW, VALUE, VECTOR, Meta
 
+#: What two rows of one vector share.
+IDENTITY = ["key_id", "key"]
+
 
 def entries(spark: SparkSession, pairs: Sequence[tuple[Sequence[float] | None, dict[str, Meta | str] | None]]) -> DataFrame:
     """(pos, key, value) from Python pairs, in their order."""
@@ -33,7 +38,7 @@ def batch(given: DataFrame, dimension: int) -> DataFrame:
     keyed = given.where(F.col("key").isNotNull()).select("pos", F.col("key").cast(VECTOR).alias("key"), F.coalesce("value", F.create_map().cast(VALUE)).alias("value"))
     check_dimensions(keyed, dimension)
     keyed = keyed.withColumn("key_id", key_id(F.col("key")))
-    last = F.row_number().over(Window.partitionBy("key_id").orderBy(F.desc("pos")))
+    last = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(F.desc("pos")))
     return keyed.withColumn("n", last).where("n = 1").select("key_id", "key", "value")
 
 
@@ -45,7 +50,7 @@ def check_dimensions(keyed: DataFrame, dimension: int) -> None:
 
 def overlay(rows: DataFrame, change: DataFrame) -> DataFrame:
     """``rows`` with a change (key_id, key, value, alive) put over them."""
-    kept = rows.join(change.select("key_id"), "key_id", "left_anti")
+    kept = rows.join(change.select(*IDENTITY), IDENTITY, "left_anti")
     return kept.select(*STORE_ROW.names).unionByName(change.where("alive").select(*STORE_ROW.names))
 
 
@@ -54,13 +59,13 @@ def set_change(new: DataFrame) -> DataFrame:
 
 
 def delete_change(gone: DataFrame) -> DataFrame:
-    """A change that deletes the rows with these key_ids; their old content does not matter."""
-    return gone.select("key_id", F.array().cast(VECTOR).alias("key"), F.create_map().cast(VALUE).alias("value"), F.lit(False).alias("alive"))
+    """A change that deletes the rows of these keys (key_id, key); their old content does not matter."""
+    return gone.select(*IDENTITY, F.create_map().cast(VALUE).alias("value"), F.lit(False).alias("alive"))
 
 
 def set_counts(rows: DataFrame, new: DataFrame) -> tuple[int, int]:
     """(inserted, updated) if the batch ``new`` is set."""
-    seen = new.select("key_id").join(rows.select("key_id").withColumn("old", F.lit(True)), "key_id", "left")
+    seen = new.select(*IDENTITY).join(rows.select(*IDENTITY).withColumn("old", F.lit(True)), IDENTITY, "left")
     r = seen.agg(F.count("*").alias("n"), F.count("old").alias("u")).first()
     return r["n"] - r["u"], r["u"]
 
@@ -77,7 +82,9 @@ def upsert_change(rows: DataFrame, condition: Column, dimension: int, new_key: S
         if len(new_key) != dimension:
             raise DimensionMismatch(dimension, len(new_key))
         key = F.array(*[F.lit(float(x)) for x in new_key]).cast(VECTOR)
-        taken = rows.join(old.select(key_id(key).alias("key_id")), "key_id", "left_semi").where(F.col("key_id") != found[0]["key_id"]).limit(1).count()
+        old_key = F.array(*[F.lit(float(x)) for x in found[0]["key"]]).cast(VECTOR)
+        other = (F.col("key_id") != found[0]["key_id"]) | (F.col("key") != old_key)
+        taken = rows.join(old.select(key_id(key).alias("key_id"), key.alias("key")), IDENTITY, "left_semi").where(other).limit(1).count()
         if taken:
             raise UpsertMismatch(2)
     else:
@@ -90,5 +97,5 @@ def upsert_change(rows: DataFrame, condition: Column, dimension: int, new_key: S
     new = old.select(key_id(key).alias("key_id"), key.alias("key"), value.alias("value"), F.lit(True).alias("alive"))
     if new_key is None:
         return new
-    gone = delete_change(spark.createDataFrame([(found[0]["key_id"],)], "key_id long"))
-    return gone.join(new.select("key_id"), "key_id", "left_anti").unionByName(new)
+    gone = delete_change(spark.createDataFrame(found, STORE_ROW))
+    return gone.join(new.select(*IDENTITY), IDENTITY, "left_anti").unionByName(new)

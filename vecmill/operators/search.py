@@ -34,69 +34,121 @@ def knn_join(
 ) -> DataFrame:
     """(query_id, row_id, similarity, rank): the k closest rows of each query; ties by descending row id.
 
-    Queries travel in blocks of at most 32 MB. A block is compared with all
-    rows in one scan, by matrix products; every task keeps k rows a query and
-    one grouped limit merges them. No pair below a task's own k best leaves
-    it. Vectors whose dimension differs from the query's are not compared.
+    Queries of up to 32 MB travel to every task and rows are scanned once, by
+    matrix products. More queries are dealt into blocks and rows into chunks of
+    about that size; each block meets each chunk in one unit of work, so
+    nothing passes through the driver. Every task or unit keeps k rows a query and
+    one grouped limit merges them. No pair below its own k best leaves it.
+    Vectors whose dimension differs from the query's are not compared.
     """
     if k <= 0:
         raise InvalidArgument("k must be above 0")
     m = metric(by)
-    sizes = queries.agg(F.count("*").alias("n"), F.max(F.size(query_key)).alias("d")).first()
-    each = max(1, QUERY_BYTES // (8 * max(1, sizes["d"] or 1)))
-    blocks = max(1, -(-sizes["n"] // each))
-    found = None
-    numbered = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_key).cast("array<double>").alias("x"))
-    for b in range(blocks):
-        part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        hits = _block(part.collect(), rows.select(F.col(row_id).cast("long").alias("r"), F.col(row_key).alias("y")), k, m, keep_self)
-        found = hits if found is None else found.unionAll(hits)
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_key).cast("array<double>").alias("x"))
+    held = rows.select(F.col(row_id).cast("long").alias("r"), F.col(row_key).alias("y"))
+    size = asked.agg(F.sum(8 * F.size("x") + 16)).first()[0] or 0
+    found = _scan(asked.where("x is not null").collect(), held, k, m, keep_self) if size <= QUERY_BYTES else _grid(asked, held, size, k, m, keep_self)
     w = Window.partitionBy("q").orderBy(m.order("similarity"), F.desc("r"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("r").alias(row_id), "similarity", "rank")
 
 
-def _block(queries: list, rows: DataFrame, k: int, m: Metric, keep_self: bool) -> DataFrame:
-    by_dim: dict[int, list] = {}
-    for r in queries:
-        if r["x"] is not None:
-            by_dim.setdefault(len(r["x"]), []).append(r)
-    given = rows.sparkSession.sparkContext.broadcast({d: (np.array([r["q"] for r in x]), np.array([r["x"] for r in x], np.float64)) for d, x in by_dim.items()})
+class Closest:
+    """The k closest rows of each query among those shown so far."""
+
+    def __init__(self, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, m: Metric, keep_self: bool):
+        """``queries``: (ids, vectors) by dimension."""
+        self.queries, self.k, self.m, self.keep_self = queries, k, m, keep_self
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.least = {d: np.full(len(q), -np.inf) for d, (q, _) in queries.items()}
+
+    def _settle(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k closest of each query, ties by descending id; what is farther is of no more use."""
+        q, i, c = (np.concatenate(x) for x in zip(*self.held[d], strict=True))
+        order = np.lexsort((-i, -c, q))
+        q, i, c = q[order], i[order], c[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        q, i, c, nth = q[nth < self.k], i[nth < self.k], c[nth < self.k], nth[nth < self.k]
+        last = np.flatnonzero(nth == self.k - 1)
+        self.least[d][q[last]] = c[last]
+        self.held[d] = [(q, i, c)]
+        return q, i, c
+
+    def show(self, ids: np.ndarray, vectors: pa.ListArray) -> None:
+        lengths = np.diff(vectors.offsets.to_numpy()) if len(vectors) else np.zeros(0, int)
+        for d, (q, x) in self.queries.items():
+            at = np.flatnonzero((lengths == d) & np.asarray(vectors.is_valid()))
+            for part in np.array_split(at, -(-len(at) // PART_ROWS)) if len(at) else ():
+                v = vectors.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), d)
+                for s in range(0, len(q), PART_QUERIES):
+                    own = slice(s, s + PART_QUERIES)
+                    same = None if self.keep_self else q[own, None] == ids[part][None, :]
+                    qs, rs, score = closest(self.m, x[own], v, self.k, self.least[d][own], same)
+                    self.held.setdefault(d, []).append((qs + s, ids[part][rs], score if self.m.greater_is_closer else -score))
+                self._settle(d)
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for d in self.held:
+            q, i, c = self._settle(d)
+            s = c if self.m.greater_is_closer else -c
+            yield pa.RecordBatch.from_arrays([pa.array(self.queries[d][0][q]), pa.array(i), pa.array(s, mask=np.isinf(s))], ["q", "r", "similarity"])
+
+
+def _by_dimension(ids: Sequence[int], vectors: Sequence[Sequence[float]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    by: dict[int, list] = {}
+    for q, x in zip(ids, vectors, strict=True):
+        by.setdefault(len(x), []).append((q, x))
+    return {d: (np.array([q for q, _ in v]), np.array([x for _, x in v], np.float64)) for d, v in by.items()}
+
+
+FOUND = "q long, r long, similarity double"
+
+
+def _scan(queries: list, rows: DataFrame, k: int, m: Metric, keep_self: bool) -> DataFrame:
+    given = rows.sparkSession.sparkContext.broadcast(_by_dimension([r["q"] for r in queries], [r["x"] for r in queries]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        least = {d: np.full(len(q), -np.inf) for d, (q, _) in given.value.items()}
-
-        def settle(d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """The k closest of each query so far, ties by descending id; what is farther is of no more use."""
-            q, i, c = (np.concatenate(x) for x in zip(*held[d], strict=True))
-            order = np.lexsort((-i, -c, q))
-            q, i, c = q[order], i[order], c[order]
-            begin = np.searchsorted(q, q)
-            keep = np.arange(len(q)) - begin < k
-            q, i, c = q[keep], i[keep], c[keep]
-            last = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == k - 1)
-            least[d][q[last]] = c[last]
-            held[d] = [(q, i, c)]
-            return q, i, c
+        best = Closest(given.value, k, m, keep_self)
+        for b in batches:
+            best.show(b.column("r").to_numpy(), b.column("y"))
+        yield from best.found()
+
+    return rows.mapInArrow(run, FOUND)
+
 
+def _grid(queries: DataFrame, rows: DataFrame, size: int, k: int, m: Metric, keep_self: bool) -> DataFrame:
+    """Blocks of queries by chunks of rows. A row travels once for each block, a query once for each chunk."""
+    blocks = -(-size // QUERY_BYTES)
+    chunks = max(1, -(-(rows.agg(F.sum(8 * F.size("y") + 16)).first()[0] or 0) // QUERY_BYTES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = queries.where("x is not null").select(place("q", blocks).alias("block"), every(chunks).alias("chunk"), F.lit(0).alias("side"), F.col("q").alias("id"), F.col("x").alias("v"))
+    held = rows.where("y is not null").select(every(blocks).alias("block"), place("r", chunks).alias("chunk"), F.lit(1).alias("side"), F.col("r").alias("id"), F.col("y").cast("array<double>").alias("v"))
+    dealt = asked.unionAll(held).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, ids, vectors, best = None, [], [], None
         for b in batches:
-            y, ids = b.column("y"), b.column("r").to_numpy()
-            lengths = np.diff(y.offsets.to_numpy()) if len(y) else np.zeros(0, int)
-            for d, (q, x) in given.value.items():
-                at = np.flatnonzero((lengths == d) & np.asarray(y.is_valid()))
-                for part in np.array_split(at, -(-len(at) // PART_ROWS)) if len(at) else ():
-                    v = y.take(pa.array(part)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), d)
-                    for s in range(0, len(q), PART_QUERIES):
-                        own = slice(s, s + PART_QUERIES)
-                        qs, rs, score = closest(m, x[own], v, k, least[d][own], None if keep_self else q[own, None] == ids[part][None, :])
-                        held.setdefault(d, []).append((qs + s, ids[part][rs], score if m.greater_is_closer else -score))
-                    settle(d)
-        for d in held:
-            q, i, c = settle(d)
-            s = c if m.greater_is_closer else -c
-            yield pa.RecordBatch.from_arrays([pa.array(given.value[d][0][q]), pa.array(i), pa.array(s, mask=np.isinf(s))], ["q", "r", "similarity"])
-
-    return rows.mapInArrow(run, "q long, r long, similarity double")
+            block, chunk, side = (b.column(n).to_numpy() for n in ("block", "chunk", "side"))
+            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(chunk) != 0) | (np.diff(side) != 0)) + 1
+            for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
+                if at == end:
+                    continue
+                if unit != (block[at], chunk[at]):
+                    if best is not None:
+                        yield from best.found()
+                    unit, ids, vectors, best = (block[at], chunk[at]), [], [], None
+                part = b.slice(at, end - at)
+                if side[at] == 0:
+                    ids += part.column("id").to_pylist()
+                    vectors += part.column("v").to_pylist()
+                elif ids:
+                    best = best or Closest(_by_dimension(ids, vectors), k, m, keep_self)
+                    own = part.column("v")
+                    best.show(part.column("id").to_numpy(), pa.ListArray.from_arrays(pa.array(own.offsets.to_numpy() - own.offsets[0].as_py()), own.flatten()))
+        if best is not None:
+            yield from best.found()
+
+    return dealt.mapInArrow(run, FOUND)
 
 
 def recall_at_k(found: DataFrame, truth: DataFrame, k: int, query_id: str = "query_id", row_id: str = "key_id") -> DataFrame:

@@ -8,6 +8,7 @@ reads grow with the number of writes.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from vecmill import __version__, storage
 from vecmill.errors import AlreadyExists, DimensionMismatch, EngineError, InvalidArgument, NonLinearIndexNotFound, PredicateNotFound, StoreNotFound
 from vecmill.functions.vectors import key_id, map_bytes
+from vecmill.operators import hnsw
 from vecmill.operators import mutations as M
 from vecmill.operators.metrics import METRICS
 from vecmill.operators.postings import posting_counts
@@ -28,11 +30,26 @@ from vecmill.sources import snapshot
 from vecmill.types import DEFAULT_SCHEMA, STORE_ROW, VALUE, VECTOR, Hnsw, KdTree, Meta, StoreMeta
 
 
+@dataclass
+class Graphs:
+    """The layered graphs of a store's rows."""
+
+    rows: DataFrame
+    shards: int
+    path: str
+
+
 @dataclass
 class Store:
     meta: StoreMeta
     rows: DataFrame
     changes: int = 0
+    graphs: Graphs | None = None
+    #: Files of the rows as they are now, and of those before them, which readers may still hold.
+    files: list[str] = field(default_factory=list)
+    outdated: list[str] = field(default_factory=list)
+    #: The snapshot whose files hold rows.
+    snapshot: str | None = None
 
 
 @dataclass(frozen=True)
@@ -53,6 +70,8 @@ class Engine:
     spark: SparkSession
     semantics: str = "direct"
     compact_every: int = 8
+    #: Whether anything changed since the last snapshot.
+    dirty: bool = False
     stores: dict[str, dict[str, Store]] = field(default_factory=dict)
 
     # -- catalog
@@ -84,6 +103,7 @@ class Engine:
         for index in nonlinear:
             meta.nonlinear.setdefault(index.algorithm, index)
         self.stores.setdefault(where, {})[name] = Store(meta, self.spark.createDataFrame([], STORE_ROW))
+        self.dirty = True
 
     def attach(self, name: str, rows: DataFrame, dimension: int, predicates: Sequence[str] = (), nonlinear: Sequence[KdTree | Hnsw] = (), schema: str | None = None) -> Store:
         """A store whose rows are a table (key, value) with a row for each key; nothing is read or copied."""
@@ -98,11 +118,13 @@ class Engine:
             if error_if_not_exists:
                 raise StoreNotFound(name)
             return Count(0)
+        self.dirty = True
         return Count(1)
 
     def drop_schema(self, schema: str) -> Count:
         if self.schema_name(schema) == DEFAULT_SCHEMA:
             raise InvalidArgument(f"schema {DEFAULT_SCHEMA} cannot be dropped")
+        self.dirty = True
         return Count(len(self.stores.pop(schema, {})))
 
     def list_stores(self, schema: str | None = None) -> DataFrame:
@@ -129,6 +151,7 @@ class Engine:
         fresh = set(predicates) - meta.predicates
         meta.predicates |= fresh
         meta.posted |= fresh
+        self.dirty = True
         return Count(len(fresh))
 
     def drop_pred_index(self, name: str, predicates: Sequence[str], error_if_not_exists: bool = True, schema: str | None = None) -> Count:
@@ -138,6 +161,7 @@ class Engine:
             raise PredicateNotFound(missing[0])
         meta.predicates -= gone
         meta.posted -= gone
+        self.dirty = True
         return Count(len(gone))
 
     def create_nonlinear_index(self, name: str, indices: Sequence[KdTree | Hnsw], schema: str | None = None) -> Count:
@@ -148,12 +172,18 @@ class Engine:
                 raise InvalidArgument("hnsw needs more than one connection and a known metric")
             made += index.algorithm not in meta.nonlinear
             meta.nonlinear.setdefault(index.algorithm, index)
+        self.dirty = True
         return Count(made)
 
     def drop_nonlinear_index(self, name: str, algorithms: Sequence[str], error_if_not_exists: bool = True, schema: str | None = None) -> Count:
         meta = self.store(name, schema).meta
         if error_if_not_exists and (missing := [a for a in algorithms if a not in meta.nonlinear]):
             raise NonLinearIndexNotFound(missing[0])
+        s = self.store(name, schema)
+        if "hnsw" in algorithms and s.graphs is not None:
+            s.outdated.append(s.graphs.path)
+            s.graphs = None
+        self.dirty = True
         return Count(sum(meta.nonlinear.pop(a, None) is not None for a in dict.fromkeys(algorithms)))
 
     def postings(self, name: str, schema: str | None = None) -> DataFrame:
@@ -173,12 +203,12 @@ class Engine:
             if len(k) != s.meta.dimension:
                 raise DimensionMismatch(s.meta.dimension, len(k))
         wanted = self.spark.createDataFrame([(i, [float(x) for x in k]) for i, k in enumerate(keys)], "pos long, wanted array<float>")
-        return wanted.select("pos", key_id(F.col("wanted")).alias("key_id"))
+        return wanted.select("pos", key_id(F.col("wanted")).alias("key_id"), F.col("wanted").alias("key"))
 
     def get_key(self, name: str, keys: Sequence[Sequence[float]], schema: str | None = None) -> DataFrame:
         """(key, value) in the order asked for; unknown keys are left out, keys asked for twice come twice."""
         s = self.store(name, schema)
-        return self._keys(s, keys).join(s.rows, "key_id").orderBy("pos").select("key", "value")
+        return self._keys(s, keys).join(s.rows, M.IDENTITY).orderBy("pos").select("key", "value")
 
     def get_pred(self, name: str, condition: Predicate, schema: str | None = None) -> DataFrame:
         s = self.store(name, schema)
@@ -193,6 +223,11 @@ class Engine:
             raise InvalidArgument("closest_n must be above 0")
         if len(query) != s.meta.dimension:
             raise DimensionMismatch(s.meta.dimension, len(query))
+        if self.semantics == "indexed" and algorithm in ("kdtree", "hnsw") and algorithm not in s.meta.nonlinear and condition is not None:
+            # by postings, a condition that accepts nothing ends the search before an index is looked for
+            accepted = s.rows.where(self._condition(s, condition))
+            if not accepted.limit(1).count():
+                return accepted.select("key", "value", F.lit(None).cast("double").alias("similarity"))
         by, semantics = self._metric(s, algorithm)
         where = self._condition(s, condition, semantics) if condition is not None else None
         return top_n(s.rows, query, closest_n, by, where).select("key", "value", "similarity")
@@ -215,17 +250,52 @@ class Engine:
         rows = s.rows if condition is None else s.rows.where(self._condition(s, condition, semantics))
         return knn_join(queries, rows.select("key_id", "key"), k, by, keep_self=True)
 
+    # -- layered graphs
+
+    def graphs(self, name: str, schema: str | None = None) -> Graphs:
+        """The graphs of a store's hnsw index: built when they are first asked for, kept up with every change from then on."""
+        s = self.store(name, schema)
+        index = s.meta.nonlinear.get("hnsw")
+        if index is None:
+            raise NonLinearIndexNotFound("hnsw")
+        if s.graphs is None:
+            path, shards = storage.fresh_path(self.spark, "graphs"), hnsw.shard_count(s.rows)
+            s.graphs = Graphs(hnsw.build_graphs(s.rows.select("key_id", "key"), path, index, shards=shards), shards, path)
+        return s.graphs
+
+    def approximate(self, name: str, query: Sequence[float], closest_n: int, condition: Predicate | None = None, width: int | None = None, schema: str | None = None) -> DataFrame:
+        """As ``get_sim_n`` by hnsw, but from the graphs: a few thousand distances a shard instead of one for each row."""
+        s, g = self.store(name, schema), self.graphs(name, schema)
+        if len(query) != s.meta.dimension:
+            raise DimensionMismatch(s.meta.dimension, len(query))
+        accept = None if condition is None else s.rows.where(self._condition(s, condition)).select("key_id")
+        found = hnsw.search_graphs(g.rows, query, closest_n, width, accept, g.shards)
+        order = F.asc("similarity") if not METRICS[s.meta.nonlinear["hnsw"].metric].greater_is_closer else F.desc("similarity")
+        return found.join(s.rows, "key_id").orderBy(order, F.desc("key_id")).select("key", "value", "similarity")
+
     # -- writes
 
     def _apply(self, s: Store, change: DataFrame) -> None:
-        s.rows = M.overlay(s.rows, storage.persist(change, "change"))
+        path = storage.fresh_path(self.spark, "change")
+        change = storage.written(change, path)
+        if s.graphs is not None:
+            new = storage.fresh_path(self.spark, "graphs")
+            s.graphs, old = Graphs(hnsw.update_graphs(s.graphs.rows, change, new, s.meta.nonlinear["hnsw"], s.graphs.shards), s.graphs.shards, new), s.graphs
+            s.outdated.append(old.path)
+        s.rows = M.overlay(s.rows, change)
+        s.files.append(path)
         s.changes += 1
+        self.dirty = True
         if s.changes >= self.compact_every:
             self.compact(s)
 
     def compact(self, s: Store) -> None:
-        s.rows = storage.persist(s.rows, "store")
-        s.changes = 0
+        """Write the rows anew. What they were made of goes with the next compaction, as readers may still hold it."""
+        path = storage.fresh_path(self.spark, "store")
+        s.rows, s.changes, s.snapshot = storage.written(s.rows, path), 0, None
+        for old in s.outdated:
+            storage.remove(self.spark, old)
+        s.outdated, s.files = s.files, [path]
 
     def set(self, name: str, given: DataFrame | Sequence[tuple], schema: str | None = None, replaced: DataFrame | None = None) -> SetResult:
         """Insert or replace. ``given``: (key, value) pairs, or a DataFrame (pos, key, value). Rows whose key_id is in ``replaced`` go in the same change."""
@@ -234,9 +304,9 @@ class Engine:
         new = storage.persist(M.batch(frame, s.meta.dimension), "batch")
         change, rows = M.set_change(new), s.rows
         if replaced is not None:
-            gone = storage.persist(replaced.select("key_id").distinct(), "gone")
-            rows = rows.join(gone, "key_id", "left_anti")
-            change = change.unionByName(M.delete_change(gone.join(new, "key_id", "left_anti")))
+            gone = storage.persist(replaced.select(*M.IDENTITY), "gone")
+            rows = rows.join(gone, M.IDENTITY, "left_anti")
+            change = change.unionByName(M.delete_change(gone.join(new, M.IDENTITY, "left_anti")))
         inserted, updated = M.set_counts(rows, new)
         if s.meta.predicates - s.meta.posted:
             carried = new.select(F.explode(F.map_keys("value")).alias("k")).where(F.col("k").isin(sorted(s.meta.predicates))).distinct().collect()
@@ -256,13 +326,13 @@ class Engine:
         s = self.store(name, schema)
         if not keys:
             return Count(0)
-        return self._delete(s, s.rows.select("key_id").join(self._keys(s, keys).select("key_id").distinct(), "key_id", "left_semi"))
+        return self._delete(s, s.rows.select(*M.IDENTITY).join(self._keys(s, keys).select(*M.IDENTITY), M.IDENTITY, "left_semi"))
 
     def del_pred(self, name: str, condition: Predicate, schema: str | None = None) -> Count:
         s = self.store(name, schema)
         if condition is None:
             raise InvalidArgument("a condition is needed")
-        return self._delete(s, s.rows.where(self._condition(s, condition)).select("key_id"))
+        return self._delete(s, s.rows.where(self._condition(s, condition)).select(*M.IDENTITY))
 
     def _delete(self, s: Store, gone: DataFrame) -> Count:
         gone = storage.persist(gone, "gone")
@@ -274,13 +344,45 @@ class Engine:
     # -- snapshots
 
     def write_snapshot(self, path: str) -> None:
-        snapshot.write(self.spark, [(s.meta, s.rows) for stores in self.stores.values() for s in stores.values()], path)
+        """In place of what is at ``path``; stores that were read from there go on from the new files."""
+        stores = [s for group in self.stores.values() for s in group.values()]
+        snapshot.write(self.spark, [(s.meta, s.rows) for s in stores], path)
+        self.dirty = False
+        for number, s in enumerate(stores):
+            if s.snapshot == path:
+                s.rows, s.changes = snapshot.rows_of(self.spark, path, number), 0
+                s.outdated, s.files = s.outdated + s.files, []
+
+    def snapshot_if_changed(self, path: str) -> bool:
+        """Whether a snapshot was written: only if anything changed since the last one."""
+        if not self.dirty:
+            return False
+        self.write_snapshot(path)
+        return True
+
+    def snapshot_every(self, seconds: float, path: str) -> Callable[[], None]:
+        """Snapshots in the background, when anything changed; the result ends them, after a last one."""
+        over = threading.Event()
+
+        def loop() -> None:
+            while not over.wait(seconds):
+                self.snapshot_if_changed(path)
+
+        thread = threading.Thread(target=loop, daemon=True)
+        thread.start()
+
+        def end() -> None:
+            over.set()
+            thread.join()
+            self.snapshot_if_changed(path)
+
+        return end
 
     def read_snapshot(self, path: str) -> None:
         """In place of what the engine holds. The rows stay in the snapshot's files until they change."""
         self.stores = {}
         for meta, rows in snapshot.read(self.spark, path):
-            self.stores.setdefault(meta.schema, {})[meta.name] = Store(meta, rows)
+            self.stores.setdefault(meta.schema, {})[meta.name] = Store(meta, rows, snapshot=path)
 
     def export_service_snapshot(self) -> dict:
         """A document of all stores, for stores of up to 100,000 rows."""
@@ -356,8 +458,8 @@ class Engine:
                 out.append(e)
         return out
 
-    def query(self, source: str) -> list:
-        return self.pipeline(parse(source))
+    def query(self, source: str, quotes: bool = True) -> list:
+        return self.pipeline(parse(source, quotes=quotes))
 
     def with_semantics(self, semantics: str) -> Engine:
         """The same stores, judged otherwise."""

@@ -18,10 +18,9 @@ from vecmill.embedding.engine import AiEngine
 from vecmill.embedding.models import HashEmbedder, ModelSpec, Registry
 from vecmill.functions import vision
 from vecmill.functions.vectors import l2_normalize, mean_pool, softmax
-from vecmill.operators import hnsw, ivf
 from vecmill.operators import mutations as M
 from vecmill.operators.predicates import And, Equals, In, NotEquals, NotIn, Or, Predicate, columns_entry, compile_predicate, plain
-from vecmill.operators.search import knn_join, recall_at_k, top_n
+from vecmill.operators.search import knn_join, top_n
 from vecmill.plans.engine import Engine
 from vecmill.sources.snapshot import tagged_json
 from vecmill.streaming.ingest import stream_into
@@ -121,6 +120,15 @@ def knn(spark: SparkSession, sf_dir: str, metric: str = "cosine") -> DataFrame:
     return knn_join(_asked(spark, sf_dir), e, 10, metric, row_id="vec_id", row_key="embedding").withColumn("similarity", F.round("similarity", 6))
 
 
+def knn_large(spark: SparkSession, sf_dir: str, copies: int = 25) -> DataFrame:
+    """The vectors and ``copies`` - 1 changed forms of each, searched by every 50th of all: the size that batches have."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("c"))
+    turned = F.transform("embedding", lambda x, i: (x + F.sin(F.col("c") * (i + 1)) * F.lit(0.05)).cast("float"))
+    every = e.select((F.col("vec_id") * copies + F.col("c")).alias("vec_id"), F.when(F.col("c") == 0, F.col("embedding")).otherwise(turned).alias("embedding")).repartition(2 * spark.sparkContext.defaultParallelism)
+    asked = every.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return knn_join(asked, every, 10, "cosine", row_id="vec_id", row_key="embedding").select("query_id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flat(spark, sf_dir, ("lang",)).where(compile_predicate(NotEquals("lang", "en"), columns_entry(COLUMNS), "direct", plain))
     return knn_join(_asked(spark, sf_dir), rows.select("vec_id", "embedding"), 5, "euclidean", row_id="vec_id", row_key="embedding").withColumn("similarity", F.round("similarity", 6))
@@ -130,23 +138,6 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-def recall_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, recall) of the inverted-file index against exact search."""
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key_id"), F.col("embedding").alias("key"))
-    index = ivf.build(rows, f"{storage.root(spark)}/ivf-{uuid.uuid4().hex}", "cosine", cells=16)
-    truth = knn_join(_asked(spark, sf_dir), rows, 10, "cosine", keep_self=True)
-    return recall_at_k(index.search_many(spark, _asked(spark, sf_dir), 10, probes=12), truth, 10)
-
-
-def recall_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest of the layered graphs to vector 0, marked where exact search finds them too."""
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key_id"), F.col("embedding").alias("key"))
-    graphs = hnsw.build_graphs(rows, f"{storage.root(spark)}/hnsw-{uuid.uuid4().hex}", Hnsw("cosine"))
-    found = hnsw.search_graphs(graphs, vector_of(spark, sf_dir, 0), 10, width=100)
-    exact = top_n(rows, vector_of(spark, sf_dir, 0), 10, "cosine").select("key_id", F.lit(True).alias("exact"))
-    return found.join(exact, "key_id", "left").select(F.col("key_id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), F.coalesce("exact", F.lit(False)).alias("exact"))
-
-
 # -- reads
 
 
@@ -345,13 +336,6 @@ def ai_getsimn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ai.get_sim_n("items", text(first), 1).select(_id("item"), F.col("key.str").alias("text"), F.round("similarity", 5).alias("similarity"))
 
 
-def one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inputs that give several vectors each become as many rows."""
-    ai, rows = _texts(spark, sf_dir)
-    words = rows.select("pos", F.posexplode(F.split("input.str", " ")).alias("part", "word"))
-    return words.select(F.col("pos").alias("item"), "part", "word")
-
-
 # -- SQL
 
 S = """WITH s AS (
@@ -426,6 +410,12 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "dsl_getsimn": (dsl_getsimn, simn_sql("dot", "lang = 'en' AND (label NOT IN ('1', '2') OR coalesce(toxic = '1', FALSE))", False)),
     "accept_list_simn": (accept_list_simn, simn_sql("euclidean", "source IN ('src1', 'src2')", False)),
     "knn_join": (_with(knn), KNN_SQL.format(score="list_cosine_similarity(a.v, b.v)", way="DESC")),
+    "knn_join_large": (
+        knn_large,
+        """WITH r AS (SELECT vec_id * 25 + c AS id, CASE WHEN c = 0 THEN embedding ELSE list_transform(embedding, lambda x, i: (x + sin(c * i) * 0.05)::FLOAT) END::DOUBLE[] AS v FROM embeddings, range(25) t(c)),
+        p AS (SELECT a.id AS query_id, list_cosine_similarity(a.v, b.v) AS s FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 50 = 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC) AS rank FROM p) SELECT query_id, rank::INTEGER AS rank, round(s, 5) AS similarity FROM n WHERE rank <= 10""",
+    ),
     "knn_join_dot": (_with(knn, "dot"), KNN_SQL.format(score="list_dot_product(a.v, b.v)", way="DESC")),
     "knn_join_euclidean": (_with(knn, "euclidean"), KNN_SQL.format(score="list_distance(a.v, b.v)", way="ASC")),
     "knn_join_filtered": (
@@ -433,8 +423,6 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         f"""{S}, p AS (SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.v, b.v) AS d FROM s a, s b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND b.lang IS DISTINCT FROM 'en'),
         n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id DESC) AS rank FROM p) SELECT query_id, vec_id, round(d, 6) AS similarity, rank::INTEGER AS rank FROM n WHERE rank <= 5""",
     ),
-    "recall_ivf": (recall_ivf, None),
-    "recall_hnsw": (recall_hnsw, None),
     "scan": (scan, f"{S} SELECT vec_id, label, lang, source, quality, toxic, len(v)::INTEGER AS dimension FROM s"),
     "getkey": (getkey, f"{S} SELECT vec_id, label, lang FROM s WHERE vec_id IN (3, 7) UNION ALL SELECT vec_id, label, lang FROM s WHERE vec_id = 7"),
     "postings": (postings, f"{S} SELECT name, value, count(*) AS n FROM (UNPIVOT (SELECT label, lang, source, quality, toxic FROM s) ON label, lang, source, quality, toxic INTO NAME name VALUE value) GROUP BY ALL"),
@@ -487,13 +475,18 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "ai_set_getpred": (ai_set_getpred, "SELECT item_id AS item, text, 1 AS entries FROM benchmark WHERE item_id <> 0"),
     "ai_delkey": (ai_delkey, "SELECT count(*) - 1 AS n, 1 AS deleted FROM benchmark"),
     "ai_getsimn": (ai_getsimn, "SELECT item_id AS item, text, 1.0::DOUBLE AS similarity FROM benchmark ORDER BY item_id LIMIT 1"),
-    "posexplode_one_to_many": (one_to_many, "SELECT item_id AS item, (i - 1)::INTEGER AS part, w[i] AS word FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), unnest(range(1, len(w) + 1)) t(i)"),
 }
 
 
+def _every() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    from vecmill import command_queries
+
+    return TABLE | command_queries.TABLE
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: q for n, (q, _) in TABLE.items()}
+    return {n: q for n, (q, _) in _every().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: s for n, (_, s) in TABLE.items() if s}
+    return {n: s for n, (_, s) in _every().items() if s}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +44,11 @@ def read(spark: SparkSession, path: str) -> list[tuple[StoreMeta, DataFrame]]:
     listed = spark.read.schema("format int, number int, description string").json(f"{path}/catalog").orderBy("number").collect()
     if any(r["format"] != FORMAT for r in listed):
         raise ValueError(f"unknown snapshot format in {path}")
-    return [(undescribe(json.loads(r["description"])), spark.read.schema(STORE_ROW).parquet(f"{path}/stores/{r['number']}")) for r in listed if r["number"] >= 0]
+    return [(undescribe(json.loads(r["description"])), rows_of(spark, path, r["number"])) for r in listed if r["number"] >= 0]
+
+
+def rows_of(spark: SparkSession, path: str, number: int) -> DataFrame:
+    return spark.read.schema(STORE_ROW).parquet(f"{path}/stores/{number}")
 
 
 def parse_service_json(document: dict) -> dict[str, dict[str, dict]]:
@@ -85,6 +91,15 @@ def to_service_json(stores: list[tuple[StoreMeta, DataFrame]], most_rows: int =
 
 
 def tagged_json(rows: DataFrame) -> DataFrame:
-    """(key_id, key, value) with value as JSON of tagged strings, as snapshots write it."""
-    tag = F.udf(lambda m: json.dumps({k: to_tagged(Meta(v["kind"], v["str"] if v["kind"] == "str" else bytes(v["bin"]))) for k, v in sorted(m.items())}), "string")
-    return rows.select("key_id", "key", tag("value").alias("value"))
+    """(key_id, key, value) with value as JSON of tagged strings, as snapshots write it. Only rows that hold bytes pass through Python."""
+    plain = F.forall(F.map_values("value"), lambda v: v["kind"] == "str")
+    tagged = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values("value", lambda _, v: F.concat(F.lit("str:"), v["str"]))))))
+    texts = rows.where(plain).select("key_id", "key", F.when(F.size("value") == 0, "{}").otherwise(tagged).alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [json.dumps({k: to_tagged(Meta(v["kind"], v["str"] if v["kind"] == "str" else bytes(v["bin"]))) for k, v in sorted(m)}, ensure_ascii=False, separators=(",", ":")) for m in b.column("value").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key_id"), b.column("key"), pa.array(out, pa.string())], ["key_id", "key", "value"])
+
+    others = rows.where(~plain).select("key_id", "key", "value").mapInArrow(run, "key_id long, key array<float>, value string")
+    return texts.unionByName(others)

@@ -26,7 +26,14 @@ def root(spark: SparkSession) -> str:
 
 def persist(df: DataFrame, tag: str) -> DataFrame:
     """Written as Parquet and read back: cuts lineage and survives lost executors."""
-    path = f"{root(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    return written(df, fresh_path(df.sparkSession, tag))
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{root(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -47,3 +54,11 @@ def move(spark: SparkSession, source: str, target: str) -> None:
     fs.delete(b, True)
     if not fs.rename(a, b):
         raise OSError(f"{source} could not be moved to {target}")
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, made on the driver, wherever Spark can write."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(data))
+    out.close()
