@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vecmill.llm.blocks import forest, joining_edges
 from vecmill.llm.common import connected_components, first_by_hash
@@ -188,6 +189,29 @@ def test_near_duplicates(vectors):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_clashing_columns_and_shared_ids(spark):
+    """Rows that share an id are vectors of their own; null ids take part and come back null; other columns do not matter."""
+    a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
+    rows = [(None, a), (3, a), (3, [2.0, 0.0, 0.2]), (5, b), (6, [0.0, 1.0, 0.0]), (9, [-1.0, -1.0, 4.0]), (9, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for name in ("id", "v", "ok", "dim", "weight", "g", "h", "n_links", "component", "label"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = sorted((tuple(r) for r in near_duplicates(df).collect()), key=repr)
+    # copies are vectors apart from one another; a null id is the smallest, so the group around it has no id to show
+    want = [(3, 2, None, False)] * 2 + [(5, 1, 5, True), (6, 1, 5, False), (9, 0, 9, True), (9, 0, 9, True), (None, 2, None, True)]
+    assert got == sorted(want, key=repr)
+    assert near_duplicates(df).columns == ["vec_id", "n_links", "component_id", "kept"]
+
+
+def test_ngram_join_with_clashing_columns_and_shared_ids(spark):
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(1, text), (1, text), (2, text.upper() + "!"), (3, "alone " + text * 3), (None, None), (4, "")], "doc_id long, text string")
+    for name in ("id", "digest", "n", "signature", "shingles", "node", "cluster", "rep", "weight", "tree", "level"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = sorted((tuple(r) for r in ngram_join(df).collect()), key=repr)
+    assert got == sorted([(1, 1, 2, 1, True), (1, 1, 2, 1, True), (2, 1, 2, 1, False), (3, 3, 0, 3, True), (4, 4, 0, 4, True), (None, None, 0, None, True)], key=repr)
+
+
 def test_lists_that_fill_in_the_last_round(vectors, monkeypatch):
     """They were not enlarged any more, so their group is counted in blocks."""
     monkeypatch.setattr(nn_descent, "_recall", lambda *a: 1.0)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vecmill.llm.common import load_tokenizer
 from vecmill.llm.packing import WordMemo, pack, plan_sequences
@@ -71,6 +72,26 @@ def test_pack(docs, corpus, nothing):
     assert pack(nothing).count() == 0
 
 
+def test_null_and_shared_ids(spark):
+    rows = [(None, "a text"), (None, "a text"), (4, "other words"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids_crc32", F.lit("clash"))
+    want = sorted((i or -1, len(ids_of(t or ""))) for i, t in rows)
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in token_counts(df).collect()) == want
+    got = pack(df).collect()
+    assert sorted((r.doc_id or -1, r.length - 1) for r in got) == want
+    assert len({r.sequence_id for r in got}) == 1
+
+
+def test_memory_of_words_is_bounded():
+    """Whatever is shown: twenty times as many words as are kept, and words too long to keep."""
+    memo, rng = WordMemo(load_tokenizer(TOKENIZER), limit=3000), random.Random(3)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 30))) for _ in range(500)) for _ in range(6)]
+        assert memo.ids(texts) == [np.array(ids_of(t), "<u4").tobytes() for t in texts]
+        assert len(memo.known) == len(memo.sizes) <= 3000 and memo.sizes.sum() == len(memo.values)
+        assert memo.known.nbytes + memo.sizes.nbytes + memo.values.nbytes < 3000 * (24 + 4 + 8 + 4 * 24)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece_once_and_fills(seed):
     rng = random.Random(seed)

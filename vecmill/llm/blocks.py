@@ -15,19 +15,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecmill.llm.common import in_batches
+
 
 def block_pairs(members: DataFrame, keys: list[str], block: int) -> DataFrame:
     """``members`` (keys, id) of groups of two or more, once for each pair of blocks (i <= j) that it takes part in.
 
     Adds ``i``, ``j`` and ``own``, the member's block.
     """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks",
+        F.ceil(F.col("n") / block).cast("int")).drop("n")
     dealt = members.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return dealt.select(*keys, "id", "own", other.alias("x")).select(*keys, "id", "own", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
+    return dealt.select(*keys, "id", "own", other.alias("x")).select(*keys, "id", "own", F.least("own", "x").alias("i"),
+        F.greatest("own", "x").alias("j"))
 
 
-def by_unit(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], dict[str, np.ndarray]], schema: str, flush: int = 4096) -> DataFrame:
+def by_unit(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], dict[str, np.ndarray]], schema: str,
+    flush: int = 4096) -> DataFrame:
     """``work`` applied to the rows of each combination of the (integer) keys.
 
     Rows are dealt by keys and sorted within partitions, so a task holds one
@@ -66,7 +71,7 @@ def by_unit(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], dict[st
         if out:
             yield pack()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return in_batches(rows.repartition(*keys).sortWithinPartitions(*keys), run, schema)
 
 
 def _with_end(items: Iterator) -> Iterator:

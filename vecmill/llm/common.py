@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +56,32 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str,
+    most: int = 4 << 20) -> DataFrame:
+    """``run`` over the rows' Arrow batches, of at most ``most`` bytes or a single row unless the session has a limit of its own.
+
+    A batch lies in memory on both sides several times, and Spark's own limit is 64 MB.
+    After a task its worker, which Spark keeps for others, gives free memory back.
+    """
+    spark = rows.sparkSession
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, str(most))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return rows.mapInArrow(tidy, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -108,11 +138,14 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
         if len(moves) == max_rounds:
             raise RuntimeError("components did not settle")
         place = lambda v, n=len(moves): F.struct(F.xxhash64(F.lit(n), v).alias("h"), v.alias("to"))
-        both = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("x")), F.struct(F.col("b").alias("id"), F.col("a").alias("x")))).alias("e")).select("e.*")
+        both = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("x")),
+            F.struct(F.col("b").alias("id"), F.col("a").alias("x")))).alias("e")).select("e.*")
         first = both.groupBy("id").agg(F.min(place(F.col("x"))).alias("m"))
         move = materialize(first.select("id", F.least("m", place(F.col("id")))["to"].alias("to")), f"{tag}-moves")
-        moved = links.join(move.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a").join(move.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b")
-        fresh = materialize(moved.select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").select(ends.alias("e")).select("e.*").distinct(), f"{tag}-edges")
+        moved = links.join(move.select(F.col("id").alias("a"), F.col("to").alias("ta")),
+            "a").join(move.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b")
+        fresh = materialize(moved.select(F.col("ta").alias("a"),
+            F.col("tb").alias("b")).where("a <> b").select(ends.alias("e")).select("e.*").distinct(), f"{tag}-edges")
         discard(links)
         links = fresh
         moves.append(move)

@@ -14,54 +14,61 @@ cluster at the longer prefix, each class counting once however many it has.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecmill.llm.blocks import block_pairs, by_unit, joining_edges
-from vecmill.llm.common import connected_components, materialize
+from vecmill.llm.common import connected_components, in_batches, materialize
 
-TOKEN = re.compile(r"\w+")
+NO_WORD = r"[^\p{L}\p{N}_]+"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 REMEMBERED = 1 << 18  # sets that a task remembers to have signed; what it forgets is signed again, which does no harm
 TRIE = ["level", "a", "b", "tree", "signature", "part", "place"]
 
 
 class Shingler:
-    """Sorted sets of 32-bit shingle hashes of texts; remembers the hashes of words."""
-
-    def __init__(self, words: int = 5, limit: int = 400_000):
-        self.words, self.limit, self.known = words, limit, {}
-
-    def codes(self, tokens: list[str]) -> np.ndarray:
-        known = self.known
-        got = list(map(known.get, tokens))
-        if None in got:
-            if len(known) > self.limit:
-                known.clear()
-            for i, c in enumerate(got):
-                if c is None:
-                    got[i] = known[tokens[i]] = xxhash.xxh64_intdigest(tokens[i])
-        return np.array(got, np.uint64)
+    """Sorted sets of 32-bit shingle hashes of texts. Words are hashed once a batch of texts."""
+
+    def __init__(self, words: int = 5):
+        self.words = words
+
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        """For each text all runs of ``words`` words, lower-case; the whole text if it has fewer; nothing without a word (or for null)."""
+        split = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())), NO_WORD)
+        owner, tokens = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy()), split.flatten()
+        real = pc.greater(pc.binary_length(tokens), 0)  # what stands before a leading sign is empty
+        owner, tokens = owner[real.to_numpy(zero_copy_only=False)], tokens.filter(real).dictionary_encode()
+        hashed = np.array([xxhash.xxh64_intdigest(w) for w in tokens.dictionary.to_pylist()], np.uint64)
+        codes = hashed[tokens.indices.to_numpy()] if len(hashed) else hashed
+        ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
+        whole, begin, out = self._runs(codes, self.words, 0), 0, []
+        for end in ends.tolist():
+            n = end - begin
+            if n >= self.words:
+                out.append(np.unique(whole[begin : end - self.words + 1]))
+            else:
+                out.append(self._runs(codes[begin:end], n, n) if n else np.zeros(0, np.uint32))
+            begin = end
+        return out
 
     def set_of(self, text: str) -> np.ndarray:
-        """All runs of ``words`` words, lower-case; the whole text if it has fewer; nothing without a word."""
-        tokens = TOKEN.findall(text.lower())
-        if not tokens:
-            return np.zeros(0, np.uint32)
-        codes, k = self.codes(tokens), min(self.words, len(tokens))
-        n = len(codes) - k + 1
-        h = np.full(n, len(tokens) if len(tokens) < self.words else 0, np.uint64)
+        return self.sets(pa.array([text], pa.string()))[0]
+
+    @staticmethod
+    def _runs(codes: np.ndarray, k: int, seed: int) -> np.ndarray:
+        n = max(0, len(codes) - k + 1)
+        h = np.full(n, seed, np.uint64)
         for i in range(k):
             h = (h ^ codes[i : i + n]) * MULTIPLIER
             h ^= h >> np.uint64(29)
-        return np.unique((h >> np.uint64(32)).astype(np.uint32))
+        return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def hashers(count: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -91,27 +98,25 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, trees: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signed = Shingler(words), set()
         for b in batches:
-            ids, texts = b.column("id"), b.column("text")
-            for at in range(0, len(texts), 500):
-                rows = []
-                for t in texts.slice(at, 500).to_pylist():
-                    s = shingler.set_of(t or "")
-                    if not len(s):
-                        rows.append((None, 0, None, None))
-                        continue
-                    digest, signature = xxhash.xxh128_digest(s.tobytes()), None
-                    if digest not in signed:
-                        if len(signed) >= REMEMBERED:
-                            signed.clear()
-                        signed.add(digest)
-                        signature = min_hashes(s, mult, add).tobytes()
-                    rows.append((digest, len(s), signature, s.tobytes()))
-                cols = list(zip(*rows, strict=True))
-                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 500), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "digest", "n", "signature", "shingles"])
+            rows = []
+            for s in shingler.sets(b.column("text")):
+                if not len(s):
+                    rows.append((None, 0, None, None))
+                    continue
+                digest, signature = xxhash.xxh128_digest(s.tobytes()), None
+                if digest not in signed:
+                    if len(signed) >= REMEMBERED:
+                        signed.clear()
+                    signed.add(digest)
+                    signature = min_hashes(s, mult, add).tobytes()
+                rows.append((digest, len(s), signature, s.tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                ["id", "digest", "n", "signature", "shingles"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "id long, digest binary, n long, signature binary, shingles binary")
+    return in_batches(slim, run, "id long, digest binary, n long, signature binary, shingles binary")
 
 
 def trie_edges(batches: Iterator[pa.RecordBatch], part: int, depth: int, shortest: int) -> Iterator[pa.RecordBatch]:
@@ -128,7 +133,8 @@ def trie_edges(batches: Iterator[pa.RecordBatch], part: int, depth: int, shortes
     def values(b: pa.RecordBatch) -> np.ndarray:
         column = b.column("signature")
         at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
-        return np.frombuffer(column.buffers()[2], ">u2")[at[0] // 2 : at[-1] // 2].reshape(len(column), depth) if len(column) else np.zeros((0, depth), ">u2")
+        return np.frombuffer(column.buffers()[2], ">u2")[at[0] // 2 : at[-1] // 2].reshape(len(column),
+            depth) if len(column) else np.zeros((0, depth), ">u2")
 
     def shared(x: np.ndarray, y: np.ndarray, same_tree: np.ndarray) -> np.ndarray:
         return np.cumprod(x == y, 1).sum(1) * same_tree
@@ -167,7 +173,8 @@ def trie_edges(batches: Iterator[pa.RecordBatch], part: int, depth: int, shortes
 
 def _edge_of_part(b: pa.RecordBatch, at: int, part: int, place: int) -> pa.RecordBatch:
     b = b.slice(at, 1)
-    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), b.column("node"), b.column("node"), b.column("tree"), b.column("signature"), pa.array([part], pa.int32()), pa.array([place], pa.int32())], TRIE)
+    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), b.column("node"), b.column("node"), b.column("tree"),
+        b.column("signature"), pa.array([part], pa.int32()), pa.array([place], pa.int32())], TRIE)
 
 
 def lsh_forest(signed: DataFrame, trees: int, depth: int, shortest: int) -> DataFrame:
@@ -181,10 +188,11 @@ def lsh_forest(signed: DataFrame, trees: int, depth: int, shortest: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return trie_edges(batches, TaskContext.get().partitionId(), depth, shortest)
 
-    cut = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("signature", 2 * depth * t + 1, 2 * depth).alias("signature")) for t in range(trees)])
+    cut = F.array(*[F.struct(F.lit(t).alias("tree"),
+        F.substring("signature", 2 * depth * t + 1, 2 * depth).alias("signature")) for t in range(trees)])
     rows = signed.select("node", F.explode(cut).alias("s")).select("s.tree", "s.signature", "node")
     dealt = rows.repartitionByRange("tree", "signature", "node").sortWithinPartitions("tree", "signature", "node")
-    found = materialize(dealt.mapInArrow(run, "level int, a long, b long, tree int, signature binary, part int, place int"), "tries")
+    found = materialize(in_batches(dealt, run, "level int, a long, b long, tree int, signature binary, part int, place int"), "tries")
     ends = sorted(found.where("place is not null").collect(), key=lambda r: (r["part"], r["place"]))
     across = []
     for x, y in zip(ends, ends[1:], strict=False):
@@ -224,7 +232,8 @@ def verify(least: float):
 
     def work(t: pa.Table) -> dict[str, np.ndarray | pa.Array]:
         # rows that repeat id and set come once for each of them
-        once = list({(i, s): n for n, (i, s) in enumerate(zip(t.column("id").to_pylist(), t.column("shingles").to_pylist(), strict=True))}.values())
+        once = list({(i, s): n for n, (i,
+            s) in enumerate(zip(t.column("id").to_pylist(), t.column("shingles").to_pylist(), strict=True))}.values())
         t = t.take(once)
         ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
         weight = t.column("weight").to_numpy().astype(np.float64)
@@ -241,13 +250,15 @@ def verify(least: float):
         before = linked & (was[:, None] == was[None, :])
         keep = linked.any(1)
         up = parent[keep]
-        return {"id": ids[keep], "parent": np.where(up < 0, ids[keep], ids[up]), "links": (linked @ weight)[keep].astype(np.int64), "met": linked.sum(1)[keep].astype(np.int64), "before": before.sum(1)[keep].astype(np.int64)}
+        return {"id": ids[keep], "parent": np.where(up < 0, ids[keep], ids[up]), "links": (linked @ weight)[keep].astype(np.int64),
+            "met": linked.sum(1)[keep].astype(np.int64), "before": before.sum(1)[keep].astype(np.int64)}
 
     return work
 
 
 def ngram_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, trees: int = 32, depth: int = 8, shortest: int = 4, recall: float = 0.999, block: int = 192
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, trees: int = 32,
+        depth: int = 8, shortest: int = 4, recall: float = 0.999, block: int = 192
 ) -> DataFrame:
     """(id, class_id, n_links, component_id, kept) for every row.
 
@@ -293,12 +304,14 @@ def ngram_join(
         # a node in no cluster of the longer prefix is one by itself
         was = F.coalesce("was", "node").alias("was")
         placed = clusters.join(longer.withColumnRenamed("cluster", "was"), "node", "left").select("node", "cluster", was)
-        members = materialize(placed.join(classes, "node").select("cluster", F.col("rep").alias("id"), "digest", "weight", "was"), "members")
+        members = materialize(placed.join(classes, "node").select("cluster", F.col("rep").alias("id"), "digest", "weight", "was"),
+            "members")
         units = block_pairs(members.select("cluster", "id"), ["cluster"], block).join(members, ["cluster", "id"])
         # sets are the large side at every size, so they are merged, never shipped
         sets = sketches.select("id", "digest", "shingles").hint("merge")
         units = units.join(sets, ["id", "digest"]).select("cluster", "i", "j", "id", "own", "weight", "was", "shingles")
-        found = materialize(by_unit(units, ["cluster", "i", "j"], verify(least), "id long, parent long, links long, met long, before long"), "links")
+        found = materialize(by_unit(units, ["cluster", "i", "j"], verify(least),
+            "id long, parent long, links long, met long, before long"), "links")
         seen = found.groupBy("id").agg((F.sum("before") / F.sum("met")).alias("share")).agg(F.avg("share")).first()[0]
         enough = chance(level) >= recall and (seen is None or seen >= recall)
         if level <= shortest or enough:
@@ -308,11 +321,13 @@ def ngram_join(
         raise RuntimeError(f"prefixes of {level} values are the shortest allowed: chance {chance(level):.4f}, links found before {seen}, {recall} is asked for")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     labels = connected_components(found.where("id <> parent").select(F.col("id").alias("a"), F.col("parent").alias("b")), "groups")
-    known = classes.drop("node").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    known = classes.drop("node").join(links.withColumnRenamed("id", "rep"), "rep", "left").join(labels.withColumnRenamed("id", "rep"),
+        "rep", "left")
     rows = sketches.select("id", "digest").join(known, "digest", "left")
     component = F.coalesce("component", "rep", "id")
     back = lambda c: F.when(c != lowest, c)
     return rows.select(
-        back(F.col("id")).alias(id_col), back(F.coalesce("rep", "id")).alias("class_id"), F.coalesce(F.coalesce("links", F.lit(0)) + F.col("weight") - 1, F.lit(0)).alias("n_links"),
+        back(F.col("id")).alias(id_col), back(F.coalesce("rep", "id")).alias("class_id"),
+            F.coalesce(F.coalesce("links", F.lit(0)) + F.col("weight") - 1, F.lit(0)).alias("n_links"),
         back(component).alias("component_id"), (F.col("id") == component).alias("kept"),
     )

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vecmill.llm.blocks import block_pairs, by_unit, forest
-from vecmill.llm.common import connected_components, discard, first_by_hash, materialize
+from vecmill.llm.blocks import block_pairs, by_unit, joining_edges
+from vecmill.llm.common import connected_components, discard, first_by_hash, in_batches, materialize
 
 LIST = "id long, other long, sim double"
 
@@ -59,10 +59,11 @@ def leaves(vectors: DataFrame, trees: int, bits: int, seed: int) -> DataFrame:
                 sides = (x @ planes[d] > 0).reshape(len(rows), trees, bits)
                 leaf = (sides @ (1 << np.arange(bits, dtype=np.int64))) * 65536 + d
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(np.arange(trees, dtype=np.int64), len(rows))), pa.array(leaf.reshape(-1)), b.column("id").take(pa.array(np.repeat(rows, trees)))], ["g", "h", "id"]
+                    [pa.array(np.tile(np.arange(trees, dtype=np.int64), len(rows))), pa.array(leaf.reshape(-1)),
+                        b.column("id").take(pa.array(np.repeat(rows, trees)))], ["g", "h", "id"]
                 )
 
-    return vectors.select("id", "dim", "v").mapInArrow(run, "g long, h long, id long")
+    return in_batches(vectors.select("id", "dim", "v"), run, "g long, h long, id long")
 
 
 def _nearest(size: int, floor: float):
@@ -89,18 +90,20 @@ def _nearest(size: int, floor: float):
 
 
 def _count(least: float):
-    """Work on a unit: each member's number of links (weighted) and a tree edge."""
+    """Work on a unit: each member's number of links (weighted) and an edge, to itself if it needs none."""
 
     def work(t: pa.Table) -> dict[str, np.ndarray]:
         ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
         x = unit_rows(t.column("v"))
         linked = x @ x.T >= least
         np.fill_diagonal(linked, False)
+        parent = joining_edges(linked, own)
         if t.column("i")[0].as_py() != t.column("j")[0].as_py():
             linked &= own[:, None] != own[None, :]
         keep = linked.any(1)
-        weight = t.column("weight").to_numpy()
-        return {"id": ids[keep], "parent": ids[forest(linked)][keep], "links": (linked @ weight)[keep].astype(np.int64), "pairs": linked.sum(1)[keep].astype(np.int64)}
+        weight, up = t.column("weight").to_numpy(), parent[keep]
+        return {"id": ids[keep], "parent": np.where(up < 0, ids[keep], ids[up]), "links": (linked @ weight)[keep].astype(np.int64),
+            "pairs": linked.sum(1)[keep].astype(np.int64)}
 
     return work
 
@@ -113,14 +116,17 @@ def _compare(groups: DataFrame, vectors: DataFrame, size: int, floor: float, blo
 
 def _best(lists: DataFrame, size: int) -> DataFrame:
     """Both directions of every pair, the ``size`` nearest of each vector kept."""
-    turned = lists.unionAll(lists.select(F.col("other").alias("id"), F.col("id").alias("other"), "sim")).groupBy("id", "other").agg(F.max("sim").alias("sim"))
+    turned = lists.unionAll(lists.select(F.col("other").alias("id"), F.col("id").alias("other"), "sim")).groupBy("id",
+        "other").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))
     return turned.withColumn("r", rank).where(F.col("r") <= size).drop("r")
 
 
 def near_duplicates(
-    rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, size: int = 16, largest: int = 64, floor: float = 0.5, leaf: int = 64, block: int = 256,
-    rounds: int = 5, settled: float = 0.002, expect: float = 0.95, recall: float = 0.97, audit: int = 400, extra_forests: int = 4, seed: int = 23,
+    rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, size: int = 16, largest: int = 64,
+        floor: float = 0.5, leaf: int = 64, block: int = 256,
+    rounds: int = 5, settled: float = 0.002, expect: float = 0.95, recall: float = 0.97, audit: int = 400, extra_forests: int = 4,
+        seed: int = 23,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
@@ -139,7 +145,8 @@ def near_duplicates(
     together with a chance of ``expect`` or ``recall``, whichever is higher.
     """
     lowest = F.lit(-(1 << 63))
-    given = materialize(rows.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", usable("v")), "given")
+    given = materialize(rows.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"),
+        F.col(vector_col).cast("array<double>").alias("v")).withColumn("ok", usable("v")), "given")
     classes = given.where("ok").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     vectors = materialize(classes.withColumn("dim", F.size("v")), "vectors")
     count = vectors.count()
@@ -156,7 +163,9 @@ def near_duplicates(
         if before is not None:
             discard(before)
         for _ in range(rounds):
-            hood = lists.select(F.col("id").alias("h"), F.col("other").alias("id")).unionAll(lists.select(F.col("id").alias("h"), "id").distinct()).withColumn("g", F.lit(0).cast("long"))
+            hood = lists.select(F.col("id").alias("h"),
+                F.col("other").alias("id")).unionAll(lists.select(F.col("id").alias("h"), "id").distinct()).withColumn("g",
+                    F.lit(0).cast("long"))
             better = materialize(_best(_compare(hood.select("g", "h", "id"), vectors, now, floor, block).unionAll(lists), now), "lists")
             change = better.join(lists, ["id", "other"], "left_anti").count()
             total = better.count()
@@ -175,12 +184,14 @@ def near_duplicates(
         raise RuntimeError(f"the audit found {found_share:.4f} of the links after {1 + extra_forests} forests, {recall} is asked for")
     labels = connected_components(edges, "near")
     rep = F.col("rep")
-    found = vectors.join(links, "id", "left").join(labels, "id", "left").select("v", F.col("id").alias("rep"), "weight", "links", "component")
+    found = vectors.join(links, "id", "left").join(labels, "id", "left").select("v", F.col("id").alias("rep"), "weight", "links",
+        "component")
     out = given.select("id", F.when(F.col("ok"), F.col("v")).alias("v")).join(found, "v", "left")
     component = F.coalesce("component", rep, "id")
     back = lambda c: F.when(c != lowest, c)
     return out.select(
-        back(F.col("id")).alias(id_col), F.coalesce(F.coalesce("links", F.lit(0)) + F.col("weight") - 1, F.lit(0)).alias("n_links"), back(component).alias("component_id"), (F.col("id") == component).alias("kept"),
+        back(F.col("id")).alias(id_col), F.coalesce(F.coalesce("links", F.lit(0)) + F.col("weight") - 1, F.lit(0)).alias("n_links"),
+            back(component).alias("component_id"), (F.col("id") == component).alias("kept"),
     )
 
 
@@ -190,12 +201,16 @@ def _links(lists: DataFrame, vectors: DataFrame, least: float, now: int, block:
     groups = connected_components(linked.select(F.col("id").alias("a"), F.col("other").alias("b")), "groups")
     full = linked.groupBy("id").count().where(F.col("count") >= now).select("id").join(groups, "id").select("component").distinct()
     dense = materialize(groups.join(full, "component").select(F.col("component").alias("h"), "id"), "dense")
-    units = block_pairs(dense, ["h"], block).join(vectors.select("id", "v", "weight"), "id").select("h", "i", "j", "id", "own", "v", "weight")
+    units = block_pairs(dense, ["h"], block).join(vectors.select("id", "v", "weight"), "id").select("h", "i", "j", "id", "own", "v",
+        "weight")
     counted = materialize(by_unit(units, ["h", "i", "j"], _count(least), "id long, parent long, links long, pairs long"), "counted")
     listed = linked.join(dense.select("id"), "id", "left_anti")
-    alone = listed.join(vectors.select(F.col("id").alias("other"), "weight"), "other").select("id", F.col("weight").alias("links"), F.lit(1).cast("long").alias("pairs"))
-    links = alone.unionAll(counted.select("id", "links", "pairs")).groupBy("id").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs"))
-    edges = listed.select(F.col("id").alias("a"), F.col("other").alias("b")).unionAll(counted.select(F.col("id").alias("a"), F.col("parent").alias("b")))
+    alone = listed.join(vectors.select(F.col("id").alias("other"), "weight"), "other").select("id", F.col("weight").alias("links"),
+        F.lit(1).cast("long").alias("pairs"))
+    links = alone.unionAll(counted.select("id", "links", "pairs")).groupBy("id").agg(F.sum("links").alias("links"),
+        F.sum("pairs").alias("pairs"))
+    edges = listed.select(F.col("id").alias("a"),
+        F.col("other").alias("b")).unionAll(counted.where("id <> parent").select(F.col("id").alias("a"), F.col("parent").alias("b")))
     return materialize(links, "links"), edges
 
 
@@ -217,7 +232,7 @@ def _exact_links(vectors: DataFrame, sample: list[tuple[int, int, list[float]]],
                     n = hit.sum(1)
                     yield pa.RecordBatch.from_arrays([pa.array(q[n > 0]), pa.array(n[n > 0])], ["id", "n"])
 
-    got = vectors.select("id", "dim", "v").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    got = in_batches(vectors.select("id", "dim", "v"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r["id"]: r["n"] for r in got}
 
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecmill.llm.common import load_tokenizer, materialize
+from vecmill.llm.common import in_batches, load_tokenizer, materialize
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The indexes start, start + 1, ... of each span, one span after another."""
@@ -137,7 +137,8 @@ class WordMemo:
         return [ids[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:], strict=False)]
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, closing_id: int, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1 << 22) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, closing_id: int, id_col: str = "doc_id", text_col: str = "text",
+    batch_chars: int = 1 << 22) -> DataFrame:
     """(id, piece, start, length, ids_crc32): the pieces of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +160,14 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, closing_id: int,
                 at = end
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id").take(pa.array(which, pa.int64())), pa.array(cols[0], pa.int32())] + [pa.array(c, pa.int64()) for c in cols[1:]],
+                    [b.column("id").take(pa.array(which, pa.int64())),
+                        pa.array(cols[0], pa.int32())] + [pa.array(c, pa.int64()) for c in cols[1:]],
                     ["id", "piece", "start", "length", "ids_crc32"],
                 )
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return in_batches(slim, run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class Complements:
@@ -266,7 +268,8 @@ def placements(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[i
     return {n: np.array(x, np.int64) for n, x in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, closing_id: int = 1, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = 500) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, closing_id: int = 1, id_col: str = "doc_id",
+    text_col: str = "text", slice_rows: int = 500) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) for every piece.
 
     A null or empty text is one piece that holds the closing id alone. Repeated
@@ -285,7 +288,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(before, ["length", "salt"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    ranked = ranked.join(before, ["length", "salt"]).select("id", "piece", "start", "length", "ids_crc32",
+        (F.col("rank") + F.col("before")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -299,8 +303,9 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int =
                     seq[part] = rows[at, 1] + rank[part] - rows[at, 0]
                     off[part] = rows[at, 2]
             names = ["id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(off)],
+                [*names, "sequence_id", "offset"])
 
     kind = pieces.schema["id"].dataType.simpleString()
-    out = ranked.mapInArrow(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = in_batches(ranked, place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

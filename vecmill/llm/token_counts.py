@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.llm.common import load_tokenizer
+from vecmill.llm.common import in_batches, load_tokenizer
 
 GUARD = 64  # characters; longer than every special string
 
@@ -91,7 +91,8 @@ def count_tokens(texts: list[str], tokenizer, huge_chars: int = 65536, batch_cha
 
 
 def token_counts(
-    docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", huge_chars: int = 65536
+    docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, id_col: str = "doc_id", text_col: str = "text",
+        huge_chars: int = 65536
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row.
 
@@ -104,11 +105,12 @@ def token_counts(
         tok = load_tokenizer(tokenizer)
         for b in batches:
             counts = count_tokens([x or "" for x in b.column("text").to_pylist()], tok, huge_chars)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(counts, pa.int64())],
+                ["id", "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long").select(
+    return in_batches(slim, run, f"id {kind}, n_bytes long, n_tokens long").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

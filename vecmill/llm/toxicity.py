@@ -16,10 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecmill.llm.common import first_by_hash
+from vecmill.llm.common import first_by_hash, in_batches
 
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5, 6)
@@ -74,77 +75,130 @@ def _means(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def window_means(scores: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """Mean of every run of ``width`` words (of all, if fewer)."""
-    if len(scores) <= width:
-        return scores.mean(keepdims=True)
-    sums = np.concatenate([[0], np.cumsum(scores)])
-    return (sums[width:] - sums[:-width]) / width
+    return _window_means(scores, np.array([0, len(scores)]), width)[0]
+
+
+def _window_means(scores: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The means of each text's windows one after another, and where each text's begin; texts lie between ``ends`` and hold a word at least."""
+    begins, sizes = ends[:-1], np.diff(ends)
+    counts = np.maximum(1, sizes - width + 1)
+    firsts = np.concatenate([[0], np.cumsum(counts)])
+    at = np.repeat(begins - firsts[:-1], counts) + np.arange(firsts[-1])
+    held = np.repeat(np.minimum(sizes, width), counts)
+    padded, total = np.concatenate([scores, np.zeros(width)]), np.zeros(len(at))
+    for i in range(width):
+        total += np.where(i < held, padded[at + i], 0.0)
+    return total / held, firsts[:-1]
+
+
+def _first_largest(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Of each run of values the place, from 0, of its largest one, the first of equals."""
+    sizes = np.diff(np.append(begins, len(values)))
+    at = np.flatnonzero(values == np.repeat(np.maximum.reduceat(values, begins), sizes))
+    owner = np.repeat(np.arange(len(begins)), sizes)[at]
+    _, first = np.unique(owner, return_index=True)
+    return at[first] - begins
+
+
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(words of all texts, how many each has): lower case, cut at white space; null texts have none."""
+    split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())))
+    owner, words = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy()), split.flatten()
+    real = pc.greater(pc.binary_length(words), 0)
+    return words.filter(real).dictionary_encode(), np.bincount(owner[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
 @dataclass
 class SubwordBag:
-    """``shares``: for each bucket, its embedding times (toxic - clean) softmax weights."""
+    """``shares``: for each bucket, its embedding times (toxic - clean) softmax weights. Remembers up to ``limit`` words of up to ``longest`` characters."""
 
     shares: np.ndarray
     bias: float
     limit: int = 200_000
-    known: dict[str, float] = field(default_factory=dict, repr=False)
-
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    longest: int = 40
+    known: tuple[pa.Array, np.ndarray] | None = field(default=None, repr=False)
+
+    def of_words(self, words: pa.Array) -> np.ndarray:
+        """The share in the logit of each of these distinct words."""
+        words = words.cast(pa.string())
+        held, scores = self.known or (pa.array([], pa.string()), np.zeros(0))
+        at = pc.index_in(words, value_set=held)
+        fresh = np.asarray(at.is_null())
+        out = np.zeros(len(words))
+        out[~fresh] = scores[at.drop_null().to_numpy()]
+        if fresh.any():
+            new = words.filter(pa.array(fresh))
+            buckets, begins = word_grams(new.to_pylist())
+            out[fresh] = _means(self.shares[buckets], begins)
+            short = pc.utf8_length(new).to_numpy() <= self.longest
+            if len(held) + short.sum() > self.limit:
+                held, scores, short = held[:0], scores[:0], short & (np.cumsum(short) <= self.limit)
+            self.known = pa.concat_arrays([held, new.filter(pa.array(short))]), np.concatenate([scores, out[fresh][short]])
+        return out
+
+    def score(self, texts: list[str | None] | pa.Array) -> np.ndarray:
         """Probability that each text is toxic."""
-        split = [t.lower().split() if t else [] for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        fresh = list(set().union(*split).difference(self.known)) if split else []
-        if fresh:
-            self.known.update(zip(fresh, _means(self.shares[(g := word_grams(fresh))[0]], g[1]).tolist(), strict=True))
-        get = self.known.__getitem__
-        logits = [window_means(np.fromiter(map(get, ws), np.float64, len(ws))).max() if ws else 0.0 for ws in split]
-        x = np.clip(np.array(logits, np.float64) + self.bias, -50, 50)
-        p = 1 / (1 + np.exp(-x))
-        p[[not ws for ws in split]] = 0.0
+        words, sizes = words_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        p, some = np.zeros(len(sizes)), sizes > 0
+        if some.any():
+            scores = self.of_words(words.dictionary)[words.indices.to_numpy()]
+            means, begins = _window_means(scores, np.concatenate([[0], np.cumsum(sizes[some])]))
+            p[some] = 1 / (1 + np.exp(-np.clip(np.maximum.reduceat(means, begins) + self.bias, -50, 50)))
         return p
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
+        return self.__dict__ | {"known": None}
 
 
-def train(texts: list[str], toxic: list[int], dim: int = 8, warm: int = 40, steps: int = 160, rate: float = 0.05, seed: int = 3) -> SubwordBag:
+def train(texts: list[str], toxic: list[int], dim: int = 8, warm: int = 40, steps: int = 160, rate: float = 0.05,
+    seed: int = 3) -> SubwordBag:
     """Joint training by Adam over the whole sample; a model that calls all clean if a class is missing."""
-    kept = [(t.lower().split(), y) for t, y in zip(texts, toxic, strict=True) if t and t.split()]
-    y = np.array([v for _, v in kept], np.float64)
+    words, counts = words_of(pa.array(texts, pa.string()))
+    y = np.array([v for v, n in zip(toxic, counts, strict=True) if n], np.float64)
     if not len(y) or y.min() == y.max():
         return SubwordBag(np.zeros(BUCKETS, np.float64), 10.0 if len(y) and y.min() == 1 else -10.0)
-    vocab: dict[str, int] = {}
-    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in ws], np.int64) for ws, _ in kept]
-    buckets, begins = word_grams(list(vocab))
+    vocab = words.dictionary.to_pylist()
+    buckets, begins = word_grams(vocab)
     sizes = np.diff(np.append(begins, len(buckets)))
-    owner = np.repeat(np.arange(len(vocab), dtype=np.int32), sizes)
-    flat, starts = np.concatenate(ids), np.cumsum([0, *(len(i) for i in ids)])
+    # grams are many, so they are gone through a part at a time
+    parts = [(i, min(len(vocab), i + 8192)) for i in range(0, len(vocab), 8192)]
+    ends = np.append(begins, len(buckets))
+    flat, starts = words.indices.to_numpy().astype(np.int32), np.concatenate([[0], np.cumsum(counts[counts > 0])])
+    del words, texts
     rng = np.random.default_rng(seed)
     emb, soft, bias = rng.normal(size=(BUCKETS, dim)) * 0.1, rng.normal(size=(2, dim)) * 0.1, np.zeros(2)
     params = [emb, soft, bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    spans = [(int(a), int(b)) for a, b in zip(starts, starts[1:], strict=False)]
+    spans = np.stack([starts[:-1], starts[1:]], 1)
 
     def logits() -> np.ndarray:
-        return _means((emb @ (soft[1] - soft[0])).astype(np.float32)[buckets], begins)[flat]
+        shares, own = emb @ (soft[1] - soft[0]), np.empty(len(vocab))
+        for i, j in parts:
+            own[i:j] = _means(shares[buckets[ends[i] : ends[j]]], begins[i:j] - begins[i])
+        return own[flat]
+
+    def by_bucket(per_word: np.ndarray) -> np.ndarray:
+        out = np.zeros(BUCKETS)
+        for i, j in parts:
+            out += np.bincount(buckets[ends[i] : ends[j]], np.repeat(per_word[i:j], sizes[i:j]), BUCKETS)
+        return out
 
     for step in range(1, warm + steps + 1):
         words = logits()
         if step > warm and step % 2:  # each document's most toxic window so far
-            spans = []
-            for a, b in zip(starts, starts[1:], strict=False):
-                w = int(window_means(words[a:b]).argmax())
-                spans.append((int(a) + w, int(min(b, a + w + WIDTH))))
-        pos = np.concatenate([np.arange(a, b) for a, b in spans])
-        n = np.array([b - a for a, b in spans])
-        doc = np.repeat(np.arange(len(n)), n)
+            means, firsts = _window_means(words, starts)
+            best = _first_largest(means, firsts)
+            begins_at = starts[:-1] + best
+            spans = np.stack([begins_at, np.minimum(starts[1:], begins_at + WIDTH)], 1)
+        n = spans[:, 1] - spans[:, 0]
+        pos = np.repeat((spans[:, 0] - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         z = np.bincount(doc, words[pos], len(n)) / n + bias[1] - bias[0]
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         d = (p - y) * weight
         per_word = np.bincount(flat[pos], (d / n)[doc], len(vocab)) / sizes
-        per_bucket = np.bincount(buckets, per_word[owner], BUCKETS)
+        per_bucket = by_bucket(per_word)
         lean = per_bucket @ emb
         grads = [np.outer(per_bucket, soft[1] - soft[0]) + 1e-6 * emb, np.stack([-lean, lean]), np.array([-d.sum(), d.sum()])]
         for q, g, m, v in zip(params, grads, first, second, strict=True):
@@ -152,7 +206,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, warm: int = 40, step
             v += 0.01 * (g * g - v)
             q -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     words = logits()
-    top = np.array([window_means(words[a:b]).max() for a, b in zip(starts, starts[1:], strict=False)])
+    top = np.maximum.reduceat(*_window_means(words, starts))
     return SubwordBag(emb @ (soft[1] - soft[0]), -_cut(top, y))
 
 
@@ -166,7 +220,8 @@ def _cut(top: np.ndarray, y: np.ndarray) -> float:
     return float((s[max(k - 1, 0)] + s[min(k, len(s) - 1)]) / 2)
 
 
-def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held: int, most: int, longest: int) -> tuple[list[str], list[int]]:
+def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held: int, most: int,
+    longest: int) -> tuple[list[str], list[int]]:
     """At most ``most`` labelled documents of either class, the first by a hash of the id, of at most ``longest`` characters."""
     named = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where(
         F.col("id").isNotNull() & F.col("toxic").isin(0, 1) & (F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) != held)
@@ -181,7 +236,8 @@ def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [r["text"] for r in got], [r["toxic"] for r in got]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 0, train_docs: int = 2000, train_chars: int = 6_000, extra: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: int = 0,
+    train_docs: int = 2000, train_chars: int = 6_000, extra: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
     """(id, held_out, score, predicted, *extra) for every row; labels join by the same id.
 
     ``keep_text`` hands the texts on as ``_vm_text``.
@@ -195,19 +251,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     given = docs.sparkSession.sparkContext.broadcast(train(*learning_sample(docs, labels, id_col, text_col, held, train_docs, train_chars)))
     slim = docs.select(
-        F.col(id_col).alias("_vm_id"), F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == held, F.lit(False)).alias("_vm_held"), *extra, F.col(text_col).cast("string").alias("_vm_text")
+        F.col(id_col).alias("_vm_id"), F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == held,
+            F.lit(False)).alias("_vm_held"), *extra, F.col(text_col).cast("string").alias("_vm_text")
     )
 
     passed = (*extra, *["_vm_text"] * keep_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                cols = [b.column("_vm_id"), b.column("_vm_held"), *(b.column(c) for c in passed)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(given.value.score(b.column("_vm_text").to_pylist()), pa.float64())], ["_vm_id", "_vm_held", *passed, "_vm_score"])
+            cols = [batch.column(c) for c in ("_vm_id", "_vm_held", *passed)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(given.value.score(batch.column("_vm_text")), pa.float64())],
+                ["_vm_id", "_vm_held", *passed, "_vm_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if keep_text or f.name != "_vm_text")
-    out = slim.mapInArrow(run, f"{kinds}, _vm_score double")
+    out = in_batches(slim, run, f"{kinds}, _vm_score double")
     score = F.col("_vm_score")
-    return out.select(F.col("_vm_id").alias(id_col), F.col("_vm_held").alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), *passed)
+    return out.select(F.col("_vm_id").alias(id_col), F.col("_vm_held").alias("held_out"), score.alias("score"),
+        (score >= 0.5).cast("int").alias("predicted"), *passed)
