@@ -48,6 +48,43 @@ def test_letters_stay_where_no_language_is_known(spark, docs, corpus, tables):
     assert left == sorted(i for i, t, *_ in corpus if t and any(c.isalpha() for c in t)) and left
 
 
+def test_indifferent_texts_go(spark, tables, monkeypatch):
+    """The stage rejects by the network's probability: all of a threshold above certainty, none of a mere guess."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 100")
+    lettered = docs.where("text rlike '[a-z]'").count()
+    for sure, left in ((0.0, lettered), (1.1, lettered), (1e9, 0)):
+        monkeypatch.setattr(cp, "SURE", sure)
+        assert cp.drop_unidentified(spark, docs, tables).count() == left
+    one = docs.withColumn("lang", F.lit("en"))
+    assert cp.drop_unidentified(spark, one, tables).count() == lettered  # of one language there is nothing to tell
+
+
+def test_null_ids_and_repeated_rows(spark, tables):
+    """Every stage takes them; what the last one packs are the tokens of the texts that the mix made."""
+    from collections import Counter
+
+    from vecmill.llm.common import load_tokenizer
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").where("doc_id < 200")
+    odd = docs.limit(4).withColumn("doc_id", F.lit(None).cast("long"))
+    docs = docs.unionByName(odd).unionByName(docs.limit(3)).cache()
+    for name, stage in cp.STAGES[:-1]:
+        after = stage(spark, docs, tables).cache()
+        assert after.columns == docs.columns and after.count() > 0, name
+        if name in ("toxicity", "language"):
+            assert after.where("doc_id is null").count() == 4 and after.count() == docs.count(), name
+        docs = after
+    tok = load_tokenizer("word_bpe_49k.json")
+    want = Counter((r["doc_id"], len(tok.encode(r["text"], add_special_tokens=False).ids) + 1) for r in docs.collect())
+    got = Counter()
+    for r in cp.pack_sequences(spark, docs, tables).collect():
+        got[r["doc_id"]] += r["length"]
+    sums = Counter()
+    for (i, n), times in want.items():
+        sums[i] += n * times
+    assert got == sums
+
+
 def test_run_and_nothing(spark, tables, tmp_path):
     assert cp.run(spark, tables).count() > 0
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)

@@ -1,6 +1,8 @@
 import base64
+import gzip
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -20,7 +22,7 @@ def turns(spark):
         roles = (["system"] if conv % 3 == 0 else []) + ["user", "assistant"] * rng.randint(0, 12)
         for t, role in enumerate(roles):
             rows.append((conv, t, role, rng.choice(HOSTILE) if rng.random() < 0.3 else prose(rng, "en", rng.choice([1, 20, 90]))))
-    rows += [(50, 0, "assistant", None), (51, 0, None, "x"), (52, 1, "user", "b"), (52, 1, "user", "a"), (52, None, "assistant", "first"), (None, 0, "user", "nobody's"), (53, 0, "ro\\nle\n<|im_end|>", "t"), (54, 0, "user", "same"), (54, 0, "user", "same")]
+    rows += [(50, 0, "assistant", None), (51, 0, None, "x"), (52, 1, "user", "b"), (52, 1, "user", "a"), (52, None, "assistant", "first"), (None, 0, "user", "nobody's"), (53, 0, "ro\\nle\n<|im_end|>", "t"), (55, 0, "a\0\1b", "t"), (55, 1, "\\s\\\\n\\", "t"), (55, 2, "<\\|<|\\n\n", "t"), (54, 0, "user", "same"), (54, 0, "user", "same")]
     return rows, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("clash"))
 
 
@@ -41,23 +43,54 @@ def test_chat_round_trip(turns, budget):
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(ts), sha(said), len(learnt), sha(learnt))
 
 
-def test_chat_windows(turns):
+def chat_tokens(texts):
+    return sum(len(re.findall(r"\w+|[^\w\s]", t)) + 4 for t in texts)
+
+
+@pytest.mark.parametrize("budget", [60, 200, 1024])
+def test_chat_windows(turns, budget):
+    """Every window keeps its budget, but where the system turn and one turn alone exceed it."""
     _, df = turns
-    tokens = lambda texts: sum(len(__import__("re").findall(r"\w+|[^\w\s]", t)) + 4 for t in texts)
-    for r in chat.windows(df, 200).withColumn("turns", chat.read_turns(F.col("formatted"))).collect():
+    over = 0
+    for r in chat.windows(df, budget).withColumn("turns", chat.read_turns(F.col("formatted"))).collect():
         assert r["formatted"].count(chat.START) == r["formatted"].count(chat.END) == len(r["turns"]) == r["repeated"] + r["fresh"]
-        if r["fresh"] > 1 + (r["turns"][0]["role"] == "system"):
-            assert tokens(t["text"] for t in r["turns"]) <= 200
+        if chat_tokens(t["text"] for t in r["turns"]) > budget:
+            assert len(r["turns"]) == 1 + (r["turns"][0]["role"] == "system")
+            over += 1
         if r["window"] > 0 and r["conv_id"] is not None and r["conv_id"] < 25 and r["conv_id"] % 3 == 0:
             assert r["turns"][0]["role"] == "system" and r["repeated"] >= 1
+    assert over or budget > 60
     assert chat.windows(df.limit(0)).count() == 0
 
 
-def test_warc(spark, tmp_path):
-    rows = [(i, f"http://x/{i}", t) for i, t in enumerate(["a", "b", "a", "", None, "a\r\n\r\nWARC/1.1\r\nb", "é" * 3000, "a"])] + [(None, None, "b"), (9, "u\r\nWARC-Type: x", "z"), (9, "u2", "z")]
+def test_history_gives_way_to_new_turns(spark):
+    """Sizes in tokens, marks included; each window's (repeated, fresh) turns."""
+    words = lambda n: " ".join(["w"] * (n - 4))
+
+    def spans(*sizes, system=0):
+        rows = [(1, t, "system" if t < bool(system) else "user", words(n)) for t, n in enumerate((system, *sizes) if system else sizes)]
+        wins = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 1024).orderBy("window").collect()
+        return [(r["repeated"], r["fresh"]) for r in wins]
+
+    assert spans(704, 244, 254, 904) == [(0, 2), (1, 1), (0, 1)]  # 254 and 904 together would be too long
+    assert spans(100, 1504, 100, 200) == [(0, 1), (0, 1), (0, 2)]  # longer than the budget: alone
+    assert spans(400, 500, 100, system=200) == [(0, 2), (1, 2)]
+    assert spans(400, 300, 350, 100, system=200) == [(0, 3), (2, 2)]
+    assert spans(500, 100, system=1100) == [(0, 2), (1, 1)]
+
+
+PAGES = [(i, f"http://x/{i}", t) for i, t in enumerate(["a", "b", "a", "", None, "a\r\n\r\nWARC/1.1\r\nb", "é" * 3000, "a", "z\0" * 40_000])] + [(None, None, "b"), (9, "u\r\nWARC-Type: x", "z"), (9, "u2", "z"), (9, "u2", "z")]
+
+
+@pytest.mark.parametrize("sent", [32 << 20, 0])
+def test_warc(spark, tmp_path, sent):
+    """Keys of revisits are sent, or joined; clashing columns, repeated rows and null ids beside them."""
+    rows = PAGES
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for name in ("id", "payload", "payload_digest", "refers_to", "gone", "n", "value"):
+        df = df.withColumn(name, F.lit("clash"))
     path = f"file://{tmp_path}/w"
-    warc.write_archives(warc.records(df), path, records_per_file=2)
+    warc.write_archives(warc.records(df, sent_bytes=sent), path, records_per_file=2)
     back = warc.read_archives(spark, path).cache()
     got = sorted((r["id"] or "", r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in back.collect())
     want = []
@@ -66,13 +99,40 @@ def test_warc(spark, tmp_path):
         same = [j for j, _, h in rows if (h or "") == (html or "")]
         top = max(j for j in same if j is not None)
         want.append((str(i) if i is not None else "", len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if i == top else "revisit", None if i == top else str(top)))
-    assert got == sorted(want, key=lambda x: (x[0], x[1], x[2], x[3], x[4] or ""))
+    key = lambda x: (x[0], x[1], x[2], x[3], x[4] or "")
+    assert sorted(got, key=key) == sorted(want, key=key)
     restored = sorted((r["id"] or "", bytes(r["payload"]).decode()) for r in warc.restore_payloads(back).collect())
     assert restored == sorted((str(i) if i is not None else "", h or "") for i, _, h in rows)
     warc.write_archives(warc.records(df, min_bytes=2), f"{path}2")
     kinds = {r["id"]: r["record_type"] for r in warc.read_archives(spark, f"{path}2").collect()}
     assert kinds["0"] == kinds["2"] == kinds["3"] == "response"
     warc.write_archives(warc.records(df.limit(0)), f"{path}3")
+    assert warc.read_archives(spark, f"{path}3").count() == 0
+
+
+def test_a_gzip_member_for_each_record(spark, tmp_path):
+    """Any gzip reader gets the records; each member is one record, with headers of its own."""
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.records(df), f"file://{tmp_path}/w")
+    found, idents = 0, set()
+    for path in tmp_path.rglob("part-*"):
+        data = path.read_bytes()
+        assert gzip.decompress(data).count(b"WARC/1.1\r\nWARC-Type") == data.count(b"\x1f\x8b\x08\0\0\0\0\0")
+        while data:
+            z = zlib.decompressobj(31)
+            text = z.decompress(data)
+            assert text.startswith(b"WARC/1.1\r\n") and text.endswith(b"\r\n\r\n") and z.eof
+            idents.add(re.search(rb"WARC-Record-ID: (.*?)\r\n", text)[1])
+            data, found = z.unused_data, found + 1
+    assert found == len(PAGES) and len(idents) == len(PAGES) - 1  # two rows are equal
+    assert {p.parent.name for p in tmp_path.rglob("part-*")} == {"0", "1"}
+
+
+def test_members_of_more_than_16_mb(spark, tmp_path):
+    html = "x" * (17 << 20)
+    df = spark.createDataFrame([(1, "u", html), (2, "u", "y")], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.records(df), f"file://{tmp_path}/w")
+    assert sorted((r["id"], r["payload_bytes"]) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()) == [("1", len(html)), ("2", 1)]
 
 
 def test_targets():
@@ -110,9 +170,62 @@ def test_mixing(docs, corpus, nothing):
     assert mixing.taken_words(*mixing.mix(nothing)).count() == 0
 
 
+def test_mix_against_its_slots(docs, corpus):
+    """The mix rebuilt: streams of words cut into blocks, every slot one block of its source or its beginning, no block twice in a pass."""
+    documents, taken = mixing.mix(docs, block_words=8, shard_slots=16)
+    placed = {(r["sid"], r["from"]): r for r in documents.where("size > 0").collect()}
+    streams = {}
+    for (sid, at), r in sorted(placed.items()):
+        assert len(streams.setdefault(sid, [])) == at  # documents lie one after another
+        streams[sid] += [(r["doc_id"], i) for i in range(r["size"])]
+    slots = {}
+    for r in taken.collect():
+        slots.setdefault((r["sid"], r["number"], r["pass"]), []).append((r["from"] + r["skip"], r["take"]))
+    seen, got = set(), {}
+    for (sid, _, turn), parts in slots.items():
+        parts.sort()
+        block, rest = divmod(parts[0][0], 8)
+        assert rest == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and (sid, turn, block) not in seen
+        seen.add((sid, turn, block))
+        for at, n in parts:
+            for doc, _ in streams[sid][at : at + n]:
+                got[doc] = got.get(doc, 0) + 1
+    want = {}
+    for r in mixing.taken_words(documents, taken).collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["taken"]
+    assert got == {k: v for k, v in want.items() if v}
+    for sid, stream in streams.items():  # all passes but the last are whole
+        turns = [t for s, t, _ in seen if s == sid]
+        assert all(turns.count(t) == -(-len(stream) // 8) for t in range(max(turns, default=0)))
+
+
+def test_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    df = spark.range(4).selectExpr("id as doc_id", "'a b' as text", "cast(id as string) as source")
+    with pytest.raises(ValueError):
+        mixing.mix(df)
+    assert mixing.taken_words(*mixing.mix(df.where("doc_id < 3"))).count() == 3
+
+
+def test_null_and_shared_ids(spark):
+    """Null ids, repeated rows and rows that share an id, in the operators that give a row for each row."""
+    rows = [(None, "the first word", "a"), (None, "the first word", "a"), (7, "the second", None), (7, "another text of it", "a"), (7, None, "b"), (8, "some more words", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    prints = spotsigs.fingerprints_with_edits(df).collect()
+    assert sorted((r["doc_id"] or -1, r["n_chars"]) for r in prints) == sorted((i or -1, len(t or "")) for i, t, _ in rows)
+    assert len({r["fingerprint"] for r in prints if r["doc_id"] is None}) == 1
+    mixed = mixing.taken_words(*mixing.mix(df)).collect()
+    assert sorted((r["doc_id"] or -1, r["size"]) for r in mixed) == sorted((i or -1, len((t or "").split())) for i, t, _ in rows)
+    found = language.identify(df.withColumn("lang", F.lit("en"))).collect()
+    assert sorted(((r["doc_id"] or -1), r["held_out"], r["lang_pred"]) for r in found) == sorted((i or -1, i is not None and zlib.crc32(str(i).encode()) % 4 == 2, "en" if t else "und") for i, t, _ in rows)
+    labels = spark.createDataFrame([(7, 1), (7, 1), (None, 0), (8, 0)], "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(df, labels).collect()
+    assert sorted((r["doc_id"] or -1, r["held_out"]) for r in scored) == sorted((i or -1, i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for i, *_ in rows)
+
+
 def test_fingerprints(docs, corpus, nothing):
     got = {}
-    for r in spotsigs.fingerprints_with_edits(docs, bucket_docs=7).collect():
+    for r in spotsigs.fingerprints_with_edits(docs, bucket_docs=20).collect():
         got.setdefault(r["doc_id"], []).append(r)
     order = sorted(corpus, key=lambda r: -r[0])
     prints = {}
@@ -189,11 +302,20 @@ def test_positions_are_labelled_and_pooled():
     texts = [prose(rng, k, 60) for k in ("en", "de") for _ in range(40)]
     net = language.train(texts, ["en"] * 40 + ["de"] * 40, steps=150)
     text = prose(rng, "de", 400)
-    x = language.windows_of(text.encode())
-    assert net.tag(x.astype(np.intp)).shape == (language.SPAN, 2, x.shape[1])
+    x, letters = language.windows_of(text)
+    assert net.tag(x.astype(np.intp)).shape == (language.SPAN, 2, x.shape[1]) and letters.sum() == len([c for c in text.encode() if c >= 128 or chr(c).isalpha()])
     assert language.predict(net, [text, None, "12"], width=3) == [("de", pytest.approx(language.predict(net, [text])[0][1], abs=1e-5)), ("und", 0.0), ("und", 0.0)]
 
 
+def test_letters_are_of_letter_categories():
+    net = language.train(["some words", "de mots"], ["en", "fr"], steps=2)
+    none = ["½ ² Ⅷ ①", "…“”—", "😀🇫🇷", "12 ̀", "\u0300", "٣", ""]
+    assert language.predict(net, none) == [("und", 0.0)] * len(none)
+    assert all(p != "und" for p, _ in language.predict(net, ["½a", "漢", "ª", "ʰ", "𝄞é", "\ud800x"]))
+    data, letters = language.letter_bytes("a½é…漢😀𝒳\ud800")
+    assert (len(data), letters.astype(int).tolist()) == (20, [1, 0, 0, 1, 1, 0, 0, 0, 1, 1, 1, 0, 0, 0, 0, 1, 1, 1, 1, 0])
+
+
 def toxic_rows(n, rng):
     slurs = ["idiotz", "moronz", "scumz"]
     rows = []

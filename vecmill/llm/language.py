@@ -8,9 +8,9 @@ laid out (units, windows), so every gate is one contiguous block.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +18,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vecmill.llm.common import in_batches
+
 SPAN = 64
 #: More languages than these are refused, never left out.
 MOST_LANGUAGES = 512
-LETTER = re.compile(r"[^\W\d_]")
-#: Bytes that belong to letters: ASCII letters, and all of longer encodings.
-LETTERS = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category (L*): fractions, Roman numerals, digits and signs are none."""
+    return any(map(str.isalpha, text))
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """By code point."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+
+
+def letter_bytes(text: str) -> tuple[bytes, np.ndarray]:
+    """The text in UTF-8, and which of its bytes belong to letters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    sizes = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    return text.encode("utf-8", "replace"), np.repeat(_letters()[codes], sizes)
 
 
 @dataclass
@@ -40,7 +57,8 @@ class ByteTagger:
     def fresh(cls, labels: list[str], units: int, seed: int) -> ByteTagger:
         rng = np.random.default_rng(seed)
         draw = lambda *shape, by: (rng.normal(size=shape) * by).astype(np.float32)
-        return cls(labels, draw(2, 3 * units, 256, by=0.3), draw(2, 3 * units, units, by=units**-0.5), draw(len(labels), 2 * units, by=0.1), np.zeros((len(labels), 1), np.float32))
+        return cls(labels, draw(2, 3 * units, 256, by=0.3), draw(2, 3 * units, units, by=units**-0.5),
+            draw(len(labels), 2 * units, by=0.1), np.zeros((len(labels), 1), np.float32))
 
     def _direction(self, d: int, x: np.ndarray, kept: list | None = None) -> np.ndarray:
         """States (T, H, N) in reading order of direction d over the bytes x (T, N)."""
@@ -113,31 +131,35 @@ class ByteTagger:
         return loss, [g_inputs, g_hidden, g_out, p.sum((0, 2))[:, None]]
 
 
-def windows_of(data: bytes, span: int = SPAN) -> np.ndarray:
-    """(T, N) bytes, zeros after the end."""
+def windows_of(text: str, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
+    """(T, N) bytes, and which are of letters; zeros after the end."""
+    data, letters = letter_bytes(text)
     n = -(-len(data) // span)
-    x = np.zeros(n * span, np.uint8)
+    x, own = np.zeros(n * span, np.uint8), np.zeros(n * span, bool)
     x[: len(data)] = np.frombuffer(data, np.uint8)
-    return x.reshape(n, span).T
+    own[: len(data)] = letters
+    return x.reshape(n, span).T, own.reshape(n, span).T
 
 
-def train(texts: list[str], langs: list[str], units: int = 16, steps: int = 500, batch: int = 256, rate: float = 0.01, seed: int = 5) -> ByteTagger | None:
+def train(texts: list[str], langs: list[str], units: int = 16, steps: int = 500, batch: int = 256, rate: float = 0.01,
+    seed: int = 5) -> ByteTagger | None:
     """Adam on windows drawn evenly from the languages. None without anything to learn from."""
-    by: dict[str, list[np.ndarray]] = {}
+    by: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     for text, lang in zip(texts, langs, strict=True):
-        if text and LETTER.search(text):
-            by.setdefault(lang, []).append(windows_of(text.encode("utf-8", "replace")))
+        if text and has_letter(text):
+            by.setdefault(lang, []).append(windows_of(text))
     if not by:
         return None
     labels = sorted(by)
-    pools = [np.concatenate(by[k], 1) for k in labels]
+    pools = [[np.concatenate(x, 1) for x in zip(*by[k], strict=True)] for k in labels]
     net, rng = ByteTagger.fresh(labels, units, seed), np.random.default_rng(seed)
     params = [net.inputs, net.hidden, net.out, net.bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     each = max(1, batch // len(labels))
     for step in range(1, steps + 1):
-        x = np.concatenate([p[:, rng.integers(0, p.shape[1], each)] for p in pools], 1).astype(np.intp)
-        weight = LETTERS[x].astype(np.float32)
+        drawn = [(p, own, rng.integers(0, p.shape[1], each)) for p, own in pools]
+        x = np.concatenate([p[:, at] for p, _, at in drawn], 1).astype(np.intp)
+        weight = np.concatenate([own[:, at] for _, own, at in drawn], 1).astype(np.float32)
         weight[0, 0] += 1e-6
         _, grads = net.gradients(x, np.repeat(np.arange(len(labels)), each), weight)
         now = rate * min(1, 3 * (1 - step / (steps + 1)))
@@ -153,13 +175,13 @@ def predict(net: ByteTagger | None, texts: list[str | None], width: int = 2048)
     """(language, probability) of each text; ``und`` and 0 for a text without a letter, or without a model."""
     sums = np.zeros((len(texts), len(net.labels) if net else 1))
     width = min(width, max(64, 2048 * 64 // sums.shape[1]))
-    pending: list[np.ndarray] = []
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
     owners: list[tuple[int, int]] = []
 
     def flush() -> None:
-        x = np.concatenate(pending, 1)
+        x, letters = (np.concatenate(x, 1) for x in zip(*pending, strict=True))
         p = net.tag(x.astype(np.intp))
-        p *= LETTERS[x][:, None, :]
+        p *= letters[:, None, :]
         pooled, at = p.sum(0, dtype=np.float64), 0
         for i, n in owners:
             sums[i] += pooled[:, at : at + n].sum(1)
@@ -169,13 +191,15 @@ def predict(net: ByteTagger | None, texts: list[str | None], width: int = 2048)
 
     have = 0
     for i, text in enumerate(texts):
-        if net and text and LETTER.search(text):
-            x, at = windows_of(text.encode("utf-8", "replace")), 0
+        if net and text and has_letter(text):
+            x, letters = windows_of(text)
+            at = 0
             while at < x.shape[1]:
-                part = x[:, at : at + width - have]
-                pending.append(part)
-                owners.append((i, part.shape[1]))
-                have, at = have + part.shape[1], at + part.shape[1]
+                part = slice(at, at + width - have)
+                pending.append((x[:, part], letters[:, part]))
+                n = pending[-1][0].shape[1]
+                owners.append((i, n))
+                have, at = have + n, at + n
                 if have >= width:
                     flush()
                     have = 0
@@ -188,9 +212,11 @@ def predict(net: ByteTagger | None, texts: list[str | None], width: int = 2048)
     return out
 
 
-def learning_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held: int, most: int, spots: int = 8, chars: int = 128) -> tuple[list[str], list[str]]:
+def learning_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, held: int, most: int, spots: int = 8,
+    chars: int = 128) -> tuple[list[str], list[str]]:
     """Pieces of at most ``most`` documents of each language, the first by a hash of the id, spread over their texts."""
-    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("text"),
+        F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32("i"), F.lit(4)) != held))
     counts = rows.groupBy("lang").count()
     langs = counts.count()
@@ -198,7 +224,8 @@ def learning_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
         raise ValueError(f"{langs} languages to learn, more than {MOST_LANGUAGES}")
     most = min(most, max(1, 64 * most // max(1, langs)))  # what comes to the driver is bounded
     n = F.length("text")
-    pieces = F.array_join(F.array(*[F.substring(F.col("text"), F.floor(n * (k / spots)).cast("int") + 1, F.lit(chars)) for k in range(spots)]), " ")
+    pieces = F.array_join(F.array(*[F.substring(F.col("text"), F.floor(n * (k / spots)).cast("int") + 1,
+        F.lit(chars)) for k in range(spots)]), " ")
     h = F.pmod(F.xxhash64(F.col("i"), F.lit("share")), F.lit(1 << 31))
     # of a language about twice as many are cut out before they meet in one task
     cut = F.least(F.lit(1.0), F.lit(2.0 * most + 100) / F.col("count")) * F.lit(float(1 << 31))
@@ -210,8 +237,9 @@ def learning_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return [r["piece"] for r in got], [r["lang"] for r in got]
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = 2, train_docs: int = 400, extra: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
-    """(id, held_out, lang_pred, score, *extra) for every row; ``keep_text`` hands the texts on as ``_vm_text``.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = 2,
+    train_docs: int = 400, extra: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """(id, held_out, lang_pred, score, languages, *extra) for every row; ``languages``: how many were learned; ``keep_text`` hands the texts on as ``_vm_text``.
 
     Learns every language, from at most ``train_docs`` documents of each (of more than 64
     languages 64 * ``train_docs`` in all, shared evenly; more than 512 are an error), never from
@@ -223,7 +251,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     net = train(*learning_sample(docs, id_col, text_col, lang_col, held, train_docs))
     given = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand numbers
     slim = docs.select(
-        F.col(id_col).alias("_vm_id"), F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == held, F.lit(False)).alias("_vm_held"), *extra, F.col(text_col).cast("string").alias("_vm_text")
+        F.col(id_col).alias("_vm_id"), F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == held,
+            F.lit(False)).alias("_vm_held"), *extra, F.col(text_col).cast("string").alias("_vm_text")
     )
 
     passed = (*extra, *["_vm_text"] * keep_text)
@@ -234,8 +263,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 b = batch.slice(at, 512)
                 found = predict(given.value, b.column("_vm_text").to_pylist())
                 cols = [b.column("_vm_id"), b.column("_vm_held"), *(b.column(c) for c in passed)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["_vm_id", "_vm_held", *passed, "_vm_lang", "_vm_score"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x for x, _ in found], pa.string()),
+                    pa.array([x for _, x in found], pa.float64())], ["_vm_id", "_vm_held", *passed, "_vm_lang", "_vm_score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if keep_text or f.name != "_vm_text")
-    out = slim.mapInArrow(run, f"{kinds}, _vm_lang string, _vm_score double")
-    return out.select(F.col("_vm_id").alias(id_col), F.col("_vm_held").alias("held_out"), F.col("_vm_lang").alias("lang_pred"), F.col("_vm_score").alias("score"), *passed)
+    out = in_batches(slim, run, f"{kinds}, _vm_lang string, _vm_score double")
+    return out.select(F.col("_vm_id").alias(id_col), F.col("_vm_held").alias("held_out"), F.col("_vm_lang").alias("lang_pred"),
+        F.col("_vm_score").alias("score"), F.lit(len(net.labels) if net else 0).alias("languages"), *passed)
