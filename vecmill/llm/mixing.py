@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from vecmill.llm.common import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: More sources than these are refused, never left out: their figures go to the driver and to every task.
+MOST_SOURCES = 10_000
 SLOTS_A_TASK = 50_000
 
 
@@ -67,7 +69,8 @@ def permuted(index: Column, size: Column, *keys: Column, rounds: int = 32) -> Co
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), turn)
 
 
-def laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[Column], slice_docs: int = 1000) -> tuple[DataFrame, list[Source]]:
+def laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[Column],
+    slice_docs: int = 1000) -> tuple[DataFrame, list[Source]]:
     """Rows (doc_id, size, sid, from, *keep): where each document's words lie in its source's stream.
 
     Documents of a source are dealt by hash into slices of about
@@ -75,14 +78,21 @@ def laid_out(docs: DataFrame, id_col: str, text_col: str, source_col: str, keep:
     the places, so a source with most documents is spread like the others.
     """
     size = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD), 0)).cast("long")
-    slim = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col).alias("h"), *keep), "sizes")
-    totals = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
+    slim = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"),
+        F.xxhash64(text_col).alias("h"), *keep), "sizes")
+    totals = slim.groupBy("source").agg(F.sum("size").alias("size"),
+        F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()  # a row for each source
+    if len(totals) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources to mix")
     sources = targets({r["source"]: r["size"] for r in totals})
     number = {s.name: s.number for s in sources}
-    spread = docs.sparkSession.createDataFrame([(r["source"], number[r["source"]], 1 + r["n"] // slice_docs) for r in totals], "name string, sid int, slices long")
-    sliced = slim.join(F.broadcast(spread), F.col("source").eqNullSafe(F.col("name"))).withColumn("slice", F.pmod(F.xxhash64("doc_id", "h"), "slices")).drop("name", "slices")
+    spread = docs.sparkSession.createDataFrame([(r["source"], number[r["source"]], 1 + r["n"] // slice_docs) for r in totals],
+        "name string, sid int, slices long")
+    sliced = slim.join(F.broadcast(spread), F.col("source").eqNullSafe(F.col("name"))).withColumn("slice",
+        F.pmod(F.xxhash64("doc_id", "h"), "slices")).drop("name", "slices")
     before = sliced.groupBy("sid", "slice").agg(F.sum("size").alias("words"))
-    before = before.select("sid", "slice", (F.sum("words").over(Window.partitionBy("sid").orderBy("slice")) - F.col("words")).alias("before"))
+    before = before.select("sid", "slice",
+        (F.sum("words").over(Window.partitionBy("sid").orderBy("slice")) - F.col("words")).alias("before"))
     within = Window.partitionBy("sid", "slice").orderBy("doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sliced.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(before, ["sid", "slice"])
     return placed.withColumn("from", F.col("before") + F.col("within")).drop("within", "before", "slice"), sources
@@ -113,7 +123,8 @@ def draw_slots(spark, sources: list[Source], block_words: int, shard_slots: int,
     # a uniform number for each slot picks the source by the cumulative shares
     u = (F.pmod(F.xxhash64(F.lit(seed), "shard", "slot"), F.lit(1 << 53)) / float(1 << 53)).alias("u")
     picked = F.size(F.filter(F.array(*[F.lit(e) for e in edges]) if edges else F.array().cast("array<double>"), lambda e: e <= F.col("u")))
-    cells = spark.range(shards).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("slot")).select("shard", "slot", u)
+    cells = spark.range(shards).select(F.col("id").alias("shard"),
+        F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("slot")).select("shard", "slot", u)
     drawn = cells.select("shard", "slot", picked.alias("sid"))
     counts = drawn.groupBy("shard", "sid").agg(F.count("*").alias("n"))
     # counts run through the shards in groups, so no window holds one row for every shard
@@ -125,22 +136,28 @@ def draw_slots(spark, sources: list[Source], block_words: int, shard_slots: int,
     starts = counts.select("shard", "sid", "n", (F.col("ahead") + F.col("inside")).alias("first"))
     # few rows here become many slots: dealt by their number, not by their present size
     starts = starts.repartition(1 + slots // SLOTS_A_TASK, "shard", "sid")
-    numbered = starts.select("sid", "shard", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select("sid", "shard", (F.col("first") + F.col("k")).alias("number"))
+    numbered = starts.select("sid", "shard", "first",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).select("sid", "shard",
+            (F.col("first") + F.col("k")).alias("number"))
     numbered = numbered.join(F.broadcast(facts.select("sid", "quota")), "sid").where("number < quota").drop("quota")
     # what the draws left over goes to balancing shards
-    lack = facts.join(starts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").select("sid", F.coalesce("n", F.lit(0)).alias("n"), "quota").where("n < quota")
+    lack = facts.join(starts.groupBy("sid").agg(F.sum("n").alias("n")), "sid", "left").select("sid",
+        F.coalesce("n", F.lit(0)).alias("n"), "quota").where("n < quota")
     lack = lack.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - F.col("n") - 1) / shard_slots))))
     begin = F.col("n") + F.col("g") * shard_slots
     lack = lack.select("sid", F.explode(F.sequence(begin, F.least(begin + shard_slots, "quota") - 1)).alias("number"))
-    balancing = lack.select("sid", (shards + F.pmod(F.xxhash64(F.lit(seed), "sid", "number"), F.lit(1 + shards // 64))).alias("shard"), "number")
+    balancing = lack.select("sid", (shards + F.pmod(F.xxhash64(F.lit(seed), "sid", "number"), F.lit(1 + shards // 64))).alias("shard"),
+        "number")
     every = numbered.unionByName(balancing).join(F.broadcast(facts), "sid")
     every = every.withColumn("pass", F.floor(F.col("number") / F.col("blocks")).cast("int")).withColumn("k", F.pmod("number", "blocks"))
     every = every.withColumn("block", permuted(F.col("k"), F.col("blocks"), F.lit(seed), F.col("sid"), F.col("pass")))
-    words = F.when(F.col("pass") < F.col("passes"), F.lit(block_words)).otherwise(F.least(F.lit(block_words), F.col("rest") - F.col("k") * block_words))
+    words = F.when(F.col("pass") < F.col("passes"),
+        F.lit(block_words)).otherwise(F.least(F.lit(block_words), F.col("rest") - F.col("k") * block_words))
     return every.select("sid", "shard", "number", "pass", "block", words.cast("long").alias("words"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 4096, seed: int = 7, keep: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64,
+    shard_slots: int = 4096, seed: int = 7, keep: tuple[Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(documents, taken): the laid-out documents with their source's figures, and the mix.
 
     documents: doc_id, size, h, source, sid, from, source_size, target, *keep.
@@ -150,14 +167,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null texts have no words; empty documents, and sources of nothing but them,
     are taken 0 words. Null sources are one source, the last. Repeated rows are
     documents of their own. An empty table gives an empty mix. Sources are
-    numbered on the driver, one row each; documents never go there.
+    numbered on the driver, one row each, and more than ``MOST_SOURCES`` are an
+    error; documents never go there.
     """
     spark = docs.sparkSession
     placed, sources = laid_out(docs, id_col, text_col, source_col, list(keep))
     placed = materialize(placed, "placed")
     slots = draw_slots(spark, sources, block_words, shard_slots, seed)
     full = placed.where("size > 0").select(
-        "sid", "from", "size", F.explode(F.sequence(F.floor(F.col("from") / block_words), F.floor((F.col("from") + F.col("size") - 1) / block_words))).alias("block")
+        "sid", "from", "size", F.explode(F.sequence(F.floor(F.col("from") / block_words),
+            F.floor((F.col("from") + F.col("size") - 1) / block_words))).alias("block")
     )
     head = F.greatest(F.col("from"), F.col("block") * block_words)
     tail = F.least(F.col("from") + F.col("size"), F.col("block") * block_words + F.col("words"))

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecmill.llm.common import share
+from vecmill.llm.common import materialize
 
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -51,7 +51,8 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
         return F.slice(F.transform(all_, lambda s, i: spot(s, i, all_)), 2, F.greatest(F.size(all_) - 1, F.lit(0)))
 
     def of_words(words: Column) -> Column:
-        marked = F.transform(words, lambda w: F.when(w.isin(ANCHORS), F.concat(F.lit("\n"), w, F.lit("\t"))).otherwise(F.concat(w, F.lit(" "))))
+        marked = F.transform(words, lambda w: F.when(w.isin(ANCHORS),
+            F.concat(F.lit("\n"), w, F.lit("\t"))).otherwise(F.concat(w, F.lit(" "))))
         # of anchors in a row the last counts; what follows each anchor up to the next is a segment
         joined = F.regexp_replace(F.array_join(F.concat(F.array(F.lit("\n^\t")), marked), ""), r"\n[^\t\n]*\t(?=\n)", "")
         runs = F.transform(words, lambda w, i: _hash(F.array_join(F.slice(words, i + 1, chain + 1), " ")))
@@ -82,39 +83,29 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k, h, text): the id (null: the smallest long) and a hash of the text, null texts empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("h"),
+        text.alias("text"))
 
 
-def following(keys: DataFrame, buckets: int, count: int) -> DataFrame:
+def following(keys: DataFrame, buckets: int) -> DataFrame:
     """(k, h, n, copies) with the next key (nk, nh) in descending order, the last followed by the first.
 
-    Ids are dealt into buckets of about equal counts by quantiles of a share of them, found first;
-    each bucket finds its own successors, and its last one the first of the
-    next bucket through a table of one row for each bucket.
+    Keys are sorted into ranges; each range finds its own successors, and its
+    last key the first of the next range through a table of one row a range.
     """
-    side = max(1, math.isqrt(max(1, buckets - 1)) + 1)
-    some = keys.where(share(F.col("k"), 100 * side**2 / max(1, count)))  # so many, whatever the count
-    marks = some.select(F.percentile_approx("k", [i / side**2 for i in range(1, side**2)] or [0.5], 10_000)).first()[0] or []
-    marks = sorted(set(marks))
-    rows = [marks[i : i + side] for i in range(0, len(marks), side)]
-    if rows:
-        coarse = F.size(F.filter(F.array(*[F.lit(r[0]) for r in rows]), lambda m: m <= F.col("k")))
-        fine = F.get(F.array(*[F.array(*[F.lit(m) for m in r]) for r in rows]), coarse - 1)
-        bucket = F.coalesce(coarse * (side + 1) + F.size(F.filter(fine, lambda m: m <= F.col("k"))), F.lit(0))
-    else:
-        bucket = F.lit(0)
-    placed = keys.withColumn("bucket", bucket)
     order = [F.desc("k"), F.asc("h")]
-    w = Window.partitionBy("bucket").orderBy(*order)
-    near = placed.select("*", F.lead(F.struct("k", "h")).over(w).alias("next"))
-    firsts = placed.groupBy("bucket").agg(F.min(F.struct((-F.col("k") - 1).alias("o"), "h", "k")).alias("f"))  # -k-1 turns the order round without overflow
-    across = Window.orderBy(F.desc("bucket"))
-    heads = firsts.select("bucket", F.coalesce(F.lead("f").over(across), F.first("f").over(across)).alias("f")).select("bucket", F.struct("f.k", "f.h").alias("head"))
-    joined = near.join(F.broadcast(heads), "bucket")  # a row for each bucket: side squared plus side at most
-    return joined.select("k", "h", "n", "copies", F.coalesce("next", "head").alias("x")).select("k", "h", "n", "copies", F.col("x.k").alias("nk"), F.col("x.h").alias("nh"))
-
-
-def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_docs: int = 500, most_buckets: int = 1024) -> DataFrame:
+    placed = materialize(keys.repartitionByRange(buckets, *order).withColumn("bucket", F.spark_partition_id()), "ranges")
+    near = placed.select("*", F.lead(F.struct("k", "h")).over(Window.partitionBy("bucket").orderBy(*order)).alias("next"))
+    firsts = placed.groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("k").alias("o"), "h", "k")).alias("f"))  # turns the order round
+    across = Window.orderBy("bucket")
+    heads = firsts.select("bucket", F.coalesce(F.lead("f").over(across), F.first("f").over(across)).alias("f")).select("bucket",
+        F.struct("f.k", "f.h").alias("head"))
+    joined = near.join(heads, "bucket")
+    return joined.select("k", "h", "n", "copies", F.coalesce("next", "head").alias("x")).select("k", "h", "n", "copies",
+        F.col("x.k").alias("nk"), F.col("x.h").alias("nh"))
+
+
+def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_docs: int = 100_000) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The edited text has the last third (rounded down) of a text's code points
@@ -129,26 +120,32 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     keyed = _keyed(docs, id_col, text_col)
     keys = keyed.groupBy("k", "h").agg(F.first(F.length("text")).alias("n"), F.count("*").alias("copies"))
-    count = docs.count()
-    order = following(keys, min(most_buckets, 1 + count // bucket_docs), count)
+    order = following(keys, 8 + docs.count() // bucket_docs)
     base = keyed.select("k", "h", "text", signatures(F.col("text")).alias("sigs"))
     base = base.groupBy("k", "h").agg(F.first("text").alias("text"), F.first("sigs").alias("sigs"))
     wanted = order.select(F.col("k").alias("ck"), F.col("h").alias("ch"), "n", "copies", F.col("nk").alias("k"), F.col("nh").alias("h"))
     given = base.join(wanted, ["k", "h"]).select(
-        F.col("ck").alias("k"), F.col("ch").alias("h"), "copies", F.substring(F.col("text"), F.lit(1), F.floor(F.col("n") / 3).cast("int")).alias("tail"), F.col("sigs").alias("next_sigs")
+        F.col("ck").alias("k"), F.col("ch").alias("h"), "copies",
+            F.substring(F.col("text"), F.lit(1), F.floor(F.col("n") / 3).cast("int")).alias("tail"), F.col("sigs").alias("next_sigs")
     )
     both = base.join(given, ["k", "h"])
     n, own = F.length("text"), F.col("text")
     cut = F.floor(n / 3).cast("int")
     head = F.substring(own, F.lit(1), n - cut)
     # of rows that are equal, all but the last are followed by their equals
-    turned = both.select("k", "sigs", n.cast("long").alias("n_chars"), F.explode(F.when(F.col("copies") == 1, F.array(_follow(F.concat(head, "tail"), F.col("next_sigs")))).otherwise(
-        F.concat(F.array_repeat(_follow(F.concat(head, F.substring(own, F.lit(1), cut)), F.col("sigs")), F.col("copies").cast("int") - 1), F.array(_follow(F.concat(head, "tail"), F.col("next_sigs"))))
+    turned = both.select("k", "sigs", n.cast("long").alias("n_chars"),
+        F.explode(F.when(F.col("copies") == 1, F.array(_follow(F.concat(head, "tail"), F.col("next_sigs")))).otherwise(
+        F.concat(F.array_repeat(_follow(F.concat(head, F.substring(own, F.lit(1), cut)), F.col("sigs")),
+            F.col("copies").cast("int") - 1), F.array(_follow(F.concat(head, "tail"), F.col("next_sigs"))))
     )).alias("e"))
-    done = turned.select("k", "n_chars", F.sha2(F.col("e.edited"), 256).alias("edited_sha256"), "sigs", signatures(F.col("e.edited")).alias("edited_sigs"), F.col("e.next_sigs").alias("next_sigs"))
+    done = turned.select("k", "n_chars", F.sha2(F.col("e.edited"), 256).alias("edited_sha256"), "sigs",
+        signatures(F.col("e.edited")).alias("edited_sigs"), F.col("e.next_sigs").alias("next_sigs"))
     return done.select(
-        F.when(F.col("k") != F.lit(-(1 << 63)), F.col("k")).alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"),
-        fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        F.when(F.col("k") != F.lit(-(1 << 63)), F.col("k")).alias(id_col), "n_chars", "edited_sha256",
+            fingerprint(F.col("sigs")).alias("fingerprint"),
+        fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+            likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+                likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
 
 
@@ -168,14 +165,17 @@ def similar_pairs(prints: DataFrame, least: float = 0.8) -> DataFrame:
     sized = prints.select("id", "sigs", F.size("sigs").alias("n")).where("n > 0")
     rows = sized.select("id", F.explode("sigs").alias("s"), "n")
     rarity = rows.groupBy("s").agg(F.count("*").alias("f"))
-    ranked = rows.join(rarity, "s").where("f > 1").select("id", "s", "n", F.row_number().over(Window.partitionBy("id").orderBy("f", "s")).alias("r"), F.count("*").over(Window.partitionBy("id")).alias("m"))
+    ranked = rows.join(rarity, "s").where("f > 1").select("id", "s", "n",
+        F.row_number().over(Window.partitionBy("id").orderBy("f", "s")).alias("r"), F.count("*").over(Window.partitionBy("id")).alias("m"))
     # signatures of one set alone come first of all and match nothing
     probes = ranked.where(F.col("r") + F.col("n") - F.col("m") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
     band = F.floor(F.log(F.col("n")) / -math.log(least) + 1e-9).cast("int")
     probes = probes.select("id", "s", "n", band.alias("band"))
-    left = probes.select(F.col("id").alias("a"), "s", F.col("n").alias("na"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("own"))
+    left = probes.select(F.col("id").alias("a"), "s", F.col("n").alias("na"),
+        F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("own"))
     right = probes.select(F.col("id").alias("b"), "s", F.col("n").alias("nb"), "band")
-    pairs = left.join(right, ["s", "band"]).where(((F.col("own") < F.col("band")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") >= least * F.greatest("na", "nb")))
+    pairs = left.join(right, ["s", "band"]).where(((F.col("own") < F.col("band")) | (F.col("a") < F.col("b"))) & (F.least("na",
+        "nb") >= least * F.greatest("na", "nb")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     sets = sized.select("id", "sigs")
     met = pairs.join(sets.withColumnsRenamed({"id": "a", "sigs": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "sigs": "sb"}), "b")
