@@ -47,7 +47,8 @@ def turn_tokens(text: Column) -> Column:
 
 
 def windows(
-    turns: DataFrame, budget: int = 1024, history_turns: int = 2, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
+    turns: DataFrame, budget: int = 1024, history_turns: int = 2, conv_col: str = "conv_id", turn_col: str = "turn",
+        role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
     """(conv_id, window, repeated, fresh, formatted, loss) for each window of each conversation.
 
@@ -66,7 +67,8 @@ def windows(
     window without history or other new turns.
     """
     text, role = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.coalesce(F.col(role_col).cast("string"), F.lit(""))
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"), turn_tokens(text).cast("long").alias("n"))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"),
+        turn_tokens(text).cast("long").alias("n"))
     # prefix sums: tokens up to and with each turn
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("n").over(in_order))
@@ -92,25 +94,30 @@ def windows(
         full = (i == first_new) | (F.col("own") + F.col("ts")[i]["upto"] - before(state["from"]) > budget) & (i > begin)
         return F.struct(
             F.when(full, back(i)).otherwise(state["from"]).alias("from"),
-            F.when(full, F.concat(state["starts"], F.array(F.struct(i.alias("begin"), back(i).alias("hist"))))).otherwise(state["starts"]).alias("starts"),
+            F.when(full, F.concat(state["starts"],
+                F.array(F.struct(i.alias("begin"), back(i).alias("hist"))))).otherwise(state["starts"]).alias("starts"),
         )
 
     spans = "array<struct<begin:int,hist:int>>"
     span = F.when(first_new < F.col("ts_n"), F.sequence(first_new, F.col("ts_n") - 1)).otherwise(F.array().cast("array<int>"))
-    convs = convs.withColumn("starts", F.aggregate(span, F.struct(F.lit(0).alias("from"), F.array().cast(spans).alias("starts")), step)["starts"])
+    convs = convs.withColumn("starts",
+        F.aggregate(span, F.struct(F.lit(0).alias("from"), F.array().cast(spans).alias("starts")), step)["starts"])
     # a conversation of a system turn alone is one window without new turns after it
-    convs = convs.withColumn("starts", F.when(F.size("starts") == 0, F.array(F.struct(first_new.alias("begin"), first_new.alias("hist")))).otherwise(F.col("starts")))
+    convs = convs.withColumn("starts",
+        F.when(F.size("starts") == 0, F.array(F.struct(first_new.alias("begin"), first_new.alias("hist")))).otherwise(F.col("starts")))
     lead = F.when(F.col("system"), F.slice("ts", 1, 1)).otherwise(F.slice("ts", 1, 0))
 
     def window(s: Column, w: Column) -> Column:
         """A window's own turns, so that no row carries its whole conversation."""
         stop = F.coalesce(F.get("starts", w + 1)["begin"], F.col("ts_n"))
         again = s["begin"] - s["hist"] + F.when(F.col("system") & (w > 0), 1).otherwise(0)  # the system turn is new in the first window
-        return F.struct(w.alias("window"), again.cast("int").alias("repeated"), F.concat(lead, F.slice("ts", s["hist"] + 1, stop - s["hist"])).alias("shown"))
+        return F.struct(w.alias("window"), again.cast("int").alias("repeated"),
+            F.concat(lead, F.slice("ts", s["hist"] + 1, stop - s["hist"])).alias("shown"))
 
     one = convs.select("conv_id", F.explode(F.transform("starts", window)).alias("w")).select("conv_id", "w.*")
     one = one.withColumn("fresh", (F.size("shown") - F.col("repeated")).cast("int"))
-    heads = F.transform("shown", lambda t: F.struct(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("learn")))
+    heads = F.transform("shown", lambda t: F.struct(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"),
+        escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("learn")))
     one = one.select("conv_id", "window", "repeated", "fresh", heads.alias("parts"))
     # where each body begins; repeated turns are masked
     at = F.aggregate(
@@ -120,7 +127,8 @@ def windows(
             (s["end"] + F.length(F.col("parts")[i]["head"]) + F.length(F.col("parts")[i]["body"]) + len(END) + 1).alias("end"),
             F.when(
                 F.col("parts")[i]["learn"] & (i >= F.col("repeated")),
-                F.concat(s["loss"], F.array(F.struct((s["end"] + F.length(F.col("parts")[i]["head"])).alias("from"), F.length(F.col("parts")[i]["body"]).alias("length")))),
+                F.concat(s["loss"], F.array(F.struct((s["end"] + F.length(F.col("parts")[i]["head"])).alias("from"),
+                    F.length(F.col("parts")[i]["body"]).alias("length")))),
             ).otherwise(s["loss"]).alias("loss"),
         ),
     )
@@ -135,7 +143,8 @@ def read_turns(formatted: Column) -> Column:
 
     def turn(p: Column) -> Column:
         line = F.instr(p, F.lit("\n"))
-        return F.struct(unescape_role(F.substring(p, F.lit(1), line - 1)).alias("role"), unescape(F.substring(p, line + 1, F.length(p))).alias("text"))
+        return F.struct(unescape_role(F.substring(p, F.lit(1), line - 1)).alias("role"),
+            unescape(F.substring(p, line + 1, F.length(p))).alias("text"))
 
     return F.transform(pieces, turn)
 
@@ -145,11 +154,13 @@ def digests(wins: DataFrame) -> DataFrame:
     fresh = F.slice(read_turns(F.col("formatted")), F.col("repeated") + 1, F.greatest(F.col("fresh"), F.lit(0)))
     said = F.array_join(F.transform(fresh, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["from"] + 1, s["length"]))), "")
-    rows = wins.select("conv_id", F.struct("window", F.col("fresh").alias("n"), said.alias("said"), learnt.alias("learnt"), F.length("formatted").alias("chars")).alias("w"))
+    rows = wins.select("conv_id", F.struct("window", F.col("fresh").alias("n"), said.alias("said"), learnt.alias("learnt"),
+        F.length("formatted").alias("chars")).alias("w"))
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("ws"))
     total = lambda name: F.aggregate("ws", F.lit(0).cast("long"), lambda a, w: a + w[name])
     joined = lambda name: F.array_join(F.transform("ws", lambda w: w[name]), "")
     return convs.select(
-        "conv_id", total("n").alias("n_turns"), F.sha2(joined("said"), 256).alias("turns_sha256"), F.length(joined("learnt")).cast("long").alias("loss_chars"),
+        "conv_id", total("n").alias("n_turns"), F.sha2(joined("said"), 256).alias("turns_sha256"),
+            F.length(joined("learnt")).cast("long").alias("loss_chars"),
         F.sha2(joined("learnt"), 256).alias("loss_sha256"), total("chars").alias("formatted_chars"),
     )
