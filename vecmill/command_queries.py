@@ -43,7 +43,8 @@ class Words:
 
     def __call__(self, inputs: Sequence[bytes], params: dict[str, str]) -> list:
         one, least = HashEmbedder(4), float(params["confidence_threshold"])
-        return [[(one([f"{n} {x.decode()}"], {})[0][0][0], {"word": w, "confidence": f"{len(w) / 10:.1f}"}) for n, w in enumerate(x.decode().split(" ")) if len(w) / 10 >= least] for x in inputs]
+        return [[(one([f"{n} {x.decode()}"], {})[0][0][0], {"word": w, "confidence": f"{len(w) / 10:.1f}"}) for n,
+            w in enumerate(x.decode().split(" ")) if len(w) / 10 >= least] for x in inputs]
 
 
 class Tokens:
@@ -94,7 +95,8 @@ def models() -> Registry:
         "pixels": ModelSpec("pixels", "img", 3, 16, image_size=8),
         "loudness": ModelSpec("loudness", "aud", 3, 8),
     }
-    loaders = {"lengths": Lengths, "letters": lambda: HashEmbedder(16), "words": Words, "tokens": Tokens, "pixels": Pixels, "loudness": Loudness}
+    loaders = {"lengths": Lengths, "letters": lambda: HashEmbedder(16), "words": Words, "tokens": Tokens, "pixels": Pixels,
+        "loudness": Loudness}
     fronts = {"tokens": SpaceTokenizer, "pixels": lambda: ImageFront(8, (0.5, 0.4, 0.3), (0.2, 0.25, 0.5)), "loudness": SoundFront}
     return Registry(loaders, specs, fronts)
 
@@ -103,8 +105,10 @@ def _items(spark: SparkSession, sf_dir: str, model: str = "letters", kind: str =
     """A store of raw inputs, and the texts of ``benchmark`` for it."""
     ai = AiEngine(Engine(spark), models())
     ai.create_store("items", model, model, ["item"], store_original=True)
-    given = _entry(F.col("text")) if kind == "str" else F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("str"), F.encode("text", "utf-8").alias("bin"))
-    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), given.alias("input"), F.create_map(F.lit("item"), _entry(F.col("item_id"))).alias("value"))
+    given = _entry(F.col("text")) if kind == "str" else F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("str"),
+        F.encode("text", "utf-8").alias("bin"))
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), given.alias("input"),
+        F.create_map(F.lit("item"), _entry(F.col("item_id"))).alias("value"))
     return ai, rows
 
 
@@ -180,11 +184,14 @@ def ai_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     ai = AiEngine(Engine(spark), models())
     w, h, c = F.col("p_size") + 3, F.pmod("p_partkey", F.lit(9)) + 2, F.pmod("p_partkey", F.lit(256))
     pixel = F.unhex(F.lpad(F.hex(c * 65536 + F.pmod(c + 50, F.lit(256)) * 256 + F.pmod(c + 100, F.lit(256))), 6, "0"))
-    data = F.concat(F.encode(F.concat(F.lit("P6\n"), w, F.lit(" "), h, F.lit("\n255\n")), "utf-8"), F.unhex(F.repeat(F.hex(pixel), (w * h).cast("int"))))
+    data = F.concat(F.encode(F.concat(F.lit("P6\n"), w, F.lit(" "), h, F.lit("\n255\n")), "utf-8"),
+        F.unhex(F.repeat(F.hex(pixel), (w * h).cast("int"))))
     given = F.struct(F.lit("img").alias("kind"), F.lit(None).cast("string").alias("str"), data.alias("bin"))
-    rows = read(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("pos"), given.alias("input"), F.create_map().cast("map<string, struct<kind:string,str:string,bin:binary>>").alias("value"))
+    rows = read(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("pos"), given.alias("input"),
+        F.create_map().cast("map<string, struct<kind:string,str:string,bin:binary>>").alias("value"))
     made = ai.models.embed_frame(rows, "pixels")
-    return made.select(F.col("pos").alias("p_partkey"), *[F.round(F.col("key")[i].cast("double"), 3).alias(n) for i, n in enumerate(("red", "green", "blue"))])
+    return made.select(F.col("pos").alias("p_partkey"),
+        *[F.round(F.col("key")[i].cast("double"), 3).alias(n) for i, n in enumerate(("red", "green", "blue"))])
 
 
 def ai_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +200,8 @@ def ai_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = []
     for n in range(1, 4):
         body = bytes(2 * 2 * 800 * n)
-        inputs.append(audio(b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000, 4, 16) + b"data" + struct.pack("<I", len(body)) + body))
+        inputs.append(audio(b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000,
+            4, 16) + b"data" + struct.pack("<I", len(body)) + body))
     made = ai.convert(inputs, "loudness")
     return made.select("pos", *[F.round(F.col("key")[i], 3).alias(n) for i, n in enumerate(("loudest", "softest", "frames"))])
 
@@ -223,14 +231,16 @@ def ai_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = own.select("name", "index_model", "len", "dimension", F.array_join("predicates", ",").alias("predicates")).collect()
     n = ai.execute(C.PurgeStores())
     left = sum(len(x) for x in ai.engine.stores.values())
-    return spark.createDataFrame([(*r, n.count, left) for r in out], "name string, index_model string, len long, dimension int, predicates string, purged int, left int")
+    return spark.createDataFrame([(*r, n.count, left) for r in out],
+        "name string, index_model string, len long, dimension int, predicates string, purged int, left int")
 
 
 def ai_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index commands of stores of raw inputs; the engine's own keys stay."""
     ai = _filled(spark, sf_dir)
     steps = [
-        C.CreatePredIndex("items", ("size", "item")), C.DropPredIndex("items", ("size", "_vecmill_input")), C.CreateNonLinearIndex("items", (KdTree(), Hnsw())), C.DropNonLinearIndex("items", ("kdtree",)),
+        C.CreatePredIndex("items", ("size", "item")), C.DropPredIndex("items", ("size", "_vecmill_input")),
+            C.CreateNonLinearIndex("items", (KdTree(), Hnsw())), C.DropNonLinearIndex("items", ("kdtree",)),
         C.DropStore("items", True, None), C.DropStore("items", False, None), C.DropSchema("other"),
     ]
     return spark.createDataFrame([(i, r.count) for i, r in enumerate(ai.pipeline(steps))], "step int, n long")
@@ -269,16 +279,20 @@ def fvecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").orderBy("vec_id").collect()
     path = f"{storage.root(spark)}/vecs-{uuid.uuid4().hex}/base.fvecs"
     storage.put_bytes(spark, path, b"".join(struct.pack(f"<i{len(r['embedding'])}f", len(r["embedding"]), *r["embedding"]) for r in rows))
-    return read_vecs(spark, path).select("pos", F.size("vector").alias("dimension"), F.round(F.col("vector")[1].cast("double"), 6).alias("second"))
+    return read_vecs(spark, path).select("pos", F.size("vector").alias("dimension"),
+        F.round(F.col("vector")[1].cast("double"), 6).alias("second"))
 
 
 def ivecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three true neighbours of every queried vector, by a file of integers."""
-    truth = knn_join(_asked(spark, sf_dir), read(spark, sf_dir, "embeddings"), 3, "cosine", row_id="vec_id", row_key="embedding").orderBy("query_id", "rank").collect()
+    truth = knn_join(_asked(spark, sf_dir), read(spark, sf_dir, "embeddings"), 3, "cosine", row_id="vec_id",
+        row_key="embedding").orderBy("query_id", "rank").collect()
     path = f"{storage.root(spark)}/vecs-{uuid.uuid4().hex}/truth.ivecs"
     ids = [r["vec_id"] for r in truth]
     storage.put_bytes(spark, path, b"".join(struct.pack("<4i", 3, *ids[i : i + 3]) for i in range(0, len(ids), 3)))
-    return read_vecs(spark, path, floats=False).select((F.col("pos") * 50).alias("query_id"), F.posexplode("vector").alias("rank", "vec_id")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("vec_id").cast("long").alias("vec_id"))
+    return read_vecs(spark, path, floats=False).select((F.col("pos") * 50).alias("query_id"),
+        F.posexplode("vector").alias("rank", "vec_id")).select("query_id", (F.col("rank") + 1).alias("rank"),
+            F.col("vec_id").cast("long").alias("vec_id"))
 
 
 def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +303,8 @@ def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
         mark = "/x" if r["item_id"] % 2 else "/a"
         engine.query(f"SET (([{r['item_id']}], {{data: {mark}{r['text'].encode().hex()}}})) IN s")
     v = F.col("value")["data"]
-    return engine.rows("s").select(F.col("key")[0].cast("long").alias("item"), v["kind"].alias("kind"), F.decode(v["bin"], "utf-8").alias("text"))
+    return engine.rows("s").select(F.col("key")[0].cast("long").alias("item"), v["kind"].alias("kind"),
+        F.decode(v["bin"], "utf-8").alias("text"))
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +312,9 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({"item_id": f["item_id"], "text": [from_tagged(to_tagged(image(t.encode()))).data.decode() for t in f["text"]], "kind": [to_tagged(image(t.encode()))[:4] for t in f["text"]]})
+            yield pd.DataFrame({"item_id": f["item_id"],
+                "text": [from_tagged(to_tagged(image(t.encode()))).data.decode() for t in f["text"]],
+                    "kind": [to_tagged(image(t.encode()))[:4] for t in f["text"]]})
 
     return read(spark, sf_dir, "benchmark").select("item_id", "text").mapInPandas(run, "item_id long, text string, kind string")
 
@@ -334,7 +351,8 @@ def store_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 def server(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = opened(spark, sf_dir)
     pong, info, clients = engine.query("PING; INFOSERVER; LISTCLIENTS")
-    return info.select("type", F.lit(pong).alias("ping"), F.lit(clients.count()).alias("clients"), (F.col("spark") == F.lit(spark.version)).alias("same"))
+    return info.select("type", F.lit(pong).alias("ping"), F.lit(clients.count()).alias("clients"),
+        (F.col("spark") == F.lit(spark.version)).alias("same"))
 
 
 def built_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,8 +384,10 @@ def accepts_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search by an index that the store lacks: an error, but no rows where postings accept nothing."""
     engine = opened(spark, sf_dir, semantics="indexed")
     engine.query("DROPNONLINEARALGORITHMINDEX (kdtree) IN vectors")
-    n = [*engine.pipeline([C.GetSimN("vectors", tuple(vector_of(spark, sf_dir, 0)), 3, "kdtree", Equals("lang", x)) for x in ("none", "en")])]
-    return spark.createDataFrame([(i, r.code if isinstance(r, EngineError) else 0, r.count() if isinstance(r, DataFrame) else -1) for i, r in enumerate(n)], "step int, code int, n long")
+    n = [*engine.pipeline([C.GetSimN("vectors", tuple(vector_of(spark, sf_dir, 0)), 3, "kdtree", Equals("lang", x)) for x in ("none",
+        "en")])]
+    return spark.createDataFrame([(i, r.code if isinstance(r, EngineError) else 0,
+        r.count() if isinstance(r, DataFrame) else -1) for i, r in enumerate(n)], "step int, code int, n long")
 
 
 def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,7 +409,8 @@ def graph_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     back.read_snapshot(path)
     h = back.store("vectors").meta.nonlinear["hnsw"]
     fields = "metric string, ef int, m int, m0 int, extended boolean, pruned boolean"
-    return spark.createDataFrame([(h.metric, h.ef_construction, h.maximum_connections, h.maximum_connections_zero, h.extend_candidates, h.keep_pruned_connections)], fields)
+    return spark.createDataFrame([(h.metric, h.ef_construction, h.maximum_connections, h.maximum_connections_zero, h.extend_candidates,
+        h.keep_pruned_connections)], fields)
 
 
 def _graph_truth(engine: Engine, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,14 +519,16 @@ def face_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the models of faces are called with: given, not a number, and not given."""
     rows = []
     for name in ("buffalo-l", "sface-yunet"):
-        for given in ({}, {"confidence_threshold": "0.7", "nms_threshold": "0.2", "attributes": "genderage, hat"}, {"confidence_threshold": "high"}):
+        for given in ({}, {"confidence_threshold": "0.7", "nms_threshold": "0.2", "attributes": "genderage, hat"},
+            {"confidence_threshold": "high"}):
             p = MODELS[name].parameters(given)
             rows.append((name, len(given), float(p["confidence_threshold"]), float(p["nms_threshold"]), p.get("attributes")))
     return spark.createDataFrame(rows, "model string, given int, confidence double, nms double, attributes string")
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(m.name, m.kind, m.dimension, m.batch) for m in MODELS.values()], "model string, kind string, dimension int, batch int")
+    return spark.createDataFrame([(m.name, m.kind, m.dimension, m.batch) for m in MODELS.values()],
+        "model string, kind string, dimension int, batch int")
 
 
 WORDS = "WITH w AS (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark)"
@@ -564,12 +587,14 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         f"{S} SELECT count(*) AS len, sum(4 * len(v) + 6 + length(vec_id::VARCHAR) + coalesce(5 + length(label), 0) + coalesce(4 + length(lang), 0) + coalesce(6 + length(source), 0) + coalesce(7 + length(quality), 0) + coalesce(5 + length(toxic), 0))::BIGINT AS size_in_bytes FROM s",
     ),
     "server": (server, "SELECT 'database' AS type, 'pong' AS ping, 1 AS clients, TRUE AS same"),
-    "built_predicates": (built_predicates, f"{S} SELECT vec_id, TRUE AS refused FROM s WHERE coalesce(lang = 'en' AND label <> '3', FALSE) OR coalesce(source = 'src2', FALSE) OR coalesce(toxic = '1', FALSE)"),
+    "built_predicates": (built_predicates,
+        f"{S} SELECT vec_id, TRUE AS refused FROM s WHERE coalesce(lang = 'en' AND label <> '3', FALSE) OR coalesce(source = 'src2', FALSE) OR coalesce(toxic = '1', FALSE)"),
     "postings_after_delete": (
         postings_after_delete,
         f"{S} SELECT name, value, count(*) AS n FROM (UNPIVOT (SELECT label, lang, quality FROM s WHERE NOT (coalesce(lang = 'de', FALSE) OR label = '4')) ON label, lang, quality INTO NAME name VALUE value) GROUP BY ALL",
     ),
-    "kdtree_after_delete": (kdtree_after_delete, f"{S} SELECT vec_id, {NEAR_LABEL} FROM s, q WHERE label NOT IN ('0', '1', '2', '3') ORDER BY similarity, vec_id DESC LIMIT 10"),
+    "kdtree_after_delete": (kdtree_after_delete,
+        f"{S} SELECT vec_id, {NEAR_LABEL} FROM s, q WHERE label NOT IN ('0', '1', '2', '3') ORDER BY similarity, vec_id DESC LIMIT 10"),
     "accepts_nothing": (accepts_nothing, "SELECT * FROM (VALUES (0, 0, 0::BIGINT), (1, 5, -1)) t(step, code, n)"),
     "graph_levels": (
         graph_levels,
@@ -594,7 +619,8 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         "SELECT p_partkey, 1 AS n, round(greatest(0, least(640, x - w)), 4)::DOUBLE AS x1, greatest(0, least(640, y - 32))::DOUBLE AS y1, round(greatest(0, least(640, x + w)), 4)::DOUBLE AS x2, greatest(0, least(640, y + 32))::DOUBLE AS y2, 0.8::DOUBLE AS confidence FROM b",
     ),
     "aligned_eyes": (aligned_eyes, "SELECT p_partkey, round(30 + p_retailprice / 500 * 5, 4) AS x, round(50 + p_retailprice / 500 * (p_partkey % 7), 4) AS y FROM part"),
-    "repeated_sounds": (repeated_sounds, "SELECT p_partkey, (100 // (p_size + 1) * (p_size + 1))::INTEGER AS n, round(100 // (p_size + 1) * (p_size + 1) * (p_partkey % 5 + 1.0), 4)::DOUBLE AS total FROM part"),
+    "repeated_sounds": (repeated_sounds,
+        "SELECT p_partkey, (100 // (p_size + 1) * (p_size + 1))::INTEGER AS n, round(100 // (p_size + 1) * (p_size + 1) * (p_partkey % 5 + 1.0), 4)::DOUBLE AS total FROM part"),
     "face_parameters": (
         face_parameters,
         "SELECT * FROM (VALUES ('buffalo-l', 0, 0.5::DOUBLE, 0.4::DOUBLE, NULL), ('buffalo-l', 3, 0.7, 0.2, 'genderage'), ('buffalo-l', 1, 0.5, 0.4, NULL), "

@@ -36,7 +36,9 @@ class AiEngine:
 
     # -- catalog
 
-    def create_store(self, name: str, query_model: str, index_model: str, predicates: Sequence[str] = (), nonlinear: Sequence[KdTree | Hnsw] = (), error_if_exists: bool = True, store_original: bool = False, schema: str | None = None) -> None:
+    def create_store(self, name: str, query_model: str, index_model: str, predicates: Sequence[str] = (),
+        nonlinear: Sequence[KdTree | Hnsw] = (), error_if_exists: bool = True, store_original: bool = False,
+            schema: str | None = None) -> None:
         q, i = self.models.spec(query_model), self.models.spec(index_model)
         if q.dimension != i.dimension:
             raise InvalidArgument(f"models {query_model} and {index_model} make vectors of {q.dimension} and {i.dimension} numbers")
@@ -59,7 +61,8 @@ class AiEngine:
         return self._info([s], self.engine._info([s]))
 
     def _info(self, stores: list[Store], vectors: DataFrame) -> DataFrame:
-        own = self.engine.spark.createDataFrame([(s.meta.name, s.meta.query_model, s.meta.index_model, s.meta.store_original) for s in stores], "name string, query_model string, index_model string, store_original boolean")
+        own = self.engine.spark.createDataFrame([(s.meta.name, s.meta.query_model, s.meta.index_model,
+            s.meta.store_original) for s in stores], "name string, query_model string, index_model string, store_original boolean")
         hidden = F.array(F.lit(ORIGINAL), F.lit(PART))
         return own.join(vectors, "name", "left").withColumn("predicates", F.array_except("predicates", hidden))
 
@@ -77,7 +80,8 @@ class AiEngine:
 
     def _shown(self, rows: DataFrame, *more: str) -> DataFrame:
         """(key, value, ...): the original input as key, reserved entries hidden."""
-        return rows.select(F.try_element_at("value", F.lit(ORIGINAL)).alias("key"), without(F.col("value"), ORIGINAL, PART).alias("value"), *more)
+        return rows.select(F.try_element_at("value", F.lit(ORIGINAL)).alias("key"),
+            without(F.col("value"), ORIGINAL, PART).alias("value"), *more)
 
     def _by_inputs(self, s: Store, inputs: Sequence[Meta]) -> Predicate:
         if not s.meta.store_original:
@@ -98,7 +102,8 @@ class AiEngine:
             raise InvalidArgument(f"the query gives {len(found)} embeddings, not one")
         return [float(x) for x in found[0][0]]
 
-    def get_sim_n(self, name: str, query: Meta, closest_n: int, algorithm: str = "cosine", condition: Predicate | None = None, preprocess: bool = True, params: dict | None = None, schema: str | None = None) -> DataFrame:
+    def get_sim_n(self, name: str, query: Meta, closest_n: int, algorithm: str = "cosine", condition: Predicate | None = None,
+        preprocess: bool = True, params: dict | None = None, schema: str | None = None) -> DataFrame:
         s = self._store(name, schema)
         vector = self._one(s.meta.query_model, query, preprocess, params)
         return self._shown(self.engine.get_sim_n(name, vector, closest_n, algorithm, condition, schema), "similarity")
@@ -109,7 +114,8 @@ class AiEngine:
         rows = [(n, x.as_row(), {k: Meta.of(v).as_row() for k, v in (m or {}).items()}) for n, (x, m) in enumerate(pairs)]
         return self.engine.spark.createDataFrame(rows, f"pos long, input {META.simpleString()}, value {VALUE.simpleString()}")
 
-    def set(self, name: str, given: DataFrame | Sequence[tuple], preprocess: bool = True, params: dict | None = None, schema: str | None = None) -> SetResult:
+    def set(self, name: str, given: DataFrame | Sequence[tuple], preprocess: bool = True, params: dict | None = None,
+        schema: str | None = None) -> SetResult:
         """Embed and set; where originals are kept, an input set again replaces all its vectors."""
         s = self._store(name, schema)
         frame = given if isinstance(given, DataFrame) else self.inputs_frame(given)
@@ -121,16 +127,19 @@ class AiEngine:
         if s.meta.store_original:
             own.append(F.create_map(F.lit(ORIGINAL), F.col("input")))
         if self.models.spec(s.meta.index_model).one_to_many:
-            number = F.struct(F.lit("str").alias("kind"), F.col("number").cast("string").alias("str"), F.lit(None).cast("binary").alias("bin"))
+            number = F.struct(F.lit("str").alias("kind"), F.col("number").cast("string").alias("str"),
+                F.lit(None).cast("binary").alias("bin"))
             own.append(F.create_map(F.lit(PART), number))
         value = F.map_concat("value", *own) if own else F.col("value")
         old = None
         if s.meta.store_original:  # the old vectors of these inputs go in the change that brings the new ones
-            old = s.rows.join(frame.select(F.col("input").alias("x")).distinct(), F.try_element_at("value", F.lit(ORIGINAL)) == F.col("x"), "left_semi")
+            old = s.rows.join(frame.select(F.col("input").alias("x")).distinct(),
+                F.try_element_at("value", F.lit(ORIGINAL)) == F.col("x"), "left_semi")
         order = (F.col("pos") * 65536 + F.col("number")).alias("pos")
         return self.engine.set(name, made.select(order, "key", value.alias("value")), schema, old)
 
-    def upsert(self, name: str, condition: Predicate, new_input: Meta | None = None, new_value: dict | None = None, preprocess: bool = True, params: dict | None = None, schema: str | None = None) -> SetResult:
+    def upsert(self, name: str, condition: Predicate, new_input: Meta | None = None, new_value: dict | None = None,
+        preprocess: bool = True, params: dict | None = None, schema: str | None = None) -> SetResult:
         """Values are always merged; models that make several vectors cannot be upserted."""
         s = self._store(name, schema)
         if self.models.spec(s.meta.index_model).one_to_many:

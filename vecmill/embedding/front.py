@@ -87,7 +87,8 @@ class ImageFront:
     decode: Callable[[bytes], np.ndarray] = decode_picture
 
     def __call__(self, inputs: Sequence[bytes], preprocess: bool) -> np.ndarray:
-        return np.stack([self._one(self.decode(x), preprocess) for x in inputs]) if len(inputs) else np.zeros((0, 3, self.size, self.size), np.float32)
+        return np.stack([self._one(self.decode(x), preprocess) for x in inputs]) if len(inputs) else np.zeros((0, 3, self.size,
+            self.size), np.float32)
 
     def _one(self, picture: np.ndarray, preprocess: bool) -> np.ndarray:
         h, w = picture.shape[:2]
@@ -127,7 +128,8 @@ class SoundFront:
         out = []
         for data in inputs:
             samples, rate = self.decode(data)
-            if not preprocess and (rate, samples.size, len(samples)) != (sound.RATE, sound.RATE * sound.SECONDS, sound.RATE * sound.SECONDS):
+            if not preprocess and (rate, samples.size, len(samples)) != (sound.RATE, sound.RATE * sound.SECONDS,
+                sound.RATE * sound.SECONDS):
                 raise InvalidArgument(f"a sound of {len(samples)} samples at {rate}, where {sound.RATE * sound.SECONDS} at {sound.RATE} are taken")
             try:
                 out.append(sound.features(samples, rate))

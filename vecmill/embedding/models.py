@@ -77,9 +77,11 @@ MODELS = {
         ModelSpec("resnet-50", "img", 2048, 16, image_size=224),
         ModelSpec("clip-vit-b32-image", "img", 512, 16, image_size=224),
         ModelSpec("clip-vit-b32-text", "str", 512, 128, 77),
-        ModelSpec("sface-yunet", "img", 128, 16, image_size=640, one_to_many=True, needs_preprocessing=True, thresholds=(("confidence_threshold", 0.6),), fixed=(("nms_threshold", 0.4),)),
+        ModelSpec("sface-yunet", "img", 128, 16, image_size=640, one_to_many=True, needs_preprocessing=True,
+            thresholds=(("confidence_threshold", 0.6),), fixed=(("nms_threshold", 0.4),)),
         ModelSpec(
-            "buffalo-l", "img", 512, 16, image_size=640, one_to_many=True, needs_preprocessing=True, thresholds=(("confidence_threshold", 0.5), ("nms_threshold", 0.4)), attributes=("genderage",)
+            "buffalo-l", "img", 512, 16, image_size=640, one_to_many=True, needs_preprocessing=True,
+                thresholds=(("confidence_threshold", 0.5), ("nms_threshold", 0.4)), attributes=("genderage",)
         ),
         ModelSpec("clap-audio", "aud", 512, 8),
         ModelSpec("clap-text", "str", 512, 128, 512),
@@ -161,7 +163,8 @@ class Registry:
                 for at in range(0, len(frame), spec.batch):
                     part, rows = frame.iloc[at : at + spec.batch], []
                     data = [r["str"] if r["kind"] == "str" else bytes(r["bin"]) for r in part["input"]]
-                    for pos, source, value, found in zip(part["pos"], part["input"], part["value"], net(data, preprocess, kwargs), strict=True):
+                    for pos, source, value, found in zip(part["pos"], part["input"], part["value"], net(data, preprocess, kwargs),
+                        strict=True):
                         for number, (key, said) in enumerate(found):
                             extra = {k: {"kind": "str", "str": v, "bin": None} for k, v in said.items()}
                             rows.append((pos, source, number, [float(x) for x in key], dict(value or {}) | extra))

@@ -48,7 +48,8 @@ def hertz(mels):
 
 
 @lru_cache(maxsize=4)
-def mel_filters(bands: int = BANDS, bins: int = WINDOW // 2 + 1, low: float = LOWEST, high: float = HIGHEST, rate: int = RATE) -> np.ndarray:
+def mel_filters(bands: int = BANDS, bins: int = WINDOW // 2 + 1, low: float = LOWEST, high: float = HIGHEST,
+    rate: int = RATE) -> np.ndarray:
     """(bands, bins): triangles between neighbouring points evenly spaced in mel, each with area of about 1 in hertz."""
     edges = hertz(np.linspace(mel(low), mel(high), bands + 2))
     points = np.minimum(np.round(edges / rate * 2 * (bins - 1)).astype(int), bins - 1)

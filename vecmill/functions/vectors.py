@@ -26,7 +26,8 @@ def mean_pool(tokens: Column, mask: Column) -> Column:
     tokens: array of equally long vectors; mask: array of 0 and 1.
     """
     weighted = F.zip_with(tokens, mask, lambda t, m: F.transform(t, lambda x: x.cast("double") * m.cast("double")))
-    total = F.aggregate(weighted, F.array().cast("array<double>"), lambda a, t: F.when(F.size(a) == 0, t).otherwise(F.zip_with(a, t, lambda p, q: p + q)))
+    total = F.aggregate(weighted, F.array().cast("array<double>"), lambda a,
+        t: F.when(F.size(a) == 0, t).otherwise(F.zip_with(a, t, lambda p, q: p + q)))
     count = F.aggregate(mask, F.lit(0.0), lambda a, m: a + m.cast("double"))
     return F.transform(total, lambda x: x / F.greatest(count, F.lit(1e-9)))
 
@@ -53,4 +54,5 @@ def without(m: Column, *keys: str) -> Column:
 
 def map_bytes(m: Column) -> Column:
     """Bytes of a metadata map's keys and values."""
-    return F.aggregate(F.map_entries(m), F.lit(0).cast("long"), lambda a, e: a + F.octet_length(e["key"]) + F.coalesce(F.octet_length(e["value"]["str"]), F.octet_length(e["value"]["bin"]), F.lit(0)))
+    return F.aggregate(F.map_entries(m), F.lit(0).cast("long"), lambda a,
+        e: a + F.octet_length(e["key"]) + F.coalesce(F.octet_length(e["value"]["str"]), F.octet_length(e["value"]["bin"]), F.lit(0)))

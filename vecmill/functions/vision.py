@@ -69,7 +69,8 @@ def grid(size: int, stride: int, each: int = 1, centre: float = 0.0) -> np.ndarr
     return np.repeat(np.stack([x + centre, y + centre], 1) * float(stride), each, 0)
 
 
-def decode_distances(outputs: Sequence[np.ndarray], least: float, size: int = 640, strides: Sequence[int] = (8, 16, 32), each: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode_distances(outputs: Sequence[np.ndarray], least: float, size: int = 640, strides: Sequence[int] = (8, 16, 32),
+    each: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(boxes, points, confidence) of a detector that gives distances to a box's sides from grid points.
 
     For every stride a score, a box and a points tensor, told apart by shape.
@@ -90,7 +91,8 @@ def decode_distances(outputs: Sequence[np.ndarray], least: float, size: int = 64
     return np.concatenate(boxes), np.concatenate(points), np.concatenate(scores)
 
 
-def decode_centres(outputs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], least: float, size: int = 640) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decode_centres(outputs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], least: float,
+    size: int = 640) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(boxes, points, confidence) of a detector that gives (class, object, box, points) by stride, boxes by centre and sides."""
     boxes, points, scores = [], [], []
     for s, (cls, obj, box, point) in outputs.items():
@@ -165,6 +167,7 @@ def centre_crop(picture: np.ndarray, height: int, width: int) -> np.ndarray:
     return p[top : top + height, left : left + width]
 
 
-def to_tensor(picture: np.ndarray, mean: Sequence[float] = (0, 0, 0), std: Sequence[float] = (1, 1, 1), scale: float = 1 / 255) -> np.ndarray:
+def to_tensor(picture: np.ndarray, mean: Sequence[float] = (0, 0, 0), std: Sequence[float] = (1, 1, 1),
+    scale: float = 1 / 255) -> np.ndarray:
     """Rescaled, normalised and turned to (C, H, W), single precision."""
     return ((picture * scale - np.asarray(mean)) / np.asarray(std)).transpose(2, 0, 1).astype(np.float32)

@@ -53,7 +53,8 @@ class Graph:
     def _room(self, level: int) -> int:
         return self.settings.maximum_connections_zero if level == 0 else self.settings.maximum_connections
 
-    def reach(self, query: np.ndarray, starts: Sequence[int], width: int, level: int, accept: set[int] | None = None) -> list[tuple[float, int]]:
+    def reach(self, query: np.ndarray, starts: Sequence[int], width: int, level: int,
+        accept: set[int] | None = None) -> list[tuple[float, int]]:
         """The ``width`` closest found from the starts on; ids that are not accepted are passed through, not returned."""
         seen = set(starts)
         far = self._far(query, starts)
@@ -128,7 +129,8 @@ class Graph:
                 if key in others:  # its neighbours are offered one another
                     offered = [o for o in dict.fromkeys([*others, *gone]) if o not in (key, n) and o in layer]
                     far = self._far(self.vectors[n], offered) if offered else np.zeros(0)
-                    layer[n] = self.spread(sorted(zip(far.tolist(), offered, strict=True)), max(self.settings.maximum_connections, len(others)))
+                    layer[n] = self.spread(sorted(zip(far.tolist(), offered, strict=True)),
+                        max(self.settings.maximum_connections, len(others)))
         while self.layers and not self.layers[-1]:
             self.layers.pop()
         if self.entry == key:
@@ -155,7 +157,8 @@ def to_bytes(g: Graph) -> bytes:
     """A graph as an Arrow stream: a row for each id, with its vector and its neighbours in each layer that it is in."""
     ids = list(g.vectors)
     links = [[layer[i] for layer in g.layers if i in layer] for i in ids]
-    t = pa.table({"id": pa.array(ids, pa.int64()), "vector": pa.array([g.vectors[i].tolist() for i in ids], pa.list_(pa.float64())), "links": pa.array(links, pa.list_(pa.list_(pa.int64())))})
+    t = pa.table({"id": pa.array(ids, pa.int64()), "vector": pa.array([g.vectors[i].tolist() for i in ids], pa.list_(pa.float64())),
+        "links": pa.array(links, pa.list_(pa.list_(pa.int64())))})
     facts = {"settings": json.dumps(asdict(g.settings)), "entry": json.dumps(g.entry)}
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, t.schema.with_metadata(facts)) as w:
@@ -180,7 +183,8 @@ def shard_count(rows: DataFrame, shard_rows: int = 20_000) -> int:
     return max(1, -(-rows.count() // shard_rows))
 
 
-def build_graphs(rows: DataFrame, path: str, settings: Hnsw, shard_rows: int = 20_000, key: str = "key", shards: int | None = None) -> DataFrame:
+def build_graphs(rows: DataFrame, path: str, settings: Hnsw, shard_rows: int = 20_000, key: str = "key",
+    shards: int | None = None) -> DataFrame:
     """Write (shard, n, graph) for rows (key_id, key), in ``shards`` shards, by default of about ``shard_rows`` each."""
     shards = shards or shard_count(rows, shard_rows)
     dealt = rows.select(F.pmod(F.xxhash64("key_id"), F.lit(shards)).cast("long").alias("shard"), "key_id", F.col(key).alias("key"))
@@ -189,7 +193,8 @@ def build_graphs(rows: DataFrame, path: str, settings: Hnsw, shard_rows: int = 2
         g = Graph(settings)
         for i, v in zip(t.column("key_id").to_pylist(), t.column("key").to_pylist(), strict=True):
             g.insert(i, v)
-        return pa.table({"shard": t.column("shard").slice(0, 1), "n": pa.array([len(g.vectors)]), "graph": pa.array([to_bytes(g)], pa.binary())})
+        return pa.table({"shard": t.column("shard").slice(0, 1), "n": pa.array([len(g.vectors)]),
+            "graph": pa.array([to_bytes(g)], pa.binary())})
 
     dealt.groupBy("shard").applyInArrow(build, "shard long, n long, graph binary").write.parquet(path)
     return rows.sparkSession.read.parquet(path)
@@ -212,13 +217,15 @@ def update_graphs(graphs: DataFrame, change: DataFrame, path: str, settings: Hns
             g.delete(i)
         for i in np.flatnonzero(alive):
             g.insert(int(ids[i]), keys[i])
-        return pa.table({"shard": new.column("shard").slice(0, 1), "n": pa.array([len(g.vectors)]), "graph": pa.array([to_bytes(g)], pa.binary())})
+        return pa.table({"shard": new.column("shard").slice(0, 1), "n": pa.array([len(g.vectors)]),
+            "graph": pa.array([to_bytes(g)], pa.binary())})
 
     graphs.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(apply, "shard long, n long, graph binary").write.parquet(path)
     return graphs.sparkSession.read.parquet(path)
 
 
-def search_graphs_many(graphs: DataFrame, queries: DataFrame, k: int, width: int | None = None, query_id: str = "query_id", query_key: str = "query") -> DataFrame:
+def search_graphs_many(graphs: DataFrame, queries: DataFrame, k: int, width: int | None = None, query_id: str = "query_id",
+    query_key: str = "query") -> DataFrame:
     """(query_id, key_id, similarity, rank): the k best of every query, each shard's graph being loaded once.
 
     Queries travel to every task; more than ``QUERY_BYTES`` of them are refused, to be given in parts.
@@ -235,14 +242,17 @@ def search_graphs_many(graphs: DataFrame, queries: DataFrame, k: int, width: int
                 found = [(q, i, s, s if g.metric.greater_is_closer else -s) for q, x in given.value for s, i in g.nearest(x, k, width)]
                 cols = list(zip(*found, strict=True)) or [()] * 4
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["q", "r", "similarity", "closeness"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)],
+                    ["q", "r", "similarity", "closeness"])
 
     found = graphs.select("graph").mapInArrow(run, "q long, r long, similarity double, closeness double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("closeness"), F.desc("r")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("r").alias("key_id"), "similarity", "rank")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("r").alias("key_id"),
+        "similarity", "rank")
 
 
-def search_graphs(graphs: DataFrame, query: Sequence[float], n: int, width: int | None = None, accept: DataFrame | None = None, shards_of: int | None = None) -> DataFrame:
+def search_graphs(graphs: DataFrame, query: Sequence[float], n: int, width: int | None = None, accept: DataFrame | None = None,
+    shards_of: int | None = None) -> DataFrame:
     """(key_id, similarity), closest first. ``accept``: (key_id) of the rows that may be returned; ``shards_of``: into how many shards ids were dealt."""
     if n <= 0:
         raise InvalidArgument("closest_n must be above 0")
@@ -250,7 +260,8 @@ def search_graphs(graphs: DataFrame, query: Sequence[float], n: int, width: int
     shards = graphs
     if accept is not None:
         total = shards_of or (graphs.agg(F.max("shard")).first()[0] or 0) + 1
-        ids = accept.select(F.pmod(F.xxhash64("key_id"), F.lit(total)).cast("long").alias("shard"), "key_id").groupBy("shard").agg(F.collect_list("key_id").alias("ids"))  # a shard's rows at most
+        ids = accept.select(F.pmod(F.xxhash64("key_id"), F.lit(total)).cast("long").alias("shard"),
+            "key_id").groupBy("shard").agg(F.collect_list("key_id").alias("ids"))  # a shard's rows at most
         shards = graphs.join(ids, "shard")
     else:
         shards = graphs.withColumn("ids", F.lit(None).cast("array<bigint>"))
@@ -261,6 +272,9 @@ def search_graphs(graphs: DataFrame, query: Sequence[float], n: int, width: int
                 g: Graph = from_bytes(data.as_py())
                 found = g.nearest(q, n, width, None if ids.as_py() is None else set(ids.as_py()))
                 greater = g.metric.greater_is_closer
-                yield pa.RecordBatch.from_arrays([pa.array([i for _, i in found], pa.int64()), pa.array([s for s, _ in found], pa.float64()), pa.array([s if greater else -s for s, _ in found], pa.float64())], ["key_id", "similarity", "closeness"])
+                yield pa.RecordBatch.from_arrays([pa.array([i for _, i in found], pa.int64()),
+                    pa.array([s for s, _ in found], pa.float64()), pa.array([s if greater else -s for s, _ in found], pa.float64())],
+                        ["key_id", "similarity", "closeness"])
 
-    return shards.select("graph", "ids").mapInArrow(run, "key_id long, similarity double, closeness double").orderBy(F.desc("closeness"), F.desc("key_id")).limit(n).drop("closeness")
+    return shards.select("graph", "ids").mapInArrow(run,
+        "key_id long, similarity double, closeness double").orderBy(F.desc("closeness"), F.desc("key_id")).limit(n).drop("closeness")

@@ -60,7 +60,8 @@ class IvfIndex:
     def cells_of(self, query: Sequence[float], probes: int) -> list[int]:
         return _nearest(self._ready(np.asarray(query, np.float64)[None, :]), self.centres, probes)[0].tolist()
 
-    def search(self, spark, query: Sequence[float], n: int, probes: int | None = None, where: Column | None = None, exact_below: int = 4096) -> DataFrame:
+    def search(self, spark, query: Sequence[float], n: int, probes: int | None = None, where: Column | None = None,
+        exact_below: int = 4096) -> DataFrame:
         """The n closest rows of the probed cells that pass the filter.
 
         Where a filter leaves at most ``exact_below`` rows, all of those are
@@ -77,7 +78,8 @@ class IvfIndex:
             probed = passing
         return top_n(probed, query, n, self.metric).drop("cell")
 
-    def search_many(self, spark, queries: DataFrame, k: int, probes: int | None = None, query_id: str = "query_id", query_key: str = "query") -> DataFrame:
+    def search_many(self, spark, queries: DataFrame, k: int, probes: int | None = None, query_id: str = "query_id",
+        query_key: str = "query") -> DataFrame:
         """(query_id, key_id, similarity, rank): for each query the k closest rows of the cells it probes, in one scan.
 
         Queries travel to every task; more than ``QUERY_BYTES`` of them are refused, to be given in parts.
@@ -102,14 +104,18 @@ class IvfIndex:
                     far = np.where(np.isnan(s), np.inf, -s if m.greater_is_closer else s)
                     top = np.argsort(far, 1, kind="stable")[:, :k]
                     rows = np.repeat(np.arange(len(mine)), top.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[mine][rows]), pa.array(keys[at][top.reshape(-1)]), pa.array(s[rows, top.reshape(-1)])], ["q", "r", "similarity"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[mine][rows]), pa.array(keys[at][top.reshape(-1)]),
+                        pa.array(s[rows, top.reshape(-1)])], ["q", "r", "similarity"])
 
-        found = self.rows(spark).where(F.col("cell").isin(sorted(set(cells.reshape(-1).tolist())))).select("cell", "key_id", "key").mapInArrow(run, "q long, r long, similarity double")
+        found = self.rows(spark).where(F.col("cell").isin(sorted(set(cells.reshape(-1).tolist())))).select("cell", "key_id",
+            "key").mapInArrow(run, "q long, r long, similarity double")
         w = Window.partitionBy("q").orderBy(m.order("similarity"), F.desc("r"))
-        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("r").alias("key_id"), "similarity", "rank")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id),
+            F.col("r").alias("key_id"), "similarity", "rank")
 
 
-def build(rows: DataFrame, path: str, by: str | Metric = "euclidean", cells: int | None = None, sample: int = 20_000, key: str = "key", recall: float = 0.95, tried: int = 200, k: int = 10) -> IvfIndex:
+def build(rows: DataFrame, path: str, by: str | Metric = "euclidean", cells: int | None = None, sample: int = 20_000, key: str = "key",
+    recall: float = 0.95, tried: int = 200, k: int = 10) -> IvfIndex:
     """Index every row; centroids come from at most ``sample`` rows, the first by a hash of key_id.
 
     ``probes`` is measured: ``tried`` of those rows are searched exactly, and so
@@ -122,7 +128,8 @@ def build(rows: DataFrame, path: str, by: str | Metric = "euclidean", cells: int
     some = rows.where(h <= int(min(1.0, (2 * sample + 100) / max(1, count)) * (1 << 31)))
     drawn = some.orderBy(h, "key_id").limit(sample).select(F.col(key).alias("x"), "key_id").collect()
     x = np.array([r["x"] for r in drawn], np.float64)
-    index = IvfIndex(path, np.zeros((1, x.shape[1] if x.ndim == 2 else 1)), m, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())]))
+    index = IvfIndex(path, np.zeros((1, x.shape[1] if x.ndim == 2 else 1)), m,
+        T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())]))
     if len(x):
         index.centres = fit_centroids(index._ready(x), cells or max(1, min(4096, int(count**0.5))))
     given = rows.sparkSession.sparkContext.broadcast(index)  # at most 4096 centroids
@@ -136,7 +143,8 @@ def build(rows: DataFrame, path: str, by: str | Metric = "euclidean", cells: int
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     # cells are spread over several tasks each, so that a crowded one is no single task
-    rows.mapInArrow(run, f"{kinds}, cell int").repartition(F.col("cell"), F.pmod(F.xxhash64("key_id"), F.lit(4))).write.partitionBy("cell").parquet(path)
+    rows.mapInArrow(run, f"{kinds}, cell int").repartition(F.col("cell"),
+        F.pmod(F.xxhash64("key_id"), F.lit(4))).write.partitionBy("cell").parquet(path)
     if len(x):
         index.probes = _measured(rows.sparkSession, index, [(r["key_id"], r["x"]) for r in drawn[:tried]], k, recall, key)
     return index

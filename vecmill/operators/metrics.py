@@ -81,7 +81,8 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(_squared(a, b))
 
 
-def closest(m: Metric, queries: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def closest(m: Metric, queries: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray,
+    leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of the pairs that may be among the k closest of their query, ties included.
 
     ``least``: the closeness below which a query needs no more rows. ``leave``:

@@ -24,7 +24,8 @@ IDENTITY = ["key_id", "key"]
 
 def entries(spark: SparkSession, pairs: Sequence[tuple[Sequence[float] | None, dict[str, Meta | str] | None]]) -> DataFrame:
     """(pos, key, value) from Python pairs, in their order."""
-    rows = [(i, None if k is None else [float(x) for x in k], {n: Meta.of(v).as_row() for n, v in (m or {}).items()}) for i, (k, m) in enumerate(pairs)]
+    rows = [(i, None if k is None else [float(x) for x in k], {n: Meta.of(v).as_row() for n, v in (m or {}).items()}) for i,
+        (k, m) in enumerate(pairs)]
     schema = f"pos long, key array<float>, value {VALUE.simpleString()}"
     return spark.createDataFrame(rows, schema)
 
@@ -35,7 +36,8 @@ def batch(given: DataFrame, dimension: int) -> DataFrame:
     Entries without a key drop out, those without a value get an empty map; one
     key of another dimension rejects the batch; of repeated keys the last stays.
     """
-    keyed = given.where(F.col("key").isNotNull()).select("pos", F.col("key").cast(VECTOR).alias("key"), F.coalesce("value", F.create_map().cast(VALUE)).alias("value"))
+    keyed = given.where(F.col("key").isNotNull()).select("pos", F.col("key").cast(VECTOR).alias("key"),
+        F.coalesce("value", F.create_map().cast(VALUE)).alias("value"))
     check_dimensions(keyed, dimension)
     keyed = keyed.withColumn("key_id", key_id(F.col("key")))
     last = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(F.desc("pos")))
@@ -70,7 +72,8 @@ def set_counts(rows: DataFrame, new: DataFrame) -> tuple[int, int]:
     return r["n"] - r["u"], r["u"]
 
 
-def upsert_change(rows: DataFrame, condition: Column, dimension: int, new_key: Sequence[float] | None, new_value: dict[str, Meta | str] | None, merge: bool) -> DataFrame:
+def upsert_change(rows: DataFrame, condition: Column, dimension: int, new_key: Sequence[float] | None,
+    new_value: dict[str, Meta | str] | None, merge: bool) -> DataFrame:
     """The change of an update of the one row that meets the condition; everything is checked first."""
     spark = rows.sparkSession
     hit = rows.where(condition)

@@ -15,7 +15,8 @@ def posting_rows(rows: DataFrame, keys: Iterable[str]) -> DataFrame:
     is many rows, not one list.
     """
     wanted = sorted(keys)
-    return rows.select("key_id", F.explode("value").alias("name", "v")).where(F.col("name").isin(wanted)).select("name", "v.kind", "v.str", "v.bin", "key_id")
+    return rows.select("key_id", F.explode("value").alias("name", "v")).where(F.col("name").isin(wanted)).select("name", "v.kind",
+        "v.str", "v.bin", "key_id")
 
 
 def posting_counts(rows: DataFrame, keys: Iterable[str]) -> DataFrame:

@@ -80,7 +80,8 @@ def tagged(value: Meta | str) -> Column:
     """A value with its kind, comparable with a metadata entry: text 1 is not image byte 0x31."""
     v = Meta.of(value)
     empty = F.lit(None)
-    return F.struct(F.lit(v.kind).alias("kind"), (F.lit(v.data) if v.kind == "str" else empty).cast("string").alias("str"), (F.lit(bytearray(v.data)) if v.kind != "str" else empty).cast("binary").alias("bin"))
+    return F.struct(F.lit(v.kind).alias("kind"), (F.lit(v.data) if v.kind == "str" else empty).cast("string").alias("str"),
+        (F.lit(bytearray(v.data)) if v.kind != "str" else empty).cast("binary").alias("bin"))
 
 
 def entry(value: str = "value") -> Callable[[str], Column]:
@@ -93,7 +94,8 @@ def columns_entry(columns: dict[str, str]) -> Callable[[str], Column]:
     return lambda key: F.col(columns[key])
 
 
-def compile_predicate(condition: Predicate | None, get: Callable[[str], Column] | None = None, semantics: str = "direct", literal: Callable[[Meta | str], Column] = tagged, posted: set[str] | None = None) -> Column:
+def compile_predicate(condition: Predicate | None, get: Callable[[str], Column] | None = None, semantics: str = "direct",
+    literal: Callable[[Meta | str], Column] = tagged, posted: set[str] | None = None) -> Column:
     """A Boolean column, never null.
 
     ``indexed`` applies to the keys in ``posted`` (to all, if that is None);

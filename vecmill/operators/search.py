@@ -16,7 +16,8 @@ QUERY_BYTES = 32 << 20  # most bytes of query vectors that travel to every task
 PART_ROWS, PART_QUERIES = 4096, 1024  # scores of so many rows and queries are held at once
 
 
-def top_n(rows: DataFrame, query: Sequence[float], n: int, by: str | Metric = "cosine", where: Column | None = None, key: str = "key", tie: str = "key_id") -> DataFrame:
+def top_n(rows: DataFrame, query: Sequence[float], n: int, by: str | Metric = "cosine", where: Column | None = None, key: str = "key",
+    tie: str = "key_id") -> DataFrame:
     """The n closest rows, closest first, with ``similarity``; ties by descending ``tie``.
 
     The filter stands before the score, so only passing rows are scored, and
@@ -30,7 +31,8 @@ def top_n(rows: DataFrame, query: Sequence[float], n: int, by: str | Metric = "c
 
 
 def knn_join(
-    queries: DataFrame, rows: DataFrame, k: int, by: str | Metric = "cosine", query_id: str = "query_id", query_key: str = "query", row_id: str = "key_id", row_key: str = "key", keep_self: bool = False
+    queries: DataFrame, rows: DataFrame, k: int, by: str | Metric = "cosine", query_id: str = "query_id", query_key: str = "query",
+        row_id: str = "key_id", row_key: str = "key", keep_self: bool = False
 ) -> DataFrame:
     """(query_id, row_id, similarity, rank): the k closest rows of each query; ties by descending row id.
 
@@ -47,9 +49,11 @@ def knn_join(
     asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_key).cast("array<double>").alias("x"))
     held = rows.select(F.col(row_id).cast("long").alias("r"), F.col(row_key).alias("y"))
     size = asked.agg(F.sum(8 * F.size("x") + 16)).first()[0] or 0
-    found = _scan(asked.where("x is not null").collect(), held, k, m, keep_self) if size <= QUERY_BYTES else _grid(asked, held, size, k, m, keep_self)
+    found = _scan(asked.where("x is not null").collect(), held, k, m, keep_self) if size <= QUERY_BYTES else _grid(asked, held, size,
+        k, m, keep_self)
     w = Window.partitionBy("q").orderBy(m.order("similarity"), F.desc("r"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("r").alias(row_id), "similarity", "rank")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query_id),
+        F.col("r").alias(row_id), "similarity", "rank")
 
 
 class Closest:
@@ -90,7 +94,8 @@ class Closest:
         for d in self.held:
             q, i, c = self._settle(d)
             s = c if self.m.greater_is_closer else -c
-            yield pa.RecordBatch.from_arrays([pa.array(self.queries[d][0][q]), pa.array(i), pa.array(s, mask=np.isinf(s))], ["q", "r", "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array(self.queries[d][0][q]), pa.array(i), pa.array(s, mask=np.isinf(s))],
+                ["q", "r", "similarity"])
 
 
 def _by_dimension(ids: Sequence[int], vectors: Sequence[Sequence[float]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -121,8 +126,10 @@ def _grid(queries: DataFrame, rows: DataFrame, size: int, k: int, m: Metric, kee
     chunks = max(1, -(-(rows.agg(F.sum(8 * F.size("y") + 16)).first()[0] or 0) // QUERY_BYTES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    asked = queries.where("x is not null").select(place("q", blocks).alias("block"), every(chunks).alias("chunk"), F.lit(0).alias("side"), F.col("q").alias("id"), F.col("x").alias("v"))
-    held = rows.where("y is not null").select(every(blocks).alias("block"), place("r", chunks).alias("chunk"), F.lit(1).alias("side"), F.col("r").alias("id"), F.col("y").cast("array<double>").alias("v"))
+    asked = queries.where("x is not null").select(place("q", blocks).alias("block"), every(chunks).alias("chunk"),
+        F.lit(0).alias("side"), F.col("q").alias("id"), F.col("x").alias("v"))
+    held = rows.where("y is not null").select(every(blocks).alias("block"), place("r", chunks).alias("chunk"), F.lit(1).alias("side"),
+        F.col("r").alias("id"), F.col("y").cast("array<double>").alias("v"))
     dealt = asked.unionAll(held).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +151,8 @@ def _grid(queries: DataFrame, rows: DataFrame, size: int, k: int, m: Metric, kee
                 elif ids:
                     best = best or Closest(_by_dimension(ids, vectors), k, m, keep_self)
                     own = part.column("v")
-                    best.show(part.column("id").to_numpy(), pa.ListArray.from_arrays(pa.array(own.offsets.to_numpy() - own.offsets[0].as_py()), own.flatten()))
+                    best.show(part.column("id").to_numpy(),
+                        pa.ListArray.from_arrays(pa.array(own.offsets.to_numpy() - own.offsets[0].as_py()), own.flatten()))
         if best is not None:
             yield from best.found()
 

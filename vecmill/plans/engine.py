@@ -90,7 +90,8 @@ class Engine:
             raise StoreNotFound(name)
         return found
 
-    def create_store(self, name: str, dimension: int, predicates: Sequence[str] = (), nonlinear: Sequence[KdTree | Hnsw] = (), error_if_exists: bool = True, schema: str | None = None) -> None:
+    def create_store(self, name: str, dimension: int, predicates: Sequence[str] = (), nonlinear: Sequence[KdTree | Hnsw] = (),
+        error_if_exists: bool = True, schema: str | None = None) -> None:
         """An existing store keeps its settings when ``error_if_exists`` is off."""
         where = self.schema_name(schema)
         if dimension <= 0:
@@ -105,11 +106,13 @@ class Engine:
         self.stores.setdefault(where, {})[name] = Store(meta, self.spark.createDataFrame([], STORE_ROW))
         self.dirty = True
 
-    def attach(self, name: str, rows: DataFrame, dimension: int, predicates: Sequence[str] = (), nonlinear: Sequence[KdTree | Hnsw] = (), schema: str | None = None) -> Store:
+    def attach(self, name: str, rows: DataFrame, dimension: int, predicates: Sequence[str] = (),
+        nonlinear: Sequence[KdTree | Hnsw] = (), schema: str | None = None) -> Store:
         """A store whose rows are a table (key, value) with a row for each key; nothing is read or copied."""
         self.create_store(name, dimension, predicates, nonlinear, schema=schema)
         s = self.store(name, schema)
-        s.rows = rows.select(key_id(F.col("key")).alias("key_id"), F.col("key").cast(VECTOR).alias("key"), F.col("value").cast(VALUE).alias("value"))
+        s.rows = rows.select(key_id(F.col("key")).alias("key_id"), F.col("key").cast(VECTOR).alias("key"),
+            F.col("value").cast(VALUE).alias("value"))
         s.meta.posted |= s.meta.predicates
         return s
 
@@ -139,9 +142,12 @@ class Engine:
         out = self.spark.createDataFrame([], fields)
         for s in stores:
             m = s.meta
-            one = s.rows.agg(F.count("*").alias("len"), F.coalesce(F.sum(m.dimension * 4 + map_bytes(F.col("value"))), F.lit(0)).cast("long").alias("size_in_bytes"))
+            one = s.rows.agg(F.count("*").alias("len"),
+                F.coalesce(F.sum(m.dimension * 4 + map_bytes(F.col("value"))), F.lit(0)).cast("long").alias("size_in_bytes"))
             names = lambda xs: F.array(*[F.lit(x) for x in sorted(xs)]).cast("array<string>")
-            out = out.unionByName(one.select(F.lit(m.name).alias("name"), F.lit(m.schema).alias("schema"), F.lit(m.dimension).alias("dimension"), names(m.predicates).alias("predicates"), names(m.nonlinear).alias("nonlinear"), "len", "size_in_bytes"))
+            out = out.unionByName(one.select(F.lit(m.name).alias("name"), F.lit(m.schema).alias("schema"),
+                F.lit(m.dimension).alias("dimension"), names(m.predicates).alias("predicates"), names(m.nonlinear).alias("nonlinear"),
+                    "len", "size_in_bytes"))
         return out
 
     # -- indexes
@@ -175,7 +181,8 @@ class Engine:
         self.dirty = True
         return Count(made)
 
-    def drop_nonlinear_index(self, name: str, algorithms: Sequence[str], error_if_not_exists: bool = True, schema: str | None = None) -> Count:
+    def drop_nonlinear_index(self, name: str, algorithms: Sequence[str], error_if_not_exists: bool = True,
+        schema: str | None = None) -> Count:
         meta = self.store(name, schema).meta
         if error_if_not_exists and (missing := [a for a in algorithms if a not in meta.nonlinear]):
             raise NonLinearIndexNotFound(missing[0])
@@ -216,7 +223,8 @@ class Engine:
             raise InvalidArgument("a condition is needed")
         return s.rows.where(self._condition(s, condition)).select("key", "value")
 
-    def get_sim_n(self, name: str, query: Sequence[float], closest_n: int, algorithm: str = "cosine", condition: Predicate | None = None, schema: str | None = None) -> DataFrame:
+    def get_sim_n(self, name: str, query: Sequence[float], closest_n: int, algorithm: str = "cosine",
+        condition: Predicate | None = None, schema: str | None = None) -> DataFrame:
         """(key, value, similarity), closest first. kdtree gives squared distances, hnsw its index's metric; both are exact."""
         s = self.store(name, schema)
         if closest_n <= 0:
@@ -243,7 +251,8 @@ class Engine:
             raise InvalidArgument(f"no such algorithm: {algorithm}")
         return algorithm, "direct"
 
-    def knn(self, name: str, queries: DataFrame, k: int, algorithm: str = "cosine", condition: Predicate | None = None, schema: str | None = None) -> DataFrame:
+    def knn(self, name: str, queries: DataFrame, k: int, algorithm: str = "cosine", condition: Predicate | None = None,
+        schema: str | None = None) -> DataFrame:
         """(query_id, key_id, similarity, rank) for queries (query_id, query), all in one plan."""
         s = self.store(name, schema)
         by, semantics = self._metric(s, algorithm)
@@ -263,7 +272,8 @@ class Engine:
             s.graphs = Graphs(hnsw.build_graphs(s.rows.select("key_id", "key"), path, index, shards=shards), shards, path)
         return s.graphs
 
-    def approximate(self, name: str, query: Sequence[float], closest_n: int, condition: Predicate | None = None, width: int | None = None, schema: str | None = None) -> DataFrame:
+    def approximate(self, name: str, query: Sequence[float], closest_n: int, condition: Predicate | None = None,
+        width: int | None = None, schema: str | None = None) -> DataFrame:
         """As ``get_sim_n`` by hnsw, but from the graphs: a few thousand distances a shard instead of one for each row."""
         s, g = self.store(name, schema), self.graphs(name, schema)
         if len(query) != s.meta.dimension:
@@ -280,7 +290,8 @@ class Engine:
         change = storage.written(change, path)
         if s.graphs is not None:
             new = storage.fresh_path(self.spark, "graphs")
-            s.graphs, old = Graphs(hnsw.update_graphs(s.graphs.rows, change, new, s.meta.nonlinear["hnsw"], s.graphs.shards), s.graphs.shards, new), s.graphs
+            s.graphs, old = Graphs(hnsw.update_graphs(s.graphs.rows, change, new, s.meta.nonlinear["hnsw"], s.graphs.shards),
+                s.graphs.shards, new), s.graphs
             s.outdated.append(old.path)
         s.rows = M.overlay(s.rows, change)
         s.files.append(path)
@@ -314,7 +325,8 @@ class Engine:
         self._apply(s, change)
         return SetResult(inserted, updated)
 
-    def upsert(self, name: str, condition: Predicate, new_key: Sequence[float] | None = None, new_value: dict[str, Meta | str] | None = None, merge: bool = False, schema: str | None = None) -> SetResult:
+    def upsert(self, name: str, condition: Predicate, new_key: Sequence[float] | None = None,
+        new_value: dict[str, Meta | str] | None = None, merge: bool = False, schema: str | None = None) -> SetResult:
         s = self.store(name, schema)
         if new_key is None and new_value is None:
             raise InvalidArgument("an upsert needs a new key or a new value")
@@ -402,7 +414,8 @@ class Engine:
 
     def info(self) -> DataFrame:
         sc = self.spark.sparkContext
-        return self.spark.createDataFrame([(sc.master, __version__, self.spark.version, "database")], "address string, version string, spark string, type string")
+        return self.spark.createDataFrame([(sc.master, __version__, self.spark.version, "database")],
+            "address string, version string, spark string, type string")
 
     def execute(self, command: C.Command):
         match command:

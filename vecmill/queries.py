@@ -52,7 +52,8 @@ def store_rows(rows: DataFrame) -> DataFrame:
     """(key, value) of flat rows; the id is an entry too."""
     names = ("vec_id", *NAMES)
     pairs = F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("v")) for n in names])
-    kept = F.transform(F.filter(pairs, lambda p: p["v"].isNotNull()), lambda p: F.struct(p["key"].alias("key"), _entry(p["v"]).alias("value")))
+    kept = F.transform(F.filter(pairs, lambda p: p["v"].isNotNull()),
+        lambda p: F.struct(p["key"].alias("key"), _entry(p["v"]).alias("value")))
     return rows.select(F.col("embedding").alias("key"), F.map_from_entries(kept).alias("value"))
 
 
@@ -117,25 +118,30 @@ def accept_list_simn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn(spark: SparkSession, sf_dir: str, metric: str = "cosine") -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return knn_join(_asked(spark, sf_dir), e, 10, metric, row_id="vec_id", row_key="embedding").withColumn("similarity", F.round("similarity", 6))
+    return knn_join(_asked(spark, sf_dir), e, 10, metric, row_id="vec_id", row_key="embedding").withColumn("similarity",
+        F.round("similarity", 6))
 
 
 def knn_large(spark: SparkSession, sf_dir: str, copies: int = 25) -> DataFrame:
     """The vectors and ``copies`` - 1 changed forms of each, searched by every 50th of all: the size that batches have."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("c"))
     turned = F.transform("embedding", lambda x, i: (x + F.sin(F.col("c") * (i + 1)) * F.lit(0.05)).cast("float"))
-    every = e.select((F.col("vec_id") * copies + F.col("c")).alias("vec_id"), F.when(F.col("c") == 0, F.col("embedding")).otherwise(turned).alias("embedding")).repartition(2 * spark.sparkContext.defaultParallelism)
+    every = e.select((F.col("vec_id") * copies + F.col("c")).alias("vec_id"),
+        F.when(F.col("c") == 0, F.col("embedding")).otherwise(turned).alias("embedding")).repartition(2 * spark.sparkContext.defaultParallelism)
     asked = every.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return knn_join(asked, every, 10, "cosine", row_id="vec_id", row_key="embedding").select("query_id", "rank", F.round("similarity", 5).alias("similarity"))
+    return knn_join(asked, every, 10, "cosine", row_id="vec_id", row_key="embedding").select("query_id", "rank",
+        F.round("similarity", 5).alias("similarity"))
 
 
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flat(spark, sf_dir, ("lang",)).where(compile_predicate(NotEquals("lang", "en"), columns_entry(COLUMNS), "direct", plain))
-    return knn_join(_asked(spark, sf_dir), rows.select("vec_id", "embedding"), 5, "euclidean", row_id="vec_id", row_key="embedding").withColumn("similarity", F.round("similarity", 6))
+    return knn_join(_asked(spark, sf_dir), rows.select("vec_id", "embedding"), 5, "euclidean", row_id="vec_id",
+        row_key="embedding").withColumn("similarity", F.round("similarity", 6))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return read(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"),
+        F.col("embedding").alias("query"))
 
 
 # -- reads
@@ -169,7 +175,8 @@ def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of label 3 with another language, and the opposites of label 4's vectors under ids of their own."""
     rows = flat(spark, sf_dir)
     old = rows.where("label = '3'").withColumn("lang", F.lit("xx"))
-    new = rows.where("label = '4'").withColumn("embedding", F.transform("embedding", lambda x: -x)).withColumn("vec_id", -F.col("vec_id") - 1)
+    new = rows.where("label = '4'").withColumn("embedding", F.transform("embedding", lambda x: -x)).withColumn("vec_id",
+        -F.col("vec_id") - 1)
     both = old.unionByName(new)
     return store_rows(both).withColumn("pos", F.lit(0).cast("long"))
 
@@ -215,7 +222,8 @@ def stream_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine.create_store("vectors", _dimension(spark, sf_dir), NAMES)
     schema = read(spark, sf_dir, "embeddings").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parquet*")
-    given = stream.select(F.col("embedding").alias("key"), F.create_map(F.lit("vec_id"), _entry(F.col("vec_id")), F.lit("label"), _entry(F.col("label"))).alias("value"))
+    given = stream.select(F.col("embedding").alias("key"),
+        F.create_map(F.lit("vec_id"), _entry(F.col("vec_id")), F.lit("label"), _entry(F.col("label"))).alias("value"))
     stream_into(engine, given, "vectors", f"{storage.root(spark)}/stream-{uuid.uuid4().hex}").awaitTermination()
     return engine.rows("vectors").groupBy(_said("label")).agg(F.count("*").alias("n"), F.sum(_id()).alias("ids"))
 
@@ -225,7 +233,8 @@ def stream_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def store_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     info = opened(spark, sf_dir).get_store("vectors")
-    return info.select("name", "len", "dimension", F.array_join("predicates", ",").alias("predicates"), F.array_join("nonlinear", ",").alias("nonlinear"))
+    return info.select("name", "len", "dimension", F.array_join("predicates", ",").alias("predicates"),
+        F.array_join("nonlinear", ",").alias("nonlinear"))
 
 
 def list_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +255,9 @@ def pipeline_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vecmill.errors import EngineError
 
     got = opened(spark, sf_dir).query("DROPSTORE none; GETKEY ([1.0]) IN vectors; DELPRED (lang = en) IN vectors; GETPRED (lang = en) IN vectors; DROPSCHEMA public")
-    rows = [(i, r.code if isinstance(r, EngineError) else 0, r.count if hasattr(r, "count") and not callable(r.count) else (r.count() if isinstance(r, DataFrame) else -1)) for i, r in enumerate(got)]
+    rows = [(i, r.code if isinstance(r, EngineError) else 0,
+        r.count if hasattr(r, "count") and not callable(r.count) else (r.count() if isinstance(r, DataFrame) else -1)) for i,
+            r in enumerate(got)]
     return spark.createDataFrame(rows, "step int, code int, n long")
 
 
@@ -269,23 +280,27 @@ def snapshot_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double") * 3 + 1))
-    return rows.select("vec_id", F.posexplode(l2_normalize(F.col("v"))).alias("pos", "x")).select("vec_id", "pos", F.round("x", 6).alias("x"))
+    return rows.select("vec_id", F.posexplode(l2_normalize(F.col("v"))).alias("pos", "x")).select("vec_id", "pos",
+        F.round("x", 6).alias("x"))
 
 
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     tokens = F.array("v", F.transform("v", lambda x: x * 2), F.transform("v", lambda x: x + 9))
-    return rows.select("vec_id", F.posexplode(mean_pool(tokens, F.array(F.lit(1), F.lit(1), F.lit(0)))).alias("pos", "x")).select("vec_id", "pos", F.round("x", 6).alias("x"))
+    return rows.select("vec_id", F.posexplode(mean_pool(tokens, F.array(F.lit(1), F.lit(1), F.lit(0)))).alias("pos",
+        "x")).select("vec_id", "pos", F.round("x", 6).alias("x"))
 
 
 def softmaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "part").select("p_partkey", softmax(F.array(F.col("p_size") / 10, F.col("p_retailprice") / 1000, F.lit(1.0))).alias("s"))
+    rows = read(spark, sf_dir, "part").select("p_partkey",
+        softmax(F.array(F.col("p_size") / 10, F.col("p_retailprice") / 1000, F.lit(1.0))).alias("s"))
     return rows.select("p_partkey", *[F.round(F.col("s")[i], 6).alias(f"s{i}") for i in range(3)])
 
 
 def ious(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, p = F.col("p_size").cast("double"), F.col("p_retailprice") / 100
-    rows = read(spark, sf_dir, "part").select("p_partkey", vision.iou(F.array(F.lit(0.0), F.lit(0.0), s, p), F.array(s / 2, F.lit(1.0), s + 5, p / 2 + 3)).alias("iou"))
+    rows = read(spark, sf_dir, "part").select("p_partkey",
+        vision.iou(F.array(F.lit(0.0), F.lit(0.0), s, p), F.array(s / 2, F.lit(1.0), s + 5, p / 2 + 3)).alias("iou"))
     return rows.select("p_partkey", F.round("iou", 6).alias("iou"))
 
 
@@ -298,7 +313,8 @@ def letterboxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, k = F.col("p_size").cast("double"), F.col("p_partkey")
-    boxes = read(spark, sf_dir, "part").select((k % 100).alias("image_id"), F.array(s, s, s + 20, s + 10).alias("box"), (F.col("p_retailprice") + k / 1e6).alias("confidence"))
+    boxes = read(spark, sf_dir, "part").select((k % 100).alias("image_id"), F.array(s, s, s + 20, s + 10).alias("box"),
+        (F.col("p_retailprice") + k / 1e6).alias("confidence"))
     return vision.nms(boxes, 0.4).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.max("confidence"), 4).alias("top"))
 
 
@@ -309,7 +325,8 @@ def _texts(spark: SparkSession, sf_dir: str) -> tuple[AiEngine, DataFrame]:
     models = Registry({"letters": lambda: HashEmbedder(16)}, {"letters": ModelSpec("letters", "str", 16, 256)})
     ai = AiEngine(Engine(spark), models)
     ai.create_store("items", "letters", "letters", ["size"], store_original=True)
-    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), _entry(F.col("text")).alias("input"), F.create_map(F.lit("item"), _entry(F.col("item_id"))).alias("value"))
+    rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), _entry(F.col("text")).alias("input"),
+        F.create_map(F.lit("item"), _entry(F.col("item_id"))).alias("value"))
     return ai, rows
 
 
@@ -317,7 +334,8 @@ def ai_set_getpred(spark: SparkSession, sf_dir: str) -> DataFrame:
     ai, rows = _texts(spark, sf_dir)
     ai.set("items", rows)
     ai.set("items", rows)  # inputs that are set again replace themselves
-    return ai.get_pred("items", NotEquals("item", "0")).select(_id("item"), F.col("key.str").alias("text"), F.size("value").alias("entries"))
+    return ai.get_pred("items", NotEquals("item", "0")).select(_id("item"), F.col("key.str").alias("text"),
+        F.size("value").alias("entries"))
 
 
 def ai_delkey(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +351,8 @@ def ai_getsimn(spark: SparkSession, sf_dir: str) -> DataFrame:
     ai, rows = _texts(spark, sf_dir)
     ai.set("items", rows)
     first = rows.orderBy("pos").first()["input"]["str"]
-    return ai.get_sim_n("items", text(first), 1).select(_id("item"), F.col("key.str").alias("text"), F.round("similarity", 5).alias("similarity"))
+    return ai.get_sim_n("items", text(first), 1).select(_id("item"), F.col("key.str").alias("text"),
+        F.round("similarity", 5).alias("similarity"))
 
 
 # -- SQL
@@ -428,7 +447,8 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "postings": (postings, f"{S} SELECT name, value, count(*) AS n FROM (UNPIVOT (SELECT label, lang, source, quality, toxic FROM s) ON label, lang, source, quality, toxic INTO NAME name VALUE value) GROUP BY ALL"),
     "set_state": (set_state, state_sql(SET_SQL)),
     "set_counts": (set_counts, state_sql("SELECT count(*) FILTER (label = '4') AS inserted, count(*) FILTER (label = '3') AS updated FROM s")),
-    "upsert_merge": (_with(upsert, True), state_sql(f"SELECT vec_id, label, CASE WHEN vec_id = 5 THEN 'yy' ELSE lang END AS lang, source, quality, toxic, {FIRST} FROM s")),
+    "upsert_merge": (_with(upsert, True),
+        state_sql(f"SELECT vec_id, label, CASE WHEN vec_id = 5 THEN 'yy' ELSE lang END AS lang, source, quality, toxic, {FIRST} FROM s")),
     "upsert_replace": (
         _with(upsert, False),
         state_sql(f"SELECT {ROW} FROM s WHERE vec_id <> 5 UNION ALL SELECT vec_id, NULL, 'yy', NULL, NULL, NULL, {FIRST} FROM s WHERE vec_id = 5"),

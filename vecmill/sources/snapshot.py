@@ -36,7 +36,8 @@ def write(spark: SparkSession, stores: list[tuple[StoreMeta, DataFrame]], path:
     for number, (meta, rows) in enumerate(stores):
         rows.write.parquet(f"{draft}/stores/{number}")
         listed.append((number, json.dumps(describe(meta))))
-    spark.createDataFrame([(FORMAT, n, d) for n, d in listed] or [(FORMAT, -1, "")], "format int, number int, description string").coalesce(1).write.json(f"{draft}/catalog")
+    spark.createDataFrame([(FORMAT, n, d) for n, d in listed] or [(FORMAT, -1, "")],
+        "format int, number int, description string").coalesce(1).write.json(f"{draft}/catalog")
     storage.move(spark, draft, path)
 
 
@@ -73,7 +74,8 @@ def service_rows(store: dict) -> list[tuple[list[float], dict[str, Meta]]]:
         key, value = pair
         if isinstance(value, dict) and set(value) == {"value"}:
             value = value["value"]
-        rows.append(([float(x) for x in (key["key"] if isinstance(key, dict) else key)], {k: from_tagged(v) if isinstance(v, str) else Meta.of(v) for k, v in value.items()}))
+        rows.append(([float(x) for x in (key["key"] if isinstance(key, dict) else key)],
+            {k: from_tagged(v) if isinstance(v, str) else Meta.of(v) for k, v in value.items()}))
     return rows
 
 
@@ -84,21 +86,25 @@ def to_service_json(stores: list[tuple[StoreMeta, DataFrame]], most_rows: int =
         held = rows.limit(most_rows + 1).collect()
         if len(held) > most_rows:
             raise ValueError(f"store {meta.name} has more than {most_rows} rows: write a snapshot instead")
-        value = lambda m: {k: to_tagged(Meta(v["kind"], v["str"] if v["kind"] == "str" else bytes(v["bin"]))) for k, v in sorted(m.items())}
+        value = lambda m: {k: to_tagged(Meta(v["kind"], v["str"] if v["kind"] == "str" else bytes(v["bin"]))) for k,
+            v in sorted(m.items())}
         entries = {str(r["key_id"] % (1 << 64)): [list(r["key"]), value(r["value"])] for r in held}
-        out.setdefault(meta.schema, {})[meta.name] = {"dimension": meta.dimension, "id_to_value": entries, "predicate_indices": {"allowed_predicates": sorted(meta.predicates)}}
+        out.setdefault(meta.schema, {})[meta.name] = {"dimension": meta.dimension, "id_to_value": entries,
+            "predicate_indices": {"allowed_predicates": sorted(meta.predicates)}}
     return {"db_version": "2", "stores": out}
 
 
 def tagged_json(rows: DataFrame) -> DataFrame:
     """(key_id, key, value) with value as JSON of tagged strings, as snapshots write it. Only rows that hold bytes pass through Python."""
     plain = F.forall(F.map_values("value"), lambda v: v["kind"] == "str")
-    tagged = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values("value", lambda _, v: F.concat(F.lit("str:"), v["str"]))))))
+    tagged = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values("value", lambda _,
+        v: F.concat(F.lit("str:"), v["str"]))))))
     texts = rows.where(plain).select("key_id", "key", F.when(F.size("value") == 0, "{}").otherwise(tagged).alias("value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [json.dumps({k: to_tagged(Meta(v["kind"], v["str"] if v["kind"] == "str" else bytes(v["bin"]))) for k, v in sorted(m)}, ensure_ascii=False, separators=(",", ":")) for m in b.column("value").to_pylist()]
+            out = [json.dumps({k: to_tagged(Meta(v["kind"], v["str"] if v["kind"] == "str" else bytes(v["bin"]))) for k,
+                v in sorted(m)}, ensure_ascii=False, separators=(",", ":")) for m in b.column("value").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key_id"), b.column("key"), pa.array(out, pa.string())], ["key_id", "key", "value"])
 
     others = rows.where(~plain).select("key_id", "key", "value").mapInArrow(run, "key_id long, key array<float>, value string")

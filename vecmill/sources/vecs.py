@@ -30,7 +30,10 @@ def read_vecs(spark: SparkSession, path: str, floats: bool = True) -> DataFrame:
                 m = parse(content.as_py(), floats)
                 for at in range(0, len(m), 4096):
                     x = np.ascontiguousarray(m[at : at + 4096])
-                    vectors = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.reshape(-1), pa.float32() if floats else pa.int32()))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), pa.array(np.arange(at, at + len(x))), vectors], ["file", "pos", "vector"])
+                    vectors = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1],
+                        pa.array(x.reshape(-1), pa.float32() if floats else pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), pa.array(np.arange(at, at + len(x))), vectors],
+                        ["file", "pos", "vector"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"file string, pos long, vector array<{kind}>")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run,
+        f"file string, pos long, vector array<{kind}>")

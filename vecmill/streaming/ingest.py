@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from vecmill.plans.engine import Engine
 
 
-def stream_into(engine: Engine, given: DataFrame, store: str, checkpoint: str, schema: str | None = None, available_now: bool = True, snapshot: str | None = None) -> StreamingQuery:
+def stream_into(engine: Engine, given: DataFrame, store: str, checkpoint: str, schema: str | None = None, available_now: bool = True,
+    snapshot: str | None = None) -> StreamingQuery:
     """A stream (key, value[, pos]) into a store.
 
     SET replaces by key, so a micro-batch that is run again after a failure
