@@ -47,3 +47,11 @@ def test_only_what_may_be_missing_is_missing():
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert len(rows) == 10 and rows[0]["vec_id"] == 0 and rows[0]["similarity"] == 1
+
+
+def test_statements_from_standard_input(tmp_path):
+    """python -m vecmill reads a statement a line and goes on after errors."""
+    lines = "CREATESTORE s DIMENSION 2\nSET (([1, 2], {a: b})) IN s; GETSIMN 1 WITH [1, 2] USING cosinesimilarity IN s\nnonsense\nDROPSTORE none; DROPSTORE s\n"
+    env = os.environ | {"PYTHONPATH": str(ROOT)}
+    said = subprocess.run([sys.executable, "-m", "vecmill", "--no-interactive"], input=lines, cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300).stdout
+    assert "inserted=1" in said and "similarity" in said and said.count("error 3") == 1 and said.count("error 5") == 1 and "count=1" in said

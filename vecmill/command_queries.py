@@ -349,10 +349,10 @@ def store_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def server(spark: SparkSession, sf_dir: str) -> DataFrame:
-    engine = opened(spark, sf_dir)
-    pong, info, clients = engine.query("PING; INFOSERVER; LISTCLIENTS")
-    return info.select("type", F.lit(pong).alias("ping"), F.lit(clients.count()).alias("clients"),
-        (F.col("spark") == F.lit(spark.version)).alias("same"))
+    pong, info, clients, cluster = opened(spark, sf_dir).query("PING; INFOSERVER; LISTCLIENTS; CLUSTERINFO")
+    drivers = cluster.where("role = 'driver' and state = 'running'").count()
+    same = (F.col("spark") == F.lit(spark.version)).alias("same")
+    return info.select("type", F.lit(pong).alias("ping"), F.lit(clients.count()).alias("clients"), F.lit(drivers).alias("drivers"), same)
 
 
 def built_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -586,7 +586,7 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         store_size,
         f"{S} SELECT count(*) AS len, sum(4 * len(v) + 6 + length(vec_id::VARCHAR) + coalesce(5 + length(label), 0) + coalesce(4 + length(lang), 0) + coalesce(6 + length(source), 0) + coalesce(7 + length(quality), 0) + coalesce(5 + length(toxic), 0))::BIGINT AS size_in_bytes FROM s",
     ),
-    "server": (server, "SELECT 'database' AS type, 'pong' AS ping, 1 AS clients, TRUE AS same"),
+    "server": (server, "SELECT 'database' AS type, 'pong' AS ping, 1 AS clients, 1 AS drivers, TRUE AS same"),
     "built_predicates": (built_predicates,
         f"{S} SELECT vec_id, TRUE AS refused FROM s WHERE coalesce(lang = 'en' AND label <> '3', FALSE) OR coalesce(source = 'src2', FALSE) OR coalesce(toxic = '1', FALSE)"),
     "postings_after_delete": (

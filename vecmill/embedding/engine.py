@@ -23,6 +23,11 @@ ORIGINAL = "_vecmill_input"
 PART = "_vecmill_part"
 
 
+def _on(provider: str | None, params: dict[str, str]) -> dict[str, str]:
+    """The parameters, with the execution provider that a model may heed."""
+    return params if provider is None else params | {"execution_provider": provider}
+
+
 @dataclass
 class AiEngine:
     engine: Engine
@@ -166,18 +171,18 @@ class AiEngine:
         match command:
             case C.AiCreateStore(s, q, i, p, n, e, o, schema):
                 return self.create_store(s, q, i, p, n, e, o, schema)
-            case C.AiSet(s, x, pre, _, params, schema):
-                return self.set(s, x, pre, params, schema)
+            case C.AiSet(s, x, pre, provider, params, schema):
+                return self.set(s, x, pre, _on(provider, params), schema)
             case C.AiGetKey(s, x, schema):
                 return self.get_key(s, x, schema)
             case C.AiDelKey(s, x, schema):
                 return self.del_key(s, x, schema)
             case C.GetPred(s, c, schema):
                 return self.get_pred(s, c, schema)
-            case C.AiGetSimN(s, q, n, a, c, pre, _, params, schema):
-                return self.get_sim_n(s, q, n, a, c, pre, params, schema)
-            case C.AiUpsert(s, c, x, v, pre, _, params, schema):
-                return self.upsert(s, c, x, v, pre, params, schema)
+            case C.AiGetSimN(s, q, n, a, c, pre, provider, params, schema):
+                return self.get_sim_n(s, q, n, a, c, pre, _on(provider, params), schema)
+            case C.AiUpsert(s, c, x, v, pre, provider, params, schema):
+                return self.upsert(s, c, x, v, pre, _on(provider, params), schema)
             case C.PurgeStores():
                 return self.purge_stores()
             case C.ConvertInputs(x, m, pre, params):

@@ -14,10 +14,11 @@ def key_id(key: Column) -> Column:
     return F.xxhash64(F.array_join(F.transform(key.cast("array<float>"), lambda x: x.cast("string")), ","))
 
 
-def l2_normalize(v: Column) -> Column:
-    """Unit length; a zero vector stays as it is."""
-    norm = F.sqrt(F.aggregate(v.cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm == 0, v.cast("array<double>")).otherwise(F.transform(v.cast("array<double>"), lambda x: F.try_divide(x, norm)))
+def l2_normalize(v: Column, epsilon: float = 0.0) -> Column:
+    """Unit length; a zero vector stays as it is. ``epsilon`` is added to the norm, which then is never zero."""
+    numbers = v.cast("array<double>")
+    norm = F.sqrt(F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x * x)) + epsilon
+    return F.when(norm == 0, numbers).otherwise(F.transform(numbers, lambda x: F.try_divide(x, norm)))
 
 
 def mean_pool(tokens: Column, mask: Column) -> Column:

@@ -30,26 +30,18 @@ def entries(spark: SparkSession, pairs: Sequence[tuple[Sequence[float] | None, d
     return spark.createDataFrame(rows, schema)
 
 
-def batch(given: DataFrame, dimension: int) -> DataFrame:
-    """(key_id, key, value) of a batch (pos, key, value), checked.
+def batch(given: DataFrame) -> DataFrame:
+    """(key_id, key, value) of a batch (pos, key, value); dimensions are the caller's to judge.
 
-    Entries without a key drop out, those without a value get an empty map; one
-    key of another dimension rejects the batch; of repeated keys the last stays.
+    Entries without a key drop out, those without a value get an empty map; of repeated keys the last stays.
     """
-    keyed = given.where(F.col("key").isNotNull()).select("pos", F.col("key").cast(VECTOR).alias("key"),
-        F.coalesce("value", F.create_map().cast(VALUE)).alias("value"))
-    check_dimensions(keyed, dimension)
+    value = F.coalesce("value", F.create_map().cast(VALUE)).alias("value")
+    keyed = given.where(F.col("key").isNotNull()).select("pos", F.col("key").cast(VECTOR).alias("key"), value)
     keyed = keyed.withColumn("key_id", key_id(F.col("key")))
     last = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(F.desc("pos")))
     return keyed.withColumn("n", last).where("n = 1").select("key_id", "key", "value")
 
 
-def check_dimensions(keyed: DataFrame, dimension: int) -> None:
-    wrong = keyed.where(F.size("key") != dimension).select(F.size("key").alias("d")).limit(1).collect()
-    if wrong:
-        raise DimensionMismatch(dimension, wrong[0]["d"])
-
-
 def overlay(rows: DataFrame, change: DataFrame) -> DataFrame:
     """``rows`` with a change (key_id, key, value, alive) put over them."""
     kept = rows.join(change.select(*IDENTITY), IDENTITY, "left_anti")

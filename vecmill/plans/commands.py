@@ -30,6 +30,11 @@ class ListClients(Command):
     pass
 
 
+@dataclass(frozen=True)
+class ClusterInfo(Command):
+    pass
+
+
 @dataclass(frozen=True)
 class ListStores(Command):
     schema: str | None = None

@@ -285,9 +285,11 @@ class Engine:
 
     # -- writes
 
-    def _apply(self, s: Store, change: DataFrame) -> None:
-        path = storage.fresh_path(self.spark, "change")
-        change = storage.written(change, path)
+    def _apply(self, s: Store, change: DataFrame, path: str | None = None) -> None:
+        """Put a change over a store's rows; ``path``: where it is already written."""
+        if path is None:
+            path = storage.fresh_path(self.spark, "change")
+            change = storage.written(change, path)
         if s.graphs is not None:
             new = storage.fresh_path(self.spark, "graphs")
             s.graphs, old = Graphs(hnsw.update_graphs(s.graphs.rows, change, new, s.meta.nonlinear["hnsw"], s.graphs.shards),
@@ -309,20 +311,31 @@ class Engine:
         s.outdated, s.files = s.files, [path]
 
     def set(self, name: str, given: DataFrame | Sequence[tuple], schema: str | None = None, replaced: DataFrame | None = None) -> SetResult:
-        """Insert or replace. ``given``: (key, value) pairs, or a DataFrame (pos, key, value). Rows whose key_id is in ``replaced`` go in the same change."""
+        """Insert or replace. ``given``: (key, value) pairs, or a DataFrame (pos, key, value). Rows in ``replaced`` go in the same change.
+
+        The batch is written once, and judged as it lies there: a key of another dimension takes all of it back.
+        """
         s = self.store(name, schema)
         frame = given if isinstance(given, DataFrame) else M.entries(self.spark, given)
-        new = storage.persist(M.batch(frame, s.meta.dimension), "batch")
-        change, rows = M.set_change(new), s.rows
+        path = storage.fresh_path(self.spark, "change")
+        new = storage.written(M.set_change(M.batch(frame)), path)
+        unposted = sorted(s.meta.predicates - s.meta.posted)
+        carried = [F.max(F.map_contains_key("value", p)).alias(f"p{i}") for i, p in enumerate(unposted)]
+        facts = new.agg(F.max(F.when(F.size("key") != s.meta.dimension, F.size("key"))).alias("wrong"), *carried).first()
+        if facts["wrong"] is not None:
+            storage.remove(self.spark, path)
+            raise DimensionMismatch(s.meta.dimension, facts["wrong"])
+        rows = s.rows
         if replaced is not None:
             gone = storage.persist(replaced.select(*M.IDENTITY), "gone")
             rows = rows.join(gone, M.IDENTITY, "left_anti")
-            change = change.unionByName(M.delete_change(gone.join(new, M.IDENTITY, "left_anti")))
+            gone = M.delete_change(gone.join(new, M.IDENTITY, "left_anti"))
         inserted, updated = M.set_counts(rows, new)
-        if s.meta.predicates - s.meta.posted:
-            carried = new.select(F.explode(F.map_keys("value")).alias("k")).where(F.col("k").isin(sorted(s.meta.predicates))).distinct().collect()
-            s.meta.posted |= {r["k"] for r in carried}  # indexed names alone
-        self._apply(s, change)
+        s.meta.posted |= {p for i, p in enumerate(unposted) if facts[f"p{i}"]}
+        if replaced is None:
+            self._apply(s, new, path)
+        else:
+            self._apply(s, new.unionByName(gone))
         return SetResult(inserted, updated)
 
     def upsert(self, name: str, condition: Predicate, new_key: Sequence[float] | None = None,
@@ -347,10 +360,13 @@ class Engine:
         return self._delete(s, s.rows.where(self._condition(s, condition)).select(*M.IDENTITY))
 
     def _delete(self, s: Store, gone: DataFrame) -> Count:
-        gone = storage.persist(gone, "gone")
-        n = gone.count()
+        path = storage.fresh_path(self.spark, "change")
+        change = storage.written(M.delete_change(gone), path)
+        n = change.count()
         if n:
-            self._apply(s, M.delete_change(gone))
+            self._apply(s, change, path)
+        else:
+            storage.remove(self.spark, path)
         return Count(n)
 
     # -- snapshots
@@ -412,6 +428,16 @@ class Engine:
 
     # -- commands
 
+    def cluster_info(self) -> DataFrame:
+        """(node, role, state): the driver and the executors that it knows."""
+        sc = self.spark.sparkContext
+        known = sc._jsc.sc().getExecutorMemoryStatus().keys().toList()
+        driver = f"{sc.getConf().get('spark.driver.host', 'localhost')}:{sc.getConf().get('spark.driver.port', '')}"
+        rows = [(driver, "driver", "running")]
+        names = [known.apply(i) for i in range(known.size())]
+        rows += [(n, "executor", "running") for n in sorted(names) if n != driver]
+        return self.spark.createDataFrame(rows, "node string, role string, state string")
+
     def info(self) -> DataFrame:
         sc = self.spark.sparkContext
         return self.spark.createDataFrame([(sc.master, __version__, self.spark.version, "database")],
@@ -425,6 +451,8 @@ class Engine:
                 return self.info()
             case C.ListClients():
                 return self.spark.createDataFrame([(self.spark.sparkContext.applicationId,)], "client string")
+            case C.ClusterInfo():
+                return self.cluster_info()
             case C.ListStores():
                 return self.list_stores(command.schema)
             case C.GetStore():

@@ -278,10 +278,9 @@ def snapshot_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- functions
 
 
-def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalized(spark: SparkSession, sf_dir: str, epsilon: float = 0.0) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double") * 3 + 1))
-    return rows.select("vec_id", F.posexplode(l2_normalize(F.col("v"))).alias("pos", "x")).select("vec_id", "pos",
-        F.round("x", 6).alias("x"))
+    return rows.select("vec_id", F.posexplode(l2_normalize(F.col("v"), epsilon)).alias("pos", "x")).select("vec_id", "pos", F.round("x", 6).alias("x"))
 
 
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,6 +416,19 @@ SET_SQL = f"""SELECT vec_id, label, 'xx' AS lang, source, quality, toxic, {FIRST
 UNION ALL SELECT {ROW} FROM s WHERE label <> '3'
 UNION ALL SELECT -vec_id - 1, label, lang, source, quality, toxic, round(-v[1], 6) FROM s WHERE label = '4'"""
 
+#: Boxes of an image one after another, most confident first; each stays unless it overlaps one that stayed.
+NMS_SQL = """WITH RECURSIVE b AS (
+  SELECT p_partkey % 100 AS image_id, p_size::DOUBLE AS s, p_retailprice + p_partkey / 1e6 AS confidence,
+         row_number() OVER (PARTITION BY p_partkey % 100 ORDER BY p_retailprice + p_partkey / 1e6 DESC) AS n FROM part
+), k AS (
+  SELECT image_id, n, [s] AS kept, confidence AS top FROM b WHERE n = 1
+  UNION ALL
+  SELECT k.image_id, b.n, CASE WHEN len(list_filter(k.kept, lambda x: greatest(0, least(x + 20, b.s + 20) - greatest(x, b.s)) * greatest(0, least(x + 10, b.s + 10) - greatest(x, b.s))
+           > 0.4 * (400 - greatest(0, least(x + 20, b.s + 20) - greatest(x, b.s)) * greatest(0, least(x + 10, b.s + 10) - greatest(x, b.s))))) = 0 THEN list_append(k.kept, b.s) ELSE k.kept END, k.top
+  FROM k JOIN b ON b.image_id = k.image_id AND b.n = k.n + 1
+)
+SELECT image_id, len(arg_max(kept, n)) AS n, round(any_value(top), 4) AS top FROM k GROUP BY image_id"""
+
 #: name: (query, SQL or None)
 TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     **{f"simn_{m if m != 'squared_euclidean' else 'kdtree_sq'}": (_with(simn, m), simn_sql(m)) for m in SCORES},
@@ -473,6 +485,12 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         normalized,
         "WITH w AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3 + 1) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS m FROM w) SELECT vec_id, (i - 1)::INTEGER AS pos, round(v[i] / m, 6) AS x FROM n, unnest(range(1, len(v) + 1)) t(i)",
     ),
+    "l2_normalize_epsilon": (
+        _with(normalized, epsilon=0.5),
+        "WITH w AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3 + 1) AS v FROM embeddings), "
+        "n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) + 0.5 AS m FROM w) "
+        "SELECT vec_id, (i - 1)::INTEGER AS pos, round(v[i] / m, 6) AS x FROM n, unnest(range(1, len(v) + 1)) t(i)",
+    ),
     "mean_pool": (pooled, "WITH w AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, (i - 1)::INTEGER AS pos, round((v[i] + v[i] * 2) / 2, 6) AS x FROM w, unnest(range(1, len(v) + 1)) t(i)"),
     "softmax": (
         softmaxed,
@@ -491,7 +509,7 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         SELECT p_partkey, round(greatest(0.0, least(1.0, (10 - l) / w)), 6) AS x1, round(greatest(0.0, least(1.0, (20 - t) / h)), 6) AS y1,
                round(greatest(0.0, least(1.0, (400 - l) / w)), 6) AS x2, round(greatest(0.0, least(1.0, (630 - t) / h)), 6) AS y2 FROM z""",
     ),
-    "nms": (suppressed, None),
+    "nms": (suppressed, NMS_SQL),
     "ai_set_getpred": (ai_set_getpred, "SELECT item_id AS item, text, 1 AS entries FROM benchmark WHERE item_id <> 0"),
     "ai_delkey": (ai_delkey, "SELECT count(*) - 1 AS n, 1 AS deleted FROM benchmark"),
     "ai_getsimn": (ai_getsimn, "SELECT item_id AS item, text, 1.0::DOUBLE AS similarity FROM benchmark ORDER BY item_id LIMIT 1"),
