@@ -132,9 +132,14 @@ def test_ngram_join(docs, corpus, nothing):
 
 
 def test_ngram_join_shortens_prefixes(docs):
-    """A forest of few, deep trees misses links until its prefixes are shortened."""
-    whole = {(r["doc_id"], r["component_id"]) for r in ngram_join(docs).collect()}
-    assert {(r["doc_id"], r["component_id"]) for r in ngram_join(docs, trees=10, depth=12, shortest=3).collect()} == whole
+    """A forest of few, deep trees misses links until its prefixes are shortened; what was reached is told."""
+    report, deep = {}, {}
+    whole = {(r["doc_id"], r["component_id"]) for r in ngram_join(docs, report=report).collect()}
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_join(docs, trees=10, depth=12, shortest=3, report=deep).collect()} == whole
+    assert report["level"] <= 7 and report["chance"] >= 0.999 and (report["found_before"] is None or report["found_before"] >= 0.999)
+    assert deep["level"] <= 3 and deep["chance"] >= 0.999
+    with pytest.raises(RuntimeError):
+        ngram_join(docs, trees=2, depth=12, shortest=8)
 
 
 def test_ngram_join_finds_pairs_that_long_prefixes_miss(spark):

@@ -258,7 +258,7 @@ def verify(least: float):
 
 def ngram_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, trees: int = 32,
-        depth: int = 8, shortest: int = 4, recall: float = 0.999, block: int = 192
+        depth: int = 8, shortest: int = 4, recall: float = 0.999, block: int = 192, report: dict | None = None
 ) -> DataFrame:
     """(id, class_id, n_links, component_id, kept) for every row.
 
@@ -276,7 +276,8 @@ def ngram_join(
     ``recall`` is asked of the chance that a pair of likeness ``least`` meets,
     and of the mean share, over linked classes, of their links that the prefix
     one value longer finds too; the links of the shorter one are the result. If
-    ``shortest`` is reached before that, an error is raised.
+    ``shortest`` is reached before that, an error is raised. ``report``, if
+    given, gets the prefix's ``level``, its ``chance`` and that share as ``found_before``.
     """
     lowest = F.lit(-(1 << 63))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("id"), F.col(text_col).alias("text"))
@@ -317,6 +318,8 @@ def ngram_join(
         if level <= shortest or enough:
             break
         longer, level = clusters, level - 1
+    if report is not None:
+        report |= {"level": level, "chance": chance(level), "found_before": seen}
     if not enough:
         raise RuntimeError(f"prefixes of {level} values are the shortest allowed: chance {chance(level):.4f}, links found before {seen}, {recall} is asked for")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -138,9 +138,9 @@ def near_duplicates(
     part under the smallest long and come back null. An empty table gives an
     empty result; other columns are ignored.
 
-    The audit compares at most ``audit`` vectors, chosen by a hash, with all
-    others, in blocks. Each counts once, and those of few links apart from
-    those of many. Where ``1 + extra_forests`` forests do not reach ``recall``,
+    The audit compares ``audit`` vectors, chosen by a hash, with all others; if none
+    of them has a link 4 and then 16 times as many. Each counts once, and those of
+    few links apart from those of many. Where ``1 + extra_forests`` forests do not reach ``recall``,
     an error is raised. A forest has as many trees as bring a pair at ``least``
     together with a chance of ``expect`` or ``recall``, whichever is higher.
     """
@@ -153,8 +153,11 @@ def near_duplicates(
     near = math.acos(least) / math.pi
     bits = max(1, math.ceil(math.log2(max(2, count / leaf))))
     trees = max(4, math.ceil(math.log(1 - max(expect, recall)) / math.log(1 - (1 - near) ** bits)))
-    sample = [(r["id"], r["dim"], r["v"]) for r in first_by_hash(vectors, "id", audit, count).collect()]
-    truth = _exact_links(vectors, sample, least)
+    for size_of in (audit, 4 * audit, 16 * audit):  # where links are rare, until the sample holds some
+        sample = [(r["id"], r["dim"], r["v"]) for r in first_by_hash(vectors, "id", size_of, count).collect()]
+        truth = _exact_links(vectors, sample, least)
+        if truth or size_of >= count:
+            break
     lists = None
     for forest_no in range(1 + extra_forests):
         fresh = _compare(leaves(vectors, trees, bits, seed + forest_no), vectors, size, floor, block)
