@@ -114,12 +114,26 @@ def _compare(groups: DataFrame, vectors: DataFrame, size: int, floor: float, blo
     return by_unit(units, ["g", "h", "i", "j"], _nearest(size, floor), LIST)
 
 
-def _best(lists: DataFrame, size: int) -> DataFrame:
-    """Both directions of every pair, the ``size`` nearest of each vector kept."""
-    turned = lists.unionAll(lists.select(F.col("other").alias("id"), F.col("id").alias("other"), "sim")).groupBy("id",
-        "other").agg(F.max("sim").alias("sim"))
+def _hoods(lists: DataFrame, vectors: DataFrame, size: int, floor: float) -> DataFrame:
+    """Neighbour lists from joining each vector's neighbours, and itself, with one another: at most a list and one."""
+    own = F.when(F.col("r") == 1, F.array("other", "id")).otherwise(F.array("other"))  # every listed id has a first neighbour
+    members = lists.select(F.col("id").alias("h"), F.explode(own).alias("id"))
+    one = [F.lit(0).alias(n) for n in ("i", "j", "own")]
+    return by_unit(members.join(vectors.select("id", "v"), "id").select("h", *one, "id", "v"), ["h"], _nearest(size, floor), LIST)
+
+
+def _best(fresh: DataFrame, lists: DataFrame | None, size: int) -> DataFrame:
+    """Both directions of every pair, the ``size`` nearest of each vector kept: (id, other, sim, known, r).
+
+    ``known`` tells the pairs that ``lists`` held, ``r`` a neighbour's rank.
+    """
+    pairs = fresh.select("id", "other", "sim", F.lit(False).alias("known"))
+    if lists is not None:
+        pairs = pairs.unionAll(lists.select("id", "other", "sim", F.lit(True).alias("known")))
+    turned = pairs.unionAll(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"), "sim", "known"))
+    turned = turned.groupBy("id", "other").agg(F.max("sim").alias("sim"), F.max("known").alias("known"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))
-    return turned.withColumn("r", rank).where(F.col("r") <= size).drop("r")
+    return turned.withColumn("r", rank).where(F.col("r") <= size)
 
 
 def near_duplicates(
@@ -162,22 +176,19 @@ def near_duplicates(
     for forest_no in range(1 + extra_forests):
         fresh = _compare(leaves(vectors, trees, bits, seed + forest_no), vectors, size, floor, block)
         now = held = size
-        before, lists = lists, materialize(_best(fresh if lists is None else fresh.unionAll(lists), now), "lists")
+        before, lists = lists, materialize(_best(fresh, lists, now), "lists")
         if before is not None:
             discard(before)
         for _ in range(rounds):
-            hood = lists.select(F.col("id").alias("h"),
-                F.col("other").alias("id")).unionAll(lists.select(F.col("id").alias("h"), "id").distinct()).withColumn("g",
-                    F.lit(0).cast("long"))
-            better = materialize(_best(_compare(hood.select("g", "h", "id"), vectors, now, floor, block).unionAll(lists), now), "lists")
-            change = better.join(lists, ["id", "other"], "left_anti").count()
-            total = better.count()
-            full = better.where(F.col("sim") >= least).groupBy("id").count().where(F.col("count") >= now).limit(1).count()
+            better = materialize(_best(_hoods(lists, vectors, now, floor), lists, now), "lists")
+            # a list is full of links if its last neighbour is one
+            full = F.max((F.col("r") >= now) & (F.col("sim") >= least)).alias("full")
+            state = better.agg(F.count_if(~F.col("known")).alias("change"), F.count("*").alias("total"), full).first()
             discard(lists)
             lists, held = better, now  # held: what the lists are cut to
-            if full and now < largest:
+            if state["full"] and now < largest:
                 now *= 2  # some lists are full of links: let them hold more
-            elif change <= settled * max(1, total):
+            elif state["change"] <= settled * max(1, state["total"]):
                 break
         links, edges = _links(lists, vectors, least, held, block)
         found_share = _recall(links, truth, size)
