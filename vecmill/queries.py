@@ -67,8 +67,15 @@ def opened(spark: SparkSession, sf_dir: str, **options) -> Engine:
     return engine
 
 
+def vectors_of(spark: SparkSession, sf_dir: str, *ids: int) -> list[list[float]]:
+    """The vectors of these ids, in their order, from one read."""
+    rows = read(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*ids)).select("vec_id", "embedding").collect()
+    held = {r["vec_id"]: r["embedding"] for r in rows}
+    return [held[i] for i in ids]
+
+
 def vector_of(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
-    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]
+    return vectors_of(spark, sf_dir, vec_id)[0]
 
 
 def _id(name: str = "vec_id") -> Column:
@@ -148,7 +155,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def getkey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = [vector_of(spark, sf_dir, i) for i in (7, 3, 7)]
+    asked = vectors_of(spark, sf_dir, 7, 3, 7)
     return opened(spark, sf_dir).get_key("vectors", [*asked, [-x for x in asked[0]]]).select(_id(), _said("label"), _said("lang"))
 
 
@@ -206,7 +213,7 @@ def upsert_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delkey(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = opened(spark, sf_dir)
-    n = engine.del_key("vectors", [vector_of(spark, sf_dir, i) for i in (1, 2, 2)])
+    n = engine.del_key("vectors", vectors_of(spark, sf_dir, 1, 2, 2))
     return _state(engine).withColumn("deleted", F.lit(n.count))
 
 
