@@ -29,15 +29,17 @@ def groups(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 40, 100_000])
+def test_components(spark, few):
+    """By rounds alone, by some and one task for the rest, in one task."""
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)] + [(7, 7)]
-    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "t", few=few).collect()}
     real = [(a, b) for a, b in edges if a != b]
     assert got == groups({x for e in real for x in e}, real)
     assert connected_components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
     chain = spark.range(3000).selectExpr("id as a", "id + 1 as b")
-    assert [r[0] for r in connected_components(chain, "t").select("component").distinct().collect()] == [0]
+    assert [r[0] for r in connected_components(chain, "t", few=few).select("component").distinct().collect()] == [0]
 
 
 @settings(max_examples=60, deadline=None)
@@ -217,6 +219,19 @@ def test_ngram_join_with_clashing_columns_and_shared_ids(spark):
     assert got == sorted([(1, 1, 2, 1, True), (1, 1, 2, 1, True), (2, 1, 2, 1, False), (3, 3, 0, 3, True), (4, 4, 0, 4, True), (None, None, 0, None, True)], key=repr)
 
 
+def test_dense_leaves_give_few_pairs():
+    """Members with many links in their own block name one neighbour of each other block, others a list."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([np.ones((60, 8)) + rng.normal(size=(60, 8)) * 0.01, rng.normal(size=(4, 8))])
+    one = {"id": np.arange(64), "own": np.arange(64) % 2, "v": pa.array(x.tolist())}
+    got = nn_descent._nearest(8, -1.0, (0.9, 20))(pa.table(one | {"i": [0] * 64, "j": [1] * 64}))
+    counts = np.bincount(got["id"], minlength=64)
+    assert set(counts[:60]) == {1} and set(counts[60:]) == {8}
+    assert all((a - b) % 2 for a, b in zip(got["id"], got["other"], strict=True))
+    within = nn_descent._nearest(8, -1.0, (0.9, 20))(pa.table(one | {"i": [0] * 64, "j": [0] * 64}))
+    assert set(np.bincount(within["id"])) == {8}
+
+
 def test_lists_that_fill_in_the_last_round(vectors, monkeypatch):
     """They were not enlarged any more, so their group is counted in blocks."""
     monkeypatch.setattr(nn_descent, "_recall", lambda *a: 1.0)

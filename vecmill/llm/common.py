@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,13 +120,30 @@ def first_by_hash(rows: DataFrame, key: str, most: int, count: int) -> DataFrame
     return some.orderBy(h, key).limit(most)
 
 
-def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, to) of all edges at once: larger roots hook onto smaller ones, paths are shortened, until nothing changes."""
+    edges = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches if b.num_rows]
+    if not edges:
+        return
+    ids, at = np.unique(np.concatenate(edges, 1), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    root = np.arange(len(ids))
+    while (root[x] != root[y]).any():
+        p, q = root[x], root[y]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "to"])
+
+
+def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60, few: int = 100_000) -> DataFrame:
     """(id, component): the smallest id reachable over the edges (a, b).
 
     In each round every vertex moves to the one that comes first among itself
     and its neighbours, by a hash drawn anew each round, and edges follow their
     ends. So edges shrink by a factor a round, whatever a component's diameter,
-    and all rounds together handle a small multiple of the edges given. The
+    and all rounds together handle a small multiple of the edges given. The last ``few``
+    edges are settled in one task, where further rounds would each cost several jobs. The
     moves are then put together backwards. Only joins and partially aggregated
     groupings are used, so a hub with a third of all edges is combined before
     it is shuffled and its joins are of the kind that Spark can split. Vertices
@@ -134,7 +152,10 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
     ends = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = materialize(edges.select(ends.alias("e")).select("e.*").where("a <> b").distinct(), f"{tag}-edges")
     moves: list[DataFrame] = []
-    while links.limit(1).count():
+    while left := links.count():
+        if left <= few:
+            moves.append(materialize(in_batches(links.coalesce(1), _settle, "id long, to long"), f"{tag}-moves"))
+            break
         if len(moves) == max_rounds:
             raise RuntimeError("components did not settle")
         place = lambda v, n=len(moves): F.struct(F.xxhash64(F.lit(n), v).alias("h"), v.alias("to"))

@@ -66,25 +66,33 @@ def leaves(vectors: DataFrame, trees: int, bits: int, seed: int) -> DataFrame:
     return in_batches(vectors.select("id", "dim", "v"), run, "g long, h long, id long")
 
 
-def _nearest(size: int, floor: float):
-    """Work on a unit: each member's ``size`` nearest others in it, from ``floor`` up."""
+def _nearest(size: int, floor: float, full: tuple[float, int] | None = None):
+    """Work on a unit: each member's ``size`` nearest others in it, from ``floor`` up.
+
+    ``full`` (least, largest): who has ``largest`` links within its own block lies in a
+    dense group, which is compared as a whole later; of another block it needs one
+    neighbour, that its group hangs together, not a list.
+    """
 
     def work(t: pa.Table) -> dict[str, np.ndarray]:
         ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
         x = unit_rows(t.column("v"))
         sims = x @ x.T
         np.fill_diagonal(sims, -2)
-        if t.column("i")[0].as_py() != t.column("j")[0].as_py():
-            sims[own[:, None] == own[None, :]] = -2
+        across, dense = t.column("i")[0].as_py() != t.column("j")[0].as_py(), np.zeros(len(ids), bool)
+        if across:
+            same = own[:, None] == own[None, :]
+            if full is not None:
+                dense = ((sims >= full[0]) & same).sum(1) >= full[1]
+            sims[same] = -2
         k = min(size, len(ids) - 1)
         if k < 1:
             return {"id": ids[:0], "other": ids[:0], "sim": np.zeros(0)}
         top = np.argpartition(-sims, k - 1, 1)[:, :k]
-        rows = np.repeat(np.arange(len(ids)), k)
-        cols = top.reshape(-1)
-        s = sims[rows, cols]
-        keep = s >= floor
-        return {"id": ids[rows[keep]], "other": ids[cols[keep]], "sim": s[keep]}
+        s = np.take_along_axis(sims, top, 1)
+        keep = (s >= floor) & (~dense[:, None] | (np.arange(k)[None, :] == s.argmax(1)[:, None]))
+        rows, cols = np.nonzero(keep)
+        return {"id": ids[rows], "other": ids[top[rows, cols]], "sim": s[rows, cols]}
 
     return work
 
@@ -108,10 +116,10 @@ def _count(least: float):
     return work
 
 
-def _compare(groups: DataFrame, vectors: DataFrame, size: int, floor: float, block: int) -> DataFrame:
+def _compare(groups: DataFrame, vectors: DataFrame, size: int, floor: float, block: int, full: tuple[float, int]) -> DataFrame:
     """Neighbour lists from groups (g, h, id)."""
     units = block_pairs(groups, ["g", "h"], block).join(vectors.select("id", "v"), "id").select("g", "h", "i", "j", "id", "own", "v")
-    return by_unit(units, ["g", "h", "i", "j"], _nearest(size, floor), LIST)
+    return by_unit(units, ["g", "h", "i", "j"], _nearest(size, floor, full), LIST)
 
 
 def _hoods(lists: DataFrame, vectors: DataFrame, size: int, floor: float) -> DataFrame:
@@ -174,7 +182,7 @@ def near_duplicates(
             break
     lists = None
     for forest_no in range(1 + extra_forests):
-        fresh = _compare(leaves(vectors, trees, bits, seed + forest_no), vectors, size, floor, block)
+        fresh = _compare(leaves(vectors, trees, bits, seed + forest_no), vectors, size, floor, block, (least, largest))
         now = held = size
         before, lists = lists, materialize(_best(fresh, lists, now), "lists")
         if before is not None:
