@@ -48,6 +48,16 @@ def overlay(rows: DataFrame, change: DataFrame) -> DataFrame:
     return kept.select(*STORE_ROW.names).unionByName(change.where("alive").select(*STORE_ROW.names))
 
 
+def merged_changes(changes: Sequence[DataFrame]) -> DataFrame:
+    """One change that does what these do one after another: of each key the last."""
+    numbered = [c.select(*STORE_ROW.names, "alive", F.lit(n).alias("nth")) for n, c in enumerate(changes)]
+    every = numbered[0]
+    for c in numbered[1:]:
+        every = every.unionAll(c)
+    last = F.row_number().over(Window.partitionBy(*IDENTITY).orderBy(F.desc("nth")))
+    return every.withColumn("n", last).where("n = 1").select(*STORE_ROW.names, "alive")
+
+
 def set_change(new: DataFrame) -> DataFrame:
     return new.select("key_id", "key", "value", F.lit(True).alias("alive"))
 

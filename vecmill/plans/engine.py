@@ -41,16 +41,26 @@ class Graphs:
 
 @dataclass
 class Store:
+    """``rows``: the ``base`` with the changes in ``layers`` put over it, one after another."""
+
     meta: StoreMeta
     rows: DataFrame
-    changes: int = 0
     graphs: Graphs | None = None
-    #: Files of the rows as they are now, and of those before them, which readers may still hold.
+    layers: list[tuple[DataFrame, str]] = field(default_factory=list)
+    #: The base's files if they are the engine's own, and files that rows were made of before, which readers may still hold.
     files: list[str] = field(default_factory=list)
     outdated: list[str] = field(default_factory=list)
-    #: The snapshot whose files hold rows.
+    #: The snapshot whose files hold the base.
     snapshot: str | None = None
 
+    def __post_init__(self):
+        self.rebase(self.rows)
+
+    def rebase(self, rows: DataFrame, *files: str) -> None:
+        """New rows, of these files, without changes over them."""
+        self.outdated += self.files + [path for _, path in self.layers]
+        self.rows, self.base, self.base_rows, self.layers, self.files = rows, rows, None, [], list(files)
+
 
 @dataclass(frozen=True)
 class SetResult:
@@ -111,8 +121,8 @@ class Engine:
         """A store whose rows are a table (key, value) with a row for each key; nothing is read or copied."""
         self.create_store(name, dimension, predicates, nonlinear, schema=schema)
         s = self.store(name, schema)
-        s.rows = rows.select(key_id(F.col("key")).alias("key_id"), F.col("key").cast(VECTOR).alias("key"),
-            F.col("value").cast(VALUE).alias("value"))
+        value = F.col("value").cast(VALUE).alias("value")
+        s.rebase(rows.select(key_id(F.col("key")).alias("key_id"), F.col("key").cast(VECTOR).alias("key"), value))
         s.meta.posted |= s.meta.predicates
         return s
 
@@ -296,19 +306,33 @@ class Engine:
                 s.graphs.shards, new), s.graphs
             s.outdated.append(old.path)
         s.rows = M.overlay(s.rows, change)
-        s.files.append(path)
-        s.changes += 1
+        s.layers.append((change, path))
         self.dirty = True
-        if s.changes >= self.compact_every:
+        if len(s.layers) >= self.compact_every:
             self.compact(s)
 
     def compact(self, s: Store) -> None:
-        """Write the rows anew. What they were made of goes with the next compaction, as readers may still hold it."""
-        path = storage.fresh_path(self.spark, "store")
-        s.rows, s.changes, s.snapshot = storage.written(s.rows, path), 0, None
+        """Merge the changes into one; where that is a quarter of the base or more, write the rows anew.
+
+        What they were made of goes at the next such time, as readers may still hold it.
+        """
+        if not s.layers:
+            return
         for old in s.outdated:
             storage.remove(self.spark, old)
-        s.outdated, s.files = s.files, [path]
+        s.outdated = []
+        path = storage.fresh_path(self.spark, "change")
+        merged = storage.written(M.merged_changes([c for c, _ in s.layers]), path)
+        if s.base_rows is None:
+            s.base_rows = s.base.count()
+        if 4 * merged.count() < s.base_rows:
+            s.outdated += [old for _, old in s.layers]
+            s.rows, s.layers = M.overlay(s.base, merged), [(merged, path)]
+        else:
+            whole = storage.fresh_path(self.spark, "store")
+            s.rebase(storage.written(M.overlay(s.base, merged), whole), whole)
+            s.outdated.append(path)
+            s.snapshot = None
 
     def set(self, name: str, given: DataFrame | Sequence[tuple], schema: str | None = None, replaced: DataFrame | None = None) -> SetResult:
         """Insert or replace. ``given``: (key, value) pairs, or a DataFrame (pos, key, value). Rows in ``replaced`` go in the same change.
@@ -378,8 +402,7 @@ class Engine:
         self.dirty = False
         for number, s in enumerate(stores):
             if s.snapshot == path:
-                s.rows, s.changes = snapshot.rows_of(self.spark, path, number), 0
-                s.outdated, s.files = s.outdated + s.files, []
+                s.rebase(snapshot.rows_of(self.spark, path, number))
 
     def snapshot_if_changed(self, path: str) -> bool:
         """Whether a snapshot was written: only if anything changed since the last one."""
