@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vecmill.llm.blocks import forest, joining_edges
-from vecmill.llm.common import connected_components, first_by_hash
+from vecmill.llm.common import BATCH_BYTES, _settle, connected_components, first_by_hash, in_batches
 from vecmill.llm.ngram_join import Shingler, common_counts, hashers, lsh_forest, min_hashes, ngram_join, verify
 from vecmill.llm import nn_descent
 from vecmill.llm.nn_descent import near_duplicates
@@ -42,6 +42,33 @@ def test_components(spark, few):
     assert [r[0] for r in connected_components(chain, "t", few=few).select("component").distinct().collect()] == [0]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(-30, 30), st.integers(-30, 30)), min_size=1, max_size=60), st.integers(1, 60))
+def test_settle(pairs, cut):
+    batches = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in p], pa.int64()), pa.array([b for _, b in p], pa.int64())], ["a", "b"]) for p in (pairs[:cut], pairs[cut:])]
+    (got,) = _settle(iter(batches))
+    assert dict(zip(got.column("id").to_pylist(), got.column("to").to_pylist(), strict=True)) == groups({x for p in pairs for x in p}, pairs)
+
+
+def test_batches_are_bounded(spark):
+    """By 4 MB, or by what the session says; a row longer than that is a batch alone."""
+    rows = spark.range(3000).selectExpr("id", "repeat('x', case when id = 7 then 9000000 else 3000 end) as t").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    was = spark.conf.get(BATCH_BYTES)
+    try:
+        spark.conf.unset(BATCH_BYTES)
+        got = in_batches(rows, sizes, "n long, bytes long").collect()
+        assert sum(r["n"] for r in got) == 3000 and all(r["bytes"] < 5 << 20 for r in got if r["bytes"] < 9_000_000) and len(got) > 2
+        spark.conf.set(BATCH_BYTES, str(1 << 20))
+        assert max(r["n"] for r in in_batches(rows, sizes, "n long, bytes long").collect()) < 400
+    finally:
+        spark.conf.set(BATCH_BYTES, was)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=20), min_size=1, max_size=8))
 def test_common_counts(sets):
