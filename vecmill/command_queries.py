@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecmill import storage
+from vecmill.__main__ import serve
 from vecmill.embedding.engine import AiEngine
 from vecmill.embedding.front import ImageFront, SoundFront
 from vecmill.embedding.models import MODELS, HashEmbedder, ModelSpec, Registry
@@ -235,6 +236,26 @@ def ai_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         "name string, index_model string, len long, dimension int, predicates string, purged int, left int")
 
 
+def ai_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs of another kind than the model's, or of several kinds, are refused, and nothing of them is set."""
+    ai = _filled(spark, sf_dir)
+    steps = [
+        C.AiSet("items", ((image(b"x"), {}),)), C.AiSet("items", ((text("a"), {}), (audio(b"y"), {}))), C.AiGetSimN("items", image(b"x"), 1), C.AiUpsert("items", Equals("item", "1"), audio(b"z")),
+        C.AiSet("items", ((text("one more"), {"item": text("-1")}),)),
+    ]
+    codes = [r.code if isinstance(r, EngineError) else 0 for r in ai.pipeline(steps)]
+    left = ai.engine.rows("items").count()
+    return spark.createDataFrame([(i, c, left) for i, c in enumerate(codes)], "step int, code int, n long")
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of statements as the command line takes them: what it says to each."""
+    said: list[str] = []
+    lines = ["PING", "CREATESTORE s DIMENSION 2; DROPSTORE none", "nonsense", "", "SET (([1, 2], {a: b}), ([3, 4], {a: c})) IN s; DELKEY ([1, 2]) IN s", "DROPSTORE s"]
+    serve(Engine(spark), lines, out=said.append)
+    return spark.createDataFrame([(i, x.split(":")[0]) for i, x in enumerate(said)], "pos int, said string")
+
+
 def ai_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index commands of stores of raw inputs; the engine's own keys stay."""
     ai = _filled(spark, sf_dir)
@@ -565,6 +586,11 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         ai_catalog,
         "SELECT 'items' AS name, 'letters' AS index_model, count(*) AS len, 16 AS dimension, 'item' AS predicates, 2 AS purged, 1 AS left FROM benchmark UNION ALL SELECT 'pictures', 'words', 0, 4, 'item', 2, 1",
     ),
+    "ai_kinds": (ai_kinds, "SELECT step, code, (SELECT count(*) + 1 FROM benchmark) AS n FROM (VALUES (0, 3), (1, 3), (2, 3), (3, 3), (4, 0)) t(step, code)"),
+    "statements": (
+        statements,
+        "SELECT * FROM (VALUES (0, 'pong'), (1, 'None'), (2, 'error 5'), (3, 'error 3'), (4, 'SetResult(inserted=2, updated=0)'), (5, 'Count(count=1)'), (6, 'Count(count=1)')) t(pos, said)",
+    ),
     "ai_indexes": (ai_indexes, "SELECT * FROM (VALUES (0, 1::BIGINT), (1, 1), (2, 2), (3, 1), (4, 1), (5, 0), (6, 0)) t(step, n)"),
     "export_import": (export_import, state_sql(BACK)),
     "snapshot_migration": (snapshot_migration, state_sql(BACK)),
