@@ -103,7 +103,7 @@ def closest(m: Metric, queries: np.ndarray, rows: np.ndarray, k: int, least: np.
         slack = 0
     if leave is not None:
         score[leave] = np.nan
-    if score.shape[1] > k:
+    if score.shape[1] > k and np.isinf(least).any():  # later on what is known to be too far leaves few
         kth = np.partition(np.where(np.isnan(score), -np.inf, score), score.shape[1] - k, 1)[:, score.shape[1] - k]
         least = np.maximum(least, kth)
     q, r = np.nonzero(score >= (least - 2 * slack)[:, None])

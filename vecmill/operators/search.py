@@ -13,7 +13,7 @@ from vecmill.errors import InvalidArgument
 from vecmill.operators.metrics import Metric, closest, metric, vector
 
 QUERY_BYTES = 32 << 20  # most bytes of query vectors that travel to every task
-PART_ROWS, PART_QUERIES = 4096, 1024  # scores of so many rows and queries are held at once
+PART_ROWS, PART_QUERIES = 2048, 1024  # scores of so many rows and queries are held at once
 
 
 def top_n(rows: DataFrame, query: Sequence[float], n: int, by: str | Metric = "cosine", where: Column | None = None, key: str = "key",

@@ -131,10 +131,11 @@ def knn(spark: SparkSession, sf_dir: str, metric: str = "cosine") -> DataFrame:
 
 def knn_large(spark: SparkSession, sf_dir: str, copies: int = 25) -> DataFrame:
     """The vectors and ``copies`` - 1 changed forms of each, searched by every 50th of all: the size that batches have."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("c"))
+    dealt = read(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism)
+    e = dealt.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("c"))
     turned = F.transform("embedding", lambda x, i: (x + F.sin(F.col("c") * (i + 1)) * F.lit(0.05)).cast("float"))
-    every = e.select((F.col("vec_id") * copies + F.col("c")).alias("vec_id"),
-        F.when(F.col("c") == 0, F.col("embedding")).otherwise(turned).alias("embedding")).repartition(2 * spark.sparkContext.defaultParallelism)
+    form = F.when(F.col("c") == 0, F.col("embedding")).otherwise(turned).alias("embedding")
+    every = e.select((F.col("vec_id") * copies + F.col("c")).alias("vec_id"), form)
     asked = every.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return knn_join(asked, every, 10, "cosine", row_id="vec_id", row_key="embedding").select("query_id", "rank",
         F.round("similarity", 5).alias("similarity"))
