@@ -129,7 +129,7 @@ def knn(spark: SparkSession, sf_dir: str, metric: str = "cosine") -> DataFrame:
         F.round("similarity", 6))
 
 
-def knn_large(spark: SparkSession, sf_dir: str, copies: int = 25) -> DataFrame:
+def knn_large(spark: SparkSession, sf_dir: str, copies: int = 50) -> DataFrame:
     """The vectors and ``copies`` - 1 changed forms of each, searched by every 50th of all: the size that batches have."""
     dealt = read(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartition(spark.sparkContext.defaultParallelism)
     e = dealt.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("c"))
@@ -451,7 +451,7 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "knn_join": (_with(knn), KNN_SQL.format(score="list_cosine_similarity(a.v, b.v)", way="DESC")),
     "knn_join_large": (
         knn_large,
-        """WITH r AS (SELECT vec_id * 25 + c AS id, CASE WHEN c = 0 THEN embedding ELSE list_transform(embedding, lambda x, i: (x + sin(c * i) * 0.05)::FLOAT) END::DOUBLE[] AS v FROM embeddings, range(25) t(c)),
+        """WITH r AS (SELECT vec_id * 50 + c AS id, CASE WHEN c = 0 THEN embedding ELSE list_transform(embedding, lambda x, i: (x + sin(c * i) * 0.05)::FLOAT) END::DOUBLE[] AS v FROM embeddings, range(50) t(c)),
         p AS (SELECT a.id AS query_id, list_cosine_similarity(a.v, b.v) AS s FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 50 = 0),
         n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC) AS rank FROM p) SELECT query_id, rank::INTEGER AS rank, round(s, 5) AS similarity FROM n WHERE rank <= 10""",
     ),
