@@ -27,7 +27,7 @@ from vecmill.plans import commands as C
 from vecmill.plans.engine import Engine
 from vecmill.queries import FIRST, NAMES, ROW, S, _asked, _entry, _id, _said, _state, opened, read, state_sql, vector_of
 from vecmill.sources.vecs import read_vecs
-from vecmill.types import Hnsw, KdTree, Meta, audio, image, text
+from vecmill.types import VALUE, Hnsw, KdTree, Meta, audio, image, text
 
 # -- models without weights, which make of an input what SQL can tell too
 
@@ -119,23 +119,24 @@ def _filled(spark: SparkSession, sf_dir: str, **options) -> AiEngine:
     return ai
 
 
-def _texts_of(spark: SparkSession, sf_dir: str, where: str) -> list[Meta]:
-    return [text(r["text"]) for r in read(spark, sf_dir, "benchmark").where(where).collect()]
+def _texts_of(spark: SparkSession, sf_dir: str) -> list[Meta]:
+    """All texts of ``benchmark``, a small table, as a command's inputs."""
+    return [text(r["text"]) for r in read(spark, sf_dir, "benchmark").orderBy("item_id").collect()]
 
 
 # -- stores of raw inputs
 
 
 def ai_getkey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _filled(spark, sf_dir).get_key("items", [*_texts_of(spark, sf_dir, "item_id % 7 = 0"), text("unknown")])
+    """Every input that was set, asked for among others."""
+    found = _filled(spark, sf_dir).get_key("items", [*_texts_of(spark, sf_dir), text("unknown")])
     return found.select(_id("item"), F.col("key.str").alias("text"), F.size("value").alias("entries"))
 
 
 def ai_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new input for one item; the other entries of its value stay."""
     ai = _filled(spark, sf_dir)
-    first = _texts_of(spark, sf_dir, "item_id = 1")[0]
-    ai.upsert("items", Equals("item", "1"), text(first.data + "!"), {"more": "yes"})
+    ai.upsert("items", Equals("item", "1"), text("another text"), {"more": "yes"})
     return ai.get_pred("items", NotEquals("item", "-")).select(_id("item"), F.col("key.str").alias("text"), _said("more"))
 
 
@@ -163,7 +164,7 @@ def ai_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ai_convert_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ai, _ = _items(spark, sf_dir, "lengths")
-    made = ai.execute(C.ConvertInputs(tuple(_texts_of(spark, sf_dir, "item_id < 5")), "lengths"))
+    made = ai.execute(C.ConvertInputs(tuple(_texts_of(spark, sf_dir)), "lengths"))
     return made.select(F.col("input.str").alias("text"), "number", F.col("key")[0].cast("int").alias("chars"))
 
 
@@ -172,7 +173,7 @@ def ai_token_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     ai, rows = _items(spark, sf_dir, "tokens")
     made = ai.models.embed_frame(rows, "tokens").select(F.col("pos").alias("item"), F.col("key")[0].cast("int").alias("tokens"))
     refused = 0
-    for t in _texts_of(spark, sf_dir, "item_id < 10"):
+    for t in _texts_of(spark, sf_dir):
         try:
             ai.models.embed("tokens", [t], preprocess=False)
         except InvalidArgument:
@@ -188,7 +189,7 @@ def ai_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.concat(F.encode(F.concat(F.lit("P6\n"), w, F.lit(" "), h, F.lit("\n255\n")), "utf-8"),
         F.unhex(F.repeat(F.hex(pixel), (w * h).cast("int"))))
     given = F.struct(F.lit("img").alias("kind"), F.lit(None).cast("string").alias("str"), data.alias("bin"))
-    rows = read(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("pos"), given.alias("input"),
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), given.alias("input"),
         F.create_map().cast("map<string, struct<kind:string,str:string,bin:binary>>").alias("value"))
     made = ai.models.embed_frame(rows, "pixels")
     return made.select(F.col("pos").alias("p_partkey"),
@@ -196,25 +197,30 @@ def ai_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ai_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silent WAVE files of different lengths: spectrograms at the floor, zero where no whole window is left, all of the model's shape."""
+    """Silent WAVE files as long as the texts: spectrograms at the floor, zero where no whole window is left, all of the model's shape."""
     ai = AiEngine(Engine(spark), models())
-    inputs = []
-    for n in range(1, 4):
-        body = bytes(2 * 2 * 800 * n)
-        inputs.append(audio(b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000,
-            4, 16) + b"data" + struct.pack("<I", len(body)) + body))
-    made = ai.convert(inputs, "loudness")
-    return made.select("pos", *[F.round(F.col("key")[i], 3).alias(n) for i, n in enumerate(("loudest", "softest", "frames"))])
+
+    def run(frames):
+        for f in frames:
+            bodies = [bytes(4 * (len(t) + 1)) for t in f["text"]]
+            head = [b"RIFF" + struct.pack("<I", 36 + len(b)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000, 4, 16) + b"data" + struct.pack("<I", len(b)) for b in bodies]
+            yield pd.DataFrame({"pos": f["item_id"], "bin": [h + b for h, b in zip(head, bodies, strict=True)]})
+
+    waves = read(spark, sf_dir, "benchmark").select("item_id", "text").mapInPandas(run, "pos long, bin binary")
+    given = F.struct(F.lit("aud").alias("kind"), F.lit(None).cast("string").alias("str"), F.col("bin")).alias("input")
+    made = ai.models.embed_frame(waves.select("pos", given, F.create_map().cast(VALUE).alias("value")), "loudness")
+    return made.select(F.col("pos").alias("item"), *[F.round(F.col("key")[i], 3).alias(n) for i, n in enumerate(("loudest", "softest", "frames"))])
 
 
 def ai_dsl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language's statements for raw inputs: results by step."""
+    """The language's statements for raw inputs, an entry for each row of ``benchmark``: results by step."""
     ai = AiEngine(Engine(spark), models())
-    n = read(spark, sf_dir, "benchmark").count()
+    ids = [r["item_id"] for r in read(spark, sf_dir, "benchmark").select("item_id").collect()]
+    entries = ", ".join(f"([text {i}], {{who: p{i % 3}}})" for i in ids)
     got = ai.query(
-        "CREATESTORE notes QUERYMODEL letters INDEXMODEL letters PREDICATES (who) STOREORIGINAL; "
-        + "; ".join(f"SET (([text {i}], {{who: p{i % 3}}})) in notes PREPROCESSACTION nopreprocessing" for i in range(min(n, 6)))
-        + "; GETSIMN 1 WITH [text 2] USING cosinesimilarity PREPROCESSACTION modelpreprocessing IN notes; GETKEY ([text 1], [text 99]) IN notes; DELKEY ([text 1]) IN notes; GETPRED (who = p1) IN notes; PURGESTORES"
+        f"CREATESTORE notes QUERYMODEL letters INDEXMODEL letters PREDICATES (who) STOREORIGINAL; SET ({entries}) in notes PREPROCESSACTION nopreprocessing;"
+        "GETSIMN 1 WITH [text 2] USING cosinesimilarity PREPROCESSACTION modelpreprocessing EXECUTIONPROVIDER cpu IN notes; GETKEY ([text 1], [text -9]) IN notes;"
+        "DELKEY ([text 1]) IN notes; GETPRED (who = p1) IN notes; PURGESTORES"
     )
     rows = []
     for step, r in enumerate(got):
@@ -317,15 +323,13 @@ def ivecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as hexadecimal literals of images and sounds, set by the language and read back as bytes."""
+    """Texts as hexadecimal literals of images and sounds, set by one statement and read back as bytes."""
     engine = Engine(spark)
     engine.create_store("s", 1)
-    for r in read(spark, sf_dir, "benchmark").where("item_id < 12").collect():
-        mark = "/x" if r["item_id"] % 2 else "/a"
-        engine.query(f"SET (([{r['item_id']}], {{data: {mark}{r['text'].encode().hex()}}})) IN s")
+    entries = [f"([{r['item_id']}], {{data: {'/x' if r['item_id'] % 2 else '/a'}{r['text'].encode().hex()}}})" for r in read(spark, sf_dir, "benchmark").collect()]
+    engine.query(f"SET ({', '.join(entries)}) IN s")
     v = F.col("value")["data"]
-    return engine.rows("s").select(F.col("key")[0].cast("long").alias("item"), v["kind"].alias("kind"),
-        F.decode(v["bin"], "utf-8").alias("text"))
+    return engine.rows("s").select(F.col("key")[0].cast("long").alias("item"), v["kind"].alias("kind"), F.decode(v["bin"], "utf-8").alias("text"))
 
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -558,8 +562,11 @@ BACK = f"SELECT vec_id, label, lang, source, quality, toxic, {FIRST} FROM s"
 
 #: name: (query, SQL)
 TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "ai_getkey": (ai_getkey, "SELECT item_id AS item, text, 1 AS entries FROM benchmark WHERE item_id % 7 = 0"),
-    "ai_upsert": (ai_upsert, "SELECT item_id AS item, text || CASE WHEN item_id = 1 THEN '!' ELSE '' END AS text, CASE WHEN item_id = 1 THEN 'yes' END AS more FROM benchmark"),
+    "ai_getkey": (ai_getkey, "SELECT item_id AS item, text, 1 AS entries FROM benchmark"),
+    "ai_upsert": (
+        ai_upsert,
+        "SELECT item_id AS item, CASE WHEN item_id = 1 THEN 'another text' ELSE text END AS text, CASE WHEN item_id = 1 THEN 'yes' END AS more FROM benchmark",
+    ),
     "ai_delpred": (ai_delpred, "SELECT item_id AS item, 2 AS deleted FROM benchmark WHERE item_id NOT IN (1, 2)"),
     "ai_one_to_many": (
         ai_one_to_many,
@@ -567,20 +574,22 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         "SELECT item_id AS item, (row_number() OVER (PARTITION BY item_id ORDER BY n) - 1)::INTEGER AS part, word, printf('%.1f', length(word) / 10) AS confidence FROM k",
     ),
     "ai_convert": (ai_convert, f"{WORDS} SELECT item_id AS item, length(text)::INTEGER AS chars, len(ws)::INTEGER AS words FROM w JOIN benchmark USING (item_id)"),
-    "ai_convert_inputs": (ai_convert_inputs, "SELECT text, 0 AS number, length(text)::INTEGER AS chars FROM benchmark WHERE item_id < 5"),
+    "ai_convert_inputs": (ai_convert_inputs, "SELECT text, 0 AS number, length(text)::INTEGER AS chars FROM benchmark"),
     "ai_token_limit": (
         ai_token_limit,
-        f"{WORDS} SELECT item_id AS item, least(len(ws) + 2, {MOST_TOKENS})::INTEGER AS tokens, (SELECT count(*) FROM w WHERE item_id < 10 AND len(ws) + 2 > {MOST_TOKENS})::INTEGER AS refused FROM w",
+        f"{WORDS} SELECT item_id AS item, least(len(ws) + 2, {MOST_TOKENS})::INTEGER AS tokens, (SELECT count(*) FROM w WHERE len(ws) + 2 > {MOST_TOKENS})::INTEGER AS refused FROM w",
     ),
     "ai_images": (
         ai_images,
-        "WITH c AS (SELECT p_partkey, p_partkey % 256 AS c FROM part WHERE p_partkey <= 200) "
+        "WITH c AS (SELECT p_partkey, p_partkey % 256 AS c FROM part) "
         "SELECT p_partkey, round((c / 255 - 0.5) / 0.2, 3) AS red, round(((c + 50) % 256 / 255 - 0.4) / 0.25, 3) AS green, round(((c + 100) % 256 / 255 - 0.3) / 0.5, 3) AS blue FROM c",
     ),
-    "ai_sounds": (ai_sounds, "SELECT i AS pos, 0.0::FLOAT AS loudest, -100.0::FLOAT AS softest, 1000.0::FLOAT AS frames FROM range(3) t(i)"),
+    "ai_sounds": (ai_sounds, "SELECT item_id AS item, 0.0::FLOAT AS loudest, -100.0::FLOAT AS softest, 1000.0::FLOAT AS frames FROM benchmark"),
     "ai_dsl": (
         ai_dsl,
-        "SELECT * FROM (VALUES (0, 0, -1::BIGINT), (1, 0, 1), (2, 0, 1), (3, 0, 1), (4, 0, 1), (5, 0, 1), (6, 0, 1), (7, 0, 1), (8, 0, 1), (9, 0, 1), (10, 0, 1), (11, 0, 1)) t(step, code, n)",
+        "WITH b AS (SELECT count(*) AS n, count(*) FILTER (item_id = 1) AS one, count(*) FILTER (item_id = 2) AS two, count(*) FILTER (item_id % 3 = 1) AS p1 FROM benchmark) "
+        "SELECT 0 AS step, 0 AS code, -1::BIGINT AS n UNION ALL SELECT 1, 0, n FROM b UNION ALL SELECT 2, 0, 1 UNION ALL SELECT 3, 0, one FROM b UNION ALL SELECT 4, 0, one FROM b "
+        "UNION ALL SELECT 5, 0, p1 - one FROM b UNION ALL SELECT 6, 0, 1",
     ),
     "ai_catalog": (
         ai_catalog,
@@ -601,7 +610,7 @@ TABLE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
         "WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id DESC)::INTEGER AS rank "
         "FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT query_id, rank, vec_id FROM p WHERE rank <= 3",
     ),
-    "literals": (literals, "SELECT item_id AS item, CASE WHEN item_id % 2 = 1 THEN 'img' ELSE 'aud' END AS kind, text FROM benchmark WHERE item_id < 12"),
+    "literals": (literals, "SELECT item_id AS item, CASE WHEN item_id % 2 = 1 THEN 'img' ELSE 'aud' END AS kind, text FROM benchmark"),
     "tags": (tags, "SELECT item_id, text, 'img:' AS kind FROM benchmark"),
     "identities": (identities, "SELECT count(DISTINCT embedding) + 2 * count(DISTINCT embedding[2:]) AS n FROM embeddings"),
     "schemas": (
