@@ -19,7 +19,7 @@ def one(source, ai=False):
         ("liststores schema lab", [C.ListStores("lab")]),
         ("getstore atlas", [C.GetStore("atlas")]),
         ("CreateStore if not exists atlas dimension 12 predicates (sea, river) schema maps", [C.CreateStore("atlas", 12, ("sea", "river"), (), False, "maps")]),
-        ("createstore birds dimension 4 nonlinearalgorithmindex (hnsw)", [C.CreateStore("birds", 4, (), (Hnsw(),), True)]),
+        ("createstore birds dimension 4 nonlinearalgorithmindex (hnsw, kdtree)", [C.CreateStore("birds", 4, (), (Hnsw(), KdTree()), True)]),
         ("DropStore birds", [C.DropStore("birds", True)]),
         ("dropstore birds if exists schema zoo", [C.DropStore("birds", False, "zoo")]),
         ("createpredindex (wing) in birds; DROPPREDINDEX (wing) in birds", [C.CreatePredIndex("birds", ("wing",)), C.DropPredIndex("birds", ("wing",), True)]),

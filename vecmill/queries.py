@@ -18,7 +18,6 @@ from vecmill.embedding.engine import AiEngine
 from vecmill.embedding.models import HashEmbedder, ModelSpec, Registry
 from vecmill.functions import vision
 from vecmill.functions.vectors import l2_normalize, mean_pool, softmax
-from vecmill.operators import mutations as M
 from vecmill.operators.predicates import And, Equals, In, NotEquals, NotIn, Or, Predicate, columns_entry, compile_predicate, plain
 from vecmill.operators.search import knn_join, top_n
 from vecmill.plans.engine import Engine
