@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,6 +315,38 @@ def test_service_snapshots(spark):
         assert again.rows("fixture", schema).collect() == e.rows("fixture", schema).collect()
 
 
+def test_service_snapshots_as_files(spark, tmp_path, monkeypatch):
+    """Rows never come to the driver, and the files one after another are the document."""
+    from vecmill.sources import snapshot
+
+    e = Engine(spark)
+    e.query("CREATESTORE s DIMENSION 2 PREDICATES (a); CREATESTORE empty DIMENSION 3; CREATESTORE s DIMENSION 1 SCHEMA t")
+    e.set("s", [([0.1, float("nan")], {"a": "é,\n\u2028\"}{", "b": ""}), ([-0.0, 0.0], {"p": image(b"\x00z"), "a": "x"}), ([0.0, 1e-30], {})])
+    e.set("s", [([float(i)], {"n": f"{i}"}) for i in range(50)], "t")
+    document = e.export_service_snapshot()
+    monkeypatch.setattr(snapshot, "to_service_json", None)
+    e.write_service_snapshot(f"file://{tmp_path}/d")
+    parts = sorted(p for p in (tmp_path / "d").rglob("*") if p.is_file() and not p.name.startswith((".", "_")))
+    written = json.loads("".join(p.read_text() for p in parts))
+    for body in (document, written):
+        for store in (s for group in body["stores"].values() for s in group.values()):
+            store["id_to_value"] = {i: (repr(np.float32(k).tolist()), v) for i, (k, v) in store["id_to_value"].items()}
+    assert written == document
+    back = Engine(spark)
+    back.read_service_snapshot(f"file://{tmp_path}/d")
+    for name, schema in (("s", None), ("empty", None), ("s", "t")):
+        one, two = (sorted(map(repr, x.rows(name, schema).collect())) for x in (e, back))
+        assert one == two and back.store(name, schema).meta.dimension == e.store(name, schema).meta.dimension
+    assert back.store("s").meta.predicates == {"a"}
+    with pytest.raises(ValueError):
+        e.write_service_snapshot(f"file://{tmp_path}/f", flat=True)
+    e.drop_schema("t")
+    e.write_service_snapshot(f"file://{tmp_path}/f", flat=True)
+    flat = Engine(spark)
+    flat.read_service_snapshot(f"file://{tmp_path}/f")
+    assert sorted(map(repr, flat.rows("s").collect())) == sorted(map(repr, e.rows("s").collect()))
+
+
 def test_streaming(spark, tmp_path):
     from vecmill.operators import mutations as M
     from vecmill.streaming.ingest import stream_into

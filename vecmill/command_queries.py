@@ -276,19 +276,21 @@ def ai_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- snapshots, files, values
 
 
-def _back(spark: SparkSession, document: dict) -> DataFrame:
+def _back(spark: SparkSession, sf_dir: str, flat: bool) -> DataFrame:
+    path = f"{storage.root(spark)}/service-{uuid.uuid4().hex}"
+    opened(spark, sf_dir).write_service_snapshot(path, flat)
     engine = Engine(spark)
-    engine.import_service_snapshot(document)
+    engine.read_service_snapshot(path)
     return engine.rows("vectors").select(_id(), *[_said(n) for n in NAMES], F.round(F.col("key")[0].cast("double"), 6).alias("first"))
 
 
 def export_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _back(spark, opened(spark, sf_dir).export_service_snapshot())
+    return _back(spark, sf_dir, flat=False)
 
 
 def snapshot_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same document in the old flat form, without schemas and version."""
-    return _back(spark, opened(spark, sf_dir).export_service_snapshot()["stores"]["public"])
+    return _back(spark, sf_dir, flat=True)
 
 
 def snapshot_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:

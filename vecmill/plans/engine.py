@@ -436,18 +436,33 @@ class Engine:
             self.stores.setdefault(meta.schema, {})[meta.name] = Store(meta, rows, snapshot=path)
 
     def export_service_snapshot(self) -> dict:
-        """A document of all stores, for stores of up to 100,000 rows."""
+        """A document of all stores, for stores of up to 100,000 rows; ``write_service_snapshot`` takes any."""
         return snapshot.to_service_json([(s.meta, s.rows) for stores in self.stores.values() for s in stores.values()])
 
     def import_service_snapshot(self, document: dict) -> None:
         for schema, stores in snapshot.parse_service_json(document).items():
             for name, store in stores.items():
-                self.create_store(name, int(store["dimension"]), error_if_exists=False, schema=schema)
-                if rows := snapshot.service_rows(store):
-                    self.set(name, rows, schema)
-                indices = store.get("predicate_indices") or {}
-                if names := indices.get("allowed_predicates"):
-                    self.create_pred_index(name, names, schema)
+                self._import_store(schema, name, store, snapshot.service_rows(store))
+
+    def _import_store(self, schema: str, name: str, store: dict, rows: DataFrame | list) -> None:
+        self.create_store(name, int(store["dimension"]), error_if_exists=False, schema=schema)
+        if isinstance(rows, DataFrame) or rows:
+            self.set(name, rows, schema)
+        indices = store.get("predicate_indices") or {}
+        if names := indices.get("allowed_predicates"):
+            self.create_pred_index(name, names, schema)
+
+    def write_service_snapshot(self, path: str, flat: bool = False) -> None:
+        """The document of all stores as files, for stores of any size: only what stands around the rows passes through the driver."""
+        stores = [(s.meta, s.rows) for group in self.stores.values() for s in group.values()]
+        snapshot.write_service_lines(self.spark, stores, path, flat)
+
+    def read_service_snapshot(self, path: str) -> None:
+        """Import what ``write_service_snapshot`` wrote."""
+        document, held = snapshot.read_service_lines(self.spark, path)
+        described = snapshot.parse_service_json(document)
+        for schema, name, rows in held:
+            self._import_store(schema, name, described[schema][name], rows)
 
     # -- commands
 

@@ -56,6 +56,12 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} could not be moved to {target}")
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names of what is in a folder, in order."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(x.getPath().getName() for x in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where))
+
+
 def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file, made on the driver, wherever Spark can write."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
