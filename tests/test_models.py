@@ -3,7 +3,9 @@ import struct
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_type
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from vecmill.functions.codec import from_literal, from_tagged, to_tagged
 from vecmill.operators.predicates import Equals, NotEquals
 from vecmill.plans.engine import Count, Engine, SetResult
 from vecmill.sources.vecs import read_vecs
-from vecmill.types import audio, image, text
+from vecmill.types import META, VALUE, audio, image, text
 
 
 @pytest.fixture
@@ -139,6 +141,29 @@ def test_detectors():
         vision.decode_distances(outputs[:3], 0.5, 64)
 
 
+def test_images_are_dealt_and_leave_in_whole_batches(spark, tmp_path):
+    """A file of one row group is worked on by many tasks; results leave a worker by thousands, not by the model's batch."""
+    from vecmill import command_queries as Q
+    from vecmill.embedding import models
+
+    spark.createDataFrame([(i, i % 50 + 1, 1.0 * i) for i in range(1, 400)], "p_partkey long, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for q in (Q.ai_images, Q.decoded_distances):
+        got = q(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 4 and got.count() == 399
+    b = pa.RecordBatch.from_pylist([{"pos": i, "input": {"kind": "img", "str": None, "bin": b"x"}, "value": None} for i in range(100)],
+        pa.schema([("pos", pa.int64()), ("input", to_arrow_type(META)), ("value", to_arrow_type(VALUE))]))
+    made = models._made(b, [3, 3], [0, 1], [[1.0], [2.0]], [{"a": "b"}, {}])
+    assert made.column("pos").to_pylist() == [3, 3] and [len(m) for m in made.column("value").to_pylist()] == [1, 0]
+
+
+def test_resize_is_bilinear():
+    p = np.random.default_rng(1).normal(size=(5, 7, 3))
+    for h, w in ((8, 8), (3, 20), (5, 7), (1, 1)):
+        y, x = np.mgrid[:h, :w]
+        sx, sy = np.clip((x + 0.5) * 7 / w - 0.5, 0, 6), np.clip((y + 0.5) * 5 / h - 0.5, 0, 4)
+        assert np.allclose(vision.resize(p, h, w), vision._bilinear(p, sx.ravel(), sy.ravel()).reshape(h, w, 3))
+
+
 def test_pictures():
     t = vision.similarity_from_eyes([10, 10], [20, 10], [5, 5], [5, 15])
     assert np.allclose(t @ [20, 10, 1], [5, 15]) and np.allclose(t @ [10, 10, 1], [5, 5])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from vecmill.operators.predicates import Equals, In, NotEquals, Or, Predicate, c
 from vecmill.operators.search import knn_join, recall_at_k
 from vecmill.plans import commands as C
 from vecmill.plans.engine import Engine
-from vecmill.queries import FIRST, NAMES, ROW, S, _asked, _entry, _id, _said, _state, opened, read, state_sql, vector_of
+from vecmill.queries import FIRST, NAMES, ROW, S, _asked, _entry, _id, _said, _state, dealt, opened, read, state_sql, vector_of
 from vecmill.sources.vecs import read_vecs
 from vecmill.types import VALUE, Hnsw, KdTree, Meta, audio, image, text
 
@@ -189,7 +190,7 @@ def ai_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.concat(F.encode(F.concat(F.lit("P6\n"), w, F.lit(" "), h, F.lit("\n255\n")), "utf-8"),
         F.unhex(F.repeat(F.hex(pixel), (w * h).cast("int"))))
     given = F.struct(F.lit("img").alias("kind"), F.lit(None).cast("string").alias("str"), data.alias("bin"))
-    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), given.alias("input"),
+    rows = dealt(read(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.col("p_partkey").alias("pos"), given.alias("input"),
         F.create_map().cast("map<string, struct<kind:string,str:string,bin:binary>>").alias("value"))
     made = ai.models.embed_frame(rows, "pixels")
     return made.select(F.col("pos").alias("p_partkey"),
@@ -488,22 +489,25 @@ def _per_image(spark: SparkSession, sf_dir: str, work: Callable, kinds: str) ->
         for f in frames:
             yield pd.DataFrame([work(*r) for r in f.itertuples(index=False)], columns=[k.split()[0] for k in kinds.split(", ")])
 
-    return read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice").mapInPandas(run, kinds)
+    return dealt(read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")).mapInPandas(run, kinds)
+
+
+@lru_cache(maxsize=1)
+def _silent_outputs(size: int) -> list[np.ndarray]:
+    """A detector's outputs that find nothing, by stride (8, 16, 32) score, box and points; made once in a worker, so what is written there is taken back."""
+    return [np.zeros(((size // s) ** 2 * 2, n)) for s in (8, 16, 32) for n in (1, 4, 10)]
 
 
 def decoded_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one confident cell of a detector's outputs, as a box."""
 
     def work(key, size, price):
-        at, stride = key % 800, 32
-        outputs = []
-        for s in (8, 16, 32):
-            n = (640 // s) ** 2 * 2
-            score, box, point = np.zeros((n, 1)), np.zeros((n, 4)), np.zeros((n, 10))
-            if s == stride:
-                score[at], box[at] = 0.9, (size / 10, 1, 2, size / 5)
-            outputs += [score, box, point]
+        at = key % 800
+        outputs = _silent_outputs(640)
+        score, box = outputs[6], outputs[7]  # of stride 32
+        score[at], box[at] = 0.9, (size / 10, 1, 2, size / 5)
         boxes, _, confidence = vision.decode_distances(outputs, 0.5)
+        score[at], box[at] = 0, 0
         return (key, len(boxes), *[round(float(x), 4) for x in boxes[0]], float(confidence[0]))
 
     return _per_image(spark, sf_dir, work, "p_partkey long, n int, x1 double, y1 double, x2 double, y2 double, confidence double")

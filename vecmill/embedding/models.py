@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,20 +157,40 @@ class Registry:
             raise InvalidArgument(f"model {model} reads {spec.kind} alone")
         load, kwargs, idle = self._load(model), spec.parameters(params), self.idle_seconds
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             net = _loaded(model, load, idle)
-            for frame in frames:
-                for at in range(0, len(frame), spec.batch):
-                    part, rows = frame.iloc[at : at + spec.batch], []
-                    data = [r["str"] if r["kind"] == "str" else bytes(r["bin"]) for r in part["input"]]
-                    for pos, source, value, found in zip(part["pos"], part["input"], part["value"], net(data, preprocess, kwargs),
-                        strict=True):
-                        for number, (key, said) in enumerate(found):
-                            extra = {k: {"kind": "str", "str": v, "bin": None} for k, v in said.items()}
-                            rows.append((pos, source, number, [float(x) for x in key], dict(value or {}) | extra))
-                    yield pd.DataFrame(rows, columns=["pos", "input", "number", "key", "value"])
-
-        return given.select("pos", "input", "value").mapInPandas(run, EMBEDDED)
+            for b in batches:
+                kinds, texts, bins = (c.to_pylist() for c in b.column("input").flatten())
+                data = [s if k == "str" else x for k, s, x in zip(kinds, texts, bins, strict=True)]
+                at, numbers, keys, said, held = [], [], [], [], 0
+                for start in range(0, len(data), spec.batch):
+                    part = data[start : start + spec.batch]
+                    for i, found in enumerate(net(part, preprocess, kwargs), start):
+                        at += [i] * len(found)
+                        numbers += range(len(found))
+                        keys += [[float(x) for x in key] for key, _ in found]
+                        said += [s for _, s in found]
+                        held += len(found) * len(data[i])
+                    if len(at) >= OUT_ROWS or held >= OUT_BYTES:
+                        yield _made(b, at, numbers, keys, said)
+                        at, numbers, keys, said, held = [], [], [], [], 0
+                if at:
+                    yield _made(b, at, numbers, keys, said)
+
+        return given.select(F.col("pos").cast("long").alias("pos"), "input", F.col("value").cast(VALUE).alias("value")).mapInArrow(run, EMBEDDED)
+
+
+OUT_ROWS, OUT_BYTES = 4096, 4 << 20  # rows, and bytes of inputs, after which what was made leaves a worker
+
+
+def _made(b: pa.RecordBatch, at: list[int], numbers: list[int], keys: list[list[float]], said: list[dict[str, str]]) -> pa.RecordBatch:
+    taken = b.take(pa.array(at, pa.int64()))
+    value = taken.column("value")
+    if any(said) or value.null_count:
+        extra = [{k: {"kind": "str", "str": v, "bin": None} for k, v in s.items()} for s in said]
+        value = pa.array([list((dict(m or ()) | x).items()) for m, x in zip(value.to_pylist(), extra, strict=True)], value.type)
+    return pa.RecordBatch.from_arrays([taken.column("pos"), taken.column("input"), pa.array(numbers, pa.int32()),
+        pa.array(keys, pa.list_(pa.float32())), value], ["pos", "input", "number", "key", "value"])
 
 
 def _pair(load: Callable[[], Embedder], front: Callable[[], Front] | None) -> Callable[[], Callable]:

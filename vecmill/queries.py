@@ -33,6 +33,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows of a file over all cores, for work that costs more than reading: a small file is one task however many rows it holds."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def flat(spark: SparkSession, sf_dir: str, names: Collection[str] = NAMES) -> DataFrame:
     """(vec_id, embedding, label, ...): metadata as plain columns; only tables that hold the names are joined."""
     out = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
