@@ -37,6 +37,31 @@ def test_recall_and_delete(x, name):
     assert g.nearest(x[0], 3) == [] and g.entry is None
 
 
+@pytest.mark.parametrize("name", ["euclidean", "cosine", "dot"])
+def test_filled_graphs_find_as_well_and_deletions_look_at_those_who_name(x, name):
+    g = Graph(Hnsw(name, 60, 12, 24))
+    g.fill([*range(700), 3], np.concatenate([x, x[:1]]))
+    assert len(g.vectors) == 700 and np.array_equal(g.vectors[3], x[3]) and g.entry in g.layers[-1]
+    for level, layer in enumerate(g.layers):
+        assert all(len(n) <= g._room(level) and i not in n for i, n in layer.items())
+    assert np.mean([len({i for _, i in g.nearest(q, 10, 80)} & set(best(x, q, name, 10))) / 10 for q in x[:20] + 0.1]) > 0.9
+    read = []
+
+    class Watched(dict):
+        def items(self):
+            read.append(1)
+            return super().items()
+
+    g.layers = [Watched(layer) for layer in g.layers]
+    once = len(g.layers)
+    for i in range(0, 200):
+        g.delete(i)
+    assert len(read) == once
+    assert all(i >= 200 and all(n in layer for n in others) for layer in g.layers for i, others in layer.items())
+    left = range(200, 700)
+    assert np.mean([len({i for _, i in g.nearest(q, 10, 80)} & set(best(x, q, name, 10, left))) / 10 for q in x[:20] + 0.1]) > 0.85
+
+
 def test_filter_passes_through_refused(x):
     ray = np.arange(6000)[:, None] * 0.01 * np.ones((1, 4))
     g = Graph(Hnsw(ef_construction=40, maximum_connections=8, maximum_connections_zero=16))

@@ -22,6 +22,7 @@ from vecmill.operators.metrics import METRICS
 from vecmill.operators.search import QUERY_BYTES
 from vecmill.types import Hnsw
 
+FILL_ROWS = 64  # ids of which distances to a whole shard are held at once
 EXACT_BELOW = 4096  # so few accepted rows are compared one by one
 
 
@@ -33,6 +34,8 @@ class Graph:
     vectors: dict[int, np.ndarray] = field(default_factory=dict)
     layers: list[dict[int, list[int]]] = field(default_factory=list)
     entry: int | None = None
+    #: By layer, who names an id; made for deletions and dropped by an insertion.
+    _namers: list[dict[int, set[int]]] | None = field(default=None, repr=False, compare=False)
 
     def __post_init__(self):
         if self.settings.maximum_connections <= 1:
@@ -41,9 +44,16 @@ class Graph:
 
     def _far(self, query: np.ndarray, ids: Sequence[int]) -> np.ndarray:
         """Distances, smaller is closer, whatever the metric."""
-        s = self.metric.matrix(query[None, :], np.stack([self.vectors[i] for i in ids]))[0]
-        s = -s if self.metric.greater_is_closer else s
-        return np.where(np.isnan(s), np.inf, s)
+        v = np.concatenate([self.vectors[i] for i in ids]).reshape(len(ids), -1)
+        if self.metric.name in ("euclidean", "squared_euclidean"):
+            v -= query
+            s = np.einsum("ij,ij->i", v, v)
+            s = np.sqrt(s) if self.metric.name == "euclidean" else s
+        else:
+            s = self.metric.matrix(query[None, :], v)[0]
+            s = -s if self.metric.greater_is_closer else s
+        s[np.isnan(s)] = np.inf
+        return s
 
     def level_of(self, key: int) -> int:
         """The same for an id wherever it is inserted: exponentially fewer ids reach each higher layer."""
@@ -83,18 +93,36 @@ class Graph:
 
     def spread(self, found: Sequence[tuple[float, int]], room: int) -> list[int]:
         """Neighbours in different directions: one is left out if it lies closer to a chosen one than to the centre."""
-        kept: list[int] = []
-        for d, i in found:
-            if len(kept) == room:
-                break
-            if not kept or self._far(self.vectors[i], kept).min() >= d:
-                kept.append(i)
+        if not found:
+            return []
+        v = np.stack([self.vectors[i] for _, i in found])
+        between, far = self._between(v, v), np.array([d for d, _ in found])
+        left, kept = np.ones(len(found), bool), []
+        while len(kept) < room and (at := int(left.argmax())) < len(left) and left[at]:
+            kept.append(found[at][1])
+            left &= between[at] >= far
+            left[: at + 1] = False
         return kept
 
+    def _between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of all pairs, smaller is closer; of Euclidean ones by a product, as only neighbours' choice hangs on them."""
+        if self.metric.name in ("euclidean", "squared_euclidean"):
+            s = -2 * (a @ b.T)
+            s += np.einsum("ij,ij->i", a, a)[:, None]
+            s += np.einsum("ij,ij->i", b, b)
+            np.maximum(s, 0, out=s)
+            s = np.sqrt(s, out=s) if self.metric.name == "euclidean" else s
+        else:
+            s = self.metric.matrix(a, b)
+            s = -s if self.metric.greater_is_closer else s
+        s[np.isnan(s)] = np.inf
+        return s
+
     def insert(self, key: int, vector: Sequence[float]) -> bool:
         """False, and no change, for an id that is there."""
         if key in self.vectors:
             return False
+        self._namers = None
         v = np.asarray(vector, np.float64)
         self.vectors[key] = v
         top = self.level_of(key)
@@ -104,33 +132,75 @@ class Graph:
                 starts = [self.reach(v, starts, 1, level)[0][1]]
                 continue
             found = self.reach(v, starts, self.settings.ef_construction, level)
-            near = self.spread(found, self.settings.maximum_connections)
-            layer = self.layers[level]
-            layer[key] = near
-            for n in near:
-                layer[n] = [*layer[n], key]
-                if len(layer[n]) > self._room(level):
-                    far = self._far(self.vectors[n], layer[n])
-                    layer[n] = self.spread(sorted(zip(far.tolist(), layer[n], strict=True)), self._room(level))
+            self._link(key, found, level)
             starts = [i for _, i in found] or starts
         while len(self.layers) <= top:
             self.layers.append({key: []})
             self.entry = key
         return True
 
+    def _link(self, key: int, found: Sequence[tuple[float, int]], level: int) -> None:
+        near = self.spread(found, self.settings.maximum_connections)
+        layer = self.layers[level]
+        layer[key] = near
+        for n in near:
+            layer[n] = [*layer[n], key]
+            if len(layer[n]) > self._room(level):
+                far = self._far(self.vectors[n], layer[n])
+                layer[n] = self.spread(sorted(zip(far.tolist(), layer[n], strict=True)), self._room(level))
+
+    def fill(self, ids: Sequence[int], vectors: np.ndarray) -> None:
+        """Insert into an empty graph: each id is linked as by ``insert``, but to the true nearest of those before it.
+
+        These are found by matrix products, a few ids at a time, instead of by walks through the graph.
+        """
+        ids, first = np.unique(np.asarray(ids, np.int64), return_index=True)
+        order = np.argsort(first, kind="stable")
+        ids, v = ids[order], np.asarray(vectors, np.float64)[first[order]]
+        keys, width = ids.tolist(), self.settings.ef_construction
+        tops = np.array([self.level_of(i) for i in keys], int)
+        for s in range(0, len(keys), FILL_ROWS):
+            end = min(len(keys), s + FILL_ROWS)
+            apart = self._between(v[s:end], v[:end])
+            for at in range(s, end):
+                key, top = keys[at], int(tops[at])
+                self.vectors[key] = v[at]
+                for level in range(min(top, len(self.layers) - 1), -1, -1):
+                    before = np.flatnonzero(tops[:at] >= level) if level else np.arange(at)
+                    far = apart[at - s, before]
+                    if len(before) > width:
+                        before = before[np.argpartition(far, width)[:width]]
+                    near = ids[before].tolist()
+                    exact = self._far(v[at], near).tolist() if near else []
+                    self._link(key, sorted(zip(exact, near, strict=True)), level)
+                while len(self.layers) <= top:
+                    self.layers.append({key: []})
+                    self.entry = key
+
     def delete(self, key: int) -> bool:
         if self.vectors.pop(key, None) is None:
             return False
-        for layer in self.layers:
+        if self._namers is None:
+            self._namers = [{} for _ in self.layers]
+            for layer, namers in zip(self.layers, self._namers, strict=True):
+                for n, others in layer.items():
+                    for o in others:
+                        namers.setdefault(o, set()).add(n)
+        for layer, namers in zip(self.layers, self._namers, strict=False):
             gone = layer.pop(key, None)
             if gone is None:
                 continue
-            for n, others in layer.items():
-                if key in others:  # its neighbours are offered one another
-                    offered = [o for o in dict.fromkeys([*others, *gone]) if o not in (key, n) and o in layer]
-                    far = self._far(self.vectors[n], offered) if offered else np.zeros(0)
-                    layer[n] = self.spread(sorted(zip(far.tolist(), offered, strict=True)),
-                        max(self.settings.maximum_connections, len(others)))
+            for o in gone:
+                namers.get(o, set()).discard(key)
+            for n in namers.pop(key, ()):  # its neighbours are offered one another
+                others = layer[n]
+                offered = [o for o in dict.fromkeys([*others, *gone]) if o not in (key, n) and o in layer]
+                far = self._far(self.vectors[n], offered) if offered else np.zeros(0)
+                layer[n] = self.spread(sorted(zip(far.tolist(), offered, strict=True)), max(self.settings.maximum_connections, len(others)))
+                for o in set(others) - set(layer[n]) - {key}:
+                    namers.get(o, set()).discard(n)
+                for o in layer[n]:
+                    namers.setdefault(o, set()).add(n)
         while self.layers and not self.layers[-1]:
             self.layers.pop()
         if self.entry == key:
@@ -153,11 +223,20 @@ class Graph:
         return [(-d if self.metric.greater_is_closer else d, i) for d, i in found]
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column, all of one dimension and none null."""
+    n = len(column)
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False) if column.num_chunks else np.zeros(0)
+    return flat.astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+
+
 def to_bytes(g: Graph) -> bytes:
     """A graph as an Arrow stream: a row for each id, with its vector and its neighbours in each layer that it is in."""
     ids = list(g.vectors)
     links = [[layer[i] for layer in g.layers if i in layer] for i in ids]
-    t = pa.table({"id": pa.array(ids, pa.int64()), "vector": pa.array([g.vectors[i].tolist() for i in ids], pa.list_(pa.float64())),
+    dims = np.cumsum([0, *(len(g.vectors[i]) for i in ids)])
+    flat = np.concatenate([g.vectors[i] for i in ids]) if ids else np.zeros(0)
+    t = pa.table({"id": pa.array(ids, pa.int64()), "vector": pa.ListArray.from_arrays(pa.array(dims, pa.int32()), pa.array(flat)),
         "links": pa.array(links, pa.list_(pa.list_(pa.int64())))})
     facts = {"settings": json.dumps(asdict(g.settings)), "entry": json.dumps(g.entry)}
     out = pa.BufferOutputStream()
@@ -170,8 +249,8 @@ def from_bytes(data: bytes) -> Graph:
     t = pa.ipc.open_stream(data).read_all()
     facts = {k.decode(): json.loads(v) for k, v in t.schema.metadata.items()}
     g = Graph(Hnsw(**facts["settings"]), entry=facts["entry"])
-    for i, v, links in zip(t.column("id").to_pylist(), t.column("vector").to_pylist(), t.column("links").to_pylist(), strict=True):
-        g.vectors[i] = np.array(v, np.float64)
+    for i, v, links in zip(t.column("id").to_pylist(), _matrix(t.column("vector")), t.column("links").to_pylist(), strict=True):
+        g.vectors[i] = v
         for level, others in enumerate(links):
             if level == len(g.layers):
                 g.layers.append({})
@@ -191,8 +270,7 @@ def build_graphs(rows: DataFrame, path: str, settings: Hnsw, shard_rows: int = 2
 
     def build(t: pa.Table) -> pa.Table:
         g = Graph(settings)
-        for i, v in zip(t.column("key_id").to_pylist(), t.column("key").to_pylist(), strict=True):
-            g.insert(i, v)
+        g.fill(t.column("key_id").to_numpy(), _matrix(t.column("key")))
         return pa.table({"shard": t.column("shard").slice(0, 1), "n": pa.array([len(g.vectors)]),
             "graph": pa.array([to_bytes(g)], pa.binary())})
 
@@ -212,11 +290,14 @@ def update_graphs(graphs: DataFrame, change: DataFrame, path: str, settings: Hns
             return old
         g: Graph = from_bytes(old.column("graph")[0].as_py()) if old.num_rows else Graph(settings)
         alive = np.asarray(new.column("alive"))
-        ids, keys = new.column("key_id").to_numpy(), new.column("key").to_pylist()
+        ids, fresh = new.column("key_id").to_numpy(), new.filter(pa.array(alive))
         for i in ids[~alive].tolist():
             g.delete(i)
-        for i in np.flatnonzero(alive):
-            g.insert(int(ids[i]), keys[i])
+        if not g.vectors:
+            g.fill(fresh.column("key_id").to_numpy(), _matrix(fresh.column("key")))
+        else:
+            for i, v in zip(fresh.column("key_id").to_pylist(), _matrix(fresh.column("key")), strict=True):
+                g.insert(i, v)
         return pa.table({"shard": new.column("shard").slice(0, 1), "n": pa.array([len(g.vectors)]),
             "graph": pa.array([to_bytes(g)], pa.binary())})
 
@@ -233,7 +314,7 @@ def search_graphs_many(graphs: DataFrame, queries: DataFrame, k: int, width: int
     asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_key).cast("array<double>").alias("x")).collect()
     if sum(len(r["x"]) for r in asked) * 8 > QUERY_BYTES:
         raise InvalidArgument("too many queries for one search")
-    given = graphs.sparkSession.sparkContext.broadcast([(r["q"], r["x"]) for r in asked])
+    given = graphs.sparkSession.sparkContext.broadcast([(r["q"], np.array(r["x"])) for r in asked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
