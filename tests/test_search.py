@@ -48,6 +48,43 @@ def test_join_leaves_self_out_and_takes_few_rows(spark, points):
     assert knn_join(queries.limit(0), rows, 3).count() == 0 and knn_join(queries, rows.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("name", ["cosine", "euclidean", "squared_euclidean"])
+def test_cells_give_what_one_grid_gives(spark, monkeypatch, name):
+    """Cells lose nothing that belongs to the result: of zero, odd and infinite vectors, copies and ties."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(40, 1, 6)) + rng.normal(size=(40, 60, 6)) * 0.02).reshape(-1, 6).astype(np.float32)
+    x[100:140] = x[100]
+    x[200], x[201] = 0, np.inf
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000, [1.0, 2.0]), (5001, None), (5002, [2.0, 1.0])]
+    every = spark.createDataFrame(rows, "key_id long, key array<float>").repartition(6).cache()
+    queries = every.where("key_id % 5 = 0 or key_id > 4999").select(F.col("key_id").alias("query_id"), F.col("key").alias("query"))
+    with monkeypatch.context() as patch:
+        patch.setattr(search, "CELLED", ())
+        one = sorted(map(repr, knn_join(queries, every, 5, name).collect()))
+    with monkeypatch.context() as patch:
+        patch.setattr(search, "QUERY_BYTES", 9000)
+        assert sorted(map(repr, knn_join(queries, every, 5, name).collect())) == one
+
+
+def test_leaves_meet_few_rows(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(100, 1, 16)) + rng.normal(size=(100, 50, 16)) * 0.02).reshape(-1, 16)
+    met, kernel = [], search.closest
+    monkeypatch.setattr(search, "closest", lambda m, q, r, *rest: met.append(len(q) * len(r)) or kernel(m, q, r, *rest))
+    for name in search.CELLED:
+        met.clear()
+        best = search.Closest({16: (np.arange(0, 5000, 50), x[::50])}, 10, METRICS[name], False)
+        best.show_leaves(np.arange(5000), x, np.arange(100))
+        got = {}
+        for b in best.found():
+            for q, r, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got.setdefault(q, []).append((s if METRICS[name].greater_is_closer else -s, r))
+        for q in range(0, 5000, 50):
+            want = [i for i in brute(x, x[q], METRICS[name], 11)[0] if i != q][:10]
+            assert [r for _, r in sorted(got[q], reverse=True)][:10] == want
+        assert sum(met) < 100 * 5000 / 4
+
+
 def test_many_queries_meet_rows_in_a_grid(spark, points, monkeypatch):
     """Blocks of queries by chunks of rows give what one scan gives; vectors of other dimensions and nulls meet nothing."""
     x, rows = points
