@@ -347,6 +347,23 @@ def test_service_snapshots_as_files(spark, tmp_path, monkeypatch):
     assert sorted(map(repr, flat.rows("s").collect())) == sorted(map(repr, e.rows("s").collect()))
 
 
+def test_migration_of_more_rows_than_one_document_may_hold(spark, tmp_path):
+    """The query itself, over more than 100,000 vectors, which it once refused."""
+    from pyspark.sql import functions as F
+
+    from vecmill.queries import queries
+
+    n, x = 100_001, F.col("id")
+    ids = spark.range(n)
+    ids.select(x.alias("vec_id"), F.array(x.cast("float"), F.lit(1).cast("float")).alias("embedding"), (x % 7).cast("int").alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    ids.select(x.alias("doc_id"), F.lit("en").alias("lang"), F.lit("a").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    ids.where("id % 2 = 0").select(x.alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries()["snapshot_migration"](spark, str(tmp_path))
+    i = F.col("vec_id").cast("long")
+    right = (F.col("first") == i) & (F.col("label") == (i % 7).cast("string")) & (F.col("lang") == "en") & (F.col("quality").isNull() == (i % 2 == 1))
+    assert got.agg(F.count("*"), F.countDistinct("vec_id"), F.sum(right.cast("int"))).first() == (n, n, n)
+
+
 def test_streaming(spark, tmp_path):
     from vecmill.operators import mutations as M
     from vecmill.streaming.ingest import stream_into
