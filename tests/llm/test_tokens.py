@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vecmill.llm.common import load_tokenizer
 from vecmill.llm.packing import WordMemo, pack, plan_sequences
-from vecmill.llm.token_counts import spliced_ids, token_counts
+from vecmill.llm.token_counts import count_tokens, spliced_ids, token_counts, words_stand_alone
 
 TOKENIZER = "word_bpe_49k.json"
 PIECES = ["the ", "é", "é", " ", "\n", "'s", "'ll", "''re", "<|endoftext|>", "<|startoftext|>", "<|endof", "12", "漢字", "。", "각", "ᄀ", "ᅡ", "ᆨ", "ß", "!!", " ", "\x1c", "x" * 40, "İ", "Σ", "don't", "Word,"]
@@ -49,6 +50,63 @@ def test_counts(docs, corpus, nothing):
     assert token_counts(nothing).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*PIECES, "\xa0", "\u2028", "\x85", "\u0301", "\u0345"]), max_size=30), max_size=8), st.sampled_from([1, 20, 1 << 22]))
+def test_counts_of_words_equal_whole(pieces, batch):
+    texts = ["".join(p) for p in pieces] + [None]
+    tok = load_tokenizer(TOKENIZER)
+    memo, want = WordMemo(tok, limit=20, longest=6), [len(ids_of(t or "")) for t in texts]
+    for _ in range(2):
+        assert memo.counts_of(pa.array(texts, pa.string()), most=2.0).tolist() == want
+        assert count_tokens(pa.array(texts * 3, pa.string()), tok, memo, huge_chars=60, batch_chars=batch).tolist() == want * 3
+
+
+def test_repeated_words_are_encoded_once(spark, monkeypatch):
+    """What the library is given follows the different words, not the length of the texts."""
+    from vecmill.llm import token_counts as module
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.chars = tokenizer, 0
+
+        def __getattr__(self, name):
+            return getattr(self.tokenizer, name)
+
+        def encode_batch_fast(self, texts, **how):
+            self.chars += sum(map(len, texts))
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    counted, runs = Counted(load_tokenizer(TOKENIZER)), []
+    monkeypatch.setattr(module, "load_tokenizer", lambda name: counted)
+    monkeypatch.setattr(module, "in_batches", lambda rows, run, schema: runs.append(run) or rows.sparkSession.createDataFrame([], schema))
+    token_counts(spark.createDataFrame([], "doc_id long, text string"))
+    words = [f"word{i}," for i in range(200)]
+    texts = [" ".join(random.Random(n).choices(words, k=300)) for n in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([len(t) for t in texts]), pa.array(texts)], ["id", "n_bytes", "text"])
+    out = [n for b in runs[0](iter([batch.slice(0, 50), batch.slice(50)])) for n in b.column("n_tokens").to_pylist()]
+    assert out == [len(ids_of(t)) for t in texts]
+    assert counted.chars < sum(map(len, texts)) / 50
+    counted.chars, once = 0, [" ".join(f"{n}x{i}" for i in range(300)) for n in range(100)]
+    assert count_tokens(pa.array(once), counted, WordMemo(counted)).tolist() == [len(ids_of(t)) for t in once]
+    assert counted.chars == sum(map(len, once))  # words that do not repeat: whole texts, and these once
+
+
+def test_tokenizers_of_other_kinds_encode_whole_texts(spark, tmp_path):
+    """White space that belongs to tokens, or to special strings, is no boundary."""
+    from tokenizers import AddedToken, Tokenizer
+
+    texts = ["two  words", "a b", "x <|a b|> y", "one   <|c|>   two", ""]
+    kinds = {"byte_bpe_50k.json": [], TOKENIZER: [AddedToken("<|a b|>", normalized=False)], f"./{TOKENIZER}": [AddedToken("<|c|>", lstrip=True, normalized=False)]}
+    assert words_stand_alone(load_tokenizer(TOKENIZER))
+    for n, (name, more) in enumerate(kinds.items()):
+        tok = Tokenizer.from_str(load_tokenizer(name.removeprefix("./")).to_str())
+        tok.add_tokens(more)
+        tok.save(path := f"{tmp_path}/{n}.json")
+        assert not words_stand_alone(tok)
+        got = token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer=path)
+        assert [r.n_tokens for r in got.orderBy("doc_id").collect()] == [len(tok.encode(t, add_special_tokens=False)) for t in texts]
+
+
 def test_pack(docs, corpus, nothing):
     got = pack(docs, slice_rows=5).collect()
     want = Counter()

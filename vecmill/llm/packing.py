@@ -70,10 +70,12 @@ class WordMemo:
         sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
         return (ids, sizes) if len(sizes) == len(words) else self._encode(words)
 
-    def _ids_of(self, parts: pa.Array, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, how many of each part) of distinct strings; ``letters`` tells which are letters alone."""
+    def _ids_of(self, parts: pa.Array, letters: np.ndarray, most: float | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, how many of each part) of distinct strings; ``letters`` tells which are letters alone. None if more than ``most`` characters are new."""
         at = pc.index_in(parts, value_set=self.known)
         seen = np.asarray(at.is_valid())
+        if most is not None and pc.utf8_length(parts).to_numpy()[~seen].sum() > most:
+            return None
         at = pc.fill_null(at, 0).to_numpy()
         begins = _offsets(self.sizes)[:-1]
         ids, sizes = [self.values[_spans(begins[at[seen]], self.sizes[at[seen]])]], [self.sizes[at[seen]]]
@@ -100,8 +102,8 @@ class WordMemo:
         self.values = np.concatenate([self.values, ids[_spans(_offsets(sizes)[:-1][fresh], sizes[fresh])]])
         self.sizes = np.concatenate([self.sizes, sizes[fresh]])
 
-    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, how many of each word) of distinct words."""
+    def _of_words(self, words: pa.Array, most: float | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, how many of each word) of distinct words. None if more than ``most`` characters of them are new."""
         cut = pc.extract_regex(words, self.SIMPLE)
         plain = np.asarray(cut.is_valid())
         cut = cut.filter(pa.array(plain))
@@ -111,7 +113,10 @@ class WordMemo:
         first = letters.dictionary_encode()
         rest = pa.concat_arrays([signs, others]).dictionary_encode()
         n = len(first.dictionary)
-        ids, sizes = self._ids_of(pa.concat_arrays([first.dictionary, rest.dictionary]), np.arange(n + len(rest.dictionary)) < n)
+        got = self._ids_of(pa.concat_arrays([first.dictionary, rest.dictionary]), np.arange(n + len(rest.dictionary)) < n, most)
+        if got is None:
+            return None
+        ids, sizes = got
         rest = rest.indices.to_numpy() + n
         one, two = np.zeros(len(words), np.int64), np.full(len(words), -1, np.int64)
         one[plain], two[plain], one[~plain] = first.indices.to_numpy(), rest[: len(signs)], rest[len(signs) :]
@@ -120,16 +125,25 @@ class WordMemo:
         pair_sizes = np.where(pairs >= 0, sizes[pairs], 0) if len(pairs) else np.zeros(0, np.int64)
         return ids[_spans(begins[pairs], pair_sizes)], pair_sizes.reshape(-1, 2).sum(1)
 
-    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, where each text's begin and the last one's end); null texts have none."""
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(the distinct words, the texts' words as numbers of these, where each text's begin and the last one's end)."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         words = split.flatten().dictionary_encode()
-        distinct = words.dictionary.cast(pa.string())
-        ids, sizes = self._of_words(distinct)
-        at = words.indices.to_numpy()
+        return words.dictionary.cast(pa.string()), words.indices.to_numpy(), _offsets(pc.list_value_length(split).to_numpy())
+
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each text's begin and the last one's end); null texts have none."""
+        words, at, begins = self._split(texts)
+        ids, sizes = self._of_words(words)
         counts = sizes[at]
-        out = ids[_spans(_offsets(sizes)[:-1][at], counts)]
-        return out, _offsets(counts)[_offsets(pc.list_value_length(split).to_numpy())]
+        return ids[_spans(_offsets(sizes)[:-1][at], counts)], _offsets(counts)[begins]
+
+    def counts_of(self, texts: pa.Array, most: float = 0.5) -> np.ndarray | None:
+        """How many ids each text has; null texts have none. None if new words make up more than ``most`` of
+        the characters: words that hardly repeat are sooner encoded in their texts."""
+        words, at, begins = self._split(texts)
+        got = self._of_words(words, most * (pc.sum(pc.utf8_length(texts)).as_py() or 0))
+        return None if got is None else np.diff(_offsets(got[1][at])[begins])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

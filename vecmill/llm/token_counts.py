@@ -1,8 +1,10 @@
 """Token counts with overlap resynchronisation (operator 1).
 
-Ordinary texts are encoded in batches. A huge text is encoded in overlapping
-chunks with offsets, and neighbouring chunks are spliced at a boundary that is
-proven to be one of the whole text:
+Ordinary texts are encoded in batches. Where the tokenizer consists of parts by which
+white space bounds pre-tokens (``words_stand_alone``), a batch's different words are encoded once
+each and their counts added up; whole texts are encoded with other tokenizers, and where words hardly repeat.
+A huge text is encoded in overlapping chunks with offsets, and neighbouring chunks are
+spliced at a boundary that is proven to be one of the whole text:
 
 * the pre-tokenizer scans left to right, so once a pre-token starts at some
   offset, everything after it depends on the rest of the text alone;
@@ -20,17 +22,42 @@ reach back to the last splice, the left chunk grows instead. In the worst case
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecmill.llm.common import in_batches, load_tokenizer
+from vecmill.llm.packing import WordMemo
 
 GUARD = 64  # characters; longer than every special string
 
+#: Normalisation that joins nothing over white space, and pre-tokens that hold none.
+APART = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+
+
+def words_stand_alone(tokenizer) -> bool:
+    """Whether the ids of every text are those of its words, parted at ASCII white space, one after another, each word by itself.
+
+    Told by what the tokenizer consists of; of others than those of ``APART`` it is not claimed.
+    """
+    parts = [json.loads(x.__getstate__()) if x else None for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    special = tokenizer.get_added_tokens_decoder().values()
+    return (tuple(parts) == APART and getattr(tokenizer.model, "end_of_word_suffix", None) == "</w>" and not tokenizer.model.dropout
+        and tokenizer.truncation is None and tokenizer.padding is None
+        and not any(t.normalized or t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in special))
+
 
 def _starts(encoding, base: int) -> dict[int, int]:
     """Absolute offset of each pre-token's first token -> index of that token.
@@ -70,23 +97,21 @@ def spliced_ids(text: str, tokenizer, chunk_chars: int = 65536, overlap_chars: i
     return ids + left.ids[skip:]
 
 
-def count_tokens(texts: list[str], tokenizer, huge_chars: int = 65536, batch_chars: int = 1 << 20, **splice) -> list[int]:
-    counts, batch, size = [0] * len(texts), [], 0
-
-    def flush() -> None:
-        for i, e in zip(batch, tokenizer.encode_batch_fast([texts[i] for i in batch], add_special_tokens=False), strict=True):
-            counts[i] = len(e)
-
-    for i, text in enumerate(texts):
-        if len(text) > huge_chars:
-            counts[i] = len(spliced_ids(text, tokenizer, **splice))
-        elif text:
-            batch.append(i)
-            size += len(text)
-            if size >= batch_chars:
-                flush()
-                batch, size = [], 0
-    flush()
+def count_tokens(texts: pa.Array, tokenizer, memo: WordMemo | None = None, huge_chars: int = 65536, batch_chars: int = 1 << 20,
+    **splice) -> np.ndarray:
+    """How many tokens each text has (null: none). ``memo``: where words stand alone, what counts them."""
+    counts, chars = np.zeros(len(texts), np.int64), pc.fill_null(pc.utf8_length(texts), 0).to_numpy()
+    for i in np.flatnonzero(chars > huge_chars):
+        counts[i] = len(spliced_ids(texts[int(i)].as_py(), tokenizer, **splice))
+    batch = np.flatnonzero((chars > 0) & (chars <= huge_chars))
+    while len(batch):
+        end = max(1, int(np.searchsorted(np.cumsum(chars[batch]), batch_chars, "right")))
+        some, which = texts.take(pa.array(batch[:end])), batch[:end]
+        own = memo.counts_of(some) if memo else None
+        if own is None:
+            own = [len(e) for e in tokenizer.encode_batch_fast(some.to_pylist(), add_special_tokens=False)]
+        counts[which] = own
+        batch = batch[end:]
     return counts
 
 
@@ -103,8 +128,9 @@ def token_counts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load_tokenizer(tokenizer)
+        memo = WordMemo(tok) if words_stand_alone(tok) else None  # for this task alone, so its memory ends with the task
         for b in batches:
-            counts = count_tokens([x or "" for x in b.column("text").to_pylist()], tok, huge_chars)
+            counts = count_tokens(b.column("text"), tok, memo, huge_chars)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(counts, pa.int64())],
                 ["id", "n_bytes", "n_tokens"])
 
